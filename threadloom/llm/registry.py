@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import mixing, quality, url_filter, warc
 
 QUERIES = {
+    "op3_url_rules": url_filter.query,
+    "op6_quality_lines": quality.query,
     "op9_source_mixing": mixing.query,
     "op10_warc_revisits": warc.query,
 }
