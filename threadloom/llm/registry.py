@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, url_filter, warc
+from . import decontaminate, mixing, quality, toxicity, url_filter, warc
 
 QUERIES = {
+    "op2_string_tiling": decontaminate.query,
     "op3_url_rules": url_filter.query,
     "op6_quality_lines": quality.query,
+    "op8_toxicity_ftrl": toxicity.query,
     "op9_source_mixing": mixing.query,
     "op10_warc_revisits": warc.query,
 }
