@@ -28,8 +28,8 @@ from .common import crc_mod, cut, table
 
 BITS = 22
 MAX_ROWS = 12_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 3.0, 1.0
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.1
 THRESHOLD = 0.7
 HELD_OUT_MOD, HELD_OUT_REST = 3, 1
 
