@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, toxicity, url_filter, warc
+from . import decontaminate, mixing, pii, quality, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_pii_spans": pii.query,
     "op2_string_tiling": decontaminate.query,
     "op3_url_rules": url_filter.query,
     "op6_quality_lines": quality.query,
