@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, quality, toxicity, url_filter, warc
+from . import decontaminate, jaccard, mixing, pii, quality, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_pii_spans": pii.query,
     "op2_string_tiling": decontaminate.query,
     "op3_url_rules": url_filter.query,
+    "op4_jaccard_join": jaccard.query,
     "op6_quality_lines": quality.query,
     "op8_toxicity_ftrl": toxicity.query,
     "op9_source_mixing": mixing.query,
