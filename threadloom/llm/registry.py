@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, pii, quality, toxicity, url_filter, warc
+from . import decontaminate, jaccard, mixing, pii, quality, repeats, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_pii_spans": pii.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_rules": url_filter.query,
     "op4_jaccard_join": jaccard.query,
     "op6_quality_lines": quality.query,
+    "op7_repeated_bytes": repeats.query,
     "op8_toxicity_ftrl": toxicity.query,
     "op9_source_mixing": mixing.query,
     "op10_warc_revisits": warc.query,
