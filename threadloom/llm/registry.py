@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, pii, quality, repeats, toxicity, url_filter, warc
+from . import decontaminate, gated_lm, jaccard, mixing, pii, quality, repeats, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_pii_spans": pii.query,
     "op2_string_tiling": decontaminate.query,
     "op3_url_rules": url_filter.query,
     "op4_jaccard_join": jaccard.query,
+    "op5_gated_lm": gated_lm.query,
     "op6_quality_lines": quality.query,
     "op7_repeated_bytes": repeats.query,
     "op8_toxicity_ftrl": toxicity.query,
