@@ -23,6 +23,7 @@ from .common import cut, table, unit, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 BINS = 4096
+RESULT = ("doc_id", "source", "size", "source_size", "target", "epochs", "drawn", "taken")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, total: float = 1.0) -> DataFrame:
@@ -51,10 +52,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, total: f
 
 def mix(docs: DataFrame, size: Column, weight: Column, weights=WEIGHTS, cap: float = CAP, seed: int = 17, bins: int = BINS, carry: tuple = ()) -> DataFrame:
     """docs: doc_id, source and what ``size``, ``weight`` and ``carry`` name. Returns doc_id, source, size, source_size,
-    target, epochs (complete ones), drawn (in the fractional selection too), taken, and the carried columns."""
+    target, epochs (complete ones), drawn (in the fractional selection too), taken, and the carried columns whose names are none of these."""
     w = F.when(F.col("_w") > 0, F.col("_w")).otherwise(1.0)
     base = cut(
-        docs.select("doc_id", "source", *carry, size.cast("long").alias("size"), weight.cast("double").alias("_w"))
+        docs.select("doc_id", "source", F.struct(*carry).alias("_carry") if carry else F.lit(None).cast("boolean").alias("_carry"), size.cast("long").alias("size"), weight.cast("double").alias("_w"))
         .withColumn("_e", -F.log(unit(F.lit(seed), F.col("doc_id"), F.col("size"))) / w)
         .withColumn("_bin", F.least(F.floor((1 - F.exp(-F.col("_e"))) * bins), F.lit(bins - 1)).cast("int"))
         .withColumn("_k", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
@@ -80,7 +81,7 @@ def mix(docs: DataFrame, size: Column, weight: Column, weights=WEIGHTS, cap: flo
         .join(plan, ["_k", "_bin"])
         .withColumn("drawn", drawn & (F.col("size") > 0))
         .withColumn("taken", F.col("size") * (F.col("epochs") + F.col("drawn").cast("long")))
-        .select("doc_id", "source", "size", "source_size", "target", "epochs", "drawn", "taken", *carry)
+        .select(*RESULT, *[F.col("_carry")[c].alias(c) for c in carry if c not in RESULT])
     )
 
 
