@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import query_reports, query_rows, query_stream, query_text, query_threads
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (query_rows, query_threads, query_text, query_reports, query_stream):
+    QUERIES |= _part.REGISTERED.queries
+    ORACLES |= _part.REGISTERED.oracles
