@@ -48,6 +48,10 @@ class _Article(HTMLParser):
     def path(self, *tags: str) -> bool:
         return self.stack[-len(tags) :] == list(tags)
 
+    def in_paragraph(self) -> bool:
+        """Within a paragraph that is a child of the article."""
+        return self.stack[:4] == ["html", "body", "article", "p"]
+
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if tag == "p" and "p" in self.stack:  # an unclosed paragraph ends where the next begins
@@ -57,9 +61,9 @@ class _Article(HTMLParser):
             self.has_meta = True
             if attrs.get("property") and attrs.get("content") is not None:
                 self.meta[attrs["property"]] = attrs["content"]
-        if tag == "p" and self.path("body", "article"):
+        if tag == "p" and self.stack == ["html", "body", "article"]:
             self.paragraphs.append("")
-        if tag == "a" and "p" in self.stack and self.paragraphs and attrs.get("href"):
+        if tag == "a" and self.in_paragraph() and attrs.get("href"):
             self.links.append(attrs["href"])
         if self.path("article", "address"):
             if tag == "time" and self.datetime is None and attrs.get("datetime"):
@@ -78,7 +82,7 @@ class _Article(HTMLParser):
     def handle_data(self, data):
         if self.in_author:
             self.author += data
-        if "p" in self.stack and self.paragraphs and "article" in self.stack and not {"script", "style"} & set(self.stack):
+        if self.in_paragraph() and not {"script", "style"} & set(self.stack):
             self.paragraphs[-1] += data
 
 
@@ -168,7 +172,7 @@ def read_traffic(spark: SparkSession, path: str) -> DataFrame:
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """Lines of token and idf; a token's index is its line, and line 0 is ``<unk>``. One file, read in file order."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("idx", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("idx", "line"))
     cols = F.split("line", "\t")
     return lines.select(cols[0].alias("token"), "idx", cols[1].cast("double").alias("idf"))
 
