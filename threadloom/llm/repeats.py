@@ -301,7 +301,8 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, max_segments: int = MAX_
     told = cut(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("_sha")))
     copies = told.where(F.col("n_bytes") >= width).groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1")
     runs = cut(keyed.where(F.octet_length("text") >= width).select("key", "text").mapInArrow(_cut_segments(width), "key binary, first int, last int, anchor int, fp long, seg long"))
-    met = runs.groupBy("fp").agg(F.count("*").alias("_n")).where("_n > 1").select("fp")
+    # Written, so that the join below reads two exchanges and Spark can split the hash of a very common passage.
+    met = cut(runs.groupBy("fp").agg(F.count("*").alias("_n")).where("_n > 1").select("fp"))
     runs = cut(runs.join(met, "fp", "left_semi"))
     # The hash of a segment's bytes is of its bucket and place: the distance of its start from the anchor tells places apart.
     same = ["fp", "seg", "_off", "_len"]
