@@ -276,7 +276,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, band
     links = linked.groupBy("key").agg(F.sum("links").alias("_l"))
     known = cut(reps.drop("sig").join(comps, "key", "left").join(links, "key", "left").select("key", F.coalesce("comp", "key").alias("comp"), "copies", "doc_id", "_th", (F.coalesce("_l", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     best = F.min_by(F.struct("doc_id", "_th"), F.struct(F.col("doc_id").isNull(), "doc_id", "_th"))
-    classes = known.groupBy("comp").agg(best.alias("_b")).select("comp", F.col("_b.doc_id").alias("class_id"), F.col("_b._th").alias("_th"))
+    # Written, so that joins with it read two exchanges and Spark can split a large class.
+    classes = cut(known.groupBy("comp").agg(best.alias("_b")).select("comp", F.col("_b.doc_id").alias("class_id"), F.col("_b._th").alias("_th")))
     return seen.select("doc_id", "_th", "key").join(known.select("key", "comp", "copies", "n_links"), "key", "left"), classes
 
 
