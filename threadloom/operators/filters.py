@@ -56,3 +56,9 @@ def sample_by_class(docs: DataFrame, key: str, label: str, shares: dict[str, flo
     """Kept with a probability by class; a hash of the key decides, so reruns agree."""
     share = F.coalesce(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col(label)], F.lit(1.0)) if shares else F.lit(1.0)
     return docs.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share * 1_000_000)
+
+
+def split(docs: DataFrame, key: str, share: float = 0.9, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows by a hash of the key, so that a row is on the same side on every run."""
+    inside = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(share * 1_000_000)
+    return docs.where(inside), docs.where(~inside)
