@@ -240,7 +240,8 @@ def redact(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets (overlapping spans together by the first's kind).
     Columns, their order and other values stay. Fits trees on docs unless given some."""
     if trees is None:
-        trees = Trees(count_features(find(docs.select("text"))))
+        # Candidates are written before they are counted: exploding them in place would describe each of them twice.
+        trees = Trees(count_features(cut(find(docs.select("text")).select("__wide"))))
     df = with_spans(find(docs), trees)
     order = F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     df = df.withColumn("__order", order)
