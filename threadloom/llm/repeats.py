@@ -326,7 +326,8 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, max_segments: int = MAX_
         again = hashed.groupBy(*same).agg(F.sum("n").alias("_n")).where("_n > 1")
         spans = spans.unionByName(hashed.where("n = 1").join(again, same, "left_semi").select("key", "first", F.col("first").alias("last")))
     # Documents whose text occurs again go as a whole; the others are read once more where they lose something.
-    per_text = spans.join(copies.select("key"), "key", "left_anti").groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    # Sets first: copies bring the same spans under one key, and partial sets fold them before the shuffle.
+    per_text = spans.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans")).join(copies.select("key"), "key", "left_anti")
     stripped = source.join(per_text, "key").mapInArrow(_strip(width), "key binary, n_removed long, n_spans long, kept_sha256 string")
     gone = F.col("_c").isNotNull()
     return (
