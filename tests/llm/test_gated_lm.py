@@ -86,3 +86,23 @@ def test_nothing_to_learn_from(spark, docs_of, nothing):
     rows = g.score_texts(docs_of(["a b", None]), nothing).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in rows)
     assert g.score_texts(nothing, nothing).count() == 0
+
+
+def test_learns_from_all_training_documents(spark, docs_of, monkeypatch):
+    """Also from those that the starting fit does not draw, and from copies, over several shards."""
+    texts = ["a b c d " * 40, "e f g h " * 40]
+    train, n = docs_of(texts * 300), 600 * 161
+    monkeypatch.setattr(g, "SHARD", 20_000)
+    monkeypatch.setattr(g, "SHARD_ROOT", 1)
+    size = g.side(n)
+    ids = g._ids([(w.encode(), 1) for w in "abcdefgh"], size**2)
+    start = g.GatedNet(classes=size, size=size)
+    weights, learned = g.learn_all(train, ids, start.w, n)
+    assert learned == n
+    docs = [np.array([ids[w] for w in t.encode().split()] + [0]) for t in texts]
+    before, after = start.score(docs), g.GatedNet(classes=size, size=size, weights=weights).score(docs)
+    assert (after > before + 10).all()
+
+
+def test_output_words_grow_with_the_corpus():
+    assert g.side(0) ** 2 >= 2304 and 2304 < g.side(10**8) ** 2 < g.side(10**10) ** 2

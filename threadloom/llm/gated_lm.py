@@ -8,9 +8,12 @@ truncated backpropagation in numpy.
 
 Scale: token counts are summed over all training documents, combined in the tasks before they are shuffled. The ``head``
 most frequent words' counts travel to the tasks (at most that many rows); the rest is joined, and no word of the rest is
-frequent enough to make a hot key. The network is fitted by one executor task, which can run again, on a sample of
-whole training documents of about ``sample_tokens`` tokens (a documented bound on a fit). Scoring is one pass; documents
-of a batch run side by side, and a long one alone costs steps, not memory.
+frequent enough to make a hot key. The network starts from a fit on whole training documents of about ``sample_tokens``
+tokens by one task. It then learns from all training documents, in ``ROUNDS`` rounds: each document is in one round and in
+one of its shards by hash, a task learns from one shard in pieces of ``PIECE`` tokens, and the shards' weights are averaged by
+tokens, in blocks. Shards grow with the square root of the tokens, as does their number, and the words that the network
+tells apart grow with the power 0.4 of them. Scoring is one pass; documents of a batch run side by side, and a long one
+alone costs steps, not memory.
 
 Defined cases: null or empty text: the end mark alone. Words are the runs between ASCII blanks, A-Z lower-cased. Null
 doc_id: crc32 of the empty text. No training documents: N, V and counts are 0, a text without known words scores by the
@@ -20,6 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -36,11 +40,14 @@ HEAD = 200_000
 CLASSES, SIZE = 48, 48
 HIDDEN = 32
 SAMPLE_TOKENS = 600_000
+ROUNDS, SHARD, SHARD_ROOT, PIECE = 2, 3_000_000, 300, 600_000
 EPOCHS, STREAMS, STEPS, RATE = 3, 64, 24, 0.01
+WIDE = 256
 FOLDS, HELD_OUT = 10, 0
 _FLUSH = 300_000
 _SIDE = 512
 _SLICE = 2048
+_BLOCK = 8192
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -73,70 +80,135 @@ class GatedNet:
 
     def log_p(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural logs of the probabilities of ids after the states."""
-        cls, place = ids // self.s, ids % self.s
-        a = states @ self.w["wc"] + self.w["bc"]
-        top = a.max(axis=1)
-        out = (a[np.arange(len(ids)), cls] - top - np.log(np.exp(a - top[:, None]).sum(axis=1))).astype(np.float64)
+        cls, place, states = ids // self.s, ids % self.s, np.ascontiguousarray(states.T)
+        a = self.w["wc"].T @ states + self.w["bc"][:, None]
+        a -= a.max(axis=0)
+        out = a[cls, np.arange(len(ids))].astype(np.float64)
+        out -= np.log(np.exp(a, out=a).sum(axis=0))
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.c + 1))
+        states, place, inner = states[:, order], place[order], np.zeros(len(ids))
         for k in range(self.c):
-            at = order[edges[k] : edges[k + 1]]
-            if len(at):
-                b = states[at] @ self.w["ww"][k].T + self.w["bw"][k]
-                top = b.max(axis=1)
-                out[at] += b[np.arange(len(at)), place[at]] - top - np.log(np.exp(b - top[:, None]).sum(axis=1))
+            lo, hi = edges[k], edges[k + 1]
+            if lo < hi:
+                b = self.w["ww"][k] @ states[:, lo:hi] + self.w["bw"][k][:, None]
+                b -= b.max(axis=0)
+                inner[lo:hi] = b[place[lo:hi], np.arange(hi - lo)]
+                inner[lo:hi] -= np.log(np.exp(b, out=b).sum(axis=0))
+        out[order] += inner
         return out
 
     def _loss(self, states, ids, grad):
-        """Summed loss; adds to grad and returns the states' gradient."""
+        """Summed loss of states in columns; adds to grad and returns the states' gradient."""
         rows = np.arange(len(ids))
         cls, place = ids // self.s, ids % self.s
-        a = states @ self.w["wc"] + self.w["bc"]
-        p = np.exp(a - a.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        loss = -np.log(p[rows, cls]).sum()
-        p[rows, cls] -= 1
-        grad["wc"] += states.T @ p
-        grad["bc"] += p.sum(axis=0)
-        back = p @ self.w["wc"].T
+        p = self.w["wc"].T @ states
+        p += self.w["bc"][:, None]
+        p -= p.max(axis=0)
+        np.exp(p, out=p)
+        p /= p.sum(axis=0)
+        loss = -np.log(p[cls, rows]).sum()
+        p[cls, rows] -= 1
+        grad["wc"] += states @ p.T
+        grad["bc"] += p.sum(axis=1)
+        back = self.w["wc"] @ p
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.c + 1))
+        # By class, in one copy each way.
+        states, place, inner = states[:, order], place[order], np.empty_like(states)
         for k in range(self.c):
-            at = order[edges[k] : edges[k + 1]]
-            if len(at):
-                b = states[at] @ self.w["ww"][k].T + self.w["bw"][k]
-                q = np.exp(b - b.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                loss -= np.log(q[np.arange(len(at)), place[at]]).sum()
-                q[np.arange(len(at)), place[at]] -= 1
-                grad["ww"][k] += q.T @ states[at]
-                grad["bw"][k] += q.sum(axis=0)
-                back[at] += q @ self.w["ww"][k]
+            lo, hi = edges[k], edges[k + 1]
+            if lo < hi:
+                part, at = states[:, lo:hi], (place[lo:hi], rows[: hi - lo])
+                q = self.w["ww"][k] @ part
+                q += self.w["bw"][k][:, None]
+                q -= q.max(axis=0)
+                np.exp(q, out=q)
+                q /= q.sum(axis=0)
+                loss -= np.log(q[at]).sum()
+                q[at] -= 1
+                grad["ww"][k] += q @ part.T
+                grad["bw"][k] += q.sum(axis=1)
+                inner[:, lo:hi] = self.w["ww"][k].T @ q
+        back[:, order] += inner
         return loss, back
 
+    def _window(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray):
+        """Like ``window``, but the gradient of x has only the rows of the ids that occur: loss, gradients, those ids, state.
+        Units come before streams within, so that each gate is one run of memory."""
+        n, (steps, width) = self.h, inputs.shape
+        grad = {k: np.zeros_like(v) for k, v in self.w.items() if k != "x"}
+        u, live, ids = self.w["u"], inputs != 0, inputs.ravel()
+        ut, state = np.ascontiguousarray(u.T), np.ascontiguousarray(state.T)
+        g = np.ascontiguousarray(self.w["x"][ids].reshape(steps, width, 3 * n).transpose(0, 2, 1))
+        before, out, un = (np.empty((steps, n, width), state.dtype) for _ in range(3))
+        for t in range(steps):
+            np.multiply(state, live[t], out=before[t])
+            a = ut @ before[t]
+            un[t] = a[2 * n :]
+            zr = g[t, : 2 * n]
+            zr += a[: 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            new = g[t, 2 * n :]
+            new += zr[n:] * un[t]
+            np.tanh(new, out=new)
+            state = out[t] = new + zr[:n] * (before[t] - new)
+        loss, back = self._loss(out.transpose(1, 0, 2).reshape(n, -1), targets.ravel(), grad)
+        back = back.reshape(n, steps, width)
+        carried = np.zeros_like(state)
+        gates, inner = np.empty_like(g), np.empty_like(g[0])
+        for t in range(steps - 1, -1, -1):
+            z, r, new = g[t, :n], g[t, n : 2 * n], g[t, 2 * n :]
+            d = back[:, t] + carried
+            dz = d * z
+            keep = 1 - z
+            dn = d * keep
+            dn *= 1 - new * new
+            gates[t, :n] = inner[:n] = (before[t] - new) * dz * keep
+            gates[t, 2 * n :] = dn
+            np.multiply(dn, r, out=inner[2 * n :])
+            gates[t, n : 2 * n] = inner[n : 2 * n] = inner[2 * n :] * un[t] * (1 - r)
+            grad["u"] += before[t] @ inner.T
+            carried = (dz + u @ inner) * live[t]
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        grad["x"] = np.add.reduceat(gates.transpose(0, 2, 1).reshape(-1, 3 * n)[order], first, axis=0)
+        return loss, grad, ids[order][first], np.ascontiguousarray(state.T)
+
     def window(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray):
         """One truncated window, time by stream. An input of 0 begins a document and forgets. Returns loss, gradients, state."""
-        n, grad = self.h, {k: np.zeros_like(v) for k, v in self.w.items()}
-        saved, outs = [], []
-        for ids in inputs:
-            before = state * (ids != 0)[:, None]
-            state, parts = self.step(ids, before, keep=True)
-            saved.append((ids, before, parts))
-            outs.append(state)
-        loss, back = self._loss(np.concatenate(outs), targets.ravel(), grad)
-        back = back.reshape(len(inputs), -1, n)
-        carried = np.zeros_like(state)
-        for t in range(len(inputs) - 1, -1, -1):
-            ids, before, (z, r, new, un) = saved[t]
-            d = back[t] + carried
-            dz = d * (before - new) * z * (1 - z)
-            dn = d * (1 - z) * (1 - new**2)
-            dr = dn * un * r * (1 - r)
-            gates = np.concatenate([dz, dr, dn * r], axis=1)
-            grad["u"] += before.T @ gates
-            np.add.at(grad["x"], ids, np.concatenate([dz, dr, dn], axis=1))
-            carried = (d * z + gates @ self.w["u"].T) * (ids != 0)[:, None]
-        return loss, grad, state
+        loss, grad, ids, state = self._window(inputs, targets, state)
+        whole = np.zeros_like(self.w["x"])
+        whole[ids] = grad["x"]
+        return loss, grad | {"x": whole}, state
+
+    def learn(self, pieces, streams: int = WIDE, steps: int = STEPS, rate: float = RATE) -> int:
+        """One pass over lists of documents (word ids without end marks), each list a piece of the data that fits in memory.
+        Rows of x move only when their words occur. Returns the tokens learned from, end marks included."""
+        m, v, seen, t = {k: np.zeros_like(w) for k, w in self.w.items()}, {k: np.zeros_like(w) for k, w in self.w.items()}, 0, 0
+        for docs in pieces:
+            flat = np.concatenate([np.append(0, d) for d in docs] + [np.zeros(1, np.int64)])
+            seen += len(flat) - 1
+            # What does not divide by the streams comes last, as one stream.
+            width = max(1, min(streams, (len(flat) - 1) // (64 * steps)))
+            n = (len(flat) - 1) // width
+            for at, width, n in ((0, width, n), (width * n, 1, len(flat) - 1 - width * n)):
+                x, y = (flat[k + at : k + at + width * n].reshape(width, n).T for k in (0, 1))
+                state = np.zeros((width, self.h), np.float32)
+                for i in range(0, n, steps):
+                    _, grad, ids, state = self._window(x[i : i + steps], y[i : i + steps], state)
+                    t += 1
+                    lr, size = rate * min(1.0, t / 20) / (1 - 0.9**t), 1.0 / (streams * steps)
+                    for k, g in grad.items():
+                        g *= size
+                        rows = ids if k == "x" else slice(None)
+                        m[k][rows] += 0.1 * (g - m[k][rows])
+                        v[k][rows] += 0.01 * (g * g - v[k][rows])
+                        self.w[k][rows] -= (lr * m[k][rows] / (np.sqrt(v[k][rows] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+        return seen
 
     def fit(self, docs: list[np.ndarray], epochs: int = EPOCHS, streams: int = STREAMS, steps: int = STEPS, rate: float = RATE):
         """docs: word ids without end marks."""
@@ -229,13 +301,18 @@ def _ids(head: list, slots: int) -> dict[bytes, int]:
     return {END: 0} | {t: i + 2 for i, (_, t) in enumerate(ranked)}
 
 
-def fit_net(docs: DataFrame, ids: dict[bytes, int], share: float) -> dict:
+def side(tokens: int) -> int:
+    """Number of classes, and of words in each, for a corpus of so many tokens."""
+    return max(CLASSES, SIZE, math.ceil(math.sqrt(4 * tokens**0.4)))
+
+
+def fit_net(docs: DataFrame, ids: dict[bytes, int], share: float, size: int = SIZE) -> dict:
     """Weights fitted on whole documents, taken by hash of their text with probability ``share``."""
     sample = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, share)))
 
     def run(batches):
         texts = sorted(t.as_py() or "" for b in batches for t in b.column("text"))
-        net = GatedNet()
+        net = GatedNet(classes=size, size=size)
         # Sorted texts of one kind would come together: deal them out again, in a fixed order.
         order = np.random.default_rng(11).permutation(len(texts))
         got = [np.array([ids.get(t, 1) for t in tokens_of(texts[i])], np.int64) for i in order]
@@ -243,17 +320,65 @@ def fit_net(docs: DataFrame, ids: dict[bytes, int], share: float) -> dict:
             net.fit(got)
         yield pa.RecordBatch.from_arrays([pa.array(list(net.w)), pa.array([v.tobytes() for v in net.w.values()], pa.binary())], ["name", "value"])
 
-    shapes = {k: v.shape for k, v in GatedNet().w.items()}
+    shapes = {k: v.shape for k, v in GatedNet(classes=size, size=size).w.items()}
     return {r["name"]: np.frombuffer(r["value"], np.float32).reshape(shapes[r["name"]]).copy() for r in sample.repartition(1).mapInArrow(run, "name string, value binary").collect()}
 
 
+def learn_all(docs: DataFrame, ids: dict[bytes, int], weights: dict, tokens: int) -> tuple[dict, int]:
+    """Weights after learning from every document once, and the tokens learned from. docs: text, and doc_id if there is one."""
+    spark = docs.sparkSession
+    size, learned = weights["bw"].shape[0], 0
+    shards = math.ceil(tokens / ROUNDS / max(SHARD, SHARD_ROOT * math.sqrt(tokens)))
+    # With the id, so that copies of one text are dealt out.
+    keyed = docs.select("text", F.xxhash64(*(c for c in ("doc_id", "text") if c in docs.columns), F.lit(9)).alias("h"))
+    for k in range(ROUNDS if tokens else 0):
+        shared, rate = spark.sparkContext.broadcast((ids, weights)), RATE * 0.4 / (1 + k)
+
+        def run(batches, shared=shared, rate=rate):
+            known, start = shared.value
+            net = GatedNet(classes=size, size=size, weights={name: w.copy() for name, w in start.items()})
+
+            def pieces():
+                docs, held = [], 0
+                for b in batches:
+                    for t in b.column("text"):
+                        docs.append(np.array([known.get(w, 1) for w in tokens_of(t.as_py())], np.int64))
+                        held += len(docs[-1]) + 1
+                        if held >= PIECE:
+                            yield docs
+                            docs, held = [], 0
+                if docs:
+                    yield docs
+
+            n = net.learn(pieces(), rate=rate)
+            for name, w in net.w.items() if n else ():
+                flat = w.ravel()
+                for at in range(0, len(flat), _BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([n], pa.int64()), pa.array([flat[at : at + _BLOCK].tobytes()], pa.binary())], ["name", "at", "n", "value"])
+
+        def mean(group):
+            n = group.column("n").to_numpy()
+            values = np.stack([np.frombuffer(v.as_py(), np.float32) for v in group.column("value")])
+            value = np.average(values[np.lexsort((values[:, 0], n))], axis=0, weights=np.sort(n)).astype(np.float32)
+            return pa.table({"name": group.column("name")[:1], "at": group.column("at")[:1], "n": pa.array([int(n.sum())], pa.int64()), "value": pa.array([value.tobytes()], pa.binary())})
+
+        of_round = keyed.where(F.pmod("h", F.lit(ROUNDS)) == k).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
+        fitted = of_round.repartitionById(shards, "shard").sortWithinPartitions("h", "text").select("text").mapInArrow(run, "name string, at long, n long, value binary")
+        blocks = fitted.groupBy("name", "at").applyInArrow(mean, "name string, at long, n long, value binary").collect()
+        if blocks:
+            learned += blocks[0]["n"]
+            weights = {name: np.frombuffer(b"".join(bytes(r["value"]) for r in sorted(blocks, key=lambda r: r["at"]) if r["name"] == name), np.float32).reshape(w.shape).copy() for name, w in weights.items()}
+    return weights, learned
+
+
 def score_texts(docs: DataFrame, train: DataFrame, head: int = HEAD, sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
     """docs: doc_id, text. train: text. Returns doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     counts = cut(count_tokens(train))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    size = side(n)
     top = _head(counts, head)
-    ids = _ids(top, CLASSES * SIZE)
-    weights = fit_net(train, ids, sample_tokens / max(n, 1))
+    ids = _ids(top, size * size)
+    weights, _ = learn_all(train, ids, fit_net(train, ids, sample_tokens / max(n, 1), size), n)
     # Of the words that share an output: their tokens and number, one more for words never seen.
     own = [(t, c) for t, c in top if t in ids]
     rest_n, rest_v = n - sum(c for _, c in own), v - len(own)
@@ -264,7 +389,7 @@ def score_texts(docs: DataFrame, train: DataFrame, head: int = HEAD, sample_toke
 
     def run(batches):
         known, ids, weights = shared.value
-        net = GatedNet(weights=weights)
+        net = GatedNet(classes=size, size=size, weights=weights)
         logs = {t: (float(np.log10(c + SMOOTH)), ids.get(t, 1)) for t, c in known.items()}
         # In slices: what a task holds beside the batch does not follow the batch's size.
         for batch in (b.slice(i, _SLICE) for b in batches for i in range(0, b.num_rows, _SLICE)):
