@@ -106,3 +106,12 @@ def test_learns_from_all_training_documents(spark, docs_of, monkeypatch):
 
 def test_output_words_grow_with_the_corpus():
     assert g.side(0) ** 2 >= 2304 and 2304 < g.side(10**8) ** 2 < g.side(10**10) ** 2
+
+
+def test_start_is_bounded_and_never_untrained(docs_of):
+    copies = docs_of(["a b c d e f g h i"] * 400)
+    assert g._keyed(copies).select("h").distinct().count() == 400
+    assert [len(d) for d in g._first(["a b c d e f g h i"] * 400, {}, 55)] == [9, 9, 9, 9, 9, 4]
+    start = g.GatedNet().w
+    assert not np.array_equal(g.fit_net(copies, {}, 0.0)["bc"], start["bc"])
+    assert np.array_equal(g.fit_net(copies.limit(0), {}, 1.0)["bc"], start["bc"])

@@ -9,7 +9,7 @@ truncated backpropagation in numpy.
 Scale: token counts are summed over all training documents, combined in the tasks before they are shuffled. The ``head``
 most frequent words' counts travel to the tasks (at most that many rows); the rest is joined, and no word of the rest is
 frequent enough to make a hot key. The network starts from a fit on whole training documents of about ``sample_tokens``
-tokens by one task. It then learns from all training documents, in ``ROUNDS`` rounds: each document is in one round and in
+tokens, at most twice as many, by one task. It then learns from all training documents, in ``ROUNDS`` rounds: each document is in one round and in
 one of its shards by hash, a task learns from one shard in pieces of ``PIECE`` tokens, and the shards' weights are averaged by
 tokens, in blocks. Shards grow with the square root of the tokens, as does their number, and the words that the network
 tells apart grow with the power 0.4 of them. Scoring is one pass; documents of a batch run side by side, and a long one
@@ -306,22 +306,39 @@ def side(tokens: int) -> int:
     return max(CLASSES, SIZE, math.ceil(math.sqrt(4 * tokens**0.4)))
 
 
-def fit_net(docs: DataFrame, ids: dict[bytes, int], share: float, size: int = SIZE) -> dict:
-    """Weights fitted on whole documents, taken by hash of their text with probability ``share``."""
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, share)))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """text, h: a hash with the id, if there is one, so that copies of one text are dealt out."""
+    return docs.select("text", F.xxhash64(*(c for c in ("doc_id", "text") if c in docs.columns), F.lit(9)).alias("h"))
+
+
+def _first(texts, ids: dict[bytes, int], most: int) -> list[np.ndarray]:
+    """Word ids of the first texts, of ``most`` tokens at most, end marks included."""
+    got, held = [], 0
+    for t in texts:
+        got.append(np.array([ids.get(w, 1) for w in tokens_of(t)[: most - held - 1]], np.int64))
+        held += len(got[-1]) + 1
+        if held >= most:
+            break
+    return got
+
+
+def fit_net(docs: DataFrame, ids: dict[bytes, int], share: float, size: int = SIZE, most: int = 2 * SAMPLE_TOKENS) -> dict:
+    """Weights fitted on documents taken by hash with probability ``share``, one at least, and at most ``most`` tokens of
+    them: what ``learn_all`` starts from."""
+    keyed = _keyed(docs)
 
     def run(batches):
-        texts = sorted(t.as_py() or "" for b in batches for t in b.column("text"))
-        net = GatedNet(classes=size, size=size)
-        # Sorted texts of one kind would come together: deal them out again, in a fixed order.
-        order = np.random.default_rng(11).permutation(len(texts))
-        got = [np.array([ids.get(t, 1) for t in tokens_of(texts[i])], np.int64) for i in order]
+        net, got = GatedNet(classes=size, size=size), _first((t.as_py() for b in batches for t in b.column("text")), ids, most)
         if got:
             net.fit(got)
-        yield pa.RecordBatch.from_arrays([pa.array(list(net.w)), pa.array([v.tobytes() for v in net.w.values()], pa.binary())], ["name", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(net.w)), pa.array([v.tobytes() for v in net.w.values()], pa.binary())], ["name", "value"])
+
+    def fitted(sample):
+        return sample.repartition(1).sortWithinPartitions("h", "text").select("text").mapInArrow(run, "name string, value binary").collect()
 
-    shapes = {k: v.shape for k, v in GatedNet(classes=size, size=size).w.items()}
-    return {r["name"]: np.frombuffer(r["value"], np.float32).reshape(shapes[r["name"]]).copy() for r in sample.repartition(1).mapInArrow(run, "name string, value binary").collect()}
+    start = GatedNet(classes=size, size=size).w
+    rows = fitted(keyed.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, share)))) or fitted(keyed.orderBy("h", "text").limit(1))
+    return start | {r["name"]: np.frombuffer(r["value"], np.float32).reshape(start[r["name"]].shape).copy() for r in rows}
 
 
 def learn_all(docs: DataFrame, ids: dict[bytes, int], weights: dict, tokens: int) -> tuple[dict, int]:
@@ -329,8 +346,7 @@ def learn_all(docs: DataFrame, ids: dict[bytes, int], weights: dict, tokens: int
     spark = docs.sparkSession
     size, learned = weights["bw"].shape[0], 0
     shards = math.ceil(tokens / ROUNDS / max(SHARD, SHARD_ROOT * math.sqrt(tokens)))
-    # With the id, so that copies of one text are dealt out.
-    keyed = docs.select("text", F.xxhash64(*(c for c in ("doc_id", "text") if c in docs.columns), F.lit(9)).alias("h"))
+    keyed = _keyed(docs)
     for k in range(ROUNDS if tokens else 0):
         shared, rate = spark.sparkContext.broadcast((ids, weights)), RATE * 0.4 / (1 + k)
 
@@ -378,7 +394,7 @@ def score_texts(docs: DataFrame, train: DataFrame, head: int = HEAD, sample_toke
     size = side(n)
     top = _head(counts, head)
     ids = _ids(top, size * size)
-    weights, _ = learn_all(train, ids, fit_net(train, ids, sample_tokens / max(n, 1), size), n)
+    weights, _ = learn_all(train, ids, fit_net(train, ids, sample_tokens / max(n, 1), size, max(2, 2 * sample_tokens)), n)
     # Of the words that share an output: their tokens and number, one more for words never seen.
     own = [(t, c) for t, c in top if t in ids]
     rest_n, rest_v = n - sum(c for _, c in own), v - len(own)
