@@ -205,3 +205,10 @@ def test_annotation_and_trained_classifier(spark):
     rows = spark.createDataFrame([("good words here", "x"), ("bad signs there", "y")] * 10, "text string, label string")
     out = annotate.TrainedClassifier(iterations=5).fit(rows).transform(rows)
     assert out.where("label <> predicted").count() == 0
+
+
+def test_task_pools_hold_every_article(spark, data):
+    from threadloom.plans import registry, views
+
+    dealt = {r["url"] for r in registry.QUERIES["task_pools"](spark, data).collect()}
+    assert dealt == {r["url"] for r in views.articles(spark, data).where("coalesce(title, '') <> '' and coalesce(text, '') <> ''").select("url").collect()}

@@ -122,7 +122,7 @@ def pair_candidates(spark, d):
 @query()
 def task_pools(spark, d):
     rows = articles(spark, d).select("url", "title", "text")
-    return markup.pools(rows.where("length(url) % 2 = 0"), rows.orderBy("url").limit(3), 20).select("pool", "url")
+    return markup.pools(rows, rows.orderBy("url").limit(3), 20).select("pool", "url")
 
 
 @query(f"""WITH {_RANKED} SELECT category, rank, a.thread_id, file_name, url FROM ranked_threads JOIN articles a USING (thread_id) WHERE rank <= 200 AND a.lang IN ('en', 'de') AND a.category <> 'not_news'""".replace("SELECT category, rank", "SELECT ranked_threads.category AS category, rank"))
