@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import markup, metrics
 from .query_threads import _RANKED, ranked
 from .registered import Registered
-from .views import ARTICLES, articles, table
+from .views import ARTICLES, articles, headed, table
 
 REGISTERED = query = Registered()
 
@@ -121,7 +121,7 @@ def pair_candidates(spark, d):
 
 @query()
 def task_pools(spark, d):
-    rows = articles(spark, d).select("url", "title", "text")
+    rows = headed(spark, d).select("url", "title", "text")
     return markup.pools(rows, rows.orderBy("url").limit(3), 20).select("pool", "url")
 
 

@@ -9,7 +9,7 @@ from ..operators import filters, markup, ratings
 from ..schema import CATEGORIES
 from ..sources import sinks
 from .registered import Registered, sig
-from .views import ARTICLES, MEMBERS, PAGERANK, TRAFFIC, articles, pagerank_table, table, traffic_table
+from .views import ARTICLES, MEMBERS, PAGERANK, TRAFFIC, articles, headed, pagerank_table, table, traffic_table
 
 REGISTERED = query = Registered()
 joined = lambda c: F.array_join(c, ",")
@@ -89,7 +89,7 @@ def unknown_symbols(spark, d):
 
 @query()
 def unknown_symbols_bytes(spark, d):
-    return articles(spark, d).select("file_name", S.unknown_symbols_bytes("title").alias("bad"))
+    return headed(spark, d).select("file_name", S.unknown_symbols_bytes("title").alias("bad"))
 
 
 @query(f"""WITH {ARTICLES} SELECT file_name, CASE WHEN p < 0.4 THEN NULL WHEN 2 * length(regexp_replace(title, '[\\x00-\\x7FА-я]', '', 'g')) > length(title) THEN 'other' WHEN l = 'ru' AND p < 0.6 THEN 'other' ELSE l END AS lang

@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..operators import embed, ratings, text
 from ..sources import readers
 from .registered import Registered
-from .views import articles, table
+from .views import articles, headed, table
 
 REGISTERED = query = Registered()
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')"
@@ -95,5 +95,5 @@ def html_paragraphs(spark, d):
 
 @query()
 def hashed_vectors(spark, d):
-    docs = articles(spark, d).select("file_name", "title", "text")
-    return embed.HashedEmbedder("title", "avg", 16, 50).transform(docs).select("file_name", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double"), 4).cast("string")), ",").alias("vector"))
+    docs = headed(spark, d).select("file_name", "title", "text")
+    return embed.HashedEmbedder("title", "avg").transform(docs).select("file_name", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double"), 4).cast("string")), ",").alias("vector"))

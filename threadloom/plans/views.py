@@ -30,6 +30,14 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its whole first line as title, for queries that need no vector, time or category."""
+    i = F.col("doc_id").cast("string")
+    return table(spark, sf_dir, "documents").select(
+        F.concat(i, F.lit(".html")).alias("file_name"), F.concat(F.lit("https://www."), "source", F.lit(".example.com/"), i).alias("url"), F.substring_index("text", "\n", 1).alias("title"), "text",
+    )
+
+
 _NAMES = ", ".join(f"'{c}'" for c in CATEGORIES)
 ARTICLES = f"""articles AS (
   SELECT d.doc_id, d.doc_id || '.html' AS file_name, 'https://www.' || d.source || '.example.com/' || d.doc_id AS url, d.source AS site_name,
