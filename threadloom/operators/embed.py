@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import plain_tokens, preprocess
 from .filters import embedding_field
+from .text import exploded
 
 
 class Embedder(Protocol):
@@ -75,19 +76,35 @@ class HashedEmbedder:
 
 
 class TfIdfEmbedder:
-    """Dense tf-idf over a vocabulary of (token, idx, idf), optionally times a matrix of components."""
+    """Tf-idf over a vocabulary of (token, idx, idf): dense, or times a matrix of components (vocabulary by dimensions, such
+    as the right singular vectors of a truncated SVD; see ``sources.readers.read_matrix``)."""
 
-    def __init__(self, vocabulary: DataFrame, field: str = "all", max_words: int = 10**6):
-        self.vocabulary, self.field, self.max_words = vocabulary, field, max_words
+    def __init__(self, vocabulary: DataFrame, field: str = "all", max_words: int = 10**6, matrix: np.ndarray | None = None):
+        self.vocabulary, self.field, self.max_words, self.matrix = vocabulary, field, max_words, matrix
 
-    def transform(self, docs: DataFrame, key: str = "file_name") -> DataFrame:
+    def weights(self, docs: DataFrame, key: str = "file_name") -> DataFrame:
+        """key, entries: array of (idx, x) in order of idx; documents without known tokens are missing."""
         words = plain_tokens(preprocess(embedding_field(self.field)), self.max_words)
+        rows = exploded(docs, words, key).groupBy(key, "_n", "token").agg(F.count("*").alias("_c")).join(self.vocabulary, "token")
+        parts = rows.groupBy(key, "idx").agg(F.sum(F.col("_c") / F.col("_n") * F.col("idf")).alias("x"))
+        return parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("entries"))
+
+    def transform(self, docs: DataFrame, key: str = "file_name") -> DataFrame:
+        joined = docs.join(self.weights(docs, key), key, "left")
+        if self.matrix is not None:
+            matrix = np.asarray(self.matrix, np.float32)
+
+            @F.pandas_udf("array<float>")
+            def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+                one = lambda e: np.array([x["x"] for x in e], np.float32) @ matrix[[x["idx"] for x in e]] if e is not None and len(e) else np.zeros(matrix.shape[1], np.float32)
+                for entries in batches:
+                    yield entries.map(one, na_action=None)
+
+            return joined.withColumn("vector", project("entries")).drop("entries")
         size = self.vocabulary.agg(F.max("idx")).first()[0] or 0
-        rows = docs.select(key, F.size(words).alias("_n"), F.explode(words).alias("token")).join(self.vocabulary, "token")
-        parts = rows.groupBy(key, "idx").agg((F.count("*") / F.first("_n") * F.first("idf")).alias("x"))
-        vectors = parts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "x"))).alias("_m"))
+        found = F.map_from_entries("entries")
         dense = F.transform(F.sequence(F.lit(0), F.lit(size)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)).cast("float"))
-        return docs.join(vectors, key, "left").withColumn("vector", dense).drop("_m")
+        return joined.withColumn("_m", found).withColumn("vector", dense).drop("_m", "entries")
 
 
 class Word2VecEmbedder:

@@ -53,9 +53,10 @@ def retain_texts(docs: DataFrame, keep: bool) -> DataFrame:
 
 
 def sample_by_class(docs: DataFrame, key: str, label: str, shares: dict[str, float]) -> DataFrame:
-    """Kept with a probability by class; a hash of the key decides, so reruns agree."""
+    """Kept with a probability by class; a digest of the key decides, so reruns and other engines agree."""
     share = F.coalesce(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col(label)], F.lit(1.0)) if shares else F.lit(1.0)
-    return docs.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share * 1_000_000)
+    h = F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 8), 16, 10).cast("long")
+    return docs.where(h % 1_000_000 < share * 1_000_000)
 
 
 def split(docs: DataFrame, key: str, share: float = 0.9, seed: int = 1) -> tuple[DataFrame, DataFrame]:

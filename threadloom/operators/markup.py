@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import running_sum
+
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("first_url", "second_url").alias("_a"), F.greatest("first_url", "second_url").alias("_b")).distinct()
@@ -27,13 +29,21 @@ def pair_candidates(members: DataFrame, known: DataFrame) -> DataFrame:
     return new_pairs(inside.unionByName(across.select("lang", "first_url", "second_url", F.lit("BAD").alias("expected"))), known)
 
 
+#: A pool holds all controls, so they are few; more are refused.
+MOST_CONTROLS = 1000
+
+
 def pools(rows: DataFrame, controls: DataFrame, size: int, seed: int = 1) -> DataFrame:
     """Rows with text and title dealt into pools of ``size``, every pool with all controls: pool, then the row's columns.
-    The order is that of a seeded hash of the url."""
-    real = rows.where("coalesce(title, '') <> '' and coalesce(text, '') <> ''")
-    at = F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), "url"), "url")) - 1
-    real = real.withColumn("pool", F.floor(at / size).cast("int"))
-    return real.unionByName(controls.withColumn("pool", F.lit(None).cast("int")).drop("pool").join(F.broadcast(real.select("pool").distinct()), F.lit(True)))
+    The order is that of a seeded digest of the url, then the url. Positions come from sums over ranges of that order."""
+    real = rows.where("coalesce(title, '') <> '' and coalesce(text, '') <> ''").withColumn("__digest", F.md5(F.concat(F.lit(f"{seed}:"), "url").cast("binary")))
+    real = running_sum(real, ["__digest", "url"], F.lit(1), "__at").withColumn("pool", F.floor(F.col("__at") / size).cast("int")).drop("__digest", "__at")
+    if controls.limit(MOST_CONTROLS + 1).count() > MOST_CONTROLS:
+        raise ValueError(f"more than {MOST_CONTROLS} controls")
+    # One row with the bounded list of controls beside every pool.
+    listed = controls.agg(F.collect_list(F.struct(*controls.columns)).alias("__c"))
+    own = real.select("pool").distinct().join(F.broadcast(listed), F.lit(True)).select("pool", F.explode("__c").alias("__c")).select("pool", "__c.*")
+    return real.unionByName(own)
 
 
 def previous_of_host(rows: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import running_sum
+
 
 def class_report(rows: DataFrame) -> DataFrame:
     """rows: gold, predicted. Precision, recall, F1 and support per label, then macro avg, weighted avg and accuracy."""
@@ -26,10 +27,9 @@ def errors(rows: DataFrame) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
-    """rows: score, label 0 or 1. By the rank sum; ties share. Scores are counted first, so the ranking window runs over
-    distinct scores."""
+    """rows: score, label 0 or 1. By the rank sum; ties share. Scores are counted first and summed by ranges."""
     counts = rows.groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    below = counts.withColumn("_below", F.coalesce(F.sum("neg").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    below = running_sum(counts, ["score"], F.col("neg"), "_below")
     return below.agg((F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 

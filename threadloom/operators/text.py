@@ -20,10 +20,16 @@ def idf_table(docs: DataFrame, words: Column, skip: int = 1000, keep: int = 1000
     return ranked.join(F.broadcast(n), F.lit(True)).select("token", "df", F.log((F.col("_n") + 1) / (F.col("df") + 1)).alias("idf"))
 
 
+def exploded(docs: DataFrame, words: Column, *keep: str) -> DataFrame:
+    """The kept columns, ``_n`` (tokens of the row) and ``token``, a row per token. The array is made once and counted below
+    the explode, so that neither it nor the text it comes from is carried along with every token."""
+    made = docs.select(*keep, words.alias("_words")).withColumn("_n", F.size("_words"))
+    return made.select(*keep, "_n", F.explode("_words").alias("token"))
+
+
 def tfidf(docs: DataFrame, words: Column, idf: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, token, tf, tfidf for the tokens of the table; tf is over all of a document's tokens."""
-    rows = docs.select(F.col(key), F.size(words).alias("_n"), F.explode(words).alias("token"))
-    counts = rows.groupBy(key, "_n", "token").agg(F.count("*").alias("_c"))
+    counts = exploded(docs, words, key).groupBy(key, "_n", "token").agg(F.count("*").alias("_c"))
     return counts.join(idf.select("token", "idf"), "token").select(key, "token", (F.col("_c") / F.col("_n")).alias("tf"), (F.col("_c") / F.col("_n") * F.col("idf")).alias("tfidf"))
 
 

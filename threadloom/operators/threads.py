@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import ITER_PERCENTILE
 from ..functions.scalars import category_ordinal, dot, headline_weight, unit_vector
+from .order import running_sum
 
 
 def freshest(members: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def nth_timestamp(docs: DataFrame, p: float = ITER_PERCENTILE, over: str = "n")
     without documents. Times are counted before they are ranked, so equal ones are one row."""
     counts = docs.groupBy("fetch_time").agg(F.count("*").alias("_c"))
     total = docs.agg(F.count("*").alias("n"))
-    upto = counts.withColumn("_to", F.sum("_c").over(W.orderBy("fetch_time")))
+    upto = running_sum(counts, ["fetch_time"], F.col("_c"), "_before").withColumn("_to", F.col("_before") + F.col("_c"))
     at = F.least(F.floor(F.lit(p) * F.expr(over)), F.col("n") - 1)
     return upto.join(F.broadcast(total), F.lit(True)).where(F.col("_to") > at).agg(F.min("fetch_time").alias("iter_ts")).where("iter_ts is not null")
 

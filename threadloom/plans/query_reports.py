@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import markup, metrics
 from .query_threads import _RANKED, ranked
+from .query_rows import members
 from .registered import Registered
 from .views import ARTICLES, articles, headed, table
 
@@ -92,12 +94,12 @@ def honeypot_filter(spark, d):
 
 def _pairs(spark, d):
     u = lambda c: F.concat(F.lit("u"), F.col(c).cast("string"))
-    pairs = table(spark, d, "lineitem").where("l_linenumber = 1").select(u("l_orderkey").alias("first_url"), u("l_partkey").alias("second_url"), F.when(F.col("l_orderkey") % 2 == 0, "OK").otherwise("BAD").alias("quality"))
-    labels = table(spark, d, "part").where("p_partkey % 5 <> 0").select(u("p_partkey").alias("url"), (F.col("p_partkey") % 3).alias("thread_id"))
+    pairs = table(spark, d, "lineitem").select(u("l_orderkey").alias("first_url"), u("l_partkey").alias("second_url"), F.when(F.col("l_returnflag") == "N", "OK").otherwise("BAD").alias("quality"))
+    labels = table(spark, d, "part").select(u("p_partkey").alias("url"), F.col("p_size").alias("thread_id"))
     return pairs, labels
 
 
-_PAIRS = "p AS (SELECT l_orderkey AS a, l_partkey AS b, CASE WHEN l_orderkey % 2 = 0 THEN 'OK' ELSE 'BAD' END AS quality FROM lineitem WHERE l_linenumber = 1), t AS (SELECT p_partkey AS k, p_partkey % 3 AS thread_id FROM part WHERE p_partkey % 5 <> 0)"
+_PAIRS = "p AS (SELECT l_orderkey AS a, l_partkey AS b, CASE WHEN l_returnflag = 'N' THEN 'OK' ELSE 'BAD' END AS quality FROM lineitem), t AS (SELECT p_partkey AS k, p_size AS thread_id FROM part)"
 
 
 @query(f"WITH {_PAIRS} SELECT 'u' || a AS first_url, 'u' || b AS second_url, quality AS gold, CASE WHEN x.thread_id = y.thread_id THEN 'OK' ELSE 'BAD' END AS predicted FROM p JOIN t x ON x.k = a JOIN t y ON y.k = b")
@@ -110,16 +112,22 @@ def pairs_not_found(spark, d):
     return metrics.missing_pairs(*_pairs(spark, d)).agg(F.count("*").alias("missing"))
 
 
-@query()
+@query(f"""WITH {ARTICLES}, p AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY fetch_time, file_name) AS pos FROM articles),
+f AS (SELECT *, first_value(url) OVER (PARTITION BY lang, thread_id ORDER BY pos) AS head FROM p), heads AS (SELECT DISTINCT lang, thread_id, head FROM f),
+k AS (SELECT DISTINCT least(url, head) AS a, greatest(url, head) AS b FROM f WHERE category = 'sports'),
+c AS (SELECT lang, head AS first_url, url AS second_url, 'OK' AS expected FROM f WHERE url <> head UNION ALL SELECT lang, lag(head) OVER (PARTITION BY lang ORDER BY thread_id), head, 'BAD' FROM heads)
+SELECT * FROM c WHERE first_url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.a = least(first_url, second_url) AND k.b = greatest(first_url, second_url))""")
 def pair_candidates(spark, d):
-    from pyspark.sql import Window as W
-
+    """Pairs of the sports articles with their thread's first one are known already."""
     rows = articles(spark, d).withColumn("pos", F.row_number().over(W.partitionBy("thread_id").orderBy("fetch_time", "file_name")))
-    known = rows.where("doc_id % 4 = 0").select(F.col("url").alias("first_url"), F.col("url").alias("second_url"))
+    head = F.first("url").over(W.partitionBy("lang", "thread_id").orderBy("pos"))
+    known = rows.withColumn("first_url", head).where("category = 'sports'").select(F.col("url").alias("second_url"), "first_url")
     return markup.pair_candidates(rows, known)
 
 
-@query()
+@query("""WITH r AS (SELECT 'https://www.' || source || '.example.com/' || doc_id AS url, split_part(text, chr(10), 1) AS title, text FROM documents), c AS (SELECT url FROM r ORDER BY url LIMIT 3),
+p AS (SELECT (row_number() OVER (ORDER BY md5('1:' || url), url) - 1) // 20 AS pool, url FROM r WHERE coalesce(title, '') <> '' AND coalesce(text, '') <> '')
+SELECT pool::INT AS pool, url FROM p UNION ALL SELECT pool::INT, c.url FROM (SELECT DISTINCT pool FROM p), c""")
 def task_pools(spark, d):
     rows = headed(spark, d).select("url", "title", "text")
     return markup.pools(rows, rows.orderBy("url").limit(3), 20).select("pool", "url")
@@ -128,4 +136,4 @@ def task_pools(spark, d):
 @query(f"""WITH {_RANKED} SELECT category, rank, a.thread_id, file_name, url FROM ranked_threads JOIN articles a USING (thread_id) WHERE rank <= 200 AND a.lang IN ('en', 'de') AND a.category <> 'not_news'""".replace("SELECT category, rank", "SELECT ranked_threads.category AS category, rank"))
 def viewer_dataset(spark, d):
     docs = articles(spark, d).where("lang in ('en', 'de') and category <> 'not_news'").select("thread_id", "file_name", "url")
-    return ranked(spark, d, 200).join(docs, "thread_id").select("category", F.col("rank").cast("long").alias("rank"), "thread_id", "file_name", "url")
+    return ranked(members(spark, d), 200).join(docs, "thread_id").select("category", F.col("rank").cast("long").alias("rank"), "thread_id", "file_name", "url")

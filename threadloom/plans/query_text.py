@@ -56,16 +56,12 @@ def host_links(spark, d):
     return ratings.host_links(_linked(spark, d)).select("src", "dst", "n")
 
 
-_EDGES4 = "g AS (SELECT * FROM e WHERE src NOT LIKE 'h%7.example.com')"
-
-
-@query(f"""WITH RECURSIVE {_EDGES}, {_EDGES4}, v AS (SELECT DISTINCT src AS host FROM g), k AS (SELECT g.src, g.dst, g.n / sum(g.n) OVER (PARTITION BY g.src) AS p FROM g JOIN v ON v.host = g.dst),
+@query(f"""WITH RECURSIVE {_EDGES}, g AS (SELECT * FROM e), v AS (SELECT DISTINCT src AS host FROM g), k AS (SELECT g.src, g.dst, g.n / sum(g.n) OVER (PARTITION BY g.src) AS p FROM g JOIN v ON v.host = g.dst),
 c AS (SELECT count(*) AS n FROM v), m AS (SELECT a.host AS src, b.host AS dst, 0.7 * CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.src = a.host) THEN coalesce((SELECT p FROM k WHERE k.src = a.host AND k.dst = b.host), 0) ELSE 1.0 / (SELECT n FROM c) END + 0.3 / (SELECT n FROM c) AS p FROM v a, v b),
 r(step, host, x) AS (SELECT 0, host, 1.0::DOUBLE / (SELECT n FROM c) FROM v UNION ALL SELECT r.step + 1, m.dst, sum(r.x * m.p)::DOUBLE FROM r JOIN m ON m.src = r.host WHERE r.step < 20 GROUP BY 1, 2)
 SELECT host, round(x, 8) AS rating FROM r WHERE step = 20""")
 def host_pagerank(spark, d):
-    edges = ratings.host_links(_linked(spark, d)).where("src not like 'h%7.example.com'")
-    return ratings.pagerank(edges).select("host", F.round("rating", 8).alias("rating"))
+    return ratings.pagerank(ratings.host_links(_linked(spark, d))).select("host", F.round("rating", 8).alias("rating"))
 
 
 @query(r"SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages")

@@ -16,7 +16,7 @@ from ..schema import COUNTRIES
 from ..sources import sinks
 from .query_rows import members
 from .registered import Registered, sig
-from .views import ARTICLES, MEMBERS, PAGERANK, articles, pagerank_table, table
+from .views import ARTICLES, MEMBERS, PAGERANK, VECTORED, articles, pagerank_table
 
 REGISTERED = query = Registered()
 joined = lambda c: F.array_join(c, ",")
@@ -26,37 +26,43 @@ _PAIR = f"SELECT a.doc_id AS a, b.doc_id AS b, {_DIST} AS dist, a.fetch_time AS
 THETA = 0.33
 
 
-@query(f"WITH {ARTICLES}, p AS ({_PAIR}) SELECT a, b, round(dist, 6) AS dist FROM p WHERE dist <= {THETA}")
+@query(f"WITH {VECTORED}, p AS ({_PAIR}) SELECT a, b, round(dist, 6) AS dist FROM p WHERE dist <= {THETA}")
 def cosine_pairs(spark, d):
-    return pairs.cosine_pairs(articles(spark, d), THETA, "doc_id", ("lang",)).select("a", "b", F.round("dist", 6).alias("dist"))
+    return pairs.cosine_pairs(articles(spark, d, True), THETA, "doc_id", ("lang",)).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
-@query(f"WITH {ARTICLES} SELECT a.doc_id AS a, b.doc_id AS b, round(0.5 * {_DIST} + 0.5 * {_DIST.replace('vector', 'vector[1:32]')}, 6) AS dist FROM articles a JOIN articles b ON a.thread_id = b.thread_id AND a.doc_id < b.doc_id")
+_NEAR = _PAIR.replace(" AS dist,", f" AS dist, round(0.5 * {_DIST} + 0.5 * {_DIST.replace('vector', 'vector[1:32]')}, 6) AS weighted,")
+
+
+def _near(spark, d):
+    """Pairs under the threshold with both vectors and times: distances of other pairs are of no use to a thread."""
+    rows = articles(spark, d, True)
+    side = lambda x: rows.select(F.col("doc_id").alias(x), F.col("vector").alias(f"v{x}"), F.col("fetch_time").alias(f"t{x}"))
+    return pairs.cosine_pairs(rows, THETA, "doc_id", ("lang",)).join(side("a"), "a").join(side("b"), "b")
+
+
+@query(f"WITH {VECTORED}, p AS ({_NEAR}) SELECT a, b, weighted AS dist FROM p WHERE dist <= {THETA}")
 def weighted_distance(spark, d):
-    a = articles(spark, d).select("thread_id", F.col("doc_id").alias("a"), F.col("vector").alias("va"))
-    b = a.select("thread_id", F.col("a").alias("b"), F.col("va").alias("vb"))
     half = S.pair_distance(F.slice("va", 1, 32), F.slice("vb", 1, 32))
-    return a.join(b, "thread_id").where("a < b").select("a", "b", F.round(0.5 * S.pair_distance(F.col("va"), F.col("vb")) + 0.5 * half, 6).alias("dist"))
+    return _near(spark, d).select("a", "b", F.round(0.5 * S.pair_distance(F.col("va"), F.col("vb")) + 0.5 * half, 6).alias("dist"))
 
 
-@query(f"WITH {ARTICLES}, p AS ({_PAIR.replace('a.lang = b.lang', 'a.thread_id = b.thread_id')}) SELECT a, b, round(least(dist * CASE WHEN abs(ta - tb) / 3600.0 >= 24 THEN abs(ta - tb) / 3600.0 / 24.0 ELSE 1 END, 1.0), 6) AS dist FROM p")
+@query(f"WITH {VECTORED}, p AS ({_PAIR}) SELECT a, b, round(least(dist * CASE WHEN abs(ta - tb) / 3600.0 >= 24 THEN abs(ta - tb) / 3600.0 / 24.0 ELSE 1 END, 1.0), 6) AS dist FROM p WHERE dist <= {THETA}")
 def time_penalty_distance(spark, d):
-    a = articles(spark, d).select("thread_id", F.col("doc_id").alias("a"), F.col("vector").alias("va"), F.col("fetch_time").alias("ta"))
-    b = a.select("thread_id", F.col("a").alias("b"), F.col("va").alias("vb"), F.col("ta").alias("tb"))
-    return a.join(b, "thread_id").where("a < b").select("a", "b", F.round(S.time_penalty(S.pair_distance(F.col("va"), F.col("vb")), F.col("ta"), F.col("tb")), 6).alias("dist"))
+    return _near(spark, d).select("a", "b", F.round(S.time_penalty(S.pair_distance(F.col("va"), F.col("vb")), F.col("ta"), F.col("tb")), 6).alias("dist"))
 
 
-@query(f"""WITH RECURSIVE {ARTICLES}, p AS ({_PAIR}), e AS (SELECT a, b FROM p WHERE dist <= {THETA} UNION SELECT b, a FROM p WHERE dist <= {THETA}),
+@query(f"""WITH RECURSIVE {VECTORED}, p AS ({_PAIR}), e AS (SELECT a, b FROM p WHERE dist <= {THETA} UNION SELECT b, a FROM p WHERE dist <= {THETA}),
 r(n, m) AS (SELECT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n) SELECT n AS doc_id, min(m) AS comp FROM r GROUP BY 1""")
 def threshold_components(spark, d):
-    return connected_components(pairs.cosine_pairs(articles(spark, d), THETA, "doc_id", ("lang",))).select(F.col("key").alias("doc_id"), "comp")
+    return connected_components(pairs.cosine_pairs(articles(spark, d, True), THETA, "doc_id", ("lang",))).select(F.col("key").alias("doc_id"), "comp")
 
 
 _LOOSE = replace(EN_CLUSTERING, small_threshold=0.36, medium_threshold=0.35, large_threshold=0.34, small_size=3, medium_size=5, large_size=8)
 
 
 def _threads(spark, d, cfg):
-    return linkage.threads(articles(spark, d), cfg)
+    return linkage.threads(articles(spark, d, True), cfg)
 
 
 @query()
@@ -69,10 +75,10 @@ def chunk_stitch(spark, d):
     return _threads(spark, d, replace(_LOOSE, chunk_size=60, chunk_overlap=20))
 
 
-_FREE = replace(EN_CLUSTERING, small_threshold=THETA, small_size=10**9, ban_same_sites=False, budget="unbounded", chunk_size=10**9, chunk_overlap=0)
+_FREE = replace(EN_CLUSTERING, small_threshold=THETA, small_size=10**9, ban_same_sites=False, budget="unbounded", chunk_size=10**9, chunk_overlap=0)  # no limit at all: threads are the components
 
 
-@query(f"""WITH RECURSIVE {ARTICLES}, s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY fetch_time DESC, file_name DESC) - 1 AS seq FROM articles),
+@query(f"""WITH RECURSIVE {VECTORED}, s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY fetch_time DESC, file_name DESC) - 1 AS seq FROM articles),
 p AS (SELECT a.lang, a.seq AS a, b.seq AS b FROM s a JOIN s b ON a.lang = b.lang AND a.seq < b.seq WHERE {_DIST} <= {THETA}), e AS (SELECT lang, a, b FROM p UNION SELECT lang, b, a FROM p),
 r(lang, n, m) AS (SELECT lang, a, a FROM e UNION SELECT e.lang, e.b, r.m FROM r JOIN e ON e.lang = r.lang AND e.a = r.n),
 c AS (SELECT lang, n, min(m) AS m FROM r GROUP BY 1, 2) SELECT s.lang, s.file_name, coalesce(c.m, s.seq) AS thread_id FROM s LEFT JOIN c ON c.lang = s.lang AND c.n = s.seq""")
@@ -101,19 +107,19 @@ def thread_freshest(spark, d):
 _RELEVANCE = "SELECT a.file_name, avg(list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[]))) AS relevance FROM articles a JOIN articles b ON a.thread_id = b.thread_id GROUP BY 1"
 
 
-@query(f"WITH {ARTICLES} SELECT file_name, round(relevance, 6) AS relevance FROM ({_RELEVANCE})")
+@query(f"WITH {VECTORED} SELECT file_name, round(relevance, 6) AS relevance FROM ({_RELEVANCE})")
 def doc_relevance(spark, d):
-    return threads.relevance(articles(spark, d)).select("file_name", F.round("relevance", 6).alias("relevance"))
+    return threads.relevance(articles(spark, d, True)).select("file_name", F.round("relevance", 6).alias("relevance"))
 
 
 _NASTY = """((lang = 'en' AND octet_length(encode(title)) < 16) OR right(title, 1) IN ('!', '?', '.', ' ') OR starts_with(title, '"') OR length(title) - length(replace(title, ' ', '')) < 2)"""
 _WEIGHT = f"""(coalesce(rating, 1.5e-5) + relevance) * {sig('(fetch_time - max(fetch_time) OVER (PARTITION BY thread_id)) / 3600.0 + 12.0')} * CASE WHEN {_NASTY} THEN 0.5 ELSE 1.0 END"""
 
 
-@query(f"""WITH {ARTICLES}, {PAGERANK}, rel AS ({_RELEVANCE}), w AS (SELECT thread_id, file_name, title, {_WEIGHT} AS weight FROM articles JOIN rel USING (file_name) LEFT JOIN pr USING (host))
+@query(f"""WITH {VECTORED}, {PAGERANK}, rel AS ({_RELEVANCE}), w AS (SELECT thread_id, file_name, title, {_WEIGHT} AS weight FROM articles JOIN rel USING (file_name) LEFT JOIN pr USING (host))
 SELECT thread_id, file_name, round(weight, 6) AS weight, row_number() OVER (PARTITION BY thread_id ORDER BY round(weight, 6) DESC, title, file_name) AS pos FROM w""")
 def headline(spark, d):
-    rows = ratings.with_pagerank(threads.relevance(articles(spark, d)), pagerank_table(spark)).withColumn("nasty", S.nasty(F.col("title"), F.col("lang")))
+    rows = ratings.with_pagerank(threads.relevance(articles(spark, d, True)), pagerank_table(spark)).withColumn("nasty", S.nasty(F.col("title"), F.col("lang")))
     return threads.headlines(rows).select("thread_id", "file_name", F.round("weight", 6).alias("weight"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -148,8 +154,7 @@ def importance_features(spark, d):
     return f.select("thread_id", *[F.round(F.col("features")[i], 5).alias(f"f{i}") for i in (0, 33, 42)], F.size("features").alias("n"))
 
 
-def _thread_table(spark, d):
-    rows = members(spark, d)
+def _thread_table(rows):
     main = imp.importance(rows).drop("combo")
     return threads.freshest(rows).join(threads.category(rows), "thread_id").join(main, "thread_id").withColumn("lang_ord", F.when(F.col("thread_id").startswith("en"), 0).otherwise(1))
 
@@ -173,29 +178,31 @@ def cluster_percentile(spark, d):
     return threads.nth_timestamp(articles(spark, d), 0.9, "n - 1")
 
 
-def ranked(spark, d, limit=None):
-    return rank(_thread_table(spark, d), threads.nth_timestamp(members(spark, d)), RankerConfig(), limit)
+def ranked(rows, limit=None):
+    return rank(_thread_table(rows), threads.nth_timestamp(rows), RankerConfig(), limit)
 
 
 @query(f"WITH {_RANKED} SELECT category, rank, thread_id, size, best_ts, round(age_penalty, 6) AS age_penalty, round(weight, 6) AS weight FROM ranked_threads")
 def rank_threads(spark, d):
-    return ranked(spark, d).select("category", F.col("rank").cast("long").alias("rank"), "thread_id", "size", "best_ts", F.round("age_penalty", 6).alias("age_penalty"), F.round("weight", 6).alias("weight"))
+    return ranked(members(spark, d)).select("category", F.col("rank").cast("long").alias("rank"), "thread_id", "size", "best_ts", F.round("age_penalty", 6).alias("age_penalty"), F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {_RANKED} SELECT rank, thread_id FROM ranked_threads WHERE category = 'any' AND freshest_ts >= (SELECT max(freshest_ts) - 345600 FROM size) AND rank <= 10")
 def top_k_period(spark, d):
-    top = ranked(spark, d, 10).where("category = 'any'")
-    newest = threads.freshest(members(spark, d)).agg(F.max("freshest_ts").alias("_m"))
+    rows = members(spark, d)
+    top = ranked(rows, 10).where("category = 'any'")
+    newest = threads.freshest(rows).agg(F.max("freshest_ts").alias("_m"))
     return top.join(F.broadcast(newest), F.col("freshest_ts") >= F.col("_m") - 345600).select(F.col("rank").cast("long").alias("rank"), "thread_id")
 
 
-@query(f"""WITH {_RANKED}, {PAGERANK}, rel AS ({_RELEVANCE.replace('articles', 'members')}),
+@query(f"""WITH {_RANKED.replace(ARTICLES, VECTORED)}, {PAGERANK}, rel AS ({_RELEVANCE.replace('articles', 'members')}),
 w AS (SELECT m.*, {_WEIGHT} AS weight FROM members m JOIN rel USING (file_name) LEFT JOIN pr USING (host)),
 o AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY round(weight, 6) DESC, title, file_name) AS pos FROM w),
 h AS (SELECT thread_id, min(CASE WHEN pos = 1 THEN title END) AS title, string_agg(file_name, ',' ORDER BY pos) AS articles FROM o GROUP BY 1)
 SELECT category, rank, thread_id, title, articles, size, round(importance, 6) AS importance, best_ts, round(age_penalty, 6) AS age_penalty, round(weight, 6) AS weight FROM ranked_threads JOIN h USING (thread_id)""")
 def mode_top(spark, d):
-    """The flagship: threads of the article view, headline first, ranked per category."""
-    rows = ratings.with_pagerank(threads.relevance(members(spark, d)), pagerank_table(spark)).withColumn("nasty", S.nasty(F.col("title"), F.col("lang")))
+    """The flagship: threads of the articles that have a vector, headline first, ranked per category."""
+    own = members(spark, d, True)
+    rows = ratings.with_pagerank(threads.relevance(own), pagerank_table(spark)).withColumn("nasty", S.nasty(F.col("title"), F.col("lang")))
     shown = sinks.threads(threads.headlines(rows).select("thread_id", "pos", "title", "file_name"))
-    return ranked(spark, d).join(shown, "thread_id").select("category", F.col("rank").cast("long").alias("rank"), "thread_id", "title", joined("articles").alias("articles"), "size", F.round("importance", 6).alias("importance"), "best_ts", F.round("age_penalty", 6).alias("age_penalty"), F.round("weight", 6).alias("weight"))
+    return ranked(own).join(shown, "thread_id").select("category", F.col("rank").cast("long").alias("rank"), "thread_id", "title", joined("articles").alias("articles"), "size", F.round("importance", 6).alias("importance"), "best_ts", F.round("age_penalty", 6).alias("age_penalty"), F.round("weight", 6).alias("weight"))

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; one of our own only where none is named."""
+    """The folder that driver and executors share, as the session names it. Where none is named, a folder of our own if all
+    runs in one process, and an error on a cluster: executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not found and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = getattr(spark, "_threadloom_dir", None) or "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark._threadloom_dir = found
