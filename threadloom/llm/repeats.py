@@ -1,84 +1,136 @@
-"""Exact repeats of bytes: suffix sorting in buckets, with difference-cover ranks for long ties.
+"""Exact repeats: suffix sorting in buckets, with difference-cover ranks for long ties.
 
 A byte goes if a ``width``-byte string that covers it also starts somewhere else. All suffixes of the corpus would have
 to be sorted; instead they are dealt into suffix buckets by content, and one bucket is sorted at a time:
 
-1. Every window of ``width`` bytes holds a run of ``GRAM`` bytes whose hash is the least in it (the later of equals): its
+1. Every window of ``width`` bytes holds a run of ``gram`` bytes whose hash is the least in it (the later of equals): its
    anchor. Equal windows have equal anchors at equal distance, so they meet in the bucket of their anchor's hash.
    Neighbouring windows share an anchor, and travel as one segment. Buckets with one segment end here.
-2. A segment whose bytes occur twice as a whole needs no sorting: all of its windows repeat.
-3. In the other buckets, the distinct segments' windows are sorted. Distances from the anchor align them, so a cover of
-   one residue modulo ``PERIOD`` meets in every pair: ranks of the cover's samples over 32, 64, 128 and 256 bytes are
-   precomputed by doubling, and windows that tie on their first bytes are told apart by two sample ranks and their last bytes.
-   Memory is that of a bucket, or of a slice of small ones, however long the ties.
-
-Scale: the texts are read once to cut segments, and sorted buckets ask once more for the segments' bytes; a bucket of more
-than ``max_segments`` distinct segments is counted window by window under 128-bit hashes instead, by partial sums that
-no hot bucket can skew. Whole copies of a document are told from their hash. Nothing is collected.
-
-Defined cases: null text: no bytes. Texts under ``width`` bytes keep all. Overlapping occurrences count, in one text too.
-Repeated rows are copies of each other. Texts are read whole, long ones in overlapping pieces. Empty table: no rows.
-Other columns are ignored.
+2. Segments whose bytes are alike are one; where such a segment occurs twice, all of its windows repeat.
+3. In the other buckets, the windows of the distinct segments are sorted in byte order. Distances from the anchor align
+   them, so a cover of one residue modulo ``PERIOD`` meets in every pair: ranks of the cover's samples over up to 256 bytes
+   are precomputed by doubling, and windows that tie on their first bytes are ordered by two sample ranks and their last
+   bytes. Neighbours in that order are then compared. Memory is that of a bucket, or of a slice of small ones.
+4. A bucket of more than ``most`` distinct segments is split by further content first: its segments are cut into pieces of
+   an eighth of the distances, dealt by all bytes that the piece's windows share, and steps 2 to 4 run again on those. A
+   piece ends as one window, whose bucket holds nothing else; so this comes to an end for any content.
+
+The same runs over words in place of bytes, each word as a 64-bit hash, for passages of ``words`` words or more (51: over 50)
+that another document holds too, blanks aside. Many of these are under ``width`` bytes, so they are told, not removed.
+
+Scale: the texts are read once to cut segments, and sorted buckets ask once more for the segments' bytes. Whole copies of a
+document are told from their 128-bit hash, and folded in each task before anything is shuffled. Counts are combined before
+shuffles, and joins with a hot passage read written tables, so that Spark can split them. Nothing is collected.
+Segments count as alike by 64-bit hashes within a 64-bit bucket at one distance and length; short of such a collision,
+results are exact.
+
+Defined cases: null text: no bytes, no words. Texts under ``width`` bytes keep all. Overlapping occurrences count, in one
+text too. Repeated rows are copies of each other. Texts are read whole, long ones in overlapping pieces. Empty table: no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, word_count
 
-WIDTH = 400
+WIDTH, WORDS = 400, 51
 PERIOD = 32
 CHUNK = 1 << 20
-MAX_SEGMENTS = 20_000
+MOST = 1000
+SPLIT = 8
 _LOW = np.uint64((1 << 28) - 1)
 
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASE = 0x9E3779B97F4A7C15
+_POW: list[np.ndarray] = []
+_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def _powers(base: int, n: int):
-    got = _POW.get(base)
-    if got is None or len(got[0]) < n:
-        size = max(n, CHUNK + 4 * WIDTH)
-        got = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (np.uint64(base), np.uint64(pow(base, -1, 1 << 64))))
-        _POW[base] = got
-    return got
+@dataclass(frozen=True)
+class Kind:
+    """What windows are made of. Contents are bytes, ``unit`` of them for each place where a window may start."""
 
+    number: int
+    width: int
+    gram: int
+    unit: int
 
-_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+    @property
+    def places(self) -> int:
+        """Distances that an anchor can have from the start of its window."""
+        return self.width - self.gram + 1
+
+
+def _powers(n: int):
+    if not _POW or len(_POW[0]) < n:
+        size = max(n, CHUNK + 4 * WIDTH)
+        _POW[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64)))]
+    return _POW
 
 
-def _prefix(data: np.ndarray, base: int) -> np.ndarray:
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _powers(base, len(data) + 1)[0][: len(data)], out=out[1:])
+def _prefix(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(len(values) + 1)[0][: len(values)], out=out[1:])
     return out
 
 
-def _hash(prefix: np.ndarray, start, end, base: int) -> np.ndarray:
-    """Hash of data[start:end], mixed; start and end as arrays or slices of the prefix."""
-    h = (prefix[end] - prefix[start]) * _powers(base, len(prefix))[1][start]
-    h ^= h >> np.uint64(32)
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
-def segments(data: np.ndarray, starts: np.ndarray, width: int = WIDTH):
+def _hash(prefix: np.ndarray, start, end) -> np.ndarray:
+    """Hash of the values from start to end; start and end as arrays or slices of the prefix."""
+    return _mix((prefix[end] - prefix[start]) * _powers(len(prefix))[1][start])
+
+
+def _blank(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def _word_hashes(data: np.ndarray):
+    """Starts and hashes of the words of some bytes."""
+    word = np.concatenate([[False], ~_blank(data), [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[::2], _hash(_prefix(_BYTES[data]), edge[::2], edge[1::2])
+
+
+def words_of(data: np.ndarray) -> np.ndarray:
+    """Hashes of all words of a text, which is read in slices that end at blanks."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        end, size = min(at + CHUNK, len(data)), CHUNK
+        while end < len(data):
+            blanks = np.flatnonzero(_blank(data[at:end]))
+            if len(blanks):
+                end = at + int(blanks[-1]) + 1
+                break
+            size *= 2
+            end = min(at + size, len(data))
+        out.append(_word_hashes(data[at:end])[1])
+        at = end
+    return np.concatenate(out)
+
+
+def segments(values: np.ndarray, starts: np.ndarray, kind: Kind):
     """For all windows of the pieces that begin at starts[:-1] and end at starts[1:]: arrays (piece, first window, last
-    window, anchor, anchor's hash, hash of the bytes from the first window's start to the last one's end). Windows with
+    window, anchor, anchor's hash, hash of the values from the first window's start to the last one's end). Windows with
     one anchor are a segment."""
-    gram = width // 2
-    w, n = width - gram + 1, len(data) - width + 1
+    width, gram, w = kind.width, kind.gram, kind.places
+    n = len(values) - width + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    p = _prefix(data, _BASES[0])
-    h = _hash(p, slice(0, n + w - 1), slice(gram, gram + n + w - 1), _BASES[0])
+    p = _prefix(values)
+    h = _hash(p, slice(0, n + w - 1), slice(gram, gram + n + w - 1))
     # The hash's upper bits, then the place counted downwards: the least of a window is the later of equals.
     v = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
     v = np.concatenate([v, np.full(-len(v) % w, np.iinfo(np.uint64).max)]).reshape(-1, w)
@@ -96,41 +148,54 @@ def segments(data: np.ndarray, starts: np.ndarray, width: int = WIDTH):
     ok = first < ends[own]
     own, first, last = own[ok], first[ok], last[ok]
     a = anchor[first]
-    return own, first, last, a, h[a], _hash(p, first, last + width, _BASES[0])
+    return own, first, last, a, h[a], _hash(p, first, last + width)
+
 
+def _pieces(row: int, values: np.ndarray, width: int):
+    """A text as (row, offset, values), a long one in pieces that overlap by a window less one."""
+    for at in range(0, max(len(values) - width + 1, 0), CHUNK):
+        yield row, at, values[at : at + CHUNK + width - 1]
 
-def _pieces(arr: pa.Array, width: int):
-    """Texts as (row, offset, bytes), long ones in pieces that overlap by a window less one byte."""
-    for i, t in enumerate(arr):
-        if t.is_valid:
-            b = np.frombuffer(t.as_buffer(), np.uint8)
-            for at in range(0, max(len(b) - width + 1, 0), CHUNK):
-                yield i, at, b[at : at + CHUNK + width - 1]
 
+_RUN = ("kind byte", "key binary", "first int", "last int", "anchor int", "fp long", "seg long", "w long")
+_RUN_NAMES = [x.split()[0] for x in _RUN]
+_RUN_TYPES = [pa.int8(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
-def _cut_segments(width: int):
-    names = ["key", "first", "last", "anchor", "fp", "seg"]
-    types = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
-    def emit(keys, part):
+def _batch(cols: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, _RUN_TYPES, strict=True)], _RUN_NAMES)
+
+
+def _cut_segments(kinds: tuple[Kind, ...]):
+    def emit(keys, part, kind):
         starts = np.concatenate([[0], np.cumsum([len(x[2]) for x in part])])
-        own, first, last, anchor, fp, seg = segments(np.concatenate([x[2] for x in part]), starts, width)
+        values = np.concatenate([x[2] for x in part])
+        own, first, last, anchor, fp, seg = segments(_BYTES[values] if kind.unit == 1 else values, starts, kind)
         row, shift = np.array([x[0] for x in part])[own], (np.array([x[1] for x in part]) - starts[:-1])[own]
-        ints = [pa.array((x + shift).astype(np.int32)) for x in (first, last, anchor)]
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(row)), *ints, *(pa.array(x.view(np.int64)) for x in (fp, seg))], names)
+        fp = _mix(fp + np.uint64(kind.number))
+        return _batch([np.full(len(own), kind.number, np.int8), keys.take(pa.array(row)), *((x + shift).astype(np.int32) for x in (first, last, anchor)), fp.view(np.int64), seg.view(np.int64), np.ones(len(own), np.int64)])
 
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            keys, part, size = batch.column("key"), [], 0
-            for x in _pieces(batch.column("text"), width):
-                part.append(x)
-                size += len(x[2])
-                if size >= CHUNK:
-                    yield emit(keys, part)
-                    part, size = [], 0
-            if part:
-                yield emit(keys, part)
-        yield pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names)
+            keys = batch.column("key")
+            new = []
+            for i, (key, t) in enumerate(zip(keys, batch.column("text"), strict=True)):
+                if t.is_valid and key.as_py() not in seen:  # copies once for each task
+                    seen.add(key.as_py())
+                    new.append((i, np.frombuffer(t.as_buffer(), np.uint8)))
+            for kind in kinds:
+                part, size = [], 0
+                for i, data in new:
+                    for x in _pieces(i, data if kind.unit == 1 else words_of(data), kind.width):
+                        part.append(x)
+                        size += len(x[2])
+                        if size >= CHUNK:
+                            yield emit(keys, part, kind)
+                            part, size = [], 0
+                if part:
+                    yield emit(keys, part, kind)
+        yield _batch([[] for _ in _RUN])
 
     return run
 
@@ -144,53 +209,57 @@ def _ranks(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(contents: list[bytes], offsets: np.ndarray, weights: np.ndarray, buckets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
+def repeated_windows(contents: list[bytes], offsets: np.ndarray, weights: np.ndarray, buckets: np.ndarray, kind: Kind, owners: np.ndarray | None = None) -> list[np.ndarray]:
     """Sort the windows of distinct segments, bucket by bucket. offsets: of a content's first window from its anchor.
-    Returns for each segment whether each of its windows starts elsewhere too."""
-    sizes = np.array([len(c) for c in contents])
+    Returns for each segment whether each of its windows starts elsewhere too: anywhere, or with another owner if there are
+    owners."""
+    unit, width = kind.unit, kind.width * kind.unit
+    sizes, offsets = np.array([len(c) for c in contents]), np.asarray(offsets) * unit
     base = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(contents) + bytes(2 * PERIOD), np.uint8)
     word = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
     # The cover's samples: places whose distance from the anchor is 0 modulo PERIOD, with PERIOD bytes after them.
     lead = -offsets % PERIOD
     count = np.maximum((sizes - lead) // PERIOD, 0)
-    samples = np.repeat(base[:-1] + lead, count) + PERIOD * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-    at_sample = np.repeat(np.cumsum(count) - count, 1)
+    at_sample = np.cumsum(count) - count
+    samples = np.repeat(base[:-1] + lead, count) + PERIOD * (np.arange(count.sum()) - np.repeat(at_sample, count))
     rank = _ranks(np.stack([word[samples + 8 * k].astype(np.uint64) for k in range(PERIOD // 8)], axis=1)) if len(samples) else np.zeros(0, np.int64)
     room = np.repeat(count, count) - (np.arange(count.sum()) - np.repeat(at_sample, count))  # samples to the segment's end
     span = 1
     while 2 * span * PERIOD <= width - 2 * PERIOD:
-        both = np.zeros(len(rank), np.int64)
         far = np.minimum(np.arange(len(rank)) + span, len(rank) - 1)
-        both[:] = (rank << 32) | rank[far]
+        both = (rank << 32) | rank[far]
         rank = np.where(room >= 2 * span, np.unique(both, return_inverse=True)[1] if len(both) else both, rank)
         span *= 2
-    # Windows: key by bucket, distance, first bytes, two sample ranks that reach from sample to sample, last bytes.
-    many = sizes - width + 1
+    # Windows: bucket and distance, first bytes, two sample ranks that reach from sample to sample, last bytes. In this
+    # order of the columns, the order of the rows is that of the windows' bytes.
+    many = (sizes - width) // unit + 1
     own = np.repeat(np.arange(len(sizes)), many)
-    p = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    p = unit * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
     place, c = base[own] + p, offsets[own] + p
     s0 = -(-c // PERIOD) * PERIOD
     s1 = (c + width) // PERIOD * PERIOD - span * PERIOD
     k0 = at_sample[own] + (s0 - offsets[own] - lead[own]) // PERIOD
     k1 = at_sample[own] + (s1 - offsets[own] - lead[own]) // PERIOD
-    cols = [buckets[own], c, rank[k0], rank[k1]]
-    cols += [word[place + 8 * k].astype(np.uint64).view(np.int64) for k in range(PERIOD // 8)]
-    cols += [word[place + width - PERIOD + 8 * k].astype(np.uint64).view(np.int64) for k in range(PERIOD // 8)]
-    # One sort on a mix of the columns; neighbours are then compared on the columns themselves.
-    mixed = np.zeros(len(own), np.uint64)
-    for x in cols:
-        mixed = (mixed ^ x.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    order = np.argsort(mixed, kind="stable")
+    cols = [(buckets[own].astype(np.int64) << 32) + c]
+    cols += [word[place + 8 * k].astype(np.uint64) for k in range(PERIOD // 8)]
+    cols += [(rank[k0] << 32) | rank[k1]]
+    cols += [word[place + width - PERIOD + 8 * k].astype(np.uint64) for k in range(PERIOD // 8)]
+    order = np.lexsort(cols[::-1])
     same = np.ones(max(len(order) - 1, 0), bool)
     for x in cols:
         y = x[order]
         same &= y[1:] == y[:-1]
     again = np.zeros(len(own), bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    again |= weights[own] > 1
+    if owners is None:
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        again |= weights[own] > 1
+    elif len(order):
+        begins = np.flatnonzero(np.concatenate([[True], ~same]))
+        who, heavy = owners[own][order], weights[own][order]
+        several = (np.minimum.reduceat(who, begins) != np.maximum.reduceat(who, begins)) | (np.maximum.reduceat(heavy, begins) > 1)
+        again[order] = np.repeat(several, np.diff(np.append(begins, len(order))))
     return np.split(again, np.cumsum(many)[:-1])
 
 
@@ -199,40 +268,83 @@ def _runs(flags: np.ndarray):
     return edge[::2], edge[1::2] - 1
 
 
-def _fetch(width: int):
-    """Bytes of the segments asked of each text."""
-    names = ["fp", "seg", "n", "offset", "key", "first", "content"]
+def _contents(batches, kinds: tuple[Kind, ...]):
+    """Of texts with asked segments: (key, segment, content) one by one."""
+    for batch in batches:
+        for key, text, asked in zip(batch.column("key"), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
+            buffers: dict[int, memoryview] = {}
+            for r in asked:
+                kind = kinds[r["kind"]]
+                if r["kind"] not in buffers:
+                    buffers[r["kind"]] = memoryview(text.as_buffer()) if kind.unit == 1 else memoryview(words_of(np.frombuffer(text.as_buffer(), np.uint8)).tobytes())
+                yield key.as_py(), r, bytes(buffers[r["kind"]][r["first"] * kind.unit : (r["last"] + kind.width) * kind.unit])
+
+
+def _fetch(kinds: tuple[Kind, ...]):
+    """Contents of the segments asked of each text."""
+    names = ["fp", "seg", "kind", "n", "offset", "key", "first", "content"]
+    types = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in names]
-            for key, text, asked in zip(batch.column("key"), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
-                b = text.as_buffer()
-                for r in asked:
-                    for c, v in zip(cols, (r["fp"], r["seg"], r["n"], r["first"] - r["anchor"], key.as_py(), r["first"], b[r["first"] : r["last"] + width].to_pybytes()), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names)
+            for key, r, content in _contents([batch], kinds):
+                for c, v in zip(cols, (r["fp"], r["seg"], r["kind"], r["n"], r["first"] - r["anchor"], key, r["first"], content), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return run
 
 
-def _sort_buckets(width: int):
-    names = ["key", "first", "last"]
-    types = [pa.binary(), pa.int32(), pa.int32()]
+def _cut_again(kinds: tuple[Kind, ...], reach: int):
+    """Segments of large buckets, cut where the distance from the anchor passes a multiple of ``reach``. A piece's bucket
+    is that of the content which all windows at its distances share."""
+
+    def run(batches):
+        rows: list[tuple] = []
+        for key, r, content in _contents(batches, kinds):
+            kind = kinds[r["kind"]]
+            values = _BYTES[np.frombuffer(content, np.uint8)] if kind.unit == 1 else np.frombuffer(content, np.uint64)
+            p, far = _prefix(values), r["anchor"] - r["first"]  # the anchor's place in the content
+            first = 0
+            while first <= r["last"] - r["first"]:
+                low = (first - far + kind.places - 1) // reach * reach - kind.places + 1  # least distance of this piece
+                last = min(low + reach - 1 + far, r["last"] - r["first"])
+                shared, all_ = _hash(p, np.array([far + low + reach - 1, first]), np.array([far + low + kind.width, last + kind.width]))
+                fp = _mix(np.array([shared]) + np.uint64(r["fp"] & 0xFFFFFFFFFFFFFFFF) * np.uint64(3) + np.uint64(low + kind.places))[0]
+                rows.append((r["kind"], key, r["first"] + first, r["first"] + last, r["anchor"], int(fp.view(np.int64)), int(all_.view(np.int64)), r["n"]))
+                first = last + 1
+            if len(rows) >= 10_000:
+                yield _batch(list(zip(*rows, strict=True)))
+                rows = []
+        yield _batch(list(zip(*rows, strict=True)) if rows else [[] for _ in _RUN])
+
+    return run
+
+
+_SPAN = "kind byte, key binary, first int, last int"
+
+
+def _sort_buckets(kinds: tuple[Kind, ...]):
+    names = ["kind", "key", "first", "last"]
+    types = [pa.int8(), pa.binary(), pa.int32(), pa.int32()]
 
     def solve(rows):
         out: list[list] = [[] for _ in names]
         seen: dict[tuple, dict] = {}
         for r in rows:  # a segment once, should its text have come more than once
-            seen.setdefault((r["fp"], r["seg"], r["offset"]), r)
-        own = list(seen.values())
-        ids = {f: i for i, f in enumerate(dict.fromkeys(r["fp"] for r in own))}
-        found = repeated_windows([r["content"] for r in own], np.array([r["offset"] for r in own]), np.array([r["n"] for r in own]), np.array([ids[r["fp"]] for r in own]), width)
-        for r, flags in zip(own, found, strict=True):
-            if r["n"] == 1:  # others repeat as a whole
-                for i, j in zip(*_runs(flags), strict=True):
-                    for c, v in zip(out, (r["key"], r["first"] + int(i), r["first"] + int(j)), strict=True):
-                        c.append(v)
+            seen.setdefault((r["fp"], r["seg"], r["key"], r["first"]), r)
+        for kind in kinds:
+            own = [r for r in seen.values() if r["kind"] == kind.number]
+            if not own:
+                continue
+            number = lambda xs: np.array([d[x] for d in [{x: i for i, x in enumerate(dict.fromkeys(xs))}] for x in xs])
+            found = repeated_windows([r["content"] for r in own], np.array([r["offset"] for r in own]), np.array([r["n"] for r in own]), number([r["fp"] for r in own]), kind, number([r["key"] for r in own]) if kind.number else None)
+            for r, flags in zip(own, found, strict=True):
+                if r["n"] == 1:  # others repeat as a whole
+                    for i, j in zip(*_runs(flags), strict=True):
+                        for c, v in zip(out, (kind.number, r["key"], r["first"] + int(i), r["first"] + int(j)), strict=True):
+                            c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     def run(batches):
@@ -244,25 +356,7 @@ def _sort_buckets(width: int):
                     rows, size = [], 0
                 rows.append(r)
                 size += len(r["content"])
-        if rows:
-            yield solve(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names)
-
-    return run
-
-
-def _hash_windows(width: int):
-    """For buckets too large to sort: every window by two hashes."""
-    names = ["fp", "offset", "h1", "h2", "n", "key", "first"]
-
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                data = np.frombuffer(r["content"], np.uint8)
-                n = len(data) - width + 1
-                h = [_hash(_prefix(data, b), slice(0, n), slice(width, width + n), b).view(np.int64) for b in _BASES]
-                at = np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["fp"])), pa.array((r["offset"] + at).astype(np.int32)), pa.array(h[0]), pa.array(h[1]), pa.array(np.full(n, r["n"])), pa.array([r["key"]] * n, pa.binary()), pa.array((r["first"] + at).astype(np.int32))], names)
+        yield solve(rows)
 
     return run
 
@@ -293,50 +387,76 @@ def _strip(width: int):
     return run
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, max_segments: int = MAX_SEGMENTS) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row per document."""
+def repeated_spans(source: DataFrame, kinds: tuple[Kind, ...], most: int = MOST) -> list[DataFrame]:
+    """source: key (of the text), text. Spans (kind, key, first window, last window) of the windows that repeat, in tables to be
+    united: of bytes (kind 0) if they start anywhere else, of words (kind 1) if another text holds them. Copies of a text count
+    as one; a text's spans may come several times and overlap."""
+    runs = cut(source.mapInArrow(_cut_segments(kinds), ", ".join(_RUN)))
+    spans, level = [], 0
+    while True:
+        # Written, so that joins read two exchanges and Spark can split the hash of a very common passage.
+        met = cut(runs.groupBy("fp").agg(F.count("*").alias("_n")).where("_n > 1").select("fp"))
+        runs = cut(runs.join(met, "fp", "left_semi"))
+        # The hash of a segment's content is of its bucket and place: the distance of its start from the anchor tells places apart.
+        same = ["fp", "seg", "_off", "_len"]
+        runs = runs.withColumns({"_off": F.col("first") - F.col("anchor"), "_len": F.col("last") - F.col("first")})
+        several = (F.min("key") != F.max("key")) | (F.max("w") > 1)
+        n = F.when(F.min("kind") == 0, F.sum("w")).otherwise(F.when(several, 2).otherwise(1)).cast("long")
+        distinct = cut(runs.groupBy(*same).agg(n.alias("n"), F.min_by(F.struct("kind", "key", "first", "last", "anchor"), F.struct("key", "first")).alias("r")))
+        spans.append(cut(runs.where("w = 1").join(distinct.where("n > 1").select(*same), same, "left_semi").select("kind", "key", "first", "last")))
+        open_ = distinct.groupBy("fp").agg(F.count("*").alias("_d"), F.min("n").alias("_least")).where("_d > 1 and _least = 1").select("fp", "_d")
+        asked = distinct.join(open_, "fp").select(*same, "n", "_d", "r.*")
+        # Words may come again in their own text alone: then each place is asked for.
+        own = asked.where("kind = 1 and n = 1").select(*same, "n", "_d").join(runs.select(*same, "kind", "key", "first", "last", "anchor"), same)
+        asked = cut(asked.where("kind = 0 or n > 1").unionByName(own).drop("_off", "_len"))
+        per_text = lambda rows: source.join(rows.groupBy("key").agg(F.collect_list(F.struct("kind", "fp", "seg", "n", "first", "last", "anchor")).alias("asked")), "key")
+        small = per_text(asked.where(F.col("_d") <= most)).mapInArrow(_fetch(kinds), "fp long, seg long, kind byte, n long, offset int, key binary, first int, content binary")
+        spans.append(cut(small.repartition("fp").sortWithinPartitions("fp").mapInArrow(_sort_buckets(kinds), _SPAN)))
+        large = asked.where(F.col("_d") > most)
+        level += 1
+        if large.isEmpty():
+            return spans
+        reach = max(1, max(k.places for k in kinds) // SPLIT**level)
+        again = per_text(large).mapInArrow(_cut_again(kinds, reach), ", ".join(_RUN))
+        # Copies of a text bring the same pieces.
+        runs = cut(again.dropDuplicates(["kind", "key", "first", "last", "fp"]))
+
+
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, words: int = WORDS, most: int = MOST) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words (in passages of ``words`` words
+    or more that another document holds too) and n_passages (maximal runs of them), a row per document."""
+    kinds = (Kind(0, width, max(1, width // 4), 1), Kind(1, words, max(1, words // 6), 8))
     text = F.coalesce("text", F.lit(""))
     key = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(text, *x)), 16, "0") for x in ((), (F.lit(1),))]))
     keyed = docs.select("doc_id", key.alias("key"), text.alias("text"))
-    told = cut(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("_sha")))
-    copies = told.where(F.col("n_bytes") >= width).groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1")
-    runs = cut(keyed.where(F.octet_length("text") >= width).select("key", "text").mapInArrow(_cut_segments(width), "key binary, first int, last int, anchor int, fp long, seg long"))
-    # Written, so that the join below reads two exchanges and Spark can split the hash of a very common passage.
-    met = cut(runs.groupBy("fp").agg(F.count("*").alias("_n")).where("_n > 1").select("fp"))
-    runs = cut(runs.join(met, "fp", "left_semi"))
-    # The hash of a segment's bytes is of its bucket and place: the distance of its start from the anchor tells places apart.
-    same = ["fp", "seg", "_off", "_len"]
-    runs = runs.withColumns({"_off": F.col("first") - F.col("anchor"), "_len": F.col("last") - F.col("first")})
-    distinct = cut(runs.groupBy(*same).agg(F.count("*").alias("n"), F.min_by(F.struct("key", "first", "last", "anchor"), F.struct("key", "first")).alias("r")))
-    whole = runs.join(distinct.where("n > 1").select(*same), same, "left_semi").select("key", "first", "last")
-    open_ = distinct.groupBy("fp").agg(F.count("*").alias("_d"), F.min("n").alias("_least")).where("_d > 1 and _least = 1").select("fp", "_d")
-    asked = distinct.join(open_, "fp").groupBy("r.key").agg(F.collect_list(F.struct("fp", "seg", "n", "_d", F.col("r.first").alias("first"), F.col("r.last").alias("last"), F.col("r.anchor").alias("anchor"))).alias("asked"))
-    small = F.filter("asked", lambda r: r["_d"] <= max_segments)
-    large = F.filter("asked", lambda r: r["_d"] > max_segments)
-    source = keyed.where(F.octet_length("text") >= width).select("key", "text")
-    fetched = "fp long, seg long, n long, offset int, key binary, first int, content binary"
-    sides = source.join(asked, "key")
-    some = sides.withColumn("asked", small).where(F.size("asked") > 0).mapInArrow(_fetch(width), fetched)
-    sorted_ = some.repartition("fp").sortWithinPartitions("fp").mapInArrow(_sort_buckets(width), "key binary, first int, last int")
-    spans = whole.unionByName(sorted_)
-    if not open_.where(F.col("_d") > max_segments).isEmpty():
-        windows = sides.withColumn("asked", large).where(F.size("asked") > 0).mapInArrow(_fetch(width), fetched).dropDuplicates(["fp", "seg", "offset", "first", "key"])
-        hashed = windows.mapInArrow(_hash_windows(width), "fp long, offset int, h1 long, h2 long, n long, key binary, first int")
-        same = ["fp", "offset", "h1", "h2"]
-        again = hashed.groupBy(*same).agg(F.sum("n").alias("_n")).where("_n > 1")
-        spans = spans.unionByName(hashed.where("n = 1").join(again, same, "left_semi").select("key", "first", F.col("first").alias("last")))
+    told = cut(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), word_count(F.col("text")).alias("_words"), F.sha2(F.col("text").cast("binary"), 256).alias("_sha")))
+    # A word and a blank for each place of a window, at least.
+    source = keyed.where(F.octet_length("text") >= min(width, 2 * words - 1)).select("key", "text")
+    parts = repeated_spans(source, kinds, most)
+    spans = parts[0]
+    for x in parts[1:]:
+        spans = spans.unionByName(x)
+    copies = told.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key")
     # Documents whose text occurs again go as a whole; the others are read once more where they lose something.
     # Sets first: copies bring the same spans under one key, and partial sets fold them before the shuffle.
-    per_text = spans.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans")).join(copies.select("key"), "key", "left_anti")
-    stripped = source.join(per_text, "key").mapInArrow(_strip(width), "key binary, n_removed long, n_spans long, kept_sha256 string")
-    gone = F.col("_c").isNotNull()
-    return (
-        told.join(stripped, "key", "left").join(copies, "key", "left")
-        .select(
-            "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-            F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
-        )
+    per_text = cut(spans.groupBy("key", "kind").agg(F.collect_set(F.struct("first", "last")).alias("spans")).join(copies, "key", "left_anti"))
+    stripped = source.join(per_text.where("kind = 0").select("key", "spans"), "key").mapInArrow(_strip(width), "key binary, n_removed long, n_spans long, kept_sha256 string")
+    begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("runs"))
+    upto = lambda s: s["last"] + words
+    step = lambda a, s: F.struct(F.greatest(a["end"], upto(s)).alias("end"), (a["n"] + F.greatest(upto(s) - F.greatest(a["end"], s["first"]), F.lit(0))).alias("n"), (a["runs"] + ((a["runs"] == 0) | (s["first"] > a["end"])).cast("long")).alias("runs"))
+    shared = per_text.where("kind = 1").select("key", F.aggregate(F.array_sort("spans"), begin, step).alias("s")).select("key", F.col("s.n").alias("_n_shared"), F.col("s.runs").alias("_passages"))
+    rows = copies.withColumn("_gone", F.lit(True)).unionByName(stripped, allowMissingColumns=True).unionByName(shared, allowMissingColumns=True)
+    # One row for each text, written, so that the join with a large group of copies can be split.
+    known = cut(rows.groupBy("key").agg(*[F.max(c).alias(c) for c in rows.columns if c != "key"]))
+    gone, none = F.coalesce("_gone", F.lit(False)), F.lit(0).cast("long")
+    whole = gone & (F.col("n_bytes") >= width)
+    copied = gone & (F.col("_words") >= words)
+    return told.join(known, "key", "left").select(
+        "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
+        F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", none)).alias("n_spans"),
+        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
+        F.when(copied, F.col("_words")).otherwise(F.coalesce("_n_shared", none)).alias("n_shared_words"),
+        F.when(copied, F.lit(1).cast("long")).otherwise(F.coalesce("_passages", none)).alias("n_passages"),
     )
 
 
