@@ -4,8 +4,9 @@ A byte goes if a ``width``-byte string that covers it also starts somewhere else
 to be sorted; instead they are dealt into suffix buckets by content, and one bucket is sorted at a time:
 
 1. Every window of ``width`` bytes holds a run of ``gram`` bytes whose hash is the least in it (the later of equals): its
-   anchor. Equal windows have equal anchors at equal distance, so they meet in the bucket of their anchor's hash.
-   Neighbouring windows share an anchor, and travel as one segment. Buckets with one segment end here.
+   anchor. Equal windows have equal anchors at equal distance. Neighbouring windows share an anchor, and travel as one
+   segment, cut in the middle of the possible distances; all windows of such a part share more bytes than the anchor, and meet
+   their equals in the bucket of these bytes' hash. Buckets with one segment end here.
 2. Segments whose bytes are alike are one; where such a segment occurs twice, all of its windows repeat.
 3. In the other buckets, the windows of the distinct segments are sorted in byte order. Distances from the anchor align
    them, so a cover of one residue modulo ``PERIOD`` meets in every pair: ranks of the cover's samples over up to 256 bytes
@@ -18,9 +19,11 @@ to be sorted; instead they are dealt into suffix buckets by content, and one buc
 The same runs over words in place of bytes, each word as a 64-bit hash, for passages of ``words`` words or more (51: over 50)
 that another document holds too, blanks aside. Many of these are under ``width`` bytes, so they are told, not removed.
 
-Scale: the texts are read once to cut segments, and sorted buckets ask once more for the segments' bytes. Whole copies of a
-document are told from their 128-bit hash, and folded in each task before anything is shuffled. Counts are combined before
-shuffles, and joins with a hot passage read written tables, so that Spark can split them. Nothing is collected.
+Scale: the texts are cut twice, first to count buckets, then to keep the segments of those that hold several; a bitmap of
+``BITS`` bits at most goes to the tasks for that, and where it is too small for the corpus, an exact join does what it lets
+pass. Sorted buckets ask once more for their segments' bytes. Whole copies of a document are told from their 128-bit hash, and
+folded in each task before anything is shuffled. Counts are combined before shuffles, and joins with a hot passage read written
+tables, so that Spark can split them. Nothing is collected but that bitmap.
 Segments count as alike by 64-bit hashes within a 64-bit bucket at one distance and length; short of such a collision,
 results are exact.
 
@@ -46,6 +49,8 @@ PERIOD = 32
 CHUNK = 1 << 20
 MOST = 1000
 SPLIT = 8
+#: A multiple of 2 ** 15; the bitmap takes an eighth of it in bytes.
+BITS = 1 << 27
 _LOW = np.uint64((1 << 28) - 1)
 
 _BASE = 0x9E3779B97F4A7C15
@@ -67,6 +72,10 @@ class Kind:
         """Distances that an anchor can have from the start of its window."""
         return self.width - self.gram + 1
 
+    @property
+    def half(self) -> int:
+        return -(-self.places // 2)
+
 
 def _powers(n: int):
     if not _POW or len(_POW[0]) < n:
@@ -122,8 +131,8 @@ def words_of(data: np.ndarray) -> np.ndarray:
 
 def segments(values: np.ndarray, starts: np.ndarray, kind: Kind):
     """For all windows of the pieces that begin at starts[:-1] and end at starts[1:]: arrays (piece, first window, last
-    window, anchor, anchor's hash, hash of the values from the first window's start to the last one's end). Windows with
-    one anchor are a segment."""
+    window, anchor, hash of the values that windows at such distances share, hash of the values from the first window's start
+    to the last one's end). Windows with one anchor, in one half of the distances to it, are a segment."""
     width, gram, w = kind.width, kind.gram, kind.places
     n = len(values) - width + 1
     none = np.zeros(0, np.int64)
@@ -147,8 +156,14 @@ def segments(values: np.ndarray, starts: np.ndarray, kind: Kind):
     own = np.searchsorted(starts, first, "right") - 1
     ok = first < ends[own]
     own, first, last = own[ok], first[ok], last[ok]
-    a = anchor[first]
-    return own, first, last, a, h[a], _hash(p, first, last + width)
+    # Where the distance gets to the upper half.
+    cross = anchor[first] - w + 1 + kind.half
+    low, high = np.flatnonzero(first < cross), np.flatnonzero(last >= cross)
+    upper = np.repeat([0, 1], [len(low), len(high)])
+    first, last = np.concatenate([first[low], np.maximum(first, cross)[high]]), np.concatenate([np.minimum(last, cross - 1)[low], last[high]])
+    own, a = own[np.concatenate([low, high])], anchor[first]
+    least = a - w + 1 + upper * kind.half
+    return own, first, last, a, _mix(_hash(p, least + kind.half - 1, least + width) + upper.astype(np.uint64)), _hash(p, first, last + width)
 
 
 def _pieces(row: int, values: np.ndarray, width: int):
@@ -166,13 +181,20 @@ def _batch(cols: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, _RUN_TYPES, strict=True)], _RUN_NAMES)
 
 
-def _cut_segments(kinds: tuple[Kind, ...]):
+def _cut_segments(kinds: tuple[Kind, ...], met=None):
+    """Of all segments, the bucket alone; with a bitmap of buckets (a broadcast), all that is told of those in it."""
+
     def emit(keys, part, kind):
         starts = np.concatenate([[0], np.cumsum([len(x[2]) for x in part])])
         values = np.concatenate([x[2] for x in part])
         own, first, last, anchor, fp, seg = segments(_BYTES[values] if kind.unit == 1 else values, starts, kind)
-        row, shift = np.array([x[0] for x in part])[own], (np.array([x[1] for x in part]) - starts[:-1])[own]
         fp = _mix(fp + np.uint64(kind.number))
+        if met is None:
+            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], ["fp"])
+        bit = fp & np.uint64(8 * len(met.value) - 1)
+        ok = (met.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        own, first, last, anchor, fp, seg = (x[ok] for x in (own, first, last, anchor, fp, seg))
+        row, shift = np.array([x[0] for x in part])[own], (np.array([x[1] for x in part]) - starts[:-1])[own]
         return _batch([np.full(len(own), kind.number, np.int8), keys.take(pa.array(row)), *((x + shift).astype(np.int32) for x in (first, last, anchor)), fp.view(np.int64), seg.view(np.int64), np.ones(len(own), np.int64)])
 
     def run(batches):
@@ -195,11 +217,22 @@ def _cut_segments(kinds: tuple[Kind, ...]):
                             part, size = [], 0
                 if part:
                     yield emit(keys, part, kind)
-        yield _batch([[] for _ in _RUN])
+        yield _batch([[] for _ in _RUN]).select(_RUN_NAMES if met is not None else ["fp"])
 
     return run
 
 
+def _bitmap(met: DataFrame) -> np.ndarray:
+    """Bits of the buckets in ``met``, by the lower bits of their hash: about sixteen for each of them, ``BITS`` at most."""
+    bits = min(BITS, 1 << max(15, (16 * met.count()).bit_length()))
+    at = F.col("fp").bitwiseAND(bits - 1)
+    rows = met.groupBy(F.shiftright(at, 15).cast("int").alias("k")).agg(F.bitmap_construct_agg(at.bitwiseAND((1 << 15) - 1)).alias("b")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[r["k"] << 12 : (r["k"] + 1) << 12] = np.frombuffer(bytes(r["b"]), np.uint8)
+    return out
+
+
 def _ranks(words: np.ndarray) -> np.ndarray:
     """Dense ranks of rows of big-endian words, in byte order."""
     order = np.lexsort(words.T[::-1])
@@ -391,24 +424,25 @@ def repeated_spans(source: DataFrame, kinds: tuple[Kind, ...], most: int = MOST)
     """source: key (of the text), text. Spans (kind, key, first window, last window) of the windows that repeat, in tables to be
     united: of bytes (kind 0) if they start anywhere else, of words (kind 1) if another text holds them. Copies of a text count
     as one; a text's spans may come several times and overlap."""
-    runs = cut(source.mapInArrow(_cut_segments(kinds), ", ".join(_RUN)))
+    several = lambda rows: cut(rows.groupBy("fp").agg(F.count("*").alias("_n")).where("_n > 1").select("fp"))
+    met = several(source.mapInArrow(_cut_segments(kinds), "fp long"))
+    runs = cut(source.mapInArrow(_cut_segments(kinds, source.sparkSession.sparkContext.broadcast(_bitmap(met))), ", ".join(_RUN)))
     spans, level = [], 0
     while True:
         # Written, so that joins read two exchanges and Spark can split the hash of a very common passage.
-        met = cut(runs.groupBy("fp").agg(F.count("*").alias("_n")).where("_n > 1").select("fp"))
         runs = cut(runs.join(met, "fp", "left_semi"))
         # The hash of a segment's content is of its bucket and place: the distance of its start from the anchor tells places apart.
         same = ["fp", "seg", "_off", "_len"]
         runs = runs.withColumns({"_off": F.col("first") - F.col("anchor"), "_len": F.col("last") - F.col("first")})
-        several = (F.min("key") != F.max("key")) | (F.max("w") > 1)
-        n = F.when(F.min("kind") == 0, F.sum("w")).otherwise(F.when(several, 2).otherwise(1)).cast("long")
+        owned = (F.min("key") != F.max("key")) | (F.max("w") > 1)
+        n = F.when(F.min("kind") == 0, F.sum("w")).otherwise(F.when(owned, 2).otherwise(1)).cast("long")
         distinct = cut(runs.groupBy(*same).agg(n.alias("n"), F.min_by(F.struct("kind", "key", "first", "last", "anchor"), F.struct("key", "first")).alias("r")))
         spans.append(cut(runs.where("w = 1").join(distinct.where("n > 1").select(*same), same, "left_semi").select("kind", "key", "first", "last")))
-        open_ = distinct.groupBy("fp").agg(F.count("*").alias("_d"), F.min("n").alias("_least")).where("_d > 1 and _least = 1").select("fp", "_d")
-        asked = distinct.join(open_, "fp").select(*same, "n", "_d", "r.*")
+        open_ = cut(distinct.groupBy("fp").agg(F.count("*").alias("_d"), F.min("n").alias("_least")).where("_d > 1 and _least = 1").select("fp", "_d"))
+        asked = cut(distinct.join(open_, "fp").select(*same, "n", "_d", "r.*"))
         # Words may come again in their own text alone: then each place is asked for.
-        own = asked.where("kind = 1 and n = 1").select(*same, "n", "_d").join(runs.select(*same, "kind", "key", "first", "last", "anchor"), same)
-        asked = cut(asked.where("kind = 0 or n > 1").unionByName(own).drop("_off", "_len"))
+        own = cut(asked.where("kind = 1 and n = 1").select(*same, "n", "_d").join(runs.select(*same, "kind", "key", "first", "last", "anchor"), same))
+        asked = asked.where("kind = 0 or n > 1").unionByName(own).drop("_off", "_len")
         per_text = lambda rows: source.join(rows.groupBy("key").agg(F.collect_list(F.struct("kind", "fp", "seg", "n", "first", "last", "anchor")).alias("asked")), "key")
         small = per_text(asked.where(F.col("_d") <= most)).mapInArrow(_fetch(kinds), "fp long, seg long, kind byte, n long, offset int, key binary, first int, content binary")
         spans.append(cut(small.repartition("fp").sortWithinPartitions("fp").mapInArrow(_sort_buckets(kinds), _SPAN)))
@@ -416,16 +450,17 @@ def repeated_spans(source: DataFrame, kinds: tuple[Kind, ...], most: int = MOST)
         level += 1
         if large.isEmpty():
             return spans
-        reach = max(1, max(k.places for k in kinds) // SPLIT**level)
+        reach = max(1, max(k.half for k in kinds) // SPLIT**level)
         again = per_text(large).mapInArrow(_cut_again(kinds, reach), ", ".join(_RUN))
         # Copies of a text bring the same pieces.
         runs = cut(again.dropDuplicates(["kind", "key", "first", "last", "fp"]))
+        met = several(runs)
 
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, words: int = WORDS, most: int = MOST) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words (in passages of ``words`` words
     or more that another document holds too) and n_passages (maximal runs of them), a row per document."""
-    kinds = (Kind(0, width, max(1, width // 4), 1), Kind(1, words, max(1, words // 6), 8))
+    kinds = (Kind(0, width, max(1, width // 5), 1), Kind(1, words, max(1, words // 10), 8))
     text = F.coalesce("text", F.lit(""))
     key = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(text, *x)), 16, "0") for x in ((), (F.lit(1),))]))
     keyed = docs.select("doc_id", key.alias("key"), text.alias("text"))
