@@ -32,7 +32,7 @@ HARD = ["a@b.c_d@e.f x", "1.2.3.4.5.6.7.8", "256.1.1.1 001.002.003.004", "4111 1
 def spans(spark, df):
     found = pii.find(df)
     rows = pii.with_spans(found, pii.Trees(pii.count_features(found)))
-    return rows.select("text", pii._joined(rows["__base"]).alias("b"), pii._joined(rows["__spans"]).alias("s")).collect()
+    return rows.select("text", pii._joined(rows["__pii_base"]).alias("b"), pii._joined(rows["__pii_spans"]).alias("s")).collect()
 
 
 def test_base_spans_like_brute_force(spark, edge, docs_of, data):
@@ -64,6 +64,62 @@ def test_trees_find_secrets_and_leave_words(spark, docs_of):
     assert not any("secret" in r["s"] for r in got if "stays" in r["text"])
 
 
+def test_keys_without_evidence_are_judged_by_their_looks(spark, docs_of):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    known = [f"api_key: {key(i)} end" for i in range(200)]
+    bare = [f"here stands {key(1000 + i)} alone" for i in range(6)]
+    other = [f"see part_{i}_of_the_long_list for more" for i in range(100, 160)]
+    got = spans(spark, docs_of(known + bare + other))
+    assert all("secret" in r["s"] for r in got[:206]) and not any("secret" in r["s"] for r in got[206:])
+
+
+def test_evidence_is_no_feature(spark, docs_of):
+    """A key looks alike with and without the word that confirms it, a number with and without its plus."""
+    texts = ["token=0123456789abcdef0123", "about 0123456789abcdef0123", "to +14155550133 now", "to 14155550133 now"]
+    rows = pii.find(docs_of(texts)).selectExpr("__pii_wide as w").collect()
+    of = [[c for c in r["w"] if c["kind"] == ("secret" if k < 2 else "number")][0] for k, r in enumerate(rows)]
+    for a, b in ((of[0], of[1]), (of[2], of[3])):
+        assert a["y"] and not b["y"] and [a[n] for n in pii.BINS] == [b[n] for n in pii.BINS]
+
+
+def test_selection_like_brute_force(spark, docs_of, data):
+    """Scores by walking the trees, overlaps by comparing all spans of a text."""
+    texts = ["t@a.b token=abcdef0123456789abcdef 4111 1111 1111 1111, sk-0123456789abcdef0123@x.org +1 415 555 0133 999-888-7777-666", "password: aB3aB3aB3aB3aB3aB3aB3 tel 0301234567 0301234568"] * 12
+    for df in (docs_of(texts), spark.read.parquet(f"{data}/documents.parquet")):
+        found = pii.find(df)
+        trees = pii.Trees(pii.count_features(found))
+        names = list(pii.BINS)
+        for r in pii.with_spans(found.withColumn("w", found["__pii_wide"]), trees).collect():
+            base = [tuple(x) for x in r["__pii_base"]]
+            chosen = []
+            for c in r["w"]:
+                score = trees.start
+                for (f, v), (yes, a, b), (no, x, y) in trees.trees:
+                    at, hit, miss = (yes, a, b) if c[names[f]] == v else (no, x, y)
+                    score += hit if c[names[at[0]]] == at[1] else miss
+                if c["y"] or score >= trees.thresholds.get(c["family"], 1e9):
+                    chosen.append((c["kind"], c["start"], c["end"]))
+            chosen = [c for c in chosen if not any(b[1] < c[2] and c[1] < b[2] for b in base)]
+            kept = []
+            for c in sorted(chosen, key=lambda c: (c[1], -c[2], c[0])):
+                if not any(k[1] < c[2] and c[1] < k[2] for k in kept):
+                    kept.append(c)
+            assert [tuple(x) for x in r["__pii_spans"]] == base + sorted(kept)
+
+
+def test_redaction_of_very_many_spans(spark, docs_of):
+    n = 3 * pii.SLICE + 11
+    text = "é🙂 " * 700 + " ".join(f"w{i} u{i}@m.org é" for i in range(n)) + " z" * 3000
+    want = "é🙂 " * 700 + " ".join(f"w{i} [EMAIL] é" for i in range(n)) + " z" * 3000
+    assert pii.redact(docs_of([text])).first()["text"] == want
+
+
+def test_other_columns_with_clashing_names(spark, docs_of):
+    df = docs_of(["mail a@b.org", None]).withColumnsRenamed({"size": "__text", "score": "__spans", "key": "kind"})
+    got = pii.redact(df).collect()
+    assert [r["text"] for r in got] == ["mail [EMAIL]", None] and got[0]["__text"] == 0 and got[0]["__spans"] == 0.5 and got[0]["kind"] == "k"
+
+
 def test_redaction(spark, docs_of, edge, nothing):
     df = docs_of(["mail a@b.org or +1 (619) 555-0053 now", "nothing here", None, "x 4111111111111111"])
     got = pii.redact(df)

@@ -1,20 +1,22 @@
 """PII: candidate gradient boosting, in DataFrame functions only.
 
 Strict patterns find the base spans (email, ip, card, phone), which always stay. Wide generators propose further,
-overlapping spans: address-like, key-like and number-like runs. Every candidate is described by binned format and
-context features; boosted trees, fitted to candidates that strict validators confirm or deny, score it; a threshold for
-each generator, calibrated on held-out candidates, selects the spans to redact besides the base ones (kind ``secret``,
-``number`` or ``contact``).
+overlapping spans: address-like, key-like and number-like runs (kinds ``contact``, ``secret`` and ``number``). Strict evidence
+confirms some: an address that is well formed, a number that passes Luhn or is international, a key after a credential word
+or with an issuer's prefix. Boosted trees learn from the confirmed ones how such candidates look, from binned format and
+context features that leave out whatever the evidence itself reads; so a candidate without evidence is judged by its looks. A
+threshold for each generator, calibrated on scores that no candidate's own fold has learned, selects spans besides the
+confirmed ones.
 
 Scale: spans are found, described and scored within their document's row; nothing is shuffled but counts of feature
 combinations. The fit uses all candidates of all documents through that table of counts, whose size the bins bound
-(``BINS``), whatever the input. Trees become one CASE expression. Positions come from running sums over the lengths
-between matches, in slices, so that a text with very many matches costs little more than its length.
+(``BINS``), whatever the input. Trees become one CASE expression. Positions, overlaps and cuts come from folds over slices of
+``SLICE`` elements, and texts are cut by blocks, so that the time for a text with very many spans follows its length.
 
 Defined cases: null text: no spans, sha of the empty text. Texts are read whole. Overlapping base spans of different
 kinds all stay; an added span that overlaps a base span is dropped, of two added ones that overlap the later-starting
-(then the shorter) is. Repeated rows are judged each. No candidates: no trees, base spans only. Empty table: no rows.
-Other columns pass through ``redact``; columns made here that share a name start with two underscores.
+(then the shorter) is. Repeated rows are judged each. No candidates, or none confirmed: no trees, base spans only. Empty
+table: no rows. Other columns pass through ``redact``, but names that start with ``__pii_pii_`` are taken.
 """
 
 from __future__ import annotations
@@ -51,38 +53,39 @@ NUMBERING = r"(?i)(?:version|v|page|no|order|isbn|issn|doi|http[^\x20]*|id|ref)[
 ISSUED = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|glpat-|xox[abp]-|sk-|sk_live_|eyJ)"
 
 #: How many values each feature has.
-BINS = {"family": 3, "len": 6, "digits": 5, "case": 4, "hex": 2, "seps": 4, "left": 4, "right": 3, "context": 5, "form": 4}
-ROUNDS, RATE, RIDGE, PRECISION, LEAST = 12, 0.4, 1.0, 0.95, 10
+BINS = {"family": 3, "len": 6, "digits": 5, "case": 4, "hex": 2, "seps": 4, "variety": 4, "left": 4, "right": 3, "context": 5}
+ROUNDS, RATE, RIDGE, PRECISION, LEAST, FOLDS = 12, 0.4, 1.0, 0.95, 10, 4
+AROUND = 24
 SLICE = 256
 
 
-def _located(df: DataFrame, text: str, patterns: dict) -> DataFrame:
-    """Adds ``__s_<kind>``: array of (start, end, s) of the pattern's matches, in code points."""
-    t = F.col(text)
-    none = "array<struct<gap:int,n:int,s:string>>"
-    df = df.withColumns({
-        f"__z_{k}": F.when(t.rlike(gate), F.zip_with(F.split(t, p, -1), F.regexp_extract_all(t, F.lit(p), 0), lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), m.alias("s")))).otherwise(F.array().cast(none))
-        for k, (p, gate) in patterns.items()
-    })
-    # split leaves one piece more than there are matches; its s is null.
-    df = df.withColumns({f"__z_{k}": F.filter(f"__z_{k}", lambda x: x["s"].isNotNull()) for k in patterns})
+def _states(items: Column, zero: Column, step, kind: str) -> Column:
+    """The fold's state before each element, as an array of ``kind``: first before each slice, then within. ``items`` must be
+    a column that is made below, not an expression: it is read several times."""
+    part = lambda k: F.slice(items, k * SLICE + 1, SLICE)
+    none, begin = F.array().cast(f"array<{kind}>"), lambda at: F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    slices = F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / SLICE).cast("int"))
+    bounds = F.aggregate(slices, F.struct(zero.alias("at"), none.alias("out")), lambda a, k: F.struct(F.aggregate(part(k), a["at"], step).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+    one = lambda at, k: F.aggregate(part(k), begin(at), lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+    return F.flatten(F.transform(bounds, one))
 
-    def starts(z):  # of each slice
-        sums = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(z) - 1, F.lit(0)) / SLICE).cast("int")), lambda b: F.aggregate(F.slice(z, b * SLICE + 1, SLICE), F.lit(0), lambda a, x: a + x["gap"] + x["n"]))
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(sums, begin, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
-    df = df.withColumns({f"__o_{k}": starts(F.col(f"__z_{k}")) for k in patterns})
-
-    def spans(z, o):
-        def one(b, off):
-            begin = F.struct(off.alias("at"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("out"))
-            step = lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["s"].alias("s")))).alias("out"))
-            return F.aggregate(F.slice(z, b * SLICE + 1, SLICE), begin, step)["out"]
+def _located(df: DataFrame, text: str, patterns: dict) -> DataFrame:
+    """Adds ``__pii_s_<kind>``: array of (start, end, s, left, right) of the pattern's matches, in code points; left and right
+    are what stands around a match, up to the next one."""
+    t = F.col(text)
+    df = df.withColumns({f"__pii_g_{k}": F.when(t.rlike(gate), F.split(t, p, -1)).otherwise(F.array().cast("array<string>")) for k, (p, gate) in patterns.items()})
 
-        return F.flatten(F.transform(o, lambda off, b: one(b, off)))
+    def pieces(k, p):  # split leaves one piece more than there are matches
+        g = F.col(f"__pii_g_{k}")
+        zipped = F.arrays_zip(g.alias("g"), F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))).alias("after"), F.when(F.size(g) > 1, F.regexp_extract_all(t, F.lit(p), 0)).otherwise(F.array().cast("array<string>")).alias("s"))
+        rows = F.transform(zipped, lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["s"]).alias("n"), x["s"].alias("s"), F.right(x["g"], F.lit(AROUND)).alias("left"), F.left(x["after"], F.lit(1)).alias("right")))
+        return F.filter(rows, lambda x: x["s"].isNotNull())
 
-    return df.withColumns({f"__s_{k}": spans(F.col(f"__z_{k}"), F.col(f"__o_{k}")) for k in patterns}).drop(*[f"__{c}_{k}" for c in "zo" for k in patterns])
+    df = df.withColumns({f"__pii_z_{k}": pieces(k, p) for k, (p, _) in patterns.items()}).drop(*[f"__pii_g_{k}" for k in patterns])
+    df = df.withColumns({f"__pii_o_{k}": _states(F.col(f"__pii_z_{k}"), F.lit(0), lambda a, x: a + x["gap"] + x["n"], "int") for k in patterns})
+    spans = lambda k: F.zip_with(f"__pii_z_{k}", f"__pii_o_{k}", lambda x, o: F.struct((o + x["gap"]).alias("start"), (o + x["gap"] + x["n"]).alias("end"), x["s"].alias("s"), x["left"].alias("left"), x["right"].alias("right")))
+    return df.withColumns({f"__pii_s_{k}": spans(k) for k in patterns}).drop(*[f"__pii_{c}_{k}" for c in "zo" for k in patterns])
 
 
 def _digits(s: Column) -> Column:
@@ -105,125 +108,142 @@ def _bin(x: Column, *edges) -> Column:
     return reduce(lambda a, i: a.when(x < edges[i], i), range(1, len(edges)), F.when(x < edges[0], 0)).otherwise(len(edges))
 
 
-def _features(family: int, kind: str, text: Column, x: Column) -> Column:
-    """The candidate as a struct: span, binned features, and what strict validators say of it."""
-    s, n = x["s"], F.length(x["s"])
-    left = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
-    right = F.substring(text, x["end"] + 1, 1)
-    digits, letters = F.length(_digits(s)), F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
-    lower, upper = s.rlike("[a-z]"), s.rlike("[A-Z]")
-    context = F.when(left.rlike(CREDENTIAL), 1).when(left.rlike(CONTACT), 2).when(left.rlike(PAYMENT), 3).when(left.rlike(NUMBERING), 4).otherwise(0)
-    form = F.when(_card(s), 1).when(s.rlike(r"^\+"), 2).when(s.rlike(ISSUED), 3).otherwise(0)
+def _features(family: int, kind: str, x: Column) -> Column:
+    """The candidate as a struct: span, whether strict evidence confirms it, its fold, and binned features. What the evidence
+    of a kind reads is no feature of that kind."""
+    whole, left, right = x["s"], x["left"], x["right"]
     confirmed = {
-        "contact": s.rlike(r"^[^@]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+$"),
-        "secret": left.rlike(CREDENTIAL) | s.rlike(ISSUED),
-        "number": F.coalesce(_card(s), F.lit(False)) | (s.rlike(r"^\+") & digits.between(9, 15)),
+        "contact": whole.rlike(r"^[^@]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+$"),
+        "secret": left.rlike(CREDENTIAL) | whole.rlike(ISSUED),
+        "number": F.coalesce(_card(whole), F.lit(False)) | (whole.rlike(r"^\+") & F.length(_digits(whole)).between(9, 15)),
     }[kind]
+    s = F.regexp_replace(whole, r"^\+", "") if kind == "number" else whole
+    n, digits, letters = F.length(s), F.length(_digits(s)), F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
+    lower, upper = s.rlike("[a-z]"), s.rlike("[A-Z]")
+    zero = F.lit(0)
+    context = F.when(left.rlike(CONTACT), 2).when(left.rlike(PAYMENT), 3).when(left.rlike(NUMBERING), 4)
+    context = zero if kind == "secret" else F.when(left.rlike(CREDENTIAL), 1).otherwise(context.otherwise(0))
+    before = F.when((left == "") | left.rlike(r"[\x20\t\n\r]$"), 0).when(left.rlike("[\"'(<\\[]$"), 1).when(left.rlike("[=:]$"), 2).otherwise(3)
     return F.struct(
-        F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), confirmed.alias("y"), (F.crc32(s.cast("binary")) % 4 == 0).alias("held"),
+        F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), confirmed.alias("y"), (F.crc32(whole.cast("binary")) % FOLDS).cast("int").alias("fold"),
         F.lit(family).alias("family"), _bin(n, 8, 12, 16, 24, 40).alias("len"),
         F.when(digits == 0, 0).when(digits * 4 < n, 1).when(digits * 2 < n, 2).when(digits < n, 3).otherwise(4).alias("digits"),
         F.when(lower & upper, 3).when(upper, 2).when(lower, 1).otherwise(0).alias("case"), F.when(s.rlike("^[0-9a-fA-F]+$"), 1).otherwise(0).alias("hex"),
-        F.least(n - digits - letters, F.lit(3)).alias("seps"),
-        F.when((left == "") | left.rlike(r"[\x20\t\n\r]$"), 0).when(left.rlike("[\"'(<\\[]$"), 1).when(left.rlike("[=:]$"), 2).otherwise(3).alias("left"),
+        (zero if kind == "contact" else F.least(n - digits - letters, F.lit(3))).alias("seps"),
+        _bin(F.size(F.array_distinct(F.split(s, ""))), 6, 10, 14).alias("variety"),
+        (zero if kind == "secret" else before).alias("left"),
         F.when((right == "") | right.rlike(r"[\x20\t\n\r.,;:!?]"), 0).when(right.rlike("[\"')>\\]]"), 1).otherwise(2).alias("right"),
-        context.alias("context"), form.alias("form"),
+        context.alias("context"),
     )
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Adds ``__base`` (array of kind, start, end: validated, by kind, then start) and ``__wide`` (described candidates)."""
-    df = _located(docs.withColumn("__text", F.coalesce("text", F.lit(""))), "__text", BASE | WIDE)
+    """Adds ``__pii_base`` (array of kind, start, end: validated, by kind, then start) and ``__pii_wide`` (described candidates)."""
+    df = _located(docs.withColumn("__pii_text", F.coalesce("text", F.lit(""))), "__pii_text", BASE | WIDE)
 
     def valid(k):
-        good = F.filter(f"__s_{k}", lambda x: F.coalesce(VALID[k](x["s"]), F.lit(False)))
+        good = F.filter(f"__pii_s_{k}", lambda x: F.coalesce(VALID[k](x["s"]), F.lit(False)))
         return F.transform(good, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
     def described(i, k):
-        return F.transform(f"__s_{k}", lambda x: _features(i, k, F.col("__text"), x))
+        return F.transform(f"__pii_s_{k}", lambda x: _features(i, k, x))
 
     base, wide = F.concat(*[valid(k) for k in BASE]), F.concat(*[described(i, k) for i, k in enumerate(WIDE)])
-    return df.withColumns({"__base": base, "__wide": wide}).drop("__text", *[f"__s_{k}" for k in BASE | WIDE])
+    return df.withColumns({"__pii_base": base, "__pii_wide": wide}).drop("__pii_text", *[f"__pii_s_{k}" for k in BASE | WIDE])
 
 
 def count_features(found: DataFrame) -> list:
-    """Candidates counted by feature values, validator's word and fold: all that the fit needs. The bins bound its rows."""
+    """Candidates counted by feature values, evidence and fold: all that the fit needs. The bins bound its rows."""
     names = list(BINS)
-    return found.select(F.explode("__wide").alias("c")).groupBy(*[F.col(f"c.{n}").alias(n) for n in names], F.col("c.y").alias("y"), F.col("c.held").alias("held")).agg(F.count("*").alias("n")).collect()
+    return found.select(F.explode("__pii_wide").alias("c")).groupBy(*[F.col(f"c.{n}").alias(n) for n in names], F.col("c.y").alias("y"), F.col("c.fold").alias("fold")).agg(F.count("*").alias("n")).collect()
+
+
+def _boost(on: np.ndarray, tests: list, y: np.ndarray, w: np.ndarray):
+    """Depth-2 trees by Newton steps on the log loss: (start, trees, scores of all rows). on: one row per test."""
+    rate = (w @ y + 1) / (w.sum() + 2)
+    start = float(np.log(rate / (1 - rate)))
+    score, trees = np.full(len(y), start), []
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-score))
+        g, h = w * (y - p), w * p * (1 - p)
+
+        def split(part, g=g, h=h):
+            gi, hi = on @ (g * part), on @ (h * part)
+            ga, ha = (g * part).sum(), (h * part).sum()
+            return int(np.argmax(gi**2 / (hi + RIDGE) + (ga - gi) ** 2 / (ha - hi + RIDGE)))
+
+        leaf = lambda part: float(RATE * (g * part).sum() / ((h * part).sum() + RIDGE))  # noqa: B023, E731
+        a = split(np.ones(len(y), bool))
+        tree = [tests[a]]
+        for side in (on[a], ~on[a]):
+            b = split(side)
+            yes, no = leaf(side & on[b]), leaf(side & ~on[b])
+            tree.append((tests[b], yes, no))
+            score = score + np.where(side, np.where(on[b], yes, no), 0.0)
+        trees.append(tree)
+    return start, trees, score
 
 
 class Trees:
-    """Boosted depth-2 trees over one-hot features, fitted to counts by Newton steps on the log loss."""
+    """Boosted trees over one-hot features, fitted to counts of all candidates, and a threshold for each generator. The
+    thresholds are calibrated on scores by trees that were fitted without the candidate's fold. ``report``: for each generator,
+    candidates, confirmed ones, and of those that the threshold selects their number and the share confirmed."""
 
     def __init__(self, rows: list):
         names = list(BINS)
-        self.trees, self.thresholds, self.start = [], {}, 0.0
-        if not rows:
+        self.trees, self.thresholds, self.start, self.report = [], {}, 0.0, {}
+        if not any(r["y"] for r in rows):
             return
         x = np.array([[r[c] for c in names] for r in rows])
-        y, held, n = (np.array([float(r[c]) for r in rows]) for c in ("y", "held", "n"))
+        y, fold, n = (np.array([float(r[c]) for r in rows]) for c in ("y", "fold", "n"))
         tests = [(f, v) for f, c in enumerate(names) for v in range(BINS[c])]
         on = np.array([x[:, f] == v for f, v in tests])
-        w = n * (1 - held)
-        rate = (w @ y + 1) / (w.sum() + 2)
-        self.start = float(np.log(rate / (1 - rate)))
-        score = np.full(len(rows), self.start)
-        for _ in range(ROUNDS):
-            p = 1 / (1 + np.exp(-score))
-            g, h = w * (y - p), w * p * (1 - p)
-
-            def split(part, g=g, h=h):
-                gi, hi = on @ (g * part), on @ (h * part)
-                ga, ha = (g * part).sum(), (h * part).sum()
-                gain = gi**2 / (hi + RIDGE) + (ga - gi) ** 2 / (ha - hi + RIDGE)
-                return int(np.argmax(gain))
-
-            leaf = lambda part: float(RATE * (g * part).sum() / ((h * part).sum() + RIDGE))  # noqa: B023, E731
-            a = split(np.ones(len(rows), bool))
-            tree = [tests[a]]
-            for side in (on[a], ~on[a]):
-                b = split(side)
-                yes, no = leaf(side & on[b]), leaf(side & ~on[b])
-                tree.append((tests[b], yes, no))
-                score = score + np.where(side, np.where(on[b], yes, no), 0.0)
-            self.trees.append(tree)
-        for k in range(BINS["family"]):
-            # The lowest score above which held-out candidates are confirmed often enough, in total and at that score.
-            best = None
-            for s in sorted(set(np.round(score[x[:, 0] == k], 6)), reverse=True):
-                own = (x[:, 0] == k) & (score >= s - 1e-6)
+        self.start, self.trees, _ = _boost(on, tests, y, n)
+        score = np.zeros(len(rows))
+        for k in range(FOLDS):
+            score[fold == k] = _boost(on, tests, y, n * (fold != k))[2][fold == k]
+        for k, kind in enumerate(WIDE):
+            # The lowest score above which candidates are confirmed often enough, in total and at that score.
+            mine, best = x[:, 0] == k, None
+            for s in sorted(set(np.round(score[mine], 6)), reverse=True):
+                own = mine & (score >= s - 1e-6)
                 at = own & (score <= s + 1e-6)
-                total, right = (n * held * own).sum(), (n * held * own * y).sum()
-                here = (n * at).sum(), (n * at * y).sum()
-                if total >= LEAST and right >= PRECISION * total and here[1] >= 0.5 * here[0]:
-                    best = float(s) - 1e-6
+                total, right = (n * own).sum(), (n * own * y).sum()
+                if total >= LEAST and right >= PRECISION * total and (n * at * y).sum() >= 0.5 * (n * at).sum():
+                    best, found = float(s) - 1e-6, (int(total), float(right / total))
             if best is not None:
                 self.thresholds[k] = best
+            if mine.any():
+                self.report[kind] = (int((n * mine).sum()), int((n * mine * y).sum()), *(found if best is not None else (0, None)))
 
     def selects(self, c: Column) -> Column:
-        """Whether the candidate's score reaches its generator's threshold."""
+        """Whether the candidate is confirmed, or its score reaches its generator's threshold."""
         if not self.trees or not self.thresholds:
-            return F.lit(False)
+            return c["y"]
         names = list(BINS)
         test = lambda t: c[names[t[0]]] == t[1]
         one = lambda t: F.when(test(t[0]), F.when(test(t[1][0]), t[1][1]).otherwise(t[1][2])).otherwise(F.when(test(t[2][0]), t[2][1]).otherwise(t[2][2]))
         total = reduce(lambda a, t: a + one(t), self.trees, F.lit(self.start))
         bound = reduce(lambda a, k: a.when(c["family"] == k, self.thresholds[k]), list(self.thresholds)[1:], F.when(c["family"] == next(iter(self.thresholds)), next(iter(self.thresholds.values()))))
-        return F.coalesce(total >= bound, F.lit(False))
-
-
-def _added(trees: Trees) -> Column:
-    """Selected candidates that no base span overlaps."""
-    cross = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    return F.filter("__wide", lambda c: trees.selects(c) & ~F.exists("__base", lambda b: cross(b, c)))
-
-
-def _alone(spans: Column) -> Column:
-    """Of added spans that overlap, the first to start and then the longest stays."""
-    order = F.array_sort(F.transform(spans, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("last"), c["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("out"))
-    step = lambda a, c: F.when(c["start"] < a["end"], a).otherwise(F.struct((-c["last"]).alias("end"), F.concat(a["out"], F.array(F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (-c["last"]).alias("end")))).alias("out")))
-    return F.aggregate(order, begin, step)["out"]
+        return c["y"] | F.coalesce(total >= bound, F.lit(False))
+
+
+def _with_added(df: DataFrame, trees: Trees) -> DataFrame:
+    """Adds ``__pii_more``: selected candidates that no base span overlaps, each free of those before it (start, then the
+    longest first), in order of start."""
+    item = lambda x, base: F.struct(x["start"].alias("start"), F.lit(0 if base else 1).alias("added"), (-x["end"]).alias("last"), x["kind"].alias("kind"))
+    chosen = F.transform(F.filter("__pii_wide", trees.selects), lambda x: item(x, False))
+    df = df.withColumn("__pii_all", F.array_sort(F.concat(F.transform("__pii_base", lambda x: item(x, True)), chosen)))
+    # Of base spans: the furthest end before a span, and the next start after it.
+    df = df.withColumn("__pii_rev", F.reverse("__pii_all"))
+    ends = _states(F.col("__pii_all"), F.lit(0), lambda a, x: F.when(x["added"] == 0, F.greatest(a, -x["last"])).otherwise(a), "int")
+    nexts = F.reverse(_states(F.col("__pii_rev"), F.lit(2**31 - 1), lambda a, x: F.when(x["added"] == 0, F.least(a, x["start"])).otherwise(a), "int"))
+    zipped = F.arrays_zip(F.col("__pii_all").alias("x"), ends.alias("end"), nexts.alias("next"))
+    clear = F.filter(zipped, lambda z: (z["x"]["added"] == 1) & (z["end"] <= z["x"]["start"]) & (z["next"] >= -z["x"]["last"]))
+    df = df.withColumn("__pii_clear", F.transform(clear, lambda z: z["x"]))
+    taken = _states(F.col("__pii_clear"), F.lit(0), lambda a, x: F.when(x["start"] < a, a).otherwise(-x["last"]), "int")
+    kept = F.filter(F.zip_with("__pii_clear", taken, lambda x, a: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (-x["last"]).alias("end"), (x["start"] >= a).alias("stays"))), lambda x: x["stays"])
+    return df.withColumn("__pii_more", F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))).drop("__pii_all", "__pii_rev", "__pii_clear")
 
 
 def _joined(spans: Column) -> Column:
@@ -231,9 +251,11 @@ def _joined(spans: Column) -> Column:
 
 
 def with_spans(found: DataFrame, trees: Trees) -> DataFrame:
-    """Adds ``__spans``: base spans, then the added ones by kind and start."""
-    df = found.withColumn("__more", _added(trees)).withColumn("__more", _alone(F.col("__more")))
-    return df.withColumn("__spans", F.concat("__base", F.array_sort("__more"))).drop("__more", "__wide")
+    """Adds ``__pii_spans``: base spans, then the added ones by kind and start."""
+    return _with_added(found, trees).withColumn("__pii_spans", F.concat("__pii_base", F.array_sort("__pii_more"))).drop("__pii_more", "__pii_wide")
+
+
+BLOCK = 1024
 
 
 def redact(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
@@ -241,21 +263,30 @@ def redact(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     Columns, their order and other values stay. Fits trees on docs unless given some."""
     if trees is None:
         # Candidates are written before they are counted: exploding them in place would describe each of them twice.
-        trees = Trees(count_features(cut(find(docs.select("text")).select("__wide"))))
+        trees = Trees(count_features(cut(find(docs.select("text")).select("__pii_wide"))))
     df = with_spans(find(docs), trees)
-    order = F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    df = df.withColumn("__order", order)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda a, x: F.when(x["start"] < a["at"], F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-        F.struct(x["end"].alias("at"), F.concat(a["out"], F.array(F.substring("text", a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out"))
-    )
-    df = df.withColumn("__cut", F.aggregate("__order", begin, step))
-    whole = F.concat(F.array_join("__cut.out", ""), F.expr("substring(text, __cut.at + 1)"))
-    return df.withColumn("text", F.when(F.size("__spans") > 0, whole).otherwise(F.col("text"))).select(*docs.columns)
+    df = df.withColumn("__pii_order", F.array_sort(F.transform("__pii_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
+    ends = _states(F.col("__pii_order"), F.lit(0), lambda a, x: F.greatest(a, x["end"]), "int")
+    df = df.withColumn("__pii_led", F.zip_with("__pii_order", ends, lambda x, a: F.struct(a.alias("before"), x["start"].alias("start"), x["kind"].alias("kind"))))
+    # What is kept: from the furthest end so far to the start of a span that begins beyond it, and from the last end on.
+    heads = F.filter("__pii_led", lambda x: x["start"] >= x["before"])
+    last = F.struct(F.array_max(F.transform("__pii_order", lambda x: x["end"])).alias("before"), F.length("text").alias("start"), F.lit("").alias("kind"))
+    blocks = F.when(F.size("__pii_order") > 0, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{BLOCK}}}"), 0)).otherwise(F.array().cast("array<string>"))
+    df = df.withColumns({"__pii_keep": F.concat(heads, F.array(last)), "__pii_blocks": blocks}).drop("__pii_order", "__pii_led")
+    block = F.col("__pii_blocks")
+
+    def between(a: Column, b: Column) -> Column:  # code points a to b, from the blocks that hold them
+        of = lambda k: F.coalesce(F.get(block, F.least(k, F.size(block) - 1)), F.lit(""))
+        inside = lambda k: F.substring(of(k), F.greatest(a - k * BLOCK, F.lit(0)) + 1, F.least(b - k * BLOCK, F.lit(BLOCK)) - F.greatest(a - k * BLOCK, F.lit(0)))
+        first, final = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+        return F.when(b > a, F.array_join(F.transform(F.sequence(first, F.greatest(first, final)), inside), "")).otherwise("")
+
+    made = F.array_join(F.transform("__pii_keep", lambda x: F.concat(between(x["before"], x["start"]), F.when(x["kind"] != "", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(""))), "")
+    return df.withColumn("text", F.when(F.size("__pii_spans") > 0, made).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     out = with_spans(found, Trees(count_features(found)))
-    n = lambda k: F.size(F.filter("__base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", *[n(k) for k in BASE], F.sha2(_joined(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("__spans")).alias("spans"))
+    n = lambda k: F.size(F.filter("__pii_base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *[n(k) for k in BASE], F.sha2(_joined(F.col("__pii_base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("__pii_spans")).alias("spans"))
