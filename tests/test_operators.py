@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import storage
 from threadloom.config import EN_CLUSTERING, RankerConfig
-from threadloom.operators import annotate, embed, importance, linkage, markup, metrics, pairs, rank, ratings, threads
+from threadloom.operators import annotate, embed, importance, linkage, markup, metrics, order, pairs, rank, ratings, text, threads
 from threadloom.operators.components import connected_components
 
 
@@ -53,7 +54,8 @@ def test_link_like_the_naive_loop(seed):
     cfg = replace(EN_CLUSTERING, small_threshold=0.2, medium_threshold=0.12, large_threshold=0.06, small_size=3, medium_size=5, large_size=7)
     for budget in (None, n - 1):
         label = list(range(n))
-        for _, i, j, merged in linkage.link(dist, sites, cfg, budget):
+        edges = [(i, j, dist[i, j]) for i in range(n) for j in range(i)]
+        for _, i, j, merged in linkage.link(n, edges, sites, cfg, budget):
             if merged:
                 old = label[j]
                 label = [label[i] if v == old else v for v in label]
@@ -228,3 +230,169 @@ def test_text_queries_read_documents_without_vectors_and_whole_first_lines(spark
         assert all(len(r["vector"].split(",")) == 50 for r in rows)
     else:
         assert all(r["bad"] for r in rows)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_running_sums_by_ranges(spark, parts):
+    rows = [(k % 7, k, k % 4) for k in range(60)]
+    df = spark.createDataFrame(rows, "a int, b int, v int")
+    got = {r["b"]: r["s"] for r in order.running_sum(df, ["a", "b"], F.col("v"), "s", parts).collect()}
+    total = 0
+    for _, b, v in sorted(rows):
+        assert got[b] == total
+        total += v
+    assert order.running_sum(df.limit(0), ["a"], F.col("v"), "s").columns == ["a", "b", "v", "s"]
+
+
+def test_too_many_controls_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(markup, "MOST_CONTROLS", 2)
+    rows = spark.createDataFrame([(f"u{k}", "t", "x") for k in range(5)], "url string, title string, text string")
+    assert markup.pools(rows, rows.limit(2), 2).count() == 5 + 3 * 2
+    with pytest.raises(ValueError, match="controls"):
+        markup.pools(rows, rows.limit(3), 2)
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    class Other:
+        conf: dict = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Other)
+
+
+def test_tfidf_counts_tokens_once_for_each_document(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "doc_id int, text string")
+    words = F.split("text", " ")
+    plan = text.tfidf(docs, words, spark.createDataFrame([("a", 2.0)], "token string, idf double"))
+    assert [tuple(r) for r in plan.collect()] == [(1, "a", 2 / 3, 4 / 3)]
+    assert "split(text" not in plan._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+
+
+def test_tfidf_embedder_with_a_matrix(spark):
+    docs = spark.createDataFrame([("1", "a b", "a"), ("2", "zz", "zz")], "file_name string, title string, text string")
+    vocabulary = spark.createDataFrame([("a", 0, 3.0), ("b", 1, 6.0)], "token string, idx int, idf double")
+    dense = {r["file_name"]: r["vector"] for r in embed.TfIdfEmbedder(vocabulary).transform(docs).collect()}
+    assert dense["1"] == pytest.approx([2.0, 2.0]) and dense["2"] in ([0.0, 0.0], [0, 0])
+    matrix = np.array([[1.0, 0, 2], [0, 1, 1]])
+    got = {r["file_name"]: r["vector"] for r in embed.TfIdfEmbedder(vocabulary, matrix=matrix).transform(docs).collect()}
+    assert got["1"] == pytest.approx([2.0, 2.0, 6.0]) and got["2"] == [0.0, 0.0, 0.0]
+
+
+def test_token_id_embedder(spark):
+    docs = spark.createDataFrame([("a b zz",), (None,)], "text string")
+    vocabulary = spark.createDataFrame([("a", 5), ("b", 7)], "token string, idx int")
+    rows = embed.TokenIdEmbedder(vocabulary, lambda: lambda ids: np.stack([ids.sum(axis=1), (ids == 0).sum(axis=1)], axis=1), "text").transform(docs).collect()
+    assert rows[0]["vector"] == [12.0, 1.0] and rows[1]["vector"][0] == 0.0
+    with pytest.raises(ValueError, match="tokens"):
+        embed.TokenIdEmbedder(vocabulary, None, most=1).transform(docs)
+
+
+def test_siamese_gradient_by_differences():
+    rng = np.random.default_rng(1)
+    x, y, label = rng.standard_normal((6, 4)), rng.standard_normal((6, 4)), np.array([0, 1, 1, 0, 1, 0.0])
+    w, b, f = rng.standard_normal((4, 3)), rng.standard_normal(3), embed.SiameseTrainer.gradient
+    _, gw, gb, gs, gc = f(x, y, label, w, b, 1.3, 0.2)
+    e = 1e-6
+    for i, j in ((0, 0), (2, 1), (3, 2)):
+        d = np.zeros_like(w)
+        d[i, j] = e
+        assert (f(x, y, label, w + d, b, 1.3, 0.2)[0] - f(x, y, label, w - d, b, 1.3, 0.2)[0]) / (2 * e) == pytest.approx(gw[i, j], abs=1e-4)
+    d = np.array([e, 0, 0])
+    assert (f(x, y, label, w, b + d, 1.3, 0.2)[0] - f(x, y, label, w, b - d, 1.3, 0.2)[0]) / (2 * e) == pytest.approx(gb[0], abs=1e-4)
+    assert (f(x, y, label, w, b, 1.3 + e, 0.2)[0] - f(x, y, label, w, b, 1.3 - e, 0.2)[0]) / (2 * e) == pytest.approx(gs, abs=1e-4)
+    assert (f(x, y, label, w, b, 1.3, 0.2 + e)[0] - f(x, y, label, w, b, 1.3, 0.2 - e)[0]) / (2 * e) == pytest.approx(gc, abs=1e-4)
+
+
+def test_siamese_map_learns_which_directions_count(spark):
+    """Pairs belong together when their first two of six coordinates agree; the rest is noise."""
+    rng = np.random.default_rng(5)
+
+    def pairs_of(n):
+        out = []
+        for k in range(n):
+            a = rng.standard_normal(2)
+            b = a if k % 2 else -a
+            out.append(([*map(float, a), *map(float, 3 * rng.standard_normal(4))], [*map(float, b), *map(float, 3 * rng.standard_normal(4))], k % 2))
+        return spark.createDataFrame(out, "left array<double>, right array<double>, label int")
+
+    trainer = embed.SiameseTrainer(dim=2, epochs=25, rate=0.2).fit(pairs_of(200), pairs_of(60))
+    w, b = trainer.model()
+    cos = []
+    for r in pairs_of(100).collect():
+        u, v = np.array(r["left"]) @ w + b, np.array(r["right"]) @ w + b
+        cos.append((u @ v / np.linalg.norm(u) / np.linalg.norm(v), r["label"]))
+    right = sum((c > 0) == bool(y) for c, y in cos)
+    assert right > 80
+    with pytest.raises(ValueError, match="no pairs"):
+        trainer.fit(pairs_of(2).limit(0))
+
+
+def test_category_models_by_language(spark):
+    docs = spark.createDataFrame([("1", "en", "t", "good words here"), ("2", "ru", "t", "bad signs there"), ("3", "fr", "t", "good"), ("4", None, "t", "good")], "file_name string, lang string, title string, text string")
+    fit = lambda a, b: annotate.TrainedClassifier(iterations=5).fit(spark.createDataFrame([("t good words here", a), ("t bad signs there", b)] * 10, "text string, label string"))
+    got = {r["file_name"]: r for r in annotate.by_trained({"en": fit("sports", "economy"), "ru": fit("science", "society")})(docs).collect()}
+    assert {k: r["category"] for k, r in got.items()} == {"1": "sports", "2": "society", "3": "other", "4": "other"}
+    assert got["1"]["text"] == "good words here"
+
+
+def test_limits_that_bind_nothing_give_components(spark):
+    _, df = _docs(spark, 30, 8)
+    cfg = replace(EN_CLUSTERING, small_threshold=0.02, small_size=10**9, ban_same_sites=False, budget="unbounded", chunk_size=1000, chunk_overlap=0)
+    assert linkage.free(cfg) and not linkage.free(EN_CLUSTERING)
+    one = {(r["lang"], r["file_name"]): r["thread_id"] for r in linkage.threads(df, cfg).collect()}
+    other = {(r["lang"], r["file_name"]): r["thread_id"] for r in linkage.threads(df, replace(cfg, small_size=999)).collect()}
+    assert one == other
+
+
+@pytest.mark.parametrize(("name", "chunk"), [("constrained_threads", None), ("chunk_stitch", (60, 20))])
+def test_thread_queries_like_the_naive_loop(spark, data, name, chunk):
+    """Chunk by chunk with the plain loop, chunks that share a document united."""
+    from threadloom.plans import registry, views
+    from threadloom.plans.query_threads import _LOOSE
+
+    got = {(r["lang"], r["file_name"]): r["thread_id"] for r in registry.QUERIES[name](spark, data).collect()}
+    rows = views.articles(spark, data, True).select("lang", "file_name", "site_name", "fetch_time", "vector").collect()
+    size, overlap = chunk or (_LOOSE.chunk_size, _LOOSE.chunk_overlap)
+    for lang in {r["lang"] for r in rows}:
+        own = sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["fetch_time"], r["file_name"]), reverse=True)
+        top, start = list(range(len(own))), 0
+        while True:
+            part = own[start : start + size]
+            x = np.array([r["vector"] for r in part], float)
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            label = naive_link(np.maximum(1 - (x @ x.T + 1) / 2, 0), [r["site_name"] for r in part], _LOOSE, True)
+            for k, v in enumerate(label):
+                a, b = top[start + k], top[start + v]
+                top = [min(a, b) if t in (a, b) else t for t in top]
+            if start + size >= len(own):
+                break
+            start += size - overlap
+        assert partition(top) == partition([got[lang, r["file_name"]] for r in own])
+
+
+def test_mode_threads_like_its_parts(spark, data):
+    from threadloom.plans import registry
+
+    labels = registry.QUERIES["constrained_threads"](spark, data).collect()
+    want = {}
+    for r in sorted(labels, key=lambda r: r["seq"]):
+        want.setdefault(f"{r['lang']}-{r['thread_id']}", []).append(r["file_name"])
+    assert {r["thread_id"]: r["articles"].split(",") for r in registry.QUERIES["mode_threads"](spark, data).collect()} == want
+
+
+def test_hashed_vectors_like_plain_python(spark, data):
+    from threadloom.functions.scalars import preprocess
+    from threadloom.plans import registry, views
+
+    got = {r["file_name"]: [float(x) for x in r["vector"].split(",")] for r in registry.QUERIES["hashed_vectors"](spark, data).collect()}
+    for r in views.headed(spark, data).select("file_name", preprocess(F.col("title")).alias("t")).collect():
+        rows = [v / np.linalg.norm(v) for v in (embed.word_vector(w, 50) for w in (r["t"] or "").split()[:151])]
+        want = np.mean(rows, axis=0) if rows else np.zeros(50)
+        assert got[r["file_name"]] == pytest.approx(want.tolist(), abs=2e-4)

@@ -77,3 +77,39 @@ def test_lines_and_markup_round_trip(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "l")).first()["value"] == "__label__sports a b c"
     sinks.write_markup(rows.select("category", F.lit("y").alias("t")), str(tmp_path / "m"))
     assert readers.read_markup(spark, str(tmp_path / "m")).first()["t"] == "y"
+
+
+def test_corpora_and_exported_matrices(spark, tmp_path):
+    (tmp_path / "h.json").write_text('{"headline": "A", "short_description": "b c"}\n{"headline": "D"}\n')
+    assert [tuple(r) for r in readers.read_headlines(spark, str(tmp_path / "h.json")).orderBy("title").collect()] == [("A", "A b c"), ("D", "D")]
+    (tmp_path / "n.csv").write_text('title,publication,date,content\nT,P,2016-12-31,"one ""two""\nthree"\nU,P,nan,x\n')
+    assert [tuple(r) for r in readers.read_news_csv(spark, str(tmp_path / "n.csv")).collect()] == [("T", 'one "two"\nthree', "P", "2016-12-31")]
+    (tmp_path / "t" / "sport").mkdir(parents=True)
+    (tmp_path / "t" / "sport" / "1.txt").write_text("a\nb")
+    assert readers.read_text_folder(spark, str(tmp_path / "t")).first()["text"] == "a b"
+    (tmp_path / "m.txt").write_text("1,2.5\n-3,4e-1\n")
+    assert readers.read_matrix(spark, str(tmp_path / "m.txt")).tolist() == [[1.0, 2.5], [-3.0, pytest.approx(0.4)]]
+
+
+def test_pages_escape_and_are_written_apart(spark, tmp_path):
+    rows = spark.createDataFrame([("en", "sports", 2, "b", ["u2"]), ("en", "sports", 1, "a <&>", ["u1", 'x"y']), ("de", "other", 1, None, [])], "lang string, category string, rank int, title string, articles array<string>")
+    pages = sinks.rubric_pages(rows)
+    got = {(r["lang"], r["category"]): r["html"] for r in pages.collect()}
+    assert "<h2>a &lt;&amp;&gt;</h2>" in got["en", "sports"] and "x&quot;y" in got["en", "sports"] and got["en", "sports"].index("u1") < got["en", "sports"].index("u2") and len(got) == 2
+    sinks.write_pages(pages, str(tmp_path / "p"))
+    assert (tmp_path / "p" / "lang=en" / "category=sports").is_dir()
+    report = spark.createDataFrame([("b", 0.5), ("a", 1.0)], "label string, f1 double")
+    html = sinks.metrics_page(report, spark.createDataFrame([("u<", "x")], "url string, gold string")).first()["html"]
+    assert html.index("<td>a</td>") < html.index("<td>b</td>") < html.index("u&lt;")
+
+
+def test_language_files_and_restored_urls(spark):
+    from threadloom.operators import filters, markup
+
+    docs = spark.createDataFrame([("d/1.html", "x"), ("d/2.html", "y")], "file_name string, title string")
+    listing = spark.createDataFrame([("ru", ["1.html"]), ("de", ["2.html"])], "lang_code string, articles array<string>")
+    assert [r["title"] for r in filters.in_language_file(docs, listing).collect()] == ["x"]
+    rows = spark.createDataFrame([('a "t"', "old"), ("unknown", "own")], "title string, url string")
+    originals = spark.createDataFrame([("a t", "new")], "title string, url string")
+    assert [tuple(r) for r in markup.restore_urls(rows, originals).collect()] == [('a "t"', "new")]
+    assert {r["url"] for r in markup.restore_urls(rows, originals, keep_unknown=True).collect()} == {"new", "own"}

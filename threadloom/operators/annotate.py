@@ -57,6 +57,34 @@ def detect_category(docs: DataFrame) -> DataFrame:
     return docs.withColumn("category", F.coalesce(lexicon_scores(words, TOPIC_WORDS)["label"], F.lit("other")))
 
 
+def by_language(models: dict[str, dict[str, tuple[str, ...]]], default: dict[str, tuple[str, ...]] | None = None):
+    """A category step with a lexicon for each language (others: the default one, or ``other``)."""
+
+    def step(docs: DataFrame) -> DataFrame:
+        words = plain_tokens(preprocess(F.concat_ws(" ", "title", "text")))
+        label = lambda lexicon: lexicon_scores(words, lexicon)["label"]
+        found = reduce(lambda a, kv: a.when(F.col("lang") == kv[0], label(kv[1])), models.items(), F.when(F.lit(False), F.lit("")))
+        found = found.otherwise(label(default)) if default else found
+        return docs.withColumn("category", F.coalesce(found, F.lit("other")))
+
+    return step
+
+
+def by_trained(models: dict[str, TrainedClassifier]):
+    """A category step with a trained model for each language; documents of other languages get ``other``. Each model reads
+    the rows of its language alone."""
+
+    def step(docs: DataFrame) -> DataFrame:
+        kept = docs.columns
+        parts = [docs.where(~F.coalesce(F.col("lang").isin(*models), F.lit(False))).withColumn("category", F.lit("other"))]
+        for lang, model in models.items():
+            rows = docs.where(F.col("lang") == lang).withColumn("_text", F.col("text")).withColumn("text", F.translate(F.concat_ws(" ", "title", "text"), "\n", " "))
+            parts.append(model.transform(rows).withColumn("text", F.col("_text")).withColumn("category", F.col("predicted")).select(*[c for c in kept if c != "category"], "category"))
+        return reduce(DataFrame.unionByName, [parts[0].select(*parts[-1].columns), *parts[1:]])
+
+    return step
+
+
 class TrainedClassifier:
     """A bag-of-words logistic regression in Spark ML: fit on (text, label), adds label and probability."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clean_file_name
+
 
 def by_language(docs: DataFrame, languages) -> DataFrame:
     return docs.where(F.col("lang").isin(*languages))
@@ -63,3 +65,9 @@ def split(docs: DataFrame, key: str, share: float = 0.9, seed: int = 1) -> tuple
     """Training and validation rows by a hash of the key, so that a row is on the same side on every run."""
     inside = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(share * 1_000_000)
     return docs.where(inside), docs.where(~inside)
+
+
+def in_language_file(docs: DataFrame, listing: DataFrame, languages: tuple = ("ru", "en")) -> DataFrame:
+    """docs whose file the output of the languages mode (lang_code, articles) lists under one of the languages."""
+    files = listing.where(F.col("lang_code").isin(*languages)).select(F.explode("articles").alias("_file")).distinct()
+    return docs.join(files, clean_file_name(F.col("file_name")) == F.col("_file"), "left_semi")

@@ -21,8 +21,6 @@ from ..storage import cut
 from .components import connected_components
 from .pairs import cosine_pairs
 
-_FAR = np.float32(1.0)
-
 
 def size_allows(size: int, distance: float, cfg: ClusteringConfig) -> bool:
     if size <= cfg.small_size:
@@ -32,37 +30,34 @@ def size_allows(size: int, distance: float, cfg: ClusteringConfig) -> bool:
     return size <= cfg.large_size and distance <= np.float32(cfg.large_threshold)
 
 
-def link(dist: np.ndarray, sites: list[str], cfg: ClusteringConfig, budget: int | None = None) -> list[tuple[float, int, int, bool]]:
-    """The loop over a distance matrix whose diagonal is 1: its log of (distance, row, other row, merged)."""
-    d = dist.astype(np.float32).copy()
-    n = len(d)
-    np.fill_diagonal(d, _FAR)
-    size, names, alive, log = [1] * n, [{s} for s in sites], np.ones(n, bool), []
-    near = d.argmin(axis=1)
-    nearest = d[np.arange(n), near]
-    while budget is None or len(log) < budget:
-        i = int(np.argmin(np.where(alive, nearest, np.inf)))
-        j, at = int(near[i]), float(nearest[i])
-        if at > np.float32(cfg.small_threshold) or not alive[j] or i == j:
-            break
+def link(n: int, edges: list[tuple[int, int, float]], sites: list[str], cfg: ClusteringConfig, budget: int | None = None) -> list[tuple[float, int, int, bool]]:
+    """The loop over ``n`` rows and the distances under the small threshold (row, other row, distance): its log of (distance,
+    row, other row, merged). The nearest pair, by distance and then rows, is merged or, if the limits forbid it, dropped; a
+    merged row has the least distances of both. No more is held than the edges: pairs beyond the threshold never come up."""
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for i, j, x in edges:
+        x = float(np.float32(x))
+        if i != j and x <= np.float32(cfg.small_threshold):
+            near[i][j] = near[j][i] = min(x, near[i].get(j, x))
+    heap = [(x, i, j) for i in range(n) for j, x in near[i].items() if i < j]
+    heapq.heapify(heap)
+    size, names, log = [1] * n, [{s} for s in sites], []
+    while heap and (budget is None or len(log) < budget):
+        at, i, j = heapq.heappop(heap)
+        if near[i].get(j) != at:  # merged away, dropped, or nearer by now
+            continue
         fits = size_allows(size[i] + size[j], at, cfg) and not (cfg.ban_same_sites and names[i] & names[j])
         log.append((at, i, j, fits))
+        del near[i][j], near[j][i]
         if fits:
             size[i] += size[j]
             names[i] |= names[j]
-            d[i] = np.minimum(d[i], d[j])
-            d[:, i] = d[i]
-            d[i, i] = _FAR
-            d[j] = d[:, j] = np.inf
-            alive[j] = False
-            nearest[j] = np.inf
-            stale = np.flatnonzero(alive & ((near == j) | (near == i) | (d[:, i] <= nearest)))
-        else:
-            d[i, j] = d[j, i] = _FAR
-            stale = np.array([i, j])
-        for k in {i, *stale.tolist()}:
-            near[k] = int(d[k].argmin())
-            nearest[k] = d[k, near[k]]
+            for k, x in near[j].items():
+                del near[k][j]
+                if x < near[i].get(k, np.inf):
+                    near[i][k] = near[k][i] = x
+                    heapq.heappush(heap, (x, min(i, k), max(i, k)))
+            near[j] = {}
     return log
 
 
@@ -102,6 +97,8 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
         hours = F.abs(F.col("a_fetch_time") - F.col("b_fetch_time")) / 3600.0
         named = named.withColumn("dist", F.least(F.col("dist") * F.when(hours >= 24, hours / 24).otherwise(1.0), F.lit(1.0)))
     edges = cut(named.where(F.col("dist").cast("float") <= F.lit(cfg.small_threshold).cast("float")).select("a", "b", "a_seq", "b_seq", "dist"))
+    if free(cfg):
+        return _labelled(base, edges.select(F.split("a", "/")[0].alias("lang"), F.col("a_seq").alias("i"), F.col("b_seq").alias("j")))
     comps = connected_components(edges.select("a", "b"))
     inside = facts.join(comps.withColumnRenamed("key", "id"), "id")
     graph = edges.join(comps.withColumnRenamed("key", "a"), "a").select("comp", "a_seq", "b_seq", "dist")
@@ -112,10 +109,9 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
         own = pdf[pdf["other"].isna()].sort_values("seq")
         seqs = own["seq"].to_numpy()
         at = {s: k for k, s in enumerate(seqs.tolist())}
-        d = np.full((len(seqs), len(seqs)), 1, np.float32)
-        for r in pdf[pdf["other"].notna()].itertuples():
-            d[at[r.seq], at[int(r.other)]] = d[at[int(r.other)], at[r.seq]] = r.dist
-        log = link(d, own["site_name"].tolist(), cfg)
+        pairs = pdf[pdf["other"].notna()]
+        near = [(at[i], at[int(j)], x) for i, j, x in zip(pairs["seq"], pairs["other"], pairs["dist"], strict=True)]
+        log = link(len(seqs), near, own["site_name"].tolist(), cfg)
         return pd.DataFrame([(key[0], key[1], key[2], k, x[0], int(seqs[x[1]]), int(seqs[x[2]]), x[3]) for k, x in enumerate(log)], columns=["lang", "chunk", "comp", "k", "dist", "i", "j", "merged"])
 
     logs = cut(rows.groupBy("lang", "chunk", "comp").applyInPandas(solve, "lang string, chunk int, comp string, k int, dist double, i int, j int, merged boolean"))
@@ -132,6 +128,15 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
         merges = logs.join(sizes, ["lang", "chunk"]).groupBy("lang", "chunk").applyInPandas(within, "lang string, i int, j int")
     else:
         merges = logs.where("merged").select("lang", "i", "j")
+    return _labelled(base, merges)
+
+
+def free(cfg: ClusteringConfig) -> bool:
+    """Whether nothing limits merges: then threads are the components, and no group goes through the loop."""
+    return cfg.budget == "unbounded" and not cfg.ban_same_sites and cfg.small_size >= cfg.chunk_size
+
+
+def _labelled(base: DataFrame, merges: DataFrame) -> DataFrame:
     joined = connected_components(merges.select(F.struct("lang", F.col("i").alias("seq")).alias("a"), F.struct("lang", F.col("j").alias("seq")).alias("b")))
     labels = joined.select(F.col("key.lang").alias("lang"), F.col("key.seq").alias("seq"), F.col("comp.seq").alias("_t"))
     return base.select("lang", "file_name", "seq").join(labels, ["lang", "seq"], "left").select("lang", "file_name", "seq", F.coalesce("_t", "seq").alias("thread_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clean_text
 from .order import running_sum
 
 
@@ -57,3 +58,12 @@ def map_tags(rows: DataFrame, by_pair: DataFrame, by_topic: DataFrame) -> DataFr
     out = rows.join(by_topic.select("topic", F.col("category").alias("_c1")), "topic", "left")
     out = out.join(by_pair.select("topic", "tag", F.col("category").alias("_c2")), ["topic", "tag"], "left")
     return out.withColumn("category", F.coalesce("_c1", "_c2")).drop("_c1", "_c2").where("category is not null")
+
+
+def restore_urls(rows: DataFrame, originals: DataFrame, keep_unknown: bool = False) -> DataFrame:
+    """rows: title, and what answers carry. Adds the url of the original with the same cleaned title (of several the last by
+    url); rows without one are dropped, or keep their own url."""
+    known = originals.groupBy(clean_text(F.col("title")).alias("_title")).agg(F.max("url").alias("_url"))
+    out = rows.withColumn("_title", clean_text(F.col("title"))).join(known, "_title", "left" if keep_unknown else "inner").drop("_title")
+    own = F.coalesce("_url", "url") if keep_unknown and "url" in rows.columns else F.col("_url")
+    return out.withColumn("url", own).drop("_url")

@@ -6,6 +6,7 @@ import calendar
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,3 +182,28 @@ def read_markup(spark: SparkSession, path: str) -> DataFrame:
     """Crowd-task TSV; column names lose their ``INPUT:`` and like prefixes."""
     rows = spark.read.option("header", "true").option("sep", "\t").csv(path)
     return rows.toDF(*[c.split(":")[-1] for c in rows.columns])
+
+
+def read_matrix(spark: SparkSession, path: str) -> np.ndarray:
+    """Lines of numbers apart by commas, in file order: a small matrix (or one column) of an exported model."""
+    lines = spark.read.text(path, wholetext=True).first()
+    return np.array([[float(x) for x in line.split(",")] for line in lines["value"].split("\n") if line.strip()], np.float32)
+
+
+def read_headlines(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of headline and short_description: title, text."""
+    rows = spark.read.schema("headline string, short_description string").json(path)
+    return rows.select(F.col("headline").alias("title"), F.concat_ws(" ", "headline", "short_description").alias("text"))
+
+
+def read_news_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """CSV with a header and texts that span lines: title, text, site_name, date. Rows without a date are dropped."""
+    names = columns or {"title": "title", "text": "content", "site_name": "publication", "date": "date"}
+    rows = spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"').csv(path)
+    return rows.select(*[F.col(c).alias(k) for k, c in names.items()]).where(F.coalesce(F.col("date"), F.lit("")).rlike(r"\d{4}-\d{2}-\d{2}"))
+
+
+def read_text_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """A file for each text, folders for rubrics: file_name, text with blanks for line ends."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.col("path").alias("file_name"), F.translate(F.col("content").cast("string"), "\n", " ").alias("text"))

@@ -55,3 +55,38 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 def write_markup(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", "true").option("sep", "\t").csv(path)
+
+
+def _escaped(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def rubric_pages(rows: DataFrame) -> DataFrame:
+    """rows: lang, category, rank, title, articles (array of urls). A page for each language and category: lang, category, html."""
+    items = F.concat_ws("", F.transform("articles", lambda u: F.concat(F.lit('<li><a href="'), _escaped(u), F.lit('">'), _escaped(u), F.lit("</a></li>"))))
+    block = F.concat(F.lit("<h2>"), _escaped(F.coalesce("title", F.lit(""))), F.lit("</h2><ul>"), items, F.lit("</ul>"))
+    parts = rows.select("lang", "category", F.struct("rank", block.alias("b")).alias("x")).groupBy("lang", "category").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    head = F.concat(F.lit('<html><head><meta charset="utf-8"><title>'), _escaped(F.col("category")), F.lit("</title></head><body>"))
+    return parts.select("lang", "category", F.concat(head, F.concat_ws("\n", F.transform("x", lambda v: v["b"])), F.lit("</body></html>")).alias("html"))
+
+
+def metrics_page(report: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """One row, html: a class report as a table, and the errors (any columns) as another."""
+
+    def rows(df: DataFrame, order: list) -> DataFrame:
+        cells = F.concat_ws("", *[F.concat(F.lit("<td>"), _escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in df.columns])
+        head = "<table><tr>" + "".join(f"<th>{c}</th>" for c in df.columns) + "</tr>"
+        made = df.select(F.struct(*order, F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("b")).alias("x"))
+        return made.agg(F.concat(F.lit(head), F.concat_ws("", F.transform(F.array_sort(F.collect_list("x")), lambda v: v["b"])), F.lit("</table>")).alias("t"))
+
+    tables = rows(report, [report.columns[0]])
+    if errors is not None:
+        tables = tables.join(rows(errors, errors.columns).select(F.col("t").alias("e")), F.lit(True))
+    return tables.select(F.concat(F.lit('<html><head><meta charset="utf-8"></head><body>'), *tables.columns, F.lit("</body></html>")).alias("html"))
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """A text file under a folder for each language and category."""
+    pages.select("lang", "category", F.col("html").alias("value")).write.mode("overwrite").partitionBy("lang", "category").text(path)
