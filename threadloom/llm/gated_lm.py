@@ -45,8 +45,8 @@ EPOCHS, STREAMS, STEPS, RATE = 3, 64, 24, 0.01
 WIDE = 256
 FOLDS, HELD_OUT = 10, 0
 _FLUSH = 300_000
-_SIDE = 512
-_SLICE = 2048
+_SIDE = 1024
+_HELD = 2_000_000
 _BLOCK = 8192
 
 
@@ -66,13 +66,23 @@ class GatedNet:
             weights = {"x": draw(classes * size, 3 * hidden), "u": draw(hidden, 3 * hidden), "wc": draw(hidden, classes), "bc": np.zeros(classes, np.float32), "ww": draw(classes, size, hidden), "bw": np.zeros((classes, size), np.float32)}
         self.w = weights
 
-    def step(self, ids: np.ndarray, state: np.ndarray, keep: bool = False):
+    def step(self, ids: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The states after the ids. Gates are made in place: most of the time goes to passes over memory."""
         n, g, u = self.h, self.w["x"][ids], state @ self.w["u"]
-        zr = 1 / (1 + np.exp(-(g[:, : 2 * n] + u[:, : 2 * n])))
-        z, r = zr[:, :n], zr[:, n:]
-        new = np.tanh(g[:, 2 * n :] + r * u[:, 2 * n :])
-        out = new + z * (state - new)
-        return (out, (z, r, new, u[:, 2 * n :])) if keep else out
+        zr = u[:, : 2 * n]
+        zr += g[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        new = u[:, 2 * n :]
+        new *= zr[:, n:]
+        new += g[:, 2 * n :]
+        np.tanh(new, out=new)
+        out = state - new
+        out *= zr[:, :n]
+        out += new
+        return out
 
     def start(self, n: int) -> np.ndarray:
         """The state after an end mark, before a document's first word."""
@@ -407,8 +417,26 @@ def score_texts(docs: DataFrame, train: DataFrame, head: int = HEAD, sample_toke
         known, ids, weights = shared.value
         net = GatedNet(classes=size, size=size, weights=weights)
         logs = {t: (float(np.log10(c + SMOOTH)), ids.get(t, 1)) for t, c in known.items()}
-        # In slices: what a task holds beside the batch does not follow the batch's size.
-        for batch in (b.slice(i, _SLICE) for b in batches for i in range(0, b.num_rows, _SLICE)):
+
+        # In slices of about _HELD tokens: enough texts of a length side by side, and what a task holds does not follow the batch.
+        def sliced(batch):
+            held = 0
+            for i, text in enumerate(batch.column("text")):
+                held += 1 + (len(text.as_buffer()) // 6 if text.is_valid else 0)
+                if held >= _HELD:
+                    yield i + 1
+                    held = 0
+            yield batch.num_rows
+
+        def slices():
+            for batch in batches:
+                at = 0
+                for end in sliced(batch):
+                    if end > at:
+                        yield batch.slice(at, end - at)
+                    at = end
+
+        for batch in slices():
             rows, seqs = [], []
             for text in batch.column("text"):
                 words = tokens_of(text.as_py())
@@ -425,7 +453,7 @@ def score_texts(docs: DataFrame, train: DataFrame, head: int = HEAD, sample_toke
                         hits += 1
                         if got[1] == 1:
                             split += got[0]
-                ids_ = np.array(seq, np.int64)
+                ids_ = np.array(seq, np.int32)
                 seqs.append(ids_)
                 rows.append((len(words), hits, base, split, int(np.count_nonzero(ids_ == 1)), found))
             scores = net.score(seqs)
