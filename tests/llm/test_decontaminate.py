@@ -53,6 +53,8 @@ def test_blocks_change_nothing(spark, data):
     docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(map(tuple, d.find_leaks(docs, items).collect()))
     assert one == sorted(map(tuple, d.find_leaks(docs, items, block_bytes=900).collect())) and one
+    kept = {r["doc_id"] for r in d.drop_contaminated(docs, items).collect()}
+    assert kept == {r["doc_id"] for r in d.drop_contaminated(docs, items, block_bytes=900).collect()} == {r["doc_id"] for r in docs.collect()} - {r[0] for r in one}
     # Brute force: every document against every item.
     want = set()
     rows = [(r["item_id"], d.tokens_of(r["text"])) for r in items.collect()]

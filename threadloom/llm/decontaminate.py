@@ -6,7 +6,8 @@ left; the length to mark next is found by bisection with running Karp-Rabin hash
 share of the item's tokens under tiles is its coverage; tiles may lie in any order, so reordered passages count.
 
 Scale: the benchmark is the stated query set and is read in blocks of at most about ``block_bytes`` of text; each block
-is one pass over the documents, without a shuffle, and its index is all that a task holds. Documents are never grouped.
+is one pass over the documents, without a shuffle. A block's rows are broadcast, its index is all that a task holds, and where
+there are several its findings are written and the block is released before the next one is read. Documents are never grouped.
 An item is skipped before tiling only if the tokens under shared seeds could not reach the coverage: an upper bound.
 
 Defined cases: tokens are lower-cased runs of letters, digits and underscores. Null or empty texts have none and match
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -168,62 +169,70 @@ class Index:
         return out
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark's rows, block by block; a block is what the driver holds at a time."""
+def _blocks(items: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple]]]:
+    """How many blocks the benchmark's rows make, and the blocks; one is what the driver holds at a time."""
     items = items.select("item_id", "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = [(r[0], r[1]) for r in part.collect()]
-        if rows:
-            yield rows
+    parts = (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n))
+    return n, ([(r[0], r[1]) for r in part.collect()] for part in parts)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs: doc_id, text. items: item_id, text. Returns a row for each pair whose coverage is reached: doc_id, item_id,
-    item_tokens, n_tiles, matched, coverage."""
-    key = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {key}, item_id {dict(items.dtypes)['item_id']}, item_tokens long, n_tiles long, matched long, coverage double"
-    names = ["doc_id", "item_id", "item_tokens", "n_tiles", "matched", "coverage"]
+def _found(docs: DataFrame, items: DataFrame, min_match: int, coverage: float, block_bytes: int) -> DataFrame:
+    """A row for each pair whose coverage is reached, with the hash of the document's text besides."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def scan(rows):
+    spark = docs.sparkSession
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, _th long, item_id {dict(items.dtypes)['item_id']}, item_tokens long, n_tiles long, matched long, coverage double"
+    found = spark.createDataFrame([], schema)
+    names, types = found.columns, [to_arrow_type(f.dataType) for f in found.schema]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
+
+    def scan(block):
         def run(batches):
-            index = Index(rows, min_match)
+            index = Index(block.value, min_match)
             for batch in batches:
                 cols: list[list] = [[] for _ in names]
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                for doc, th, text in zip(batch.column("doc_id").to_pylist(), batch.column("_th").to_pylist(), batch.column("text"), strict=True):
                     for item, n, tiles, matched in index.matches(text.as_py(), coverage):
-                        for c, v in zip(cols, (doc, item, n, tiles, matched, matched / n), strict=True):
+                        for c, v in zip(cols, (doc, th, item, n, tiles, matched, matched / n), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
         return run
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    found = docs.sparkSession.createDataFrame([], schema)
-    types = [to_arrow_type(f.dataType) for f in found.schema]
-    parts = [docs.select("doc_id", "text").mapInArrow(scan(rows), schema) for rows in _blocks(items, block_bytes)]
-    for k, part in enumerate(parts):
-        found = part if k == 0 else found.unionByName(part)
+    n, blocks = _blocks(items, block_bytes)
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
+        part = rows.mapInArrow(scan(shared), schema)
+        if n == 1:
+            return part
+        found = found.unionByName(cut(part))
+        shared.destroy()
     return found
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without those that cover an item; all columns pass through. No shuffle: each block filters in place."""
+def find_leaks(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs: doc_id, text. items: item_id, text. Returns a row for each pair whose coverage is reached: doc_id, item_id,
+    item_tokens, n_tiles, matched, coverage."""
+    return _found(docs, items, min_match, coverage, block_bytes).drop("_th")
 
-    def keep(rows):
-        def run(batches):
-            index = Index(rows, min_match)
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without those that cover an item; all columns pass through. One block filters in place, without a shuffle; with
+    several, the findings of all leave by id and text."""
+    n, blocks = _blocks(items, block_bytes)
+    if n == 1:
+        block = docs.sparkSession.sparkContext.broadcast(next(blocks))
+
+        def keep(batches):
+            index = Index(block.value, min_match)
             for batch in batches:
                 yield batch.filter(pa.array([not index.matches(t.as_py(), coverage) for t in batch.column("text")], pa.bool_()))
 
-        return run
-
-    for rows in _blocks(items, block_bytes):
-        docs = docs.mapInArrow(keep(rows), docs.schema)
-    return docs
+        return docs.mapInArrow(keep, docs.schema)
+    gone = _found(docs, items, min_match, coverage, block_bytes).select(F.col("doc_id").alias("__gone_id"), F.col("_th").alias("__gone_th")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(docs["text"]) == gone["__gone_th"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
