@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next
 one. All but the last return the columns of ``documents``. Null texts and texts without words pass through the first
-four stages; the mix takes none of their (zero) words.
+four stages; the mix takes none of their (zero) words. Null ids and sources stay. Repeated rows are copies of each other, so
+one of them stays after the second stage; of rows alike in id and text but not in other columns it is any one. Ties between
+copies: the least id stays; ties in the mix: by id, then size. Texts are read whole at any length. Empty table: no rows.
+Further columns pass through, whatever their names; names that start with ``__pii_`` or ``__corpus_`` are taken.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets replaced by their kind; n_chars follows the text where it changed."""
-    out = pii.redact(docs.withColumn("__before", F.length("text")))
-    changed = F.length("text") != F.col("__before")
+    out = pii.redact(docs.withColumn("__corpus_before", F.length("text")))
+    changed = F.length("text") != F.col("__corpus_before")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -42,9 +45,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with size, source_size, target, epochs, drawn and taken. A document's quality weight
     is two for lines that pass the quality rules, down to a half for none."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    scored = docs.withColumn("__lines", lines)
-    good = F.size(F.filter("__lines", lambda x: ~quality.line_fails(x)))
-    weight = 0.5 + 1.5 * good / F.greatest(F.size("__lines"), F.lit(1))
+    scored = docs.withColumn("__corpus_lines", lines)
+    good = F.size(F.filter("__corpus_lines", lambda x: ~quality.line_fails(x)))
+    weight = 0.5 + 1.5 * good / F.greatest(F.size("__corpus_lines"), F.lit(1))
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
     return mixing.mix(scored, word_count(F.col("text")), weight, carry=carry).where("taken > 0")
 
