@@ -19,11 +19,12 @@ to be sorted; instead they are dealt into suffix buckets by content, and one buc
 The same runs over words in place of bytes, each word as a 64-bit hash, for passages of ``words`` words or more (51: over 50)
 that another document holds too, blanks aside. Many of these are under ``width`` bytes, so they are told, not removed.
 
-Scale: the texts are cut twice, first to count buckets, then to keep the segments of those that hold several; a bitmap of
-``BITS`` bits at most goes to the tasks for that, and where it is too small for the corpus, an exact join does what it lets
-pass. Sorted buckets ask once more for their segments' bytes. Whole copies of a document are told from their 128-bit hash, and
-folded in each task before anything is shuffled. Counts are combined before shuffles, and joins with a hot passage read written
-tables, so that Spark can split them. Nothing is collected but that bitmap.
+Scale: the texts are cut twice, first to count buckets, then to keep the segments of those that hold several. Sorted buckets ask
+once more for their segments' bytes, and texts that lose something are read again. What goes on to the exact join in each case
+is chosen by a bitmap of ``BITS`` bits at most, which goes to the tasks; on a corpus that fills it, more rows are shuffled and
+the result is the same. Whole copies of a document are told from their 128-bit hash, folded in each task before anything is
+shuffled, and one of them is asked for bytes. Counts are combined before shuffles, and joins with a hot passage read written
+tables, so that Spark can split them. Nothing is collected but those bitmaps.
 Segments count as alike by 64-bit hashes within a 64-bit bucket at one distance and length; short of such a collision,
 results are exact.
 
@@ -47,7 +48,8 @@ from .common import cut, table, word_count
 WIDTH, WORDS = 400, 51
 PERIOD = 32
 CHUNK = 1 << 20
-MOST = 1000
+#: A bucket to sort takes about 30 kB a segment.
+MOST = 4000
 SPLIT = 8
 #: A multiple of 2 ** 15; the bitmap takes an eighth of it in bytes.
 BITS = 1 << 27
@@ -191,8 +193,7 @@ def _cut_segments(kinds: tuple[Kind, ...], met=None):
         fp = _mix(fp + np.uint64(kind.number))
         if met is None:
             return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], ["fp"])
-        bit = fp & np.uint64(8 * len(met.value) - 1)
-        ok = (met.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        ok = _among(fp, met.value)
         own, first, last, anchor, fp, seg = (x[ok] for x in (own, first, last, anchor, fp, seg))
         row, shift = np.array([x[0] for x in part])[own], (np.array([x[1] for x in part]) - starts[:-1])[own]
         return _batch([np.full(len(own), kind.number, np.int8), keys.take(pa.array(row)), *((x + shift).astype(np.int32) for x in (first, last, anchor)), fp.view(np.int64), seg.view(np.int64), np.ones(len(own), np.int64)])
@@ -222,15 +223,32 @@ def _cut_segments(kinds: tuple[Kind, ...], met=None):
     return run
 
 
-def _bitmap(met: DataFrame) -> np.ndarray:
-    """Bits of the buckets in ``met``, by the lower bits of their hash: about sixteen for each of them, ``BITS`` at most."""
-    bits = min(BITS, 1 << max(15, (16 * met.count()).bit_length()))
-    at = F.col("fp").bitwiseAND(bits - 1)
-    rows = met.groupBy(F.shiftright(at, 15).cast("int").alias("k")).agg(F.bitmap_construct_agg(at.bitwiseAND((1 << 15) - 1)).alias("b")).collect()
+def _among(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    bit = hashes & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _bitmap(hashes: DataFrame):
+    """A broadcast of the bits of the hashes in the only column, by their lower bits: about sixteen for each, ``BITS`` at most."""
+    bits = min(BITS, 1 << max(15, (16 * hashes.count()).bit_length()))
+    at = F.col(hashes.columns[0]).bitwiseAND(bits - 1)
+    rows = hashes.groupBy(F.shiftright(at, 15).cast("int").alias("k")).agg(F.bitmap_construct_agg(at.bitwiseAND((1 << 15) - 1)).alias("b")).collect()
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:
         out[r["k"] << 12 : (r["k"] + 1) << 12] = np.frombuffer(bytes(r["b"]), np.uint8)
-    return out
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def _texts(source: DataFrame, asked: DataFrame) -> DataFrame:
+    """source: key, row, text. asked: row and more, a row for each text that is asked for. Their join; other texts end in the
+    tasks that read them."""
+    bitmap = _bitmap(asked.select("row"))
+
+    def only(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_among(batch.column("row").to_numpy().view(np.uint64), bitmap.value)))
+
+    return source.mapInArrow(only, source.schema).join(asked, "row")
 
 
 def _ranks(words: np.ndarray) -> np.ndarray:
@@ -420,13 +438,13 @@ def _strip(width: int):
     return run
 
 
-def repeated_spans(source: DataFrame, kinds: tuple[Kind, ...], most: int = MOST) -> list[DataFrame]:
-    """source: key (of the text), text. Spans (kind, key, first window, last window) of the windows that repeat, in tables to be
+def repeated_spans(source: DataFrame, reps: DataFrame, kinds: tuple[Kind, ...], most: int = MOST) -> list[DataFrame]:
+    """source: key (of the text), row, text. reps: key, row of one of the texts with it. Spans (kind, key, first window, last window) of the windows that repeat, in tables to be
     united: of bytes (kind 0) if they start anywhere else, of words (kind 1) if another text holds them. Copies of a text count
     as one; a text's spans may come several times and overlap."""
     several = lambda rows: cut(rows.groupBy("fp").agg(F.count("*").alias("_n")).where("_n > 1").select("fp"))
     met = several(source.mapInArrow(_cut_segments(kinds), "fp long"))
-    runs = cut(source.mapInArrow(_cut_segments(kinds, source.sparkSession.sparkContext.broadcast(_bitmap(met))), ", ".join(_RUN)))
+    runs = cut(source.mapInArrow(_cut_segments(kinds, _bitmap(met)), ", ".join(_RUN)))
     spans, level = [], 0
     while True:
         # Written, so that joins read two exchanges and Spark can split the hash of a very common passage.
@@ -443,7 +461,8 @@ def repeated_spans(source: DataFrame, kinds: tuple[Kind, ...], most: int = MOST)
         # Words may come again in their own text alone: then each place is asked for.
         own = cut(asked.where("kind = 1 and n = 1").select(*same, "n", "_d").join(runs.select(*same, "kind", "key", "first", "last", "anchor"), same))
         asked = asked.where("kind = 0 or n > 1").unionByName(own).drop("_off", "_len")
-        per_text = lambda rows: source.join(rows.groupBy("key").agg(F.collect_list(F.struct("kind", "fp", "seg", "n", "first", "last", "anchor")).alias("asked")), "key")
+        listed = lambda rows: rows.groupBy("key").agg(F.collect_list(F.struct("kind", "fp", "seg", "n", "first", "last", "anchor")).alias("asked"))
+        per_text = lambda rows: _texts(source, cut(listed(rows).join(reps, "key").select("row", "asked")))
         small = per_text(asked.where(F.col("_d") <= most)).mapInArrow(_fetch(kinds), "fp long, seg long, kind byte, n long, offset int, key binary, first int, content binary")
         spans.append(cut(small.repartition("fp").sortWithinPartitions("fp").mapInArrow(_sort_buckets(kinds), _SPAN)))
         large = asked.where(F.col("_d") > most)
@@ -463,19 +482,22 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, words: int = WORDS, most
     kinds = (Kind(0, width, max(1, width // 5), 1), Kind(1, words, max(1, words // 10), 8))
     text = F.coalesce("text", F.lit(""))
     key = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(text, *x)), 16, "0") for x in ((), (F.lit(1),))]))
-    keyed = docs.select("doc_id", key.alias("key"), text.alias("text"))
-    told = cut(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), word_count(F.col("text")).alias("_words"), F.sha2(F.col("text").cast("binary"), 256).alias("_sha")))
+    keyed = docs.select("doc_id", key.alias("key"), text.alias("text")).withColumn("row", F.xxhash64("key", "doc_id"))
+    told = cut(keyed.select("doc_id", "key", "row", F.octet_length("text").cast("long").alias("n_bytes"), word_count(F.col("text")).alias("_words"), F.sha2(F.col("text").cast("binary"), 256).alias("_sha")))
     # A word and a blank for each place of a window, at least.
-    source = keyed.where(F.octet_length("text") >= min(width, 2 * words - 1)).select("key", "text")
-    parts = repeated_spans(source, kinds, most)
+    source = keyed.where(F.octet_length("text") >= min(width, 2 * words - 1)).select("key", "row", "text")
+    # Of the copies of a text, one stands for all.
+    reps = cut(told.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("_c")))
+    parts = repeated_spans(source, reps.select("key", "row"), kinds, most)
     spans = parts[0]
     for x in parts[1:]:
         spans = spans.unionByName(x)
-    copies = told.groupBy("key").agg(F.count("*").alias("_c")).where("_c > 1").select("key")
+    copies = reps.where("_c > 1").select("key")
     # Documents whose text occurs again go as a whole; the others are read once more where they lose something.
     # Sets first: copies bring the same spans under one key, and partial sets fold them before the shuffle.
     per_text = cut(spans.groupBy("key", "kind").agg(F.collect_set(F.struct("first", "last")).alias("spans")).join(copies, "key", "left_anti"))
-    stripped = source.join(per_text.where("kind = 0").select("key", "spans"), "key").mapInArrow(_strip(width), "key binary, n_removed long, n_spans long, kept_sha256 string")
+    lost = cut(per_text.where("kind = 0").join(reps, "key").select("row", "spans"))
+    stripped = _texts(source, lost).mapInArrow(_strip(width), "key binary, n_removed long, n_spans long, kept_sha256 string")
     begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("runs"))
     upto = lambda s: s["last"] + words
     step = lambda a, s: F.struct(F.greatest(a["end"], upto(s)).alias("end"), (a["n"] + F.greatest(upto(s) - F.greatest(a["end"], s["first"]), F.lit(0))).alias("n"), (a["runs"] + ((a["runs"] == 0) | (s["first"] > a["end"])).cast("long")).alias("runs"))
@@ -486,7 +508,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, words: int = WORDS, most
     gone, none = F.coalesce("_gone", F.lit(False)), F.lit(0).cast("long")
     whole = gone & (F.col("n_bytes") >= width)
     copied = gone & (F.col("_words") >= words)
-    return told.join(known, "key", "left").select(
+    return told.drop("row").join(known, "key", "left").select(
         "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", none)).alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
