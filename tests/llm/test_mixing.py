@@ -68,3 +68,26 @@ def test_quality_weighs(spark, docs_of):
     rows = m.mix(df, m.word_count(F.col("text")), F.when(F.col("doc_id") % 2 == 0, 2.0).otherwise(0.5)).where("source = 'b'").collect()
     good, bad = ([r["drawn"] for r in rows if r["doc_id"] % 2 == k] for k in (0, 1))
     assert 0 < sum(bad) < 0.6 * sum(good)
+
+
+def test_selection_like_sorting_by_key(spark, docs_of):
+    """Within a source, by key and then id: whole prefixes are drawn, and the one that crosses the budget if that ends nearer."""
+    df = docs_of([prose(k, 5 + k % 40) for k in range(250)], sources=["a" if k % 3 else "b" for k in range(250)])
+    n, weight = m.word_count(F.col("text")), F.when(F.col("doc_id") % 4 == 0, 2.0).otherwise(1.0)
+    key = F.lit(-1.0) * F.log(m.unit(F.lit(17), F.col("doc_id"), n.cast("long"))) / weight
+    keys = {r["doc_id"]: r["k"] for r in df.select("doc_id", key.alias("k")).collect()}
+    rows = m.mix(df, n, weight).collect()
+    for source in "ab":
+        own = sorted((r for r in rows if r["source"] == source), key=lambda r: (keys[r["doc_id"]], r["doc_id"], r["size"]))
+        budget, total = own[0]["target"] - own[0]["epochs"] * own[0]["source_size"], 0
+        for r in own:
+            after = total + r["size"]
+            assert r["drawn"] == (after <= budget or (total < budget and after - budget <= budget - total))
+            total = after
+
+
+def test_very_long_texts_and_clashing_names(spark, docs_of):
+    df = docs_of(["w " * 300_000, prose(1, 30), None], sources=["a", "a", None]).withColumnsRenamed({"key": "_k", "score": "target"})
+    rows = {r["doc_id"]: r for r in m.mix(df, m.word_count(F.col("text")), F.lit(1.0), carry=("_k", "target", "lang")).collect()}
+    assert rows[0]["size"] == 300_000 and rows[0]["_k"] == "k" and rows[0]["lang"] == "en" and rows[2]["taken"] == 0
+    assert rows[0]["target"] == rows[1]["target"] != 0.5

@@ -42,3 +42,18 @@ def test_run_over_tables_and_nothing(spark, data, docs_of, tmp_path):
     docs = docs_of([]).select("doc_id", "text", "lang", "source", "n_chars")
     where = _tables(spark, tmp_path, docs, spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert p.run(spark, where).count() == 0
+
+
+def test_clashing_names_and_repeated_rows(spark, docs_of, tmp_path):
+    """Extra columns with names like the stages' own pass through; of repeated rows one stays."""
+    texts = [prose(k, 50) for k in range(12)] + [prose(3, 50)]
+    docs = docs_of(texts).withColumnsRenamed({"size": "__before", "score": "__lines", "key": "_th"}).unionByName(docs_of(texts[:2]).withColumnsRenamed({"size": "__before", "score": "__lines", "key": "_th"}))
+    where = _tables(spark, tmp_path, docs, spark.createDataFrame([(1, prose(700, 40))], "item_id long, text string"), spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int"))
+    at = docs
+    for name, stage in p.STAGES:
+        at = stage(spark, at, where)
+        if name != "mixing":
+            assert at.columns == docs.columns
+        if name == "pii":
+            assert sorted(r["doc_id"] for r in at.collect()) == list(range(12))
+    assert all(r["_th"] == "k" and r["__lines"] == 0.5 for r in at.collect())

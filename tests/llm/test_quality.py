@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from threadloom.llm import quality as q
 
 from .conftest import prose
@@ -41,3 +43,16 @@ def test_empty_and_native(spark, nothing, edge):
     assert q.judge(nothing).count() == 0
     plan = q.judge(edge)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Exchange"))
+
+
+def test_clashing_names_and_the_share_lost(spark, docs_of):
+    """``kept`` and ``n_lost_chars`` from the lines one by one; columns of other names, the like of ours included, pass through."""
+    texts = [prose(k, 40) + "\nHome\n" * (k % 4) + "| a | b | c |\n" * (k % 5) + prose(k + 50, 30) for k in range(20)] + [None, "", "Home\n" * 30]
+    df = docs_of(texts).withColumnsRenamed({"size": "_words", "score": "_order", "key": "_lines", "n_chars": "kept"})
+    fails = {r["line"]: r["f"] for r in spark.createDataFrame([(x,) for t in texts if t for x in t.split("\n")], "line string").distinct().select("line", q.line_fails(F.col("line")).alias("f")).collect()}
+    got = {r["doc_id"]: r for r in q.judge(df).collect()}
+    for k, text in enumerate(texts):
+        lines = [x for x in (text or "").split("\n") if x.strip()]
+        lost, every = sum(len(x) for x in lines if fails[x]), sum(map(len, lines))
+        assert got[k]["n_lost_chars"] == lost and got[k]["kept"] == (not brute(text)[5] and lost <= 0.5 * every)
+        assert (got[k]["_words"], got[k]["_order"], got[k]["_lines"]) == (k, 0.5, "k")

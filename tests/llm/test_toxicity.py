@@ -1,7 +1,10 @@
 import random
+import re
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from threadloom.llm import toxicity as t
 
@@ -52,6 +55,47 @@ def test_ftrl_by_hand():
     assert len(t.ftrl([(np.array([5]), 1)], 4, epochs=1, l1=1.0)[0]) == 0
 
 
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2):
+    """The update one coordinate at a time, in dictionaries."""
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for features, y in rows:
+            w = {i: weight(i) for i in features}
+            b = -bz / ((beta + bn**0.5) / alpha + 1e-3)
+            p = 1 / (1 + np.exp(-min(max(sum(w.values()) + b, -35), 35)))
+            g = p - y
+            for i in features:
+                old = n.get(i, 0.0)
+                s = ((old + g * g) ** 0.5 - old**0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - s * w[i], old + g * g
+            s = ((bn + g * g) ** 0.5 - bn**0.5) / alpha
+            bz, bn = bz + g - s * b, bn + g * g
+    return {i: weight(i) for i in z if weight(i)}, -bz / ((beta + bn**0.5) / alpha + 1e-3)
+
+
+def test_model_and_scores_like_a_plain_loop(spark, docs_of):
+    """Words, neighbours and skip-grams by name, the update by coordinate, scores by summing."""
+    texts, marks = corpus(120)
+    df = docs_of(texts)
+    labels = spark.createDataFrame([(k, m) for k, m in enumerate(marks)], "doc_id long, toxic int")
+    order = [r["doc_id"] for r in labels.select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("h")).orderBy("h").collect()]
+    features = t.Features(t.BITS)
+    of = lambda text: sorted(set(features(text).tolist()))
+    words = texts[0].split()
+    assert len(features(texts[0])) == sum(len(re.findall(r"\w+", texts[0])) - gap for gap in range(4)) and words
+    want, b = plain_ftrl([(of(texts[k]), marks[k]) for k in order], t.EPOCHS, t.ALPHA, t.BETA, 2.0, t.L2)
+    model = t.train(df, labels, l1=2.0)
+    assert dict(zip(model[0].tolist(), model[1].tolist(), strict=True)) == pytest.approx(want) and model[2] == pytest.approx(b) and want
+    for r in t.score(df, model).collect():
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(sum(want.get(i, 0.0) for i in of(texts[r["doc_id"]])) + b))), abs=1e-5)
+
+
 def test_edges(spark, edge, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = t.train(edge, none)

@@ -8,7 +8,8 @@ reruns and recomputed tasks agree.
 Scale: a source may hold a third of all rows, so no source is sorted in one task. Keys are cut into ``bins`` slices; the
 prefix sums over a source's slices are over at most ``bins`` rows, and rows are sorted within (source, slice) only.
 
-Defined cases: null text or no words: size 0, nothing taken. Null source: a source of its own, last in order. Null or
+Defined cases: null text or no words: size 0, nothing taken. Texts are counted whole at any length. Carried columns may have any
+name; those named like a column of the result are left out. Null source: a source of its own, last in order. Null or
 non-positive weight: 1. Equal keys: ordered by id, then size; repeated rows are separate documents. Empty table: no rows.
 """
 

@@ -8,7 +8,8 @@ sorting window hashes within the row, and only in rows where a hash set shows th
 
 Defined cases: null or blank text: all counts 0, fails the base rule, cleaned text empty. Lines without a word are
 neither kept nor lost. Texts of any length are read whole. Repeated rows are judged each. Empty table: no rows. Other
-columns of the input pass through; names made here start with ``n_`` or are listed in ``judge``.
+columns of the input pass through; those named like a result of ``judge`` give way to it, and names that start with ``__quality_``
+are taken.
 """
 
 from __future__ import annotations
@@ -73,32 +74,32 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST, clean: bool = False) -> D
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_chars, base_failed, kept; with ``clean``,
     cleaned_text too. The input needs a text column."""
     text = F.coalesce("text", F.lit(""))
-    n = F.size("_hashes")
+    n = F.size("__quality_hashes")
     pairs = lambda a, k: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - k, F.lit(0))), F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0))), lambda x, y: F.xxhash64(x, y))
     # Each layer is used several times by the next one, so that the optimizer keeps them apart and computes each once.
-    zero = docs.withColumns({"_words": F.filter(F.split(text, BLANK), lambda w: w != ""), "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    one = zero.withColumns({"_hashes": F.transform("_words", lambda w: F.xxhash64(w)), "word_chars": F.length(F.array_join("_words", "")).cast("long")}).drop("_words")
+    zero = docs.withColumns({"__quality_words": F.filter(F.split(text, BLANK), lambda w: w != ""), "__quality_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    one = zero.withColumns({"__quality_hashes": F.transform("__quality_words", lambda w: F.xxhash64(w)), "word_chars": F.length(F.array_join("__quality_words", "")).cast("long")}).drop("__quality_words")
     twos = one.withColumns({
         "n_words": n,
         # Hashes of 8 words, by doubling: of 2, of 4, of 8.
-        "_twos": pairs(F.col("_hashes"), 1),
-        "_good": F.filter("_lines", lambda x: ~line_fails(x)),
+        "__quality_twos": pairs(F.col("__quality_hashes"), 1),
+        "__quality_good": F.filter("__quality_lines", lambda x: ~line_fails(x)),
         "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_chars": F.length(F.array_join("_lines", "")),
-    }).drop("_hashes", "_lines")
-    two = twos.withColumn("_fours", pairs(F.col("_twos"), 2)).drop("_twos").withColumn("_windows", pairs(F.col("_fours"), 4)).drop("_fours")
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
+        "n_dup_lines": (F.size("__quality_lines") - F.size(F.array_distinct("__quality_lines"))).cast("long"),
+        "__quality_chars": F.length(F.array_join("__quality_lines", "")),
+    }).drop("__quality_hashes", "__quality_lines")
+    two = twos.withColumn("__quality_fours", pairs(F.col("__quality_twos"), 2)).drop("__quality_twos").withColumn("__quality_windows", pairs(F.col("__quality_fours"), 4)).drop("__quality_fours")
+    repeats = F.size(F.array_distinct("__quality_windows")) < F.size("__quality_windows")
     three = two.withColumns({
-        "_order": F.when(repeats, F.array_sort(F.transform("_windows", lambda h, p: F.struct(h.alias("h"), p.alias("p"))))),
-        "n_lost_chars": (F.col("_chars") - F.length(F.array_join("_good", ""))).cast("long"),
-    }).drop("_windows")
-    four = three.withColumns({"n_repeat_words": F.coalesce(_covered(F.col("_order")), F.lit(0)).cast("long"), "n_words": F.col("n_words").cast("long")})
+        "__quality_order": F.when(repeats, F.array_sort(F.transform("__quality_windows", lambda h, p: F.struct(h.alias("h"), p.alias("p"))))),
+        "n_lost_chars": (F.col("__quality_chars") - F.length(F.array_join("__quality_good", ""))).cast("long"),
+    }).drop("__quality_windows")
+    four = three.withColumns({"n_repeat_words": F.coalesce(_covered(F.col("__quality_order")), F.lit(0)).cast("long"), "n_words": F.col("n_words").cast("long")})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = four.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_lost_chars") <= max_lost * F.col("_chars")))
+    out = four.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_lost_chars") <= max_lost * F.col("__quality_chars")))
     if clean:
-        out = out.withColumn("cleaned_text", F.array_join("_good", "\n"))
-    return out.drop("_order", "_good", "_chars")
+        out = out.withColumn("cleaned_text", F.array_join("__quality_good", "\n"))
+    return out.drop("__quality_order", "__quality_good", "__quality_chars")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
