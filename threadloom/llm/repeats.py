@@ -319,9 +319,16 @@ def _runs(flags: np.ndarray):
     return edge[::2], edge[1::2] - 1
 
 
+def _slices(batches, rows: int = 128):
+    """Small parts of batches: what is made of a row may be many times its size."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _contents(batches, kinds: tuple[Kind, ...]):
     """Of texts with asked segments: (key, segment, content) one by one."""
-    for batch in batches:
+    for batch in _slices(batches):
         for key, text, asked in zip(batch.column("key"), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
             buffers: dict[int, memoryview] = {}
             for r in asked:
@@ -337,12 +344,16 @@ def _fetch(kinds: tuple[Kind, ...]):
     types = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
-        for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            for key, r, content in _contents([batch], kinds):
-                for c, v in zip(cols, (r["fp"], r["seg"], r["kind"], r["n"], r["first"] - r["anchor"], key, r["first"], content), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+        cols: list[list] = [[] for _ in names]
+        size, made = 0, lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+        for key, r, content in _contents(batches, kinds):
+            for c, v in zip(cols, (r["fp"], r["seg"], r["kind"], r["n"], r["first"] - r["anchor"], key, r["first"], content), strict=True):
+                c.append(v)
+            size += len(content)
+            if size >= CHUNK:
+                yield made()
+                cols, size = [[] for _ in names], 0
+        yield made()
 
     return run
 
@@ -400,7 +411,7 @@ def _sort_buckets(kinds: tuple[Kind, ...]):
 
     def run(batches):
         rows, size = [], 0
-        for batch in batches:
+        for batch in _slices(batches, 1000):
             for r in batch.to_pylist():
                 if size >= CHUNK and r["fp"] != rows[-1]["fp"]:
                     yield solve(rows)
@@ -417,8 +428,8 @@ def _strip(width: int):
     names = ["key", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches):
-        for batch in batches:
-            cols: list[list] = [[] for _ in names]
+        for batch in _slices(batches):
+            cols: list[list] = [[] for _ in names]  # of a slice
             for key, text, spans in zip(batch.column("key"), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 data, at, gone, runs, left = text.as_buffer(), 0, 0, 0, hashlib.sha256()
                 end = -1
