@@ -16,7 +16,8 @@ that meets in several buckets counts in the first. Blocks give out link counts a
 Defined cases: texts under five words are one shingle of all their words; null texts and texts without words have no
 shingles, link to nothing and are classes of their own (id: their own doc_id). Copies link to each other, repeated rows
 included. Null doc_id: joined by text alike; ids of classes are the least non-null doc_id. Texts are hashed whole. Empty
-table: no rows. Other columns pass through ``keep_one``.
+table: no rows. Other columns pass through ``keep_one``, but names that start with ``__near_`` are taken; of rows alike in id and
+text but not in other columns, any one stays.
 """
 
 from __future__ import annotations
@@ -292,10 +293,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class (the one with the least doc_id) and all documents without words."""
     _, classes = join(docs, threshold)
-    stay = classes.select(F.col("class_id").alias("__id"), F.col("_th").alias("__stay"))
-    rows = docs.withColumn("__th", F.xxhash64("text"))
+    stay = classes.select(F.col("class_id").alias("__near_id"), F.col("_th").alias("__near_th"))
+    rows = docs.withColumn("__near_hash", F.xxhash64("text"))
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = rows.where(~blank).join(stay, rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__th"] == stay["__stay"])).dropDuplicates(["__id", "__stay"])
+    kept = rows.where(~blank).join(stay, rows["doc_id"].eqNullSafe(stay["__near_id"]) & (rows["__near_hash"] == stay["__near_th"])).dropDuplicates(["__near_id", "__near_th"])
     return kept.select(*docs.columns).unionByName(docs.where(blank))
 
 
