@@ -5,7 +5,8 @@ one. All but the last return the columns of ``documents``. Null texts and texts
 four stages; the mix takes none of their (zero) words. Null ids and sources stay. Repeated rows are copies of each other, so
 one of them stays after the second stage; of rows alike in id and text but not in other columns it is any one. Ties between
 copies: the least id stays; ties in the mix: by id, then size. Texts are read whole at any length. Empty table: no rows.
-Further columns pass through, whatever their names; names that start with ``__pii_`` or ``__corpus_`` are taken.
+Further columns pass through, whatever their names; names that start with ``__pii_``,
+``__near_``, ``__gone_`` or ``__corpus_`` are taken.
 """
 
 from __future__ import annotations
