@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, gated_lm, jaccard, mixing, periodic, pii, quality, repeats, token_counts, toxicity, url_filter, warc
+from . import decontaminate, gated_lm, jaccard, mixing, periodic, pii, quality, repeats, spelling, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_pii_spans": pii.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity_ftrl": toxicity.query,
     "op9_source_mixing": mixing.query,
     "op10_warc_revisits": warc.query,
+    "op11_spelling_variants": spelling.query,
     "op12_periodic_runs": periodic.query,
     "op13_token_counts": token_counts.query,
 }
