@@ -5,17 +5,19 @@ from __future__ import annotations
 from itertools import product
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import start_contribution, traffic_score
 from ..schema import COUNTRIES
+from .order import position, previous
 
 DECAYS = (1800.0, 3600.0, 7200.0, 86400.0)
 #: The main combination of rating kind, shift and decay.
 MAIN = ("log", 1.0, 3600.0)
 #: All combinations, in the order of the feature vector.
 COMBINATIONS = tuple(("log", s, d) for s, d in product((1.0, 1.3, 1.6), DECAYS)) + tuple((k, 0.0, d) for k, d in product(("raw", "one"), DECAYS))
+#: Positions in a bin of the join of starts and look-backs: small beside the hosts of a large thread.
+BIN = 32
 _SHARES = tuple(f"share_{c.lower()}" for c in COUNTRIES)
 
 
@@ -24,20 +26,29 @@ def _params(df: DataFrame, combos) -> DataFrame:
     return df.select("*", F.explode(rows).alias("_p")).select("*", "_p.*").drop("_p")
 
 
+def meetings(members: DataFrame, width: int = BIN) -> tuple[DataFrame, DataFrame]:
+    """Start documents (thread_id, _i, _start) and documents with the span of positions that they answer for (thread_id, _j, _prev,
+    ...), both with _bin: a start lies in one bin of ``width`` positions, a span in each that it touches."""
+    docs = members.select("thread_id", "fetch_time", "url", "host", "raw", "share_us", "share_gb", "share_ru")
+    docs = position(docs, ("thread_id",), ["fetch_time", "url", "host"], "_i")
+    spans = previous(docs, ("thread_id", "host"), ["_i"], "_i", "_prev").withColumn("_prev", F.coalesce("_prev", F.lit(-1)))
+    bin_of = lambda at: F.floor(at / width)
+    spans = spans.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_prev") + 1), bin_of(F.col("_i")))))
+    spans = spans.select("thread_id", "_bin", F.col("_i").alias("_j"), "_prev", F.col("fetch_time").alias("_t"), "host", "raw", "share_us", "share_gb", "share_ru")
+    return docs.select("thread_id", bin_of(F.col("_i")).alias("_bin"), "_i", F.col("fetch_time").alias("_start")), spans
+
+
 def importance(members: DataFrame, combos=(MAIN,)) -> DataFrame:
     """members: thread_id, fetch_time, url, host, raw, share_us, ... Per thread and combination: the highest sum, over
     start documents, of the contributions of each host's first document at or after the start; and that start's time.
 
-    A host counts once per start, so start documents meet the host's next document only: a look-ahead within (thread,
-    host), joined to starts on the thread with the span between a host's documents as a range. A thread's documents in
-    time order make starts times hosts rows, not pairs of documents; combinations share that one join.
+    A host counts once per start, so a start document meets a host's next document only: that of the host's whose look-back
+    reaches over the start. Starts are points and look-backs are spans of positions in the thread, joined by bins of
+    positions: what is compared is about starts times hosts, not pairs of documents, and a large thread is many bins.
+    Combinations share that one join.
     """
-    order = W.partitionBy("thread_id").orderBy("fetch_time", "url")
-    docs = members.select("thread_id", "fetch_time", "url", "host", "raw", "share_us", "share_gb", "share_ru").withColumn("_i", F.row_number().over(order))
-    before = F.coalesce(F.lag("_i").over(W.partitionBy("thread_id", "host").orderBy("_i")), F.lit(0))
-    seconds = docs.select("thread_id", F.col("_i").alias("_j"), before.alias("_prev"), F.col("fetch_time").alias("_t"), "host", "raw", "share_us", "share_gb", "share_ru")
-    starts = docs.select("thread_id", "_i", F.col("fetch_time").alias("_start"))
-    met = starts.join(seconds, "thread_id").where("_i <= _j and _i > _prev")
+    starts, spans = meetings(members)
+    met = starts.join(spans, ["thread_id", "_bin"]).where("_i <= _j and _i > _prev")
     scored = _params(met, combos)
     weight = traffic_score(F.col("kind"), F.col("raw"), F.col("share_us"), F.col("share_gb"), F.col("share_ru"), F.col("shift"))
     sums = scored.withColumn("_c", start_contribution(weight, F.col("_start"), F.col("_t"), F.col("decay"))).groupBy("thread_id", "combo", "_i").agg(F.sum("_c").alias("_s"), F.first("_start").alias("_start"))

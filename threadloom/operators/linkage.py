@@ -12,13 +12,15 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import EN_CLUSTERING, ClusteringConfig
 from ..storage import cut
 from .components import connected_components
+from .order import position
 from .pairs import cosine_pairs
 
 
@@ -30,35 +32,95 @@ def size_allows(size: int, distance: float, cfg: ClusteringConfig) -> bool:
     return size <= cfg.large_size and distance <= np.float32(cfg.large_threshold)
 
 
-def link(n: int, edges: list[tuple[int, int, float]], sites: list[str], cfg: ClusteringConfig, budget: int | None = None) -> list[tuple[float, int, int, bool]]:
-    """The loop over ``n`` rows and the distances under the small threshold (row, other row, distance): its log of (distance,
-    row, other row, merged). The nearest pair, by distance and then rows, is merged or, if the limits forbid it, dropped; a
-    merged row has the least distances of both. No more is held than the edges: pairs beyond the threshold never come up."""
+#: Bytes that the loop needs for an edge in its maps, measured; and for a pair of rows in its matrix.
+EDGE_BYTES, PAIR_BYTES = 440, 4
+
+
+def link(n: int, edges, sites: list[str], cfg: ClusteringConfig, budget: int | None = None, dense: bool | None = None) -> list[tuple[float, int, int, bool]]:
+    """The loop over ``n`` rows and the distances under the small threshold, (row, other row, distance) each or three arrays:
+    its log of (distance, row, other row, merged). The nearest pair, by distance and then rows, is merged or, if the limits
+    forbid it, dropped; a merged row has the least distances of both. Pairs beyond the threshold never come up.
+
+    Few edges are kept in maps with a heap, many in a matrix with each row's nearest neighbour: what takes less memory, so a chunk of c rows
+    never takes more than 4 c**2 bytes (``dense`` forces the one or the other).
+    """
+    i, j, x = edges if isinstance(edges, tuple) else (np.array(e) for e in zip(*edges, strict=True)) if edges else (np.zeros(0),) * 3
+    i, j, x = np.asarray(i, np.int32), np.asarray(j, np.int32), np.asarray(x, np.float32)
+    use = (i != j) & (x <= np.float32(cfg.small_threshold))
+    if not use.all():
+        i, j, x = i[use], j[use], x[use]
+    size, names, log = [1] * n, [{s} for s in sites], []
+
+    def decide(at: float, i: int, j: int) -> bool:
+        fits = size_allows(size[i] + size[j], at, cfg) and not (cfg.ban_same_sites and names[i] & names[j])
+        log.append((at, i, j, fits))
+        if fits:
+            size[i] += size[j]
+            names[i] |= names[j]
+        return fits
+
+    if dense is None:
+        dense = EDGE_BYTES * len(x) > PAIR_BYTES * n * n
+    (_by_matrix if dense else _by_maps)(n, i, j, x, decide, budget, log)
+    return log
+
+
+def _by_maps(n, rows, others, dist, decide, budget, log):
     near: list[dict[int, float]] = [{} for _ in range(n)]
-    for i, j, x in edges:
-        x = float(np.float32(x))
-        if i != j and x <= np.float32(cfg.small_threshold):
-            near[i][j] = near[j][i] = min(x, near[i].get(j, x))
+    for i, j, x in zip(rows.tolist(), others.tolist(), dist.tolist(), strict=True):
+        near[i][j] = near[j][i] = min(x, near[i].get(j, x))
     heap = [(x, i, j) for i in range(n) for j, x in near[i].items() if i < j]
     heapq.heapify(heap)
-    size, names, log = [1] * n, [{s} for s in sites], []
     while heap and (budget is None or len(log) < budget):
         at, i, j = heapq.heappop(heap)
         if near[i].get(j) != at:  # merged away, dropped, or nearer by now
             continue
-        fits = size_allows(size[i] + size[j], at, cfg) and not (cfg.ban_same_sites and names[i] & names[j])
-        log.append((at, i, j, fits))
         del near[i][j], near[j][i]
-        if fits:
-            size[i] += size[j]
-            names[i] |= names[j]
+        if decide(at, i, j):
             for k, x in near[j].items():
                 del near[k][j]
                 if x < near[i].get(k, np.inf):
                     near[i][k] = near[k][i] = x
                     heapq.heappush(heap, (x, min(i, k), max(i, k)))
             near[j] = {}
-    return log
+
+
+def _by_matrix(n, rows, others, dist, decide, budget, log):
+    d = np.full((n, n), np.inf, np.float32)
+    np.minimum.at(d, (rows, others), dist)
+    np.minimum.at(d, (others, rows), dist)
+    # Of each row: the nearest later row, the first of equal ones, and its distance.
+    nearest, at = np.zeros(n, np.int64), np.full(n, np.inf, np.float32)
+
+    def look(k: int):
+        if k + 1 < n:
+            nearest[k] = k + 1 + np.argmin(d[k, k + 1 :])
+            at[k] = d[k, nearest[k]]
+
+    for k in range(n):
+        look(k)
+    while budget is None or len(log) < budget:
+        i = int(np.argmin(at))
+        if at[i] == np.inf:
+            return
+        j, x = int(nearest[i]), float(at[i])
+        d[i, j] = d[j, i] = np.inf
+        if not decide(x, i, j):
+            look(i)
+            continue
+        np.minimum(d[i], d[j], out=d[i])
+        d[i, i] = np.inf
+        d[:, i] = d[i]
+        d[j] = d[:, j] = np.inf
+        at[j] = np.inf
+        look(i)
+        # Rows before i may have come nearer to it; those between i and j that j was nearest to look anew.
+        ahead = d[:i, i]
+        nearer = (ahead < at[:i]) | ((ahead == at[:i]) & (ahead < np.inf) & (i < nearest[:i]))
+        nearest[:i][nearer] = i
+        at[:i][nearer] = ahead[nearer]
+        for k in np.flatnonzero(nearest[i + 1 : j] == j).tolist():
+            look(i + 1 + k)
 
 
 def replay(logs: dict, budget: int | None) -> list[tuple]:
@@ -84,38 +146,45 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
 
     A chunk holds ``chunk_size`` rows by seq and overlaps the next; threads of chunks that share a document are one.
     """
-    newest = W.partitionBy("lang").orderBy(*[F.col(c).desc() for c in order])
-    base = cut(docs.select("lang", "file_name", "site_name", "fetch_time", "vector").withColumn("seq", F.row_number().over(newest) - 1))
+    base = position(docs.select("lang", "file_name", "site_name", "fetch_time", "vector"), ("lang",), [F.col(c).desc() for c in order], "seq")
     step = max(1, cfg.chunk_size - cfg.chunk_overlap)
     first = F.greatest(F.ceil((F.col("seq") - cfg.chunk_size + 1) / step), F.lit(0)).cast("int")
-    dealt = cut(base.withColumn("chunk", F.explode(F.sequence(first, F.floor(F.col("seq") / step).cast("int")))).withColumn("id", F.concat_ws("/", "lang", "chunk", "seq")))
-    pairs = cosine_pairs(dealt, float(np.float32(cfg.small_threshold)) + 1e-7, "id", ("lang", "chunk"))
-    facts = dealt.select("id", "lang", "chunk", "seq", "site_name", "fetch_time")
-    named = pairs.join(facts.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "seq", "fetch_time")]), F.col("a") == F.col("a_id"))
-    named = named.join(facts.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "seq", "fetch_time")]), F.col("b") == F.col("b_id"))
+    dealt = base.withColumn("chunk", F.explode(F.sequence(first, F.floor(F.col("seq") / step).cast("int")))).withColumn("id", F.concat_ws("/", "chunk", "seq", "lang"))
+    unlimited = free(cfg) and not cfg.time_penalty
+    pairs = cosine_pairs(dealt, cfg.small_threshold, "id", ("lang", "chunk"), forest="only" if unlimited else "mark", single=True)
+    part = lambda c, k: F.get(F.split(c, "/", 3), F.lit(k))
+    named = pairs.select("*", part("a", 2).alias("lang"), part("a", 0).cast("int").alias("chunk"), part("a", 1).cast("long").alias("i"), part("b", 1).cast("long").alias("j"))
     if cfg.time_penalty:
-        hours = F.abs(F.col("a_fetch_time") - F.col("b_fetch_time")) / 3600.0
+        times = base.select("lang", "seq", "fetch_time")
+        named = named.join(times.select("lang", F.col("seq").alias("i"), F.col("fetch_time").alias("_ti")), ["lang", "i"]).join(times.select("lang", F.col("seq").alias("j"), F.col("fetch_time").alias("_tj")), ["lang", "j"])
+        hours = F.abs(F.col("_ti") - F.col("_tj")) / 3600.0
         named = named.withColumn("dist", F.least(F.col("dist") * F.when(hours >= 24, hours / 24).otherwise(1.0), F.lit(1.0)))
-    edges = cut(named.where(F.col("dist").cast("float") <= F.lit(cfg.small_threshold).cast("float")).select("a", "b", "a_seq", "b_seq", "dist"))
+    edges = cut(named.where(F.col("dist").cast("float") <= F.lit(cfg.small_threshold).cast("float")).select("a", "b", "lang", "chunk", "i", "j", "dist", "tree"))
     if free(cfg):
-        return _labelled(base, edges.select(F.split("a", "/")[0].alias("lang"), F.col("a_seq").alias("i"), F.col("b_seq").alias("j")))
-    comps = connected_components(edges.select("a", "b"))
-    inside = facts.join(comps.withColumnRenamed("key", "id"), "id")
-    graph = edges.join(comps.withColumnRenamed("key", "a"), "a").select("comp", "a_seq", "b_seq", "dist")
-    rows = inside.select("lang", "chunk", "comp", "seq", "site_name", F.lit(None).cast("int").alias("other"), F.lit(None).cast("double").alias("dist"))
-    rows = rows.unionByName(graph.join(inside.select("comp", "lang", "chunk").distinct(), "comp").select("lang", "chunk", "comp", F.col("a_seq").alias("seq"), F.lit("").alias("site_name"), F.col("b_seq").alias("other"), "dist"))
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["other"].isna()].sort_values("seq")
-        seqs = own["seq"].to_numpy()
-        at = {s: k for k, s in enumerate(seqs.tolist())}
-        pairs = pdf[pdf["other"].notna()]
-        near = [(at[i], at[int(j)], x) for i, j, x in zip(pairs["seq"], pairs["other"], pairs["dist"], strict=True)]
-        log = link(len(seqs), near, own["site_name"].tolist(), cfg)
-        return pd.DataFrame([(key[0], key[1], key[2], k, x[0], int(seqs[x[1]]), int(seqs[x[2]]), x[3]) for k, x in enumerate(log)], columns=["lang", "chunk", "comp", "k", "dist", "i", "j", "merged"])
-
-    logs = cut(rows.groupBy("lang", "chunk", "comp").applyInPandas(solve, "lang string, chunk int, comp string, k int, dist double, i int, j int, merged boolean"))
+        return _labelled(base, edges.select("lang", "i", "j"))
+    # Edges of the blocks' forests connect what all edges do; a penalty may have cut them, and then all are needed.
+    comps = connected_components((edges if cfg.time_penalty else edges.where("tree")).select("a", "b"))
     sizes = dealt.groupBy("lang", "chunk").agg(F.count("*").alias("n"))
+    near = edges.groupBy("lang", "chunk", F.col("i").alias("seq")).agg(F.collect_list(F.struct(F.col("j").cast("int").alias("j"), F.col("dist").cast("float").alias("x"))).alias("near"))
+    near = near.select("lang", "chunk", "seq", F.transform("near", lambda e: e["j"]).alias("others"), F.transform("near", lambda e: e["x"]).alias("dists"))
+    inside = dealt.select("id", "lang", "chunk", "seq", "site_name").join(comps.withColumnRenamed("key", "id"), "id").drop("id")
+    rows = inside.join(near, ["lang", "chunk", "seq"], "left").join(sizes, ["lang", "chunk"])
+
+    def solve(own: pa.Table) -> pa.Table:
+        """One component of a chunk: a row for each document, with its edges to later ones as lists."""
+        own = own.sort_by("seq").combine_chunks()
+        seqs = own["seq"].to_numpy()
+        lengths = pc.fill_null(pc.list_value_length(own["others"]), 0).to_numpy()
+        i = np.repeat(np.arange(len(seqs), dtype=np.int32), lengths)
+        j = np.searchsorted(seqs, pc.list_flatten(own["others"]).to_numpy()).astype(np.int32)
+        # No component can use more rounds than its chunk has.
+        budget = own["n"][0].as_py() - 1 if cfg.budget == "reference" else None
+        log = link(len(seqs), (i, j, pc.list_flatten(own["dists"]).to_numpy()), own["site_name"].to_pylist(), cfg, budget)
+        same = {c: pa.repeat(own[c][0], len(log)) for c in ("lang", "chunk", "comp")}
+        at = np.array([e[1:3] for e in log], np.int64).reshape(-1, 2)
+        return pa.table(same | {"k": pa.array(range(len(log)), pa.int32()), "dist": pa.array([e[0] for e in log], pa.float64()), "i": pa.array(seqs[at[:, 0]]), "j": pa.array(seqs[at[:, 1]]), "merged": pa.array([e[3] for e in log], pa.bool_())})
+
+    logs = cut(rows.groupBy("lang", "chunk", "comp").applyInArrow(solve, "lang string, chunk int, comp string, k int, dist double, i long, j long, merged boolean"))
 
     def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["comp", "k"])
@@ -125,7 +194,7 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
 
     if cfg.budget == "reference":
         # A chunk's logs hold about as many rows as the chunk, which the configuration bounds.
-        merges = logs.join(sizes, ["lang", "chunk"]).groupBy("lang", "chunk").applyInPandas(within, "lang string, i int, j int")
+        merges = logs.join(sizes, ["lang", "chunk"]).groupBy("lang", "chunk").applyInPandas(within, "lang string, i long, j long")
     else:
         merges = logs.where("merged").select("lang", "i", "j")
     return _labelled(base, merges)

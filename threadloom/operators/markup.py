@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text
-from .order import running_sum
+from .order import previous, running_sum
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -23,10 +22,10 @@ def new_pairs(candidates: DataFrame, known: DataFrame) -> DataFrame:
 def pair_candidates(members: DataFrame, known: DataFrame) -> DataFrame:
     """members: lang, thread_id, pos, url. Within a thread, each document with the first one (expected OK); and the first
     ones of neighbouring threads of a language (expected BAD); without known pairs."""
-    first = F.first("url").over(W.partitionBy("lang", "thread_id").orderBy("pos"))
-    inside = members.withColumn("_f", first).where("url <> _f").select("lang", F.col("_f").alias("first_url"), F.col("url").alias("second_url"), F.lit("OK").alias("expected"))
     heads = members.groupBy("lang", "thread_id").agg(F.min_by("url", "pos").alias("second_url"))
-    across = heads.withColumn("first_url", F.lag("second_url").over(W.partitionBy("lang").orderBy("thread_id"))).where("first_url is not null")
+    inside = members.select("lang", "thread_id", "url").join(heads, ["lang", "thread_id"]).where("url <> second_url")
+    inside = inside.select("lang", F.col("second_url").alias("first_url"), F.col("url").alias("second_url"), F.lit("OK").alias("expected"))
+    across = previous(heads, ("lang",), ["thread_id"], "second_url", "first_url").where("first_url is not null")
     return new_pairs(inside.unionByName(across.select("lang", "first_url", "second_url", F.lit("BAD").alias("expected"))), known)
 
 
@@ -49,7 +48,7 @@ def pools(rows: DataFrame, controls: DataFrame, size: int, seed: int = 1) -> Dat
 
 def previous_of_host(rows: DataFrame) -> DataFrame:
     """The document before each one on its host: a negative for pair training."""
-    return rows.withColumn("previous", F.lag("file_name").over(W.partitionBy("host").orderBy("fetch_time", "file_name")))
+    return previous(rows, ("host",), ["fetch_time", "file_name"], "file_name", "previous")
 
 
 def map_tags(rows: DataFrame, by_pair: DataFrame, by_topic: DataFrame) -> DataFrame:

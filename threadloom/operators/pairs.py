@@ -1,66 +1,140 @@
-"""Pairs of documents under a distance threshold."""
+"""Pairs of documents under a distance threshold, looked for where they can be.
+
+A large group of rows is cut into cells around pivots: each row belongs to its nearest one. By the triangle inequality over
+chord lengths a row has near rows in another cell only if it lies within the threshold of that cell's ball; and, the space
+being Euclidean, only if it lies within the threshold of the plane half way between the two pivots. A row is sent to the
+cells that are left, so far cells never meet and no pair is lost. Cells of more than ``block`` rows are cut by hash, and
+each pair of blocks is compared apart, so no task holds a cell.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
+#: Pivots of a group at most: a task holds them beside one block.
+PIVOTS = 256
+#: Added to every bound for the rounding of distances, so that none cuts a pair off.
+SLACK = 1e-5
+#: Blocks of a cell at most, to name them by one number.
+_BLOCKS = 1 << 20
+
+
+def matrix(vectors) -> np.ndarray:
+    """An Arrow column of equally long lists as rows."""
+    return pc.list_flatten(vectors).to_numpy().astype(np.float64).reshape(len(vectors), -1)
+
+
+def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by their lengths, and which have one; the others are zero."""
+    norm = np.linalg.norm(x, axis=1)
+    return np.where(norm[:, None] > 1e-8, x / np.maximum(norm, 1e-8)[:, None], 0), norm > 1e-8
+
+
+def spanning(near: np.ndarray) -> np.ndarray:
+    """near: which rows of one side are near which of the other. As many of these pairs as connect what all of them connect."""
+    tree = np.zeros_like(near)
+    left, right = near.any(axis=1), near.any(axis=0)
+    for start in np.flatnonzero(left).tolist():
+        todo, left[start] = ([start] if left[start] else []), False
+        while todo:
+            i = todo.pop()
+            fresh = np.flatnonzero(near[i] & right)
+            right[fresh] = False
+            tree[i, fresh] = True
+            for j in fresh.tolist():
+                more = np.flatnonzero(near[:, j] & left)
+                left[more] = False
+                tree[more, j] = True
+                todo += more.tolist()
+    return tree
 
-def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int = 1024) -> DataFrame:
-    """Pairs within ``group`` (all rows without one) whose (1 - cosine) / 2 is at most the threshold: a, b, dist; a < b.
 
-    Every group is cut into blocks by hash, and each pair of blocks is one task's matrix product, so no task holds a
-    group and rows are repeated once per block of their group. Vectors without length are at distance 1. The result is
-    the sparse graph; what lies beyond the threshold never leaves the task.
+def _pivots(base: DataFrame, counts: DataFrame) -> DataFrame:
+    """g, _n, k, v: for each group about as many pivots as it has blocks, drawn by hash (a group may get none)."""
+    h = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30))
+    rate = F.least(2.0 * F.col("_p") / F.col("_c"), F.lit(1.0)) * float(1 << 30)
+    drawn = base.join(counts.withColumn("_p", F.least("_n", F.lit(PIVOTS))), "g").withColumn("_h", h).where(F.col("_h") < rate)
+    listed = drawn.groupBy("g", "_n").agg(F.slice(F.array_sort(F.collect_list(F.struct("_h", "id", "v"))), F.lit(1), F.least(F.first("_p"), F.lit(PIVOTS))).alias("_l"))
+    # Written: all rows have to agree on them.
+    return cut(listed.select("g", "_n", F.posexplode("_l").alias("k", "_e")).select("g", "_n", "k", F.col("_e.v").alias("v")))
+
+
+def deal(base: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """base: g, id, v. Returns g, i, j, blk, id, v: each row once for each pair (i, j) of blocks that has to be compared, with its own
+    block, which is one of them."""
+    counts = base.groupBy("g").agg(F.count(F.lit(1)).alias("_c")).withColumn("_n", F.ceil(F.col("_c") / block).cast("int"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= 1:
+        return base.select("g", *[F.lit(0).cast("long").alias(c) for c in ("i", "j", "blk")], "id", "v")
+    reach, id_type = 2 * threshold**0.5 + SLACK, dict(base.dtypes)["id"]
+    pivots = _pivots(base, counts)
+    beside = pivots.select("g", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"), "k", F.lit(None).cast(id_type).alias("id"), "v")
+    rows = base.join(counts, "g").select("g", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("_b"), F.lit(None).cast("int").alias("k"), "id", "v")
+
+    def place(t: pa.Table) -> pa.Table:
+        """A block of a group, with the group's pivots beside it."""
+        mine = t.filter(pc.is_null(t["k"]))
+        pivots = t.filter(pc.is_valid(t["k"])).sort_by("k")
+        cell, far, at = np.zeros(len(mine), np.int32), np.zeros(len(mine)), [[(0, 0.0)]] * len(mine)
+        if len(pivots) and len(mine):
+            x, p = unit_rows(matrix(mine["v"]))[0], unit_rows(matrix(pivots["v"]))[0]
+            d2 = np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * x @ p.T, 0)
+            gap = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * p @ p.T, 0))
+            cell = d2.argmin(axis=1).astype(np.int32)
+            own = d2[np.arange(len(x)), cell]
+            far = np.sqrt(own)
+            meets = d2 - own[:, None] <= 2 * gap[cell] * reach + SLACK
+            meets[np.arange(len(x)), cell] = True
+            at = [list(zip(np.flatnonzero(m).tolist(), np.sqrt(d[m]).tolist(), strict=True)) for m, d in zip(meets, d2, strict=True)]
+        kind = pa.list_(pa.struct([("cell", pa.int32()), ("far", pa.float64())]))
+        at = pa.array([[{"cell": c, "far": f} for c, f in e] for e in at], kind)
+        return pa.table({"g": mine["g"], "id": mine["id"], "v": mine["v"], "cell": pa.array(cell), "far": pa.array(far), "at": at})
+
+    dealt = rows.unionByName(beside).groupBy("g", "_b").applyInArrow(place, f"g long, id {id_type}, v array<float>, cell int, far double, at array<struct<cell:int,far:double>>")
+    placed = cut(dealt)
+    balls = placed.groupBy("g", "cell").agg(F.max("far").alias("r"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    balls = balls.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("r", "n")))).alias("_balls"))
+    there = F.filter(F.transform("at", lambda a: F.struct(a["cell"].alias("cell"), a["far"].alias("far"), F.try_element_at("_balls", a["cell"]).alias("b"))), lambda a: a["b"].isNotNull() & ((a["cell"] == F.col("cell")) | (a["far"] <= a["b"]["r"] + reach)))
+    name = lambda c, q: c.cast("long") * _BLOCKS + q
+    others = F.flatten(F.transform(there, lambda a: F.transform(F.sequence(F.lit(0), a["b"]["n"] - 1), lambda q: name(a["cell"], q))))
+    own = name(F.col("cell"), F.pmod(F.xxhash64("id", F.lit(11)), F.element_at("_balls", F.col("cell"))["n"]))
+    met = placed.join(balls, "g").select("g", own.alias("blk"), F.explode(others).alias("_o"), "id", "v")
+    return met.select("g", F.least("blk", "_o").alias("i"), F.greatest("blk", "_o").alias("j"), "blk", "id", "v")
+
+
+def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int = 1024, forest: str | None = None, single: bool = False) -> DataFrame:
+    """Pairs within ``group`` (all rows without one) whose (1 - cosine) / 2 is at most the threshold, below 1: a, b, dist; a < b.
+
+    With ``forest`` "mark" there is also ``tree``: whether the pair is one of those that connect what all pairs of its two blocks
+    connect; with "only", just these come, so that a crowd of near rows gives no square of them. ``single``: distances are
+    compared in single precision. Vectors without length are at distance 1.
     """
-    base = docs.select(F.struct(*group).alias("_g") if group else F.lit(0).alias("_g"), F.col(key).alias("id"), F.transform("vector", lambda x: x.cast("float")).alias("v"))
-    blocks = base.groupBy("_g").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    dealt = base.join(blocks, "_g").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    dealt = dealt.select(F.xxhash64("_g").alias("g"), F.least("blk", "_o").alias("i"), F.greatest("blk", "_o").alias("j"), "blk", "id", "v")
+    base = docs.select(F.xxhash64(F.struct(*group) if group else F.lit(0)).alias("g"), F.col(key).alias("id"), F.transform("vector", lambda x: x.cast("float")).alias("v"))
+    extra = ["tree"] if forest else []
     id_type = dict(base.dtypes)["id"]
 
-    def run(batches):
-        def solve(rows):
-            if len(rows["id"]) < 2:
-                return None
-            blk, x = np.array(rows["blk"]), np.array(rows["v"], np.float64)
-            norm = np.linalg.norm(x, axis=1)
-            x = np.where(norm[:, None] > 1e-8, x / np.maximum(norm, 1e-8)[:, None], 0)
-            cross = rows["i"][0] != rows["j"][0]
-            a = np.flatnonzero(blk == rows["i"][0]) if cross else np.arange(len(x))
-            b = np.flatnonzero(blk == rows["j"][0]) if cross else a
-            dist = np.maximum(1 - (x[a] @ x[b].T + 1) / 2, 0)
-            dist[norm[a] <= 1e-8] = 1
-            dist[:, norm[b] <= 1e-8] = 1
-            if not cross:
-                dist[np.tril_indices(len(a))] = np.inf
-            p, q = np.nonzero(dist <= threshold)
-            ids = rows["id"]
-            pairs = [tuple(sorted((ids[a[i]], ids[b[j]]))) for i, j in zip(p, q, strict=True)]
-            return pairs, dist[p, q].astype(float)
-
-        at, rows = None, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                here = (r["g"], r["i"], r["j"])
-                if here != at:
-                    if rows and (got := solve(rows)):
-                        yield out(got)
-                    at, rows = here, {k: [] for k in ("i", "j", "blk", "id", "v")}
-                for k in rows:
-                    rows[k].append(r[k])
-        if rows and (got := solve(rows)):
-            yield out(got)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(base.schema["id"].dataType)
-
-    def out(got):
-        pairs, dist = got
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind), pa.array(dist, pa.float64())], ["a", "b", "dist"])
-
-    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, f"a {id_type}, b {id_type}, dist double")
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, blk, i, j = t["id"], t["blk"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+        a, b = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        x, has = unit_rows(matrix(t["v"]))
+        dist = np.maximum(1 - (x[a] @ x[b].T + 1) / 2, 0)
+        dist[~has[a]] = 1
+        dist[:, ~has[b]] = 1
+        if i == j:
+            dist[np.tril_indices(len(a))] = np.inf
+        near = dist.astype(np.float32) <= np.float32(threshold) if single else dist <= threshold
+        tree = spanning(near) if forest else near
+        p, q = np.nonzero(tree if forest == "only" else near)
+        one, two = ids.take(pa.array(a[p])), ids.take(pa.array(b[q]))
+        swap = pc.greater(one, two)
+        out = {"a": pc.if_else(swap, two, one), "b": pc.if_else(swap, one, two), "dist": pa.array(dist[p, q])}
+        return pa.table(out | {"tree": pa.array(tree[p, q]) for _ in extra})
+
+    dealt = deal(base, threshold + 1e-6, block)
+    return dealt.groupBy("g", "i", "j").applyInArrow(compare, f"a {id_type}, b {id_type}, dist double" + ", tree boolean" * len(extra))

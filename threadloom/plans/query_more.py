@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import annotate, filters, markup
+from ..operators.order import position
 from ..sources import readers, sinks
 from ..streaming import load
 from .registered import Registered
@@ -71,10 +72,8 @@ def category_by_language(spark, d):
 SELECT lang, category, '<html><head><meta charset="utf-8"><title>' || category || '</title></head><body>' || string_agg('<h2>' || category || ' ' || k || '</h2><ul><li><a href="' || url || '">' || url || '</a></li></ul>', chr(10) ORDER BY k) || '</body></html>' AS html FROM a GROUP BY 1, 2""")
 def rubric_pages(spark, d):
     """A page for each language and category, here with a heading for each article."""
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("lang", "category").orderBy("url"))
-    rows = filters.news(articles(spark, d)).select("lang", "category", rank.alias("rank"), F.array("url").alias("articles"))
+    rows = position(filters.news(articles(spark, d)).select("lang", "category", "url"), ("lang", "category"), ["url"], "rank")
+    rows = rows.select("lang", "category", (F.col("rank") + 1).alias("rank"), F.array("url").alias("articles"))
     return sinks.rubric_pages(rows.withColumn("title", F.concat_ws(" ", "category", F.col("rank").cast("string"))))
 
 
