@@ -1,4 +1,7 @@
+import random
 import re
+import time
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -82,3 +85,67 @@ def test_bounded_fit(spark):
     df = spark.createDataFrame([(i, f"http://{'spam' if i % 2 else 'fine'}.org/{chr(97 + i % 26)}{i}") for i in range(600)], "page_id long, url string")
     labels = df.select("page_id", (F.col("page_id") % 2 == 1).alias("block"))
     assert u.judge(df, labels, seed_words=(), max_labelled=200).where("verdict = 'block'").count() == 300
+
+
+def naive_rules(bags, min_rows=6):
+    """All item sets by trial: confident, and none within another. bags: (tokens, block)."""
+    total, blocked = len(bags), sum(b for _, b in bags)
+    count = lambda s: (sum(b for t, b in bags if s <= t), sum(s <= t for t, _ in bags))
+
+    def good(hits, n):
+        p = hits / n if n else 0
+        return hits >= min_rows and p >= u.MIN_CONFIDENCE and (p + 1.96**2 / (2 * n) - 1.96 * (p * (1 - p) / n + 1.96**2 / (4 * n * n)) ** 0.5) / (1 + 1.96**2 / n) >= u.MIN_BOUND
+
+    tokens = sorted(set().union(*(t for t, _ in bags)))
+    out = [frozenset([t]) for t in tokens if good(*count({t}))]
+    rest = [t for t in tokens if frozenset([t]) not in out and (c := count({t}))[0] >= min_rows and c[0] * total >= blocked * c[1]]
+    for k in range(2, len(rest) + 1):
+        frequent = [frozenset(s) for s in combinations(rest, k) if count(set(s))[0] >= min_rows]
+        if not frequent:
+            break
+        out += [s for s in frequent if good(*count(s)) and not any(o < s for o in out)]
+    return set(out)
+
+
+def test_combinations_are_mined(spark):
+    """Blocked if and only if both path words are there: neither word is a rule, the pair is."""
+    rows = [(i, f"http://h{i % 7}.org/{'aa/' if i % 2 else 'cc/'}{'bb' if i // 2 % 2 else 'dd'}/{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = u.judge(df, df.select("page_id", ((F.col("page_id") % 2 == 1) & (F.expr("page_id div 2 % 2") == 1)).alias("block")), seed_words=())
+    assert got.where("(verdict = 'block') <> (path like '/aa/bb/%')").count() == 0
+    assert {r["mined"] for r in got.where("mined is not null").collect()} == {"p:aa+p:bb"}
+
+
+def test_mined_rules_are_complete(spark):
+    """Against the miner by trial: every variant of a rule that takes one token of each item, and no other."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        bags = []
+        for _ in range(160):
+            t = {x for x in "abcdefg" if rng.random() < 0.45}
+            t |= {"e2", "e3"} if "e" in t else set()
+            bad = ({"a", "b"} <= t and rng.random() < 0.97) or ({"c", "d", "e"} <= t) or ("g" in t and "f" in t and rng.random() < 0.5)
+            bags.append((frozenset(t), bad))
+        df = spark.createDataFrame([(sorted(t), b) for t, b in bags], "tokens array<string>, block boolean")
+        rules = u.mine_rules(df).collect()
+        got = set()
+        for r in rules:
+            variants = [frozenset()]
+            for alike in r["alike"]:
+                variants = [v | {t} for v in variants for t in alike]
+            got |= set(variants)
+            assert (r["hits"], r["n"]) == (sum(b for t, b in bags if set(r["rule"]) <= t), sum(set(r["rule"]) <= t for t, _ in bags))
+        # Two tokens of one item add nothing to each other.
+        alike = [{"e", "e2", "e3"}]
+        want = {s for s in naive_rules(bags) if not any(len(s & a) > 1 for a in alike)}
+        assert got == want and any(len(s) == 2 for s in got)
+
+
+def test_equal_long_urls_are_one_item(spark):
+    """Six equal blocked URLs of 200 tokens, all of them in allowed URLs too: folded, no power set."""
+    long = [f"p{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    rows = [(sorted(["w:x", *long]), True)] * 6 + [(sorted(["w:y", *long]), False)] * 2 + [(["w:x"], False)] * 3 + [(["w:z"], False)] * 40
+    start = time.time()
+    rules = u.mine_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean")).collect()
+    assert time.time() - start < 60
+    assert [(r["rule"], [len(a) for a in r["alike"]], r["hits"], r["n"]) for r in rules] == [([max(long), "w:x"], [200, 1], 6, 6)]

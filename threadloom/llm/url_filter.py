@@ -1,14 +1,16 @@
 """URL filters: association rules over URL tokens, in DataFrame functions and Spark's FP-growth only.
 
-URLs become token sets. FP-growth mines the sets that are frequent among the labelled URLs to block; each is a rule ``set =>
-block``, counted over all labelled URLs and pruned by support (``min_rows`` blocked rows at any size), by confidence, and by
-the lower bound of its confidence interval. Rules that a shorter one makes redundant go. The rest match through an inverted
-index: each rule is filed under its rarest token, and a URL's tokens look it up. Stated host and path rules come first; the
-mined ones judge what no stated rule fits.
+URLs become token sets. A token that is confident enough by itself is a rule, and sets that contain it need no other. The
+tokens that are left and blocked more than the average are folded into items, those that occur in exactly the same labelled
+URLs into one, and FP-growth mines the item sets that at least ``min_rows`` blocked URLs share. Each is a rule ``set => block``,
+counted over all labelled URLs and pruned by confidence and by the lower bound of its confidence interval; a rule
+that contains a rule goes. The rest match through an inverted index: each rule is filed under its rarest item, and a URL's
+items (any token of an item will do: in what was learned from they come together) look it up. Stated host and path rules come
+first; the mined ones judge what no stated rule fits.
 
 Scale: mining reads at most about ``max_labelled`` labelled rows (a documented bound on a fit; rows are taken by hash of
-their URL, alike on every run). Tokens that are blocked no oftener than twice the average do not enter it: without that, all
-parts of every host that is blocked by chance would be mined. Counting and matching are done once for each distinct token
+their URL, alike on every run). Without folding, six equal URLs of k tokens are 2**k sets; with it they are one item. There
+is no cap on a set's length. Counting and matching are done once for each distinct token
 set: URLs of one host and shape share one, so a hot host is one row before the index join, and is met again only in a join
 that Spark can split.
 
@@ -35,8 +37,8 @@ SEED_WORDS = ("ads", "track", "adult", "bets", "casino", "pills", "spam", "porn"
 #: A rule rests on so many blocked rows at least, and on so much confidence, measured and at the lower end of its 95 % interval.
 MIN_ROWS = 6
 MIN_CONFIDENCE, MIN_BOUND = 0.9, 0.6
-#: How much oftener than the average a token must be blocked to enter the mining.
-MIN_LIFT = 2.0
+#: How much oftener than the average a token must be blocked to enter combinations.
+MIN_LIFT = 1.0
 MAX_LABELLED = 2_000_000
 
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,43 +78,60 @@ def lower_bound(hits: Column, n: Column, z: float = 1.96) -> Column:
 
 
 def fitting(sets: DataFrame, rules: DataFrame, *kept: str) -> DataFrame:
-    """sets: tokens (distinct rows). rules: rule array<string>, filed (one of its tokens). All pairs of a set and a rule within
-    it, with the kept columns of both, by the inverted index."""
-    looked = sets.withColumn("filed", F.explode("tokens")).join(rules, "filed")
-    return looked.where(F.size(F.array_except("rule", "tokens")) == 0).select("tokens", "rule", *kept)
+    """sets: tokens (distinct rows), items. rules: rule array<string>, filed (one of its items). All pairs of a set and a rule
+    within its items, with the kept columns of both, by the inverted index."""
+    looked = sets.withColumn("filed", F.explode("items")).join(rules, "filed")
+    return looked.where(F.size(F.array_except("rule", "items")) == 0).select("tokens", "rule", *kept)
+
+
+def itemised(sets: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """sets: tokens (distinct rows), ... vocabulary: token, item. Adds items (sorted, each once); sets without any go."""
+    found = sets.select("tokens", F.explode("tokens").alias("token")).join(vocabulary, "token").groupBy("tokens").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return sets.join(found, "tokens")
+
+
+def frequent_sets(bags: DataFrame, min_rows: int) -> DataFrame:
+    """bags: items, n. The item sets of two and more that at least ``min_rows`` rows share, a bag counting as n: rule."""
+    rows = cut(bags.where("size(items) > 1").select("items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_k")).select("items"))
+    n = max(rows.count(), 1)
+    # A little under the count, so that rounding up gives it.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_rows - 0.5) / n)).fit(rows)
+    return model.freqItemsets.where("size(items) > 1").select(F.array_sort("items").alias("rule"))
 
 
 def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_bound: float = MIN_BOUND, min_lift: float = MIN_LIFT) -> DataFrame:
-    """labelled: tokens array<string>, block boolean. Returns rules: rule (sorted tokens), filed, hits, n, confidence."""
+    """labelled: tokens array<string>, block boolean. Returns rules, none within another: rule (sorted items, each named by its last token), alike
+    (of each item, its tokens), filed, hits, n, confidence."""
     # One row for each token set: what is counted below does not follow a hot host.
     sets = cut(labelled.groupBy("tokens").agg(F.count("*").alias("n"), F.sum(F.col("block").cast("long")).alias("hits")))
     rows, blocked = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("hits"), F.lit(0))).first()
+    good = (F.col("hits") >= min_rows) & (F.col("hits") / F.col("n") >= min_confidence) & (lower_bound(F.col("hits"), F.col("n")) >= min_bound)
+    # Where a token occurs, as two sums of hashes and a count: equal for tokens of the same sets.
+    where = [F.bit_xor(F.xxhash64("tokens", F.lit(k))).alias(f"_w{k}") for k in (1, 2)] + [F.count(F.lit(1)).alias("_w")]
+    each = sets.select(F.explode("tokens").alias("token"), "tokens", "n", "hits")
+    single = cut(each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), *where).withColumn("own", good))
+    one = single.where("own").select(F.array("token").alias("rule"), F.array(F.array("token")).alias("alike"), F.col("token").alias("filed"), "hits", "n", (F.col("hits") / F.col("n")).alias("confidence"))
     if blocked < min_rows:
-        return sets.limit(0).select(F.col("tokens").alias("rule"), F.lit("").alias("filed"), "hits", "n", F.lit(0.0).alias("confidence"))
-    single = sets.select(F.explode("tokens").alias("token"), "n", "hits").groupBy("token").agg(F.sum("n").alias("_n"), F.sum("hits").alias("_hits"))
-    single = cut(single.where((F.col("_hits") >= min_rows) & (F.col("_hits") * rows >= F.least(F.lit(min_lift * blocked), F.lit(float(rows))) * F.col("_n"))))
-    # Blocked rows again as rows, with those of their tokens that may enter a rule.
-    mined = labelled.where("block").select(F.monotonically_increasing_id().alias("_row"), F.explode("tokens").alias("token")).join(single.select("token"), "token")
-    bags = cut(mined.groupBy("_row").agg(F.collect_list("token").alias("items")).select("items"))
-    n = max(bags.count(), 1)
-    # A little under the count, so that rounding up gives it.
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_rows - 0.5) / n)).fit(bags)
-    found = model.freqItemsets.select(F.array_sort("items").alias("rule"))
-    rarest = found.select("rule", F.explode("rule").alias("token")).join(single.select("token", "_n"), "token").groupBy("rule").agg(F.min_by("token", F.struct("_n", "token")).alias("filed"))
-    counted = fitting(sets, cut(rarest), "n", "hits", "filed").groupBy("rule", "filed").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    rules = cut(counted.withColumn("confidence", F.col("hits") / F.col("n")).where((F.col("hits") >= min_rows) & (F.col("confidence") >= min_confidence) & (lower_bound(F.col("hits"), F.col("n")) >= min_bound)))
-    # A rule is redundant if a part of its tokens is a rule with no less confidence.
-    shorter = rules.select(F.col("rule").alias("_part"), F.col("confidence").alias("_c"), "filed")
-    longer = rules.select("rule", "confidence", F.explode("rule").alias("filed"))
-    part = (F.size("_part") < F.size("rule")) & (F.size(F.array_except("_part", "rule")) == 0) & (F.col("_c") >= F.col("confidence"))
-    redundant = longer.join(shorter, "filed").where(part).select("rule").distinct()
-    return cut(rules.join(redundant, "rule", "left_anti"))
+        return one
+    enters = ~F.col("own") & (F.col("hits") >= min_rows) & (F.col("hits") * rows >= min_lift * blocked * F.col("n"))
+    folded = single.where(enters).groupBy("_w1", "_w2", "_w").agg(F.max("token").alias("item"), F.array_sort(F.collect_list("token")).alias("tokens"), F.max("n").alias("_n"))
+    folded = cut(folded.select("item", "tokens", "_n"))
+    with_items = cut(itemised(sets, folded.select(F.explode("tokens").alias("token"), "item")))
+    found = frequent_sets(with_items.where("hits > 0").groupBy("items").agg(F.sum("hits").alias("n")), min_rows)
+    filed = found.select("rule", F.explode("rule").alias("item")).join(folded.select("item", "_n", "tokens"), "item")
+    filed = filed.groupBy("rule").agg(F.min_by("item", F.struct("_n", "item")).alias("filed"), F.transform(F.array_sort(F.collect_list(F.struct("item", "tokens"))), lambda x: x["tokens"]).alias("alike"))
+    sums = fitting(with_items, cut(filed), "n", "hits", "filed", "alike").groupBy("rule", "alike", "filed").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    many = cut(sums.where(good).withColumn("confidence", F.col("hits") / F.col("n")))
+    inside = many.select("rule", F.explode("rule").alias("filed")).join(many.select(F.col("rule").alias("_part"), "filed"), "filed")
+    inside = inside.where((F.size("_part") < F.size("rule")) & (F.size(F.array_except("_part", "rule")) == 0)).select("rule").distinct()
+    return cut(one.unionByName(many.join(inside, "rule", "left_anti")))
 
 
 def match_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """sets: distinct ``tokens``. Returns those that a rule fits, with the strongest rule (mined) and its confidence."""
+    vocabulary = rules.select(F.explode(F.arrays_zip("rule", "alike")).alias("e")).select(F.col("e.rule").alias("item"), F.explode("e.alike").alias("token")).distinct()
     best = F.max(F.struct("confidence", "hits", F.array_join("rule", "+").alias("mined")))
-    return fitting(sets, rules, "confidence", "hits").groupBy("tokens").agg(best.alias("_b")).select("tokens", "_b.mined", "_b.confidence")
+    return fitting(itemised(sets, vocabulary), rules, "confidence", "hits").groupBy("tokens").agg(best.alias("_b")).select("tokens", "_b.mined", "_b.confidence")
 
 
 def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, seed_words=SEED_WORDS, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, max_labelled: int = MAX_LABELLED) -> DataFrame:
