@@ -2,11 +2,10 @@
 
 Strict patterns find the base spans (email, ip, card, phone), which always stay. Wide generators propose further,
 overlapping spans: address-like, key-like and number-like runs (kinds ``contact``, ``secret`` and ``number``). Strict evidence
-confirms some: an address that is well formed, a number that passes Luhn or is international, a key after a credential word
-or with an issuer's prefix. Boosted trees learn from the confirmed ones how such candidates look, from binned format and
-context features that leave out whatever the evidence itself reads; so a candidate without evidence is judged by its looks. A
-threshold for each generator, calibrated on scores that no candidate's own fold has learned, selects spans besides the
-confirmed ones.
+labels some for training and for nothing else: an address that is well formed, a number that passes Luhn or is international,
+a key after a credential word or with an issuer's prefix. Boosted trees learn from the labels how such candidates look, from
+binned format and context features that leave out whatever the evidence itself reads. A threshold for each generator,
+calibrated on scores that no candidate's own fold has learned, alone decides which candidates are added.
 
 Scale: spans are found, described and scored within their document's row; nothing is shuffled but counts of feature
 combinations. The fit uses all candidates of all documents through that table of counts, whose size the bins bound
@@ -15,7 +14,7 @@ combinations. The fit uses all candidates of all documents through that table of
 
 Defined cases: null text: no spans, sha of the empty text. Texts are read whole. Overlapping base spans of different
 kinds all stay; an added span that overlaps a base span is dropped, of two added ones that overlap the later-starting
-(then the shorter) is. Repeated rows are judged each. No candidates, or none confirmed: no trees, base spans only. Empty
+(then the shorter) is. Repeated rows are judged each. No candidates, none with evidence, or no threshold precise enough: nothing is added to the base spans. Empty
 table: no rows. Other columns pass through ``redact``, but names that start with ``__pii_pii_`` are taken.
 """
 
@@ -39,7 +38,7 @@ BASE = {
 }
 #: Wide generators: address-like, key-like, number-like.
 WIDE = {
-    "contact": (r"(?<![^\x20\t\n\r<>(),;\"'])[A-Za-z0-9._%+\-]{1,64}+(?:\x20?[\[(]at[\])]\x20?|@)[A-Za-z0-9\-]{1,63}+(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9\-]{1,63}+)*+", r"@|[\[(]at[\])]"),
+    "contact": (r"(?<![^\x20\t\n\r<>(),;\"'])[A-Za-z0-9._%+\-]++(?:\x20?[\[(]at[\])]\x20?|@)[A-Za-z0-9\-]++(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9\-]++)*+", r"@|[\[(]at[\])]"),
     "secret": (r"(?<![A-Za-z0-9_/+\-])(?=[A-Za-z_/+\-]*+[0-9])[A-Za-z0-9_/+\-]{16,}+={0,2}", r"[A-Za-z0-9_/+\-]{16}"),
     "number": (r"(?<![0-9A-Za-z])\+?+\(?+[0-9](?:[\x20().\-]{0,2}[0-9]){6,}+", r"[0-9](?:[\x20().\-]{0,2}[0-9]){6}"),
 }
@@ -52,8 +51,8 @@ PAYMENT = r"(?i)(?:card|visa|iban|account|ssn|passport)[.:#]?\x20?$"
 NUMBERING = r"(?i)(?:version|v|page|no|order|isbn|issn|doi|http[^\x20]*|id|ref)[.:#/]?\x20?$"
 ISSUED = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|glpat-|xox[abp]-|sk-|sk_live_|eyJ)"
 
-#: How many values each feature has.
-BINS = {"family": 3, "len": 6, "digits": 5, "case": 4, "hex": 2, "seps": 4, "variety": 4, "left": 4, "right": 3, "context": 5}
+#: How many values each feature has. ``turns`` is of keys only, ``groups`` of numbers only.
+BINS = {"family": 3, "len": 6, "digits": 5, "case": 4, "hex": 2, "seps": 4, "variety": 4, "left": 4, "right": 3, "context": 5, "turns": 4, "groups": 6}
 ROUNDS, RATE, RIDGE, PRECISION, LEAST, FOLDS = 12, 0.4, 1.0, 0.95, 10, 4
 AROUND = 24
 SLICE = 256
@@ -134,9 +133,18 @@ def _features(family: int, kind: str, x: Column) -> Column:
         (zero if kind == "secret" else before).alias("left"),
         F.when((right == "") | right.rlike(r"[\x20\t\n\r.,;:!?]"), 0).when(right.rlike("[\"')>\\]]"), 1).otherwise(2).alias("right"),
         context.alias("context"),
+        # Keys: how often letters and digits take turns. Numbers: how the digits are grouped.
+        (_bin(F.regexp_count(s, F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")) * 8, n, 2 * n, 4 * n) if kind == "secret" else zero).alias("turns"),
+        (_grouping(s) if kind == "number" else zero).alias("groups"),
     )
 
 
+def _grouping(s: Column) -> Column:
+    """One run, fours, a bracketed code, dates and years, threes and fours, or anything else."""
+    g = F.when(s.rlike("^[0-9]+$"), 0).when(s.rlike(r"^[0-9]{4}(?:[\x20\-][0-9]{4})+$"), 1).when(s.rlike(r"^[0-9]{0,3}[\x20.\-]?\([0-9]+\)"), 2)
+    return g.when(s.rlike(r"^(?:[0-9]{4}[.\-][0-9]{2}[.\-][0-9]{2}|[0-9]{2}[.\-][0-9]{2}[.\-][0-9]{4})"), 3).when(s.rlike(r"^(?:[0-9]{1,3}[\x20.\-])?[0-9]{3}[\x20.\-][0-9]{3,4}(?:[\x20.\-][0-9]{4})?$"), 4).otherwise(5)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Adds ``__pii_base`` (array of kind, start, end: validated, by kind, then start) and ``__pii_wide`` (described candidates)."""
     df = _located(docs.withColumn("__pii_text", F.coalesce("text", F.lit(""))), "__pii_text", BASE | WIDE)
@@ -187,7 +195,7 @@ def _boost(on: np.ndarray, tests: list, y: np.ndarray, w: np.ndarray):
 class Trees:
     """Boosted trees over one-hot features, fitted to counts of all candidates, and a threshold for each generator. The
     thresholds are calibrated on scores by trees that were fitted without the candidate's fold. ``report``: for each generator,
-    candidates, confirmed ones, and of those that the threshold selects their number and the share confirmed."""
+    candidates, those with evidence, how many the threshold selects, and the share of these that have evidence."""
 
     def __init__(self, rows: list):
         names = list(BINS)
@@ -217,15 +225,15 @@ class Trees:
                 self.report[kind] = (int((n * mine).sum()), int((n * mine * y).sum()), *(found if best is not None else (0, None)))
 
     def selects(self, c: Column) -> Column:
-        """Whether the candidate is confirmed, or its score reaches its generator's threshold."""
+        """Whether the candidate's score reaches its generator's threshold."""
         if not self.trees or not self.thresholds:
-            return c["y"]
+            return F.lit(False)
         names = list(BINS)
         test = lambda t: c[names[t[0]]] == t[1]
         one = lambda t: F.when(test(t[0]), F.when(test(t[1][0]), t[1][1]).otherwise(t[1][2])).otherwise(F.when(test(t[2][0]), t[2][1]).otherwise(t[2][2]))
         total = reduce(lambda a, t: a + one(t), self.trees, F.lit(self.start))
         bound = reduce(lambda a, k: a.when(c["family"] == k, self.thresholds[k]), list(self.thresholds)[1:], F.when(c["family"] == next(iter(self.thresholds)), next(iter(self.thresholds.values()))))
-        return c["y"] | F.coalesce(total >= bound, F.lit(False))
+        return F.coalesce(total >= bound, F.lit(False))
 
 
 def _with_added(df: DataFrame, trees: Trees) -> DataFrame:
