@@ -86,6 +86,17 @@ def test_a_forest_connects_what_all_pairs_do(spark):
     assert pairs.cosine_pairs(df, 0.045, block=32, forest="mark").count() == whole.count()
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_components_in_arrays(seed):
+    rng = np.random.default_rng(seed)
+    i, j = rng.integers(0, 80, (2, 45)) if seed else (np.arange(99), np.arange(1, 100))
+    label = {x: x for x in [*i.tolist(), *j.tolist()]}
+    for _ in label:
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            label[a] = label[b] = min(label[a], label[b])
+    assert dict(zip(*map(np.ndarray.tolist, linkage.components(i, j)), strict=True)) == label
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_matrix_and_maps_make_the_same_log(seed):
     rng = np.random.default_rng(seed)

@@ -140,6 +140,26 @@ def replay(logs: dict, budget: int | None) -> list[tuple]:
     return out
 
 
+def components(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j, label = at[: len(i)], at[len(i) :], np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[i], label[j])
+        if np.array_equal(label[i], least) and np.array_equal(label[j], least):
+            return nodes, nodes[label]
+        # To the labels of both ends, then along the labels.
+        for end in (label[i], label[j], i, j):
+            np.minimum.at(label, end, least)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+
+
+def _chunk_components(edges: pa.Table) -> pa.Table:
+    nodes, least = components(edges["i"].to_numpy(), edges["j"].to_numpy())
+    return pa.table({c: pa.repeat(edges[c][0], len(nodes)) for c in ("lang", "chunk")} | {"seq": pa.array(nodes), "comp": pa.array(least)})
+
+
 def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple = ("fetch_time", "file_name")) -> DataFrame:
     """docs: lang, file_name, site_name, fetch_time, vector. Returns lang, file_name, seq (newest first), thread_id (the
     least seq of the thread's documents).
@@ -162,12 +182,18 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
     edges = cut(named.where(F.col("dist").cast("float") <= F.lit(cfg.small_threshold).cast("float")).select("a", "b", "lang", "chunk", "i", "j", "dist", "tree"))
     if free(cfg):
         return _labelled(base, edges.select("lang", "i", "j"))
-    # Edges of the blocks' forests connect what all edges do; a penalty may have cut them, and then all are needed.
-    comps = connected_components((edges if cfg.time_penalty else edges.where("tree")).select("a", "b"))
+    if cfg.time_penalty:
+        # A penalty may have cut pairs of the forests, so all edges count.
+        comps = connected_components(edges.select("a", "b"))
+        place = [part("key", 2).alias("lang"), part("key", 0).cast("int").alias("chunk"), part("key", 1).cast("long").alias("seq")]
+        comps = comps.select(*place, F.xxhash64("comp").alias("comp"))
+    else:
+        # Pairs of the blocks' forests connect what all edges do. A chunk's are bounded by the configuration: one task's arrays.
+        comps = edges.where("tree").select("lang", "chunk", "i", "j").groupBy("lang", "chunk").applyInArrow(_chunk_components, "lang string, chunk int, seq long, comp long")
     sizes = dealt.groupBy("lang", "chunk").agg(F.count("*").alias("n"))
     near = edges.groupBy("lang", "chunk", F.col("i").alias("seq")).agg(F.collect_list(F.struct(F.col("j").cast("int").alias("j"), F.col("dist").cast("float").alias("x"))).alias("near"))
     near = near.select("lang", "chunk", "seq", F.transform("near", lambda e: e["j"]).alias("others"), F.transform("near", lambda e: e["x"]).alias("dists"))
-    inside = dealt.select("id", "lang", "chunk", "seq", "site_name").join(comps.withColumnRenamed("key", "id"), "id").drop("id")
+    inside = dealt.select("lang", "chunk", "seq", "site_name").join(comps, ["lang", "chunk", "seq"])
     rows = inside.join(near, ["lang", "chunk", "seq"], "left").join(sizes, ["lang", "chunk"])
 
     def solve(own: pa.Table) -> pa.Table:
@@ -184,7 +210,7 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
         at = np.array([e[1:3] for e in log], np.int64).reshape(-1, 2)
         return pa.table(same | {"k": pa.array(range(len(log)), pa.int32()), "dist": pa.array([e[0] for e in log], pa.float64()), "i": pa.array(seqs[at[:, 0]]), "j": pa.array(seqs[at[:, 1]]), "merged": pa.array([e[3] for e in log], pa.bool_())})
 
-    logs = cut(rows.groupBy("lang", "chunk", "comp").applyInArrow(solve, "lang string, chunk int, comp string, k int, dist double, i long, j long, merged boolean"))
+    logs = cut(rows.groupBy("lang", "chunk", "comp").applyInArrow(solve, "lang string, chunk int, comp long, k int, dist double, i long, j long, merged boolean"))
 
     def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["comp", "k"])
@@ -200,6 +226,44 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
     return _labelled(base, merges)
 
 
+def link_components(docs: DataFrame, edges: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING) -> DataFrame:
+    """docs: file_name, site_name, fetch_time. edges: a, b, dist, all pairs under the small threshold among the docs. Returns
+    file_name, comp, thread: the least file name of its component and of its thread. Without chunks and a shared budget, so each component is linked
+    apart."""
+    comps = connected_components(edges.select("a", "b")).select(F.col("key").alias("file_name"), "comp")
+    if cfg.small_size >= 10**9 and not cfg.ban_same_sites:
+        threads = comps.withColumn("thread", F.col("comp"))
+    else:
+        near = edges.groupBy(F.col("a").alias("file_name")).agg(F.collect_list("b").alias("others"), F.collect_list("dist").alias("dists"))
+        rows = docs.select("file_name", "site_name", "fetch_time").join(comps, "file_name").join(near, "file_name", "left")
+
+        def solve(own: pa.Table) -> pa.Table:
+            # Newest first, as the loop numbers its rows.
+            own = own.sort_by([("fetch_time", "descending"), ("file_name", "descending")]).combine_chunks()
+            names = own["file_name"].to_pylist()
+            at = {n: k for k, n in enumerate(names)}
+            lengths = pc.fill_null(pc.list_value_length(own["others"]), 0).to_numpy()
+            j = np.array([at[n] for n in pc.list_flatten(own["others"]).to_pylist()], np.int32)
+            i = np.repeat(np.arange(len(names), dtype=np.int32), lengths)
+            label = list(range(len(names)))
+            for _, x, y, merged in link(len(names), (i, j, pc.list_flatten(own["dists"]).to_numpy()), own["site_name"].to_pylist(), cfg):
+                if merged:
+                    label[y] = x
+
+            def root(k):
+                while label[k] != k:
+                    k = label[k] = label[label[k]]
+                return k
+
+            least: dict[int, str] = {}
+            for k, n in enumerate(names):
+                least[root(k)] = min(n, least.get(root(k), n))
+            return pa.table({"file_name": own["file_name"], "comp": own["comp"], "thread": pa.array([least[root(k)] for k in range(len(names))], pa.string())})
+
+        threads = rows.groupBy("comp").applyInArrow(solve, "file_name string, comp string, thread string")
+    return docs.select("file_name").join(threads, "file_name", "left").select("file_name", F.coalesce("comp", "file_name").alias("comp"), F.coalesce("thread", "file_name").alias("thread"))
+
+
 def free(cfg: ClusteringConfig) -> bool:
     """Whether nothing limits merges: then threads are the components, and no group goes through the loop."""
     return cfg.budget == "unbounded" and not cfg.ban_same_sites and cfg.small_size >= cfg.chunk_size

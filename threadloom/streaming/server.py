@@ -23,7 +23,7 @@ from ..operators.annotate import annotate
 from ..plans import modes
 from ..schema import DOC_EVENT, TRAFFIC
 from ..sources.readers import parse_pages
-from .store import BadRequest, DocumentStore, NotReady, respond, run_stream
+from .store import BadRequest, DocumentStore, NotReady, run_stream
 
 
 def html_annotation(cfg: AnnotatorConfig = AnnotatorConfig(save_not_news=True), embed=None):
@@ -74,7 +74,7 @@ class Service:
 
     def _event(self, method: str, name: str, age: str | None, body: str | None) -> tuple[int, DataFrame]:
         event = self.spark.createDataFrame([(time.time_ns(), method, name, age, body)], DOC_EVENT)
-        status = respond(event, self.store.documents(), self.store.annotate).first()["status"]
+        status = self.store.respond(event).first()["status"]
         if status in (201, 204, 200) and not (method == "POST" and age == "no-cache"):
             event.coalesce(1).write.mode("append").json(f"{self.path}/events")
         return status, event

@@ -1,8 +1,8 @@
-"""A keyed document store with versions, changed by document events, and the index that queries read.
+"""A keyed document store, changed by document events, and the index that queries read.
 
-A version is a folder of Parquet; readers see the version that a pointer names, and the pointer moves only once the
-version is complete, so a reader sees the old state or the new one. Everything lies in the folder that driver and
-executors share, and is reached through Spark's file system layer.
+Documents lie in a ``KeyedTable``. The index is written whole: a version is a folder of Parquet; readers see the version that a
+pointer names, and the pointer moves only once the version is complete, so a reader sees the old state or the new one.
+Everything lies in the folder that driver and executors share, and is reached through Spark's file system layer.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from ..config import RankerConfig
 from ..functions.scalars import ttl_seconds
 from ..operators.filters import not_stale
 from ..operators.rank import rank
+from ..storage import cut
+from .keyed import PARTS, KeyedTable
 
 
 class NotReady(RuntimeError):
@@ -73,14 +75,6 @@ def changes(events: DataFrame, annotate: Callable[[DataFrame], DataFrame]) -> Da
     return every.groupBy("file_name").agg(F.max_by(F.struct(*every.columns), "seq").alias("_d")).select("_d.*")
 
 
-def merge(store: DataFrame | None, change: DataFrame) -> DataFrame:
-    """The store after the changes: latest wins, deleted files go."""
-    new = change.where(~F.col("gone")).drop("gone", "seq")
-    if store is None:
-        return new
-    return store.join(change.select("file_name"), "file_name", "left_anti").unionByName(new, allowMissingColumns=True)
-
-
 def respond(events: DataFrame, store: DataFrame | None, annotate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What each event is answered with: seq, status. Statuses count files that the store holds before the events."""
     ttl = ttl_seconds(F.col("cache_control"))
@@ -103,14 +97,22 @@ def respond(events: DataFrame, store: DataFrame | None, annotate: Callable[[Data
 class DocumentStore:
     """Documents, and the index of threads built from them."""
 
-    def __init__(self, spark: SparkSession, path: str, annotate: Callable, build: Callable[[DataFrame], DataFrame]):
+    def __init__(self, spark: SparkSession, path: str, annotate: Callable, build: Callable[[DataFrame], DataFrame], parts: int = PARTS):
         """build: live documents to threads (thread_id, lang, lang_ord, category, size, freshest_ts, best_ts, importance,
         iter_ts, and what queries are to return)."""
         self.spark, self.annotate, self.build = spark, annotate, build
-        self.docs_at, self.index_at = Versions(spark, f"{path}/docs"), Versions(spark, f"{path}/index")
+        self.docs_at, self.index_at = KeyedTable(spark, f"{path}/docs", parts=parts), Versions(spark, f"{path}/index")
 
     def apply(self, events: DataFrame) -> None:
-        self.docs_at.publish(merge(self.docs_at.read(), changes(events, self.annotate)))
+        """Latest wins, deleted files go; only the parts of the changed files are rewritten."""
+        change = cut(changes(events, self.annotate))
+        self.docs_at.apply(change.where(~F.col("gone")).drop("gone", "seq"), change.select("file_name"))
+
+    def respond(self, events: DataFrame) -> DataFrame:
+        """``respond`` against this store: the filters rule most absent files out, and only the parts of the others are read."""
+        asked = self.docs_at.may_hold(events.select("file_name").distinct()).where("may_hold")
+        held = self.docs_at.lookup(asked)
+        return respond(events, None if held is None else held.select("file_name"), self.annotate)
 
     def documents(self) -> DataFrame | None:
         return self.docs_at.read()
@@ -124,10 +126,10 @@ class DocumentStore:
         self.index_at.publish(self.build(self.live()))
 
     def get(self, file_name: str) -> DataFrame:
-        docs = self.documents()
-        if docs is None:
+        found = self.docs_at.lookup(self.spark.createDataFrame([(file_name,)], "file_name string"))
+        if found is None:
             raise NotReady
-        return docs.where(F.col("file_name") == file_name)
+        return found
 
     def threads(self, period: int, lang: str, category: str, cfg: RankerConfig = RankerConfig()) -> DataFrame:
         """The best threads of the last ``period`` seconds before the newest one, at most ``cfg.top``."""
