@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from ..config import EN_CLUSTERING
+from ..operators import bloom, ratings, threads
 from ..operators import importance as imp
-from ..operators import ratings, threads
 from ..schema import DOC_EVENT
 from ..storage import cut, shared_dir
+from ..streaming import cycle
+from ..streaming.keyed import KeyedTable
 from ..streaming.store import DocumentStore, respond, run_stream
-from .query_threads import _CLOCK, _importance_sql
+from .query_threads import _CLOCK, _PAIR, THETA, _importance_sql
 from .registered import Registered, sig
-from .views import ARTICLES, MEMBERS, articles, traffic_table
+from .views import ARTICLES, MEMBERS, VECTORED, articles, traffic_table
 
 REGISTERED = query = Registered()
+#: Hash parts of the keyed tables here; a store of production size has more.
+_PARTS = 8
 BODY = "url string, host string, title string, lang string, category string, fetch_time long, thread_id string"
 
 
@@ -59,7 +65,7 @@ def _run(spark, d):
     # Files in the order of events: by three thirds of the sequence.
     for k in range(3):
         events.where(F.col("seq") % 10 == k + 1 if k < 2 else F.col("seq") % 10 >= 3).coalesce(1).write.mode("append").json(f"{at}/in/{k}")
-    store = DocumentStore(spark, f"{at}/store", annotated, build_index)
+    store = DocumentStore(spark, f"{at}/store", annotated, build_index, _PARTS)
     for k in range(3):
         source = spark.readStream.schema(DOC_EVENT).json(f"{at}/in/{k}")
         run_stream(store, source, f"{at}/checkpoint/{k}").awaitTermination()
@@ -90,3 +96,58 @@ SELECT doc_id * 10 + n AS seq, CASE WHEN n = 4 THEN CASE WHEN doc_id % 2 = 0 THE
 def store_responses(spark, d):
     old = articles(spark, d).where("doc_id % 2 = 0").select("file_name")
     return respond(_events(spark, d), old, annotated).select("seq", "status")
+
+
+_WORD = lambda i: f"('0x' || substr(md5(file_name), {1 + 8 * i}, 8))::BIGINT"
+
+
+@query(f"""WITH {ARTICLES}, h AS (SELECT file_name, vector IS NOT NULL AS held, {_WORD(0)} AS w0, {_WORD(1)} AS w1, {_WORD(2)} AS w2, {_WORD(3)} % {_PARTS} AS part FROM articles),
+s AS (SELECT part, greatest(ceil(count(*) * {bloom.BITS} / {bloom.PAGE}.0), 1)::BIGINT AS pages FROM h WHERE held GROUP BY 1),
+b AS (SELECT h.*, h.w0 % s.pages AS page, unnest([(w1 + i * (w2 - w2 % 2 + 1)) % {bloom.PAGE} FOR i IN range({bloom.K})]) AS bit FROM h JOIN s USING (part)),
+f AS (SELECT DISTINCT part, page, bit FROM b WHERE held),
+m AS (SELECT b.file_name, bool_and(f.bit IS NOT NULL) AS may_hold FROM b LEFT JOIN f USING (part, page, bit) GROUP BY 1)
+SELECT h.file_name, h.held, coalesce(m.may_hold, false) AS may_hold FROM h LEFT JOIN m USING (file_name)""")
+def store_misses(spark, d):
+    """A keyed table of the articles with a vector, and which of all articles its filters rule out."""
+    rows = articles(spark, d).select("file_name", F.col("vector").isNotNull().alias("held"))
+    table = KeyedTable(spark, f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", parts=_PARTS)
+    table.apply(rows.where("held"))
+    return table.may_hold(rows)
+
+
+_LIVE_VECTORS = f"{VECTORED}, live AS (SELECT * FROM articles WHERE doc_id % 7 <> 0 AND fetch_time + ttl >= (SELECT max(fetch_time) FROM articles))"
+
+
+@query(f"""WITH RECURSIVE {_LIVE_VECTORS}, p AS ({_PAIR.replace('FROM articles a JOIN articles b', 'FROM live a JOIN live b')}),
+e AS (SELECT a, b FROM p WHERE dist <= {THETA} UNION SELECT b, a FROM p WHERE dist <= {THETA}), r(n, m) AS (SELECT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n),
+c AS (SELECT n, min(m || '.html') AS thread FROM r GROUP BY 1) SELECT file_name, fetch_time, coalesce(c.thread, file_name) AS thread FROM live LEFT JOIN c ON c.n = live.doc_id""")
+def incremental_threads(spark, d):
+    """A stream over the articles with a vector: every second one is put late, every fifth one first with another vector, every seventh one is deleted,
+    and those whose time runs out expire. The cycle re-links what each batch touches; SQL links the final state as a whole."""
+    at = f"{shared_dir(spark)}/cycle-{uuid.uuid4().hex}"
+    rows, i = articles(spark, d, True), F.col("doc_id")
+
+    def put(vector):
+        return F.to_json(F.struct("lang", "site_name", "fetch_time", vector.alias("vector")))
+
+    def write(rows, n, payload=None):
+        gone = F.lit(payload is None)
+        own = F.lit(None).cast("long") if payload is None else F.col("fetch_time")
+        cols = ["file_name", (i * 10 + n).alias("seq"), gone.alias("gone"), own.alias("fetch_time"), "ttl", (F.lit(None).cast("string") if payload is None else payload).alias("payload")]
+        rows.select(*cols).write.mode("append").parquet(f"{at}/in")
+
+    write(rows.where(i % 2 == 0), 1, put(F.when(i % 5 == 0, F.reverse("vector")).otherwise(F.col("vector"))))
+    write(rows.where((i % 2 == 1) | (i % 5 == 0)), 2, put(F.col("vector")))
+    write(rows.where(i % 7 == 0), 3)
+    cfg = replace(EN_CLUSTERING, small_threshold=THETA, small_size=10**9, ban_same_sites=False, budget="unbounded")
+    table = cycle.ThreadTable(spark, f"{at}/threads", cfg, parts=_PARTS)
+    stream = spark.readStream.schema(cycle.CHANGE).option("maxFilesPerTrigger", 64).parquet(f"{at}/in")
+    parse = lambda p: p.select("file_name", F.from_json("payload", "lang string, site_name string, fetch_time long, vector array<float>").alias("b")).select("file_name", "b.*")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, cycle.STATE_STORE)
+    try:
+        cycle.run_threads(table, stream, parse, f"{at}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return table.documents().select("file_name", "fetch_time", "thread")

@@ -19,6 +19,8 @@ from ..operators import linkage, pairs
 from ..storage import cut
 from .keyed import PARTS, KeyedTable
 
+#: What ``lifecycle`` takes.
+CHANGE = "file_name string, seq long, gone boolean, fetch_time long, ttl long, payload string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
