@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import embed, ratings, text
+from ..operators.ngrams import NgramModel
+from ..operators.svd import TruncatedSvd
 from ..sources import readers
 from .registered import Registered
 from .views import articles, headed, table
@@ -93,3 +95,31 @@ def html_paragraphs(spark, d):
 def hashed_vectors(spark, d):
     docs = headed(spark, d).select("file_name", "title", "text")
     return embed.HashedEmbedder("title", "avg").transform(docs).select("file_name", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double"), 4).cast("string")), ",").alias("vector"))
+
+
+_FOLD = "('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10 = 0"
+_GRAM = {1: "a[i]", 2: "a[i] * 1114112 + a[i + 1]", 3: "(a[i] * 1114112 + a[i + 1]) * 1114112 + a[i + 2]"}
+
+
+@query(f"""WITH t AS (SELECT doc_id, lang, {_FOLD} AS held_out, [unicode(c)::BIGINT FOR c IN string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')] AS a FROM documents),
+g AS ({' UNION ALL '.join(f"SELECT doc_id, lang, held_out, unnest([(({_GRAM[k]}) % 1000003 * 7919 + {k}) % 65536 FOR i IN range(1, len(a) - {k - 2})]) AS b FROM t" for k in (1, 2, 3))}),
+d AS (SELECT doc_id, lang, held_out, b, count(*) AS n FROM g GROUP BY 1, 2, 3, 4), c AS (SELECT lang, b, sum(n)::DOUBLE AS n FROM d WHERE NOT held_out GROUP BY 1, 2), s AS (SELECT lang, sum(n) AS total FROM c GROUP BY 1),
+p AS (SELECT lang, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM t WHERE NOT held_out GROUP BY 1),
+e AS (SELECT d.doc_id, s.lang, sum(d.n * ln((coalesce(c.n, 0) + 0.5) / (s.total + 0.5 * 65536))) AS score FROM d CROSS JOIN s LEFT JOIN c ON c.lang = s.lang AND c.b = d.b GROUP BY 1, 2),
+r AS (SELECT t.doc_id, t.held_out, p.lang, p.prior + coalesce(e.score, 0) AS score FROM t CROSS JOIN p LEFT JOIN e ON e.doc_id = t.doc_id AND e.lang = p.lang)
+SELECT doc_id, held_out, arg_max(lang, score) AS predicted FROM r GROUP BY 1, 2""")
+def language_model(spark, d):
+    """Languages of all documents by a model that has learned from nine tenths of them."""
+    held = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 10 == 0
+    rows = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"), held.alias("held_out"))
+    return NgramModel().fit(rows.where(~F.col("held_out"))).transform(rows.drop("label")).select("doc_id", "held_out", "predicted")
+
+
+@query()
+def svd_documents(spark, d):
+    """How much of each document's tf-idf vector the first 20 singular directions hold."""
+    docs, words = table(spark, d, "documents"), S.tokens(F.col("text"))
+    entries = text.tfidf(docs, words, text.idf_table(docs, words, 100, 500)).select(F.col("doc_id").alias("row"), "token", F.col("tfidf").alias("x"))
+    model = TruncatedSvd(20).fit(entries)
+    held = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return model.transform(entries).select(F.col("row").alias("doc_id"), F.round(F.sqrt(held), 4).alias("length"))
