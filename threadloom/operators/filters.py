@@ -62,8 +62,10 @@ def sample_by_class(docs: DataFrame, key: str, label: str, shares: dict[str, flo
 
 
 def split(docs: DataFrame, key: str, share: float = 0.9, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Training and validation rows by a hash of the key, so that a row is on the same side on every run."""
-    inside = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(share * 1_000_000)
+    """Training and validation rows by a digest of the key, so that a row is on the same side on every run and in other
+    engines. A null key counts as the empty one."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    inside = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1_000_000 < int(share * 1_000_000)
     return docs.where(inside), docs.where(~inside)
 
 

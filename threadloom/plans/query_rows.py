@@ -213,9 +213,11 @@ def country_share(spark, d):
     return members(spark, d).select("file_name", "share_us", "share_gb", "share_in", "share_ru", "share_au")
 
 
-@query(f"WITH {TRAFFIC} SELECT min(rating) AS rating FROM tr")
+@query("SELECT min(rating) AS rating FROM (SELECT count(*) / 1000.0 AS rating FROM documents WHERE source IS NOT NULL GROUP BY source)")
 def least_rating(spark, d):
-    return ratings.least_rating(traffic_table(spark))
+    """Of hosts that are rated by their number of documents."""
+    hosts = table(spark, d, "documents").where("source is not null").groupBy("source").agg((F.count("*") / 1000.0).alias("rating"))
+    return ratings.least_rating(hosts)
 
 
 @query("""SELECT c_mktsegment AS category, count(o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON o_custkey = c_custkey GROUP BY 1""")
