@@ -77,3 +77,12 @@ def test_edges(spark, edge, nothing):
     none = items.limit(0)
     assert d.find_leaks(edge, none).count() == 0 and d.drop_contaminated(edge, none).count() == edge.count()
     assert d.find_leaks(nothing, items).count() == 0 and d.drop_contaminated(nothing, items).count() == 0
+
+
+def test_very_long_texts(spark, docs_of):
+    """A text of equal words and one of 150,000 words that hides an item in two parts."""
+    words = prose(3, 60).split()
+    texts = ["a " * 200_000, " ".join([prose(8, 70_000), *words[30:], prose(9, 70_000), *words[:30]])]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "a " * 500)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in d.find_leaks(docs_of(texts), items).collect()}
+    assert set(found) == {(0, 2), (1, 1)} and found[1, 1]["n_tiles"] == 2 and found[1, 1]["matched"] == found[1, 1]["item_tokens"]

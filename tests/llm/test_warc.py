@@ -57,3 +57,21 @@ def test_hot_url_like_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "record_id long, url string, ts long, kind string, status int, headers map<string,string>")
     assert warc.resolve_revisits(df).count() == 0
+
+
+def test_defined_cases(spark):
+    """Null ids, kinds and statuses, very long URLs and values, repeated records, equal times, and columns with the operator's own names."""
+    long, value = "http://a.org/" + "p/" * 100_000, "v" * 200_000
+    tag = {"etag": "1"}
+    rows = [
+        (1, long, 10, "response", 200, {"etag": "1", "x": value}), (2, long, 20, "revisit", 304, tag), (2, long, 20, "revisit", 304, tag),
+        (None, "http://b.org/", 10, "response", 200, tag), (4, "http://b.org/", 10, "response", 200, {"etag": "2"}), (None, "http://b.org/", 10, "revisit", 304, tag), (5, "http://b.org/", 11, "revisit", 304, tag),
+        (None, "http://c.org/", 10, "response", 200, tag), (7, "http://c.org/", 200_000, "revisit", 304, tag), (8, "http://d.org/", 10, None, 200, tag), (9, "http://d.org/", 10, "response", None, tag), (10, "http://d.org/", 20, "revisit", None, None),
+    ]
+    df = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], "record_id long, url string, ts long, kind string, status int, headers map<string,string>, _slice int, canonical_url int, _near int")
+    got = warc.resolve_revisits(df).collect()
+    assert sorted((r["record_id"] or 0, r["target_id"], r["state"]) for r in got if r["record_id"] not in (7, 10)) == sorted([(2, 1, "resolved"), (2, 1, "resolved"), (0, None, "resolved"), (5, 4, "mismatch")])
+    by = {r["record_id"]: r for r in got}
+    assert by[2]["headers"]["x"] == value and len(by[2]["canonical_url"]) == len(long) - len("http://") - 1
+    # A response of null id is found a slice later; a record without kind or status is no target.
+    assert (by[7]["target_id"], by[7]["state"]) == (None, "resolved") and by[10]["state"] == "unresolved" and by[10]["headers"] == {}

@@ -11,7 +11,8 @@ there are several its findings are written and the block is released before the
 An item is skipped before tiling only if the tokens under shared seeds could not reach the coverage: an upper bound.
 
 Defined cases: tokens are lower-cased runs of letters, digits and underscores. Null or empty texts have none and match
-nothing; items of fewer than ``min_match`` tokens match nothing. Repeated documents and items are compared each. Ties
+nothing; items of fewer than ``min_match`` tokens match nothing. Texts and items are read whole at any length; tiling sorts a text's
+windows a few times for each distinct tile length, so its time follows the length. Repeated documents and items are compared each. Ties
 between runs of equal length: the earliest in the item, then in the document. Empty tables: no rows. Documents may have
 further columns of any name; ``drop_contaminated`` passes them through.
 """

@@ -11,7 +11,9 @@ over one row per (URL, slice). Payloads stay where they are; only ids and header
 Defined cases: null URL: never resolved (state ``unresolved``). Null time: the record is neither earlier nor later than
 any other, so unresolved as a revisit and no target as a response. Equal times: the lower record id is earlier.
 Repeated records: each is resolved; a response repeated under one id counts once. Neither validator on both sides:
-``unverified``. Null header maps: empty. Empty table: no rows.
+``unverified``. Null header maps: empty. Null record id: a revisit is resolved like any other; a response serves as a target of
+null id, the earlier one at equal times. Null kinds and statuses: neither revisit nor full response. URLs and header values are read whole at any
+length. Further columns, whatever their names, are ignored. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -63,7 +65,7 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = 86400) -> DataFram
     stored = F.when(F.col("_full"), F.struct(F.col("record_id").alias("id"), F.col("headers").alias("h")))
     order = W.partitionBy("_key", "_slice").orderBy("ts", "record_id", F.col("_full").desc()).rowsBetween(W.unboundedPreceding, -1)
     within = own.withColumn("_near", F.last(stored, ignorenulls=True).over(order))
-    last = own.where("_full").groupBy("_key", "_slice").agg(F.max_by(F.struct(F.col("record_id").alias("id"), F.col("headers").alias("h")), F.struct("ts", "record_id")).alias("_last"))
+    last = own.where("_full").groupBy("_key", "_slice").agg(F.max_by(F.struct(F.col("record_id").alias("id"), F.col("headers").alias("h")), F.struct("ts", F.col("record_id").isNotNull(), "record_id")).alias("_last"))
     slices = own.where("_revisit").select("_key", "_slice").distinct().join(last, ["_key", "_slice"], "full")
     slices = slices.withColumn("_far", F.last("_last", ignorenulls=True).over(W.partitionBy("_key").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))).select("_key", "_slice", "_far")
     found = within.where("_revisit").join(slices, ["_key", "_slice"], "left").withColumn("_t", F.coalesce("_near", "_far"))
