@@ -61,7 +61,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The learned stages and the near-copy join have no SQL form; tests/llm hold the run against brute force.
+#: The learned stages and the near-copy join have no SQL form; a test in tests/llm holds the run over whole tables against plain loops.
 ORACLE_SQL = None
 
 
