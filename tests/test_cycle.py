@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.config import EN_CLUSTERING
-from threadloom.operators import bloom, linkage
+from threadloom.operators import bloom, linkage, pairs
 from threadloom.streaming import cycle
 from threadloom.streaming.keyed import KeyedTable
 
@@ -111,7 +111,8 @@ def test_the_cycle_ends_like_a_rebuild(spark, tmp_path, cfg):
     expired = {n for n, (at, ttl, _) in live.items() if at + ttl < clock}
     want = {n: json.loads(v[2]) for n, v in live.items() if n not in expired}
     assert expired and len(want) > 12
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", cycle.STATE_STORE)
+    for k, v in cycle.STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     table = cycle.ThreadTable(spark, f"{tmp_path}/threads", cfg, parts=8)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
     parse = lambda rows: rows.select("file_name", F.from_json("payload", BODY).alias("b")).select("file_name", "b.*")
@@ -129,8 +130,18 @@ def test_the_cycle_ends_like_a_rebuild(spark, tmp_path, cfg):
 
     assert groups(lambda n: labels[n]) == groups(lambda n: got[n]["thread"])
     assert all(min(g) == got[g[0]]["thread"] for g in groups(lambda n: got[n]["thread"]))
-    for n, r in got.items():
-        assert all(n in {e["file"] for e in got[e["file"]]["near"]} for e in r["near"]) and r["comp"] <= n
+    assert all(r["comp"] <= r["thread"] <= n for n, r in got.items())
+
+
+def test_near_any_like_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = lambda n, at: spark.createDataFrame([(f"{at}{k}", "en" if k % 4 else "de", rng.standard_normal(3).tolist() if k else [0.0] * 3) for k in range(n)], "file_name string, lang string, vector array<double>")
+    left, right = rows(20, "l"), rows(90, "r")
+    x, y = left.collect(), right.collect()
+    unit = lambda v: np.float32(v).astype(float) / max(np.linalg.norm(np.float32(v)), 1e-8)
+    want = {b["file_name"] for b in y for a in x if a["lang"] == b["lang"] and any(a["vector"]) and any(b["vector"]) and (1 - unit(a["vector"]) @ unit(b["vector"])) / 2 <= 0.05}
+    got = [r[0] for r in pairs.near_any(left, right, 0.05, "file_name", ("lang",), 8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 5 < len(want) < 90
 
 
 def test_a_batch_leaves_other_components_alone(spark, tmp_path):
@@ -143,9 +154,9 @@ def test_a_batch_leaves_other_components_alone(spark, tmp_path):
     before, written = {r["file_name"]: r for r in table.documents().collect()}, files(tmp_path)
     table.apply(spark.createDataFrame([("new", "en", "q", START, eye[7].tolist())], schema), spark.createDataFrame([("f090",)], "file_name string"))
     after = {r["file_name"]: r for r in table.documents().collect()}
-    assert {n for n in after if before.get(n) != after[n]} == {"new", "f070", "f071", "f091"}
-    # Rows and filters of the parts of five files.
+    assert {n for n in after if before.get(n) != after[n]} == {"new", "f091"}
+    # Rows and filters of the parts of the batch's files and those they are linked with.
     assert len(files(tmp_path) - written) <= 2 * 5
-    assert after["new"]["thread"] == "f070" and after["f091"]["near"] == []
+    assert after["new"]["thread"] == "f070" and after["f091"]["comp"] == "f091"
     with pytest.raises(ValueError, match="budget"):
         cycle.ThreadTable(spark, f"{tmp_path}/u", EN_CLUSTERING)

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 from dataclasses import replace
 
@@ -267,6 +268,19 @@ def test_a_shared_folder_is_needed_on_a_cluster():
         storage.shared_dir(Other)
 
 
+def test_cut_tables_can_be_cleared(spark, monkeypatch):
+    monkeypatch.setattr(spark, "_threadloom_cut", [], raising=False)
+    kept = storage.cut(spark.range(5))
+    at = spark._threadloom_cut[0].removeprefix("file:").replace("//", "/", 1)
+    assert kept.count() == 5 and os.path.isdir(at)
+    assert storage.clear(spark) == 1 and not os.path.isdir(at) and storage.clear(spark) == 0
+
+
+def test_a_matrix_too_large_to_broadcast_is_refused(spark):
+    with pytest.raises(ValueError, match="numbers"):
+        embed.TfIdfEmbedder(spark.range(1), matrix=np.zeros((4, 5)), most=19)
+
+
 def test_tfidf_counts_tokens_once_for_each_document(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "doc_id int, text string")
     words = F.split("text", " ")

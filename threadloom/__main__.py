@@ -15,6 +15,15 @@ from .plans import modes
 from .sources.readers import read_pagerank, read_traffic
 
 
+def _write(out, objects) -> None:
+    """A JSON array, an object at a time."""
+    out.write("[")
+    for k, x in enumerate(objects):
+        out.write(",\n" if k else "\n")
+        json.dump(x, out, ensure_ascii=False, indent=1)
+    out.write("\n]")
+
+
 def main(args: list[str] | None = None, out=sys.stdout) -> int:
     p = argparse.ArgumentParser(prog="threadloom")
     p.add_argument("mode", choices=modes.MODES)
@@ -32,15 +41,14 @@ def main(args: list[str] | None = None, out=sys.stdout) -> int:
         spark, o.mode, o.input, None if o.ndocs < 0 else o.ndocs, tuple(o.languages), o.save_not_news, o.window_size, o.print_top_debug_info,
         read_pagerank(spark, o.pagerank) if o.pagerank else None, read_traffic(spark, o.traffic) if o.traffic else None,
     )
-    if o.mode == "json":
-        found = [json.loads(r["json"]) for r in rows.toLocalIterator()]
+    if o.mode == "news":
+        json.dump(rows.first().asDict(), out, ensure_ascii=False, indent=1)
+    elif o.mode == "json":
+        _write(out, (json.loads(r["json"]) for r in rows.toLocalIterator()))
     elif o.mode == "top":
-        found = [{"category": r["category"], "threads": [json.loads(x) for x in r["threads"]]} for r in modes.nested(rows).collect()]
-    elif o.mode == "news":
-        found = rows.first().asDict()
+        _write(out, ({"category": r["category"], "threads": [json.loads(x) for x in r["threads"]]} for r in modes.nested(rows).toLocalIterator()))
     else:
-        found = [{k: v for k, v in r.asDict().items() if k != "thread_id"} for r in rows.toLocalIterator()]
-    json.dump(found, out, ensure_ascii=False, indent=1)
+        _write(out, ({k: v for k, v in r.asDict().items() if k != "thread_id"} for r in rows.toLocalIterator()))
     return 0
 
 

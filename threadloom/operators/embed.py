@@ -77,10 +77,13 @@ class HashedEmbedder:
 
 class TfIdfEmbedder:
     """Tf-idf over a vocabulary of (token, idx, idf): dense, or times a matrix of components (vocabulary by dimensions, such
-    as the right singular vectors of a truncated SVD; see ``sources.readers.read_matrix``)."""
+    as that of an exported model; see ``sources.readers.read_matrix``). The matrix is broadcast, so it may have ``most`` numbers;
+    ``svd.TruncatedSvd`` fits and applies components that stay a table."""
 
-    def __init__(self, vocabulary: DataFrame, field: str = "all", max_words: int = 10**6, matrix: np.ndarray | None = None):
+    def __init__(self, vocabulary: DataFrame, field: str = "all", max_words: int = 10**6, matrix: np.ndarray | None = None, most: int = 50_000_000):
         self.vocabulary, self.field, self.max_words, self.matrix = vocabulary, field, max_words, matrix
+        if matrix is not None and np.size(matrix) > most:
+            raise ValueError(f"more than {most} numbers")
 
     def weights(self, docs: DataFrame, key: str = "file_name") -> DataFrame:
         """key, entries: array of (idx, x) in order of idx; documents without known tokens are missing."""
@@ -92,10 +95,11 @@ class TfIdfEmbedder:
     def transform(self, docs: DataFrame, key: str = "file_name") -> DataFrame:
         joined = docs.join(self.weights(docs, key), key, "left")
         if self.matrix is not None:
-            matrix = np.asarray(self.matrix, np.float32)
+            shared = docs.sparkSession.sparkContext.broadcast(np.asarray(self.matrix, np.float32))
 
             @F.pandas_udf("array<float>")
             def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+                matrix = shared.value
                 one = lambda e: np.array([x["x"] for x in e], np.float32) @ matrix[[x["idx"] for x in e]] if e is not None and len(e) else np.zeros(matrix.shape[1], np.float32)
                 for entries in batches:
                     yield entries.map(one, na_action=None)

@@ -231,7 +231,7 @@ def link_components(docs: DataFrame, edges: DataFrame, cfg: ClusteringConfig = E
     file_name, comp, thread: the least file name of its component and of its thread. Without chunks and a shared budget, so each component is linked
     apart."""
     comps = connected_components(edges.select("a", "b")).select(F.col("key").alias("file_name"), "comp")
-    if cfg.small_size >= 10**9 and not cfg.ban_same_sites:
+    if unlimited(cfg):
         threads = comps.withColumn("thread", F.col("comp"))
     else:
         near = edges.groupBy(F.col("a").alias("file_name")).agg(F.collect_list("b").alias("others"), F.collect_list("dist").alias("dists"))
@@ -264,6 +264,11 @@ def link_components(docs: DataFrame, edges: DataFrame, cfg: ClusteringConfig = E
     return docs.select("file_name").join(threads, "file_name", "left").select("file_name", F.coalesce("comp", "file_name").alias("comp"), F.coalesce("thread", "file_name").alias("thread"))
 
 
+def unlimited(cfg: ClusteringConfig) -> bool:
+    """Whether nothing limits merges, however many documents there are."""
+    return cfg.budget == "unbounded" and not cfg.ban_same_sites and cfg.small_size >= 10**9
+
+
 def free(cfg: ClusteringConfig) -> bool:
     """Whether nothing limits merges: then threads are the components, and no group goes through the loop."""
     return cfg.budget == "unbounded" and not cfg.ban_same_sites and cfg.small_size >= cfg.chunk_size

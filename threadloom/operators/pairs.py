@@ -140,9 +140,9 @@ def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tupl
     return dealt.groupBy("g", "i", "j").applyInArrow(compare, f"a {id_type}, b {id_type}, dist double" + ", tree boolean" * len(extra))
 
 
-def pairs_between(left: DataFrame, right: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int = 1024) -> DataFrame:
-    """Pairs of a row of ``left`` and one of ``right``, which share no key, within ``group``: a (of left), b (of right), dist; compared in single
-    precision. Both sides are cut into blocks by hash; each pair of blocks is compared apart. For a small left side: each row of
+def near_any(left: DataFrame, right: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int = 1024) -> DataFrame:
+    """Rows of ``right`` that have a row of ``left`` within the threshold in their ``group``: their keys, each once; compared in single
+    precision. Both sides are cut into blocks by hash and each pair of blocks is compared apart; pairs never leave it. For a small left side: each row of
     the right one goes to one block of it for every ``block`` rows."""
 
     def side(df):
@@ -156,17 +156,16 @@ def pairs_between(left: DataFrame, right: DataFrame, threshold: float, key: str
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = one.join(both, "g").select("g", own("_n").alias("i"), every("_m").alias("j"), F.lit(True).alias("first"), "id", "v")
     b = two.join(both, "g").select("g", every("_n").alias("i"), own("_m").alias("j"), F.lit(False).alias("first"), "id", "v")
-    id_type = dict(one.dtypes)["id"]
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         first = t["first"].to_numpy()
         p, q = np.flatnonzero(first), np.flatnonzero(~first)
         x, has = unit_rows(matrix(t["v"]))
-        dist = np.maximum(1 - (x[p] @ x[q].T + 1) / 2, 0)
-        dist[~has[p]] = 1
-        dist[:, ~has[q]] = 1
-        i, j = np.nonzero(dist.astype(np.float32) <= np.float32(threshold))
-        return pa.table({"a": t["id"].take(pa.array(p[i])), "b": t["id"].take(pa.array(q[j])), "dist": pa.array(dist[i, j])})
+        dist = np.maximum(1 - (x[q] @ x[p].T + 1) / 2, 0)
+        dist[~has[q]] = 1
+        dist[:, ~has[p]] = 1
+        return pa.table({"id": t["id"].take(pa.array(q[(dist.astype(np.float32) <= np.float32(threshold)).any(axis=1)]))})
 
-    return a.unionByName(b).groupBy("g", "i", "j").applyInArrow(compare, f"a {id_type}, b {id_type}, dist double")
+    found = a.unionByName(b).groupBy("g", "i", "j").applyInArrow(compare, f"id {dict(one.dtypes)['id']}")
+    return found.distinct().withColumnRenamed("id", key)

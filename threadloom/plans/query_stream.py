@@ -143,11 +143,12 @@ def incremental_threads(spark, d):
     table = cycle.ThreadTable(spark, f"{at}/threads", cfg, parts=_PARTS)
     stream = spark.readStream.schema(cycle.CHANGE).option("maxFilesPerTrigger", 64).parquet(f"{at}/in")
     parse = lambda p: p.select("file_name", F.from_json("payload", "lang string, site_name string, fetch_time long, vector array<float>").alias("b")).select("file_name", "b.*")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, cycle.STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in cycle.STATE_SETTINGS}
+    for k, v in cycle.STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         cycle.run_threads(table, stream, parse, f"{at}/checkpoint").awaitTermination()
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return table.documents().select("file_name", "fetch_time", "thread")

@@ -26,4 +26,15 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/threadloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._threadloom_cut = [*getattr(spark, "_threadloom_cut", []), path]
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` wrote in this session, once all results that read them are written. Returns their number."""
+    paths = getattr(spark, "_threadloom_cut", [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark._threadloom_cut = []
+    return len(paths)

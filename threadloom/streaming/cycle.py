@@ -1,9 +1,9 @@
 """The incremental cycle: documents come, are replaced, deleted and expire, and only the threads that they touch are linked anew.
 
 ``lifecycle`` keeps, for each file, when it expires: a timer on the clock of the newest fetch time fires then, so no scan of the store
-looks for stale documents. ``ThreadTable`` holds each live document with its near ones (the rows of a sparse graph), its
-component and its thread. A batch is compared with the live documents, and the components that it touches are linked as a whole; since merges
-never leave a component, all other threads stand. That needs the loop's unbounded budget and no chunks: both couple
+looks for stale documents. ``ThreadTable`` holds each live document with its component and its thread. A batch is compared with the
+live documents, and the components that it touches, by a new document or by one that goes, are paired and linked as a whole; since
+merges never leave a component, all other threads stand. That needs the loop's unbounded budget and no chunks: both couple
 components that have nothing to do with each other.
 """
 
@@ -15,13 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..config import EN_CLUSTERING, ClusteringConfig
-from ..operators import linkage, pairs
+from ..operators import linkage
+from ..operators.pairs import cosine_pairs, near_any
 from ..storage import cut
 from .keyed import PARTS, KeyedTable
 
 #: What ``lifecycle`` takes.
 CHANGE = "file_name string, seq long, gone boolean, fetch_time long, ttl long, payload string"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What the session needs for the lifecycle's states: RocksDB, with a bound on what all states of an executor keep in memory.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 
 
 class _Lifecycle(StatefulProcessor):
@@ -85,8 +91,8 @@ def lifecycle(changes: DataFrame) -> DataFrame:
 
 
 class ThreadTable:
-    """Live documents and their threads. Rows: file_name, lang, site_name, fetch_time, vector, near (array of file, dist), comp, thread; comp and
-    thread are the least file name of the component and of the thread."""
+    """Live documents and their threads. Rows: file_name, lang, site_name, fetch_time, vector, comp, thread; comp and thread are the
+    least file name of the component and of the thread."""
 
     def __init__(self, spark: SparkSession, path: str, cfg: ClusteringConfig = EN_CLUSTERING, parts: int = PARTS):
         if cfg.budget != "unbounded" or cfg.time_penalty:
@@ -99,33 +105,24 @@ class ThreadTable:
     def apply(self, puts: DataFrame, gone: DataFrame) -> None:
         """puts: file_name (one row each), lang, site_name, fetch_time, vector. gone: file_name."""
         own = ["file_name", "lang", "site_name", "fetch_time", "vector"]
-        puts = cut(puts.select("file_name", "lang", "site_name", "fetch_time", F.transform("vector", lambda x: x.cast("float")).alias("vector")))
+        docs = puts = cut(puts.select("file_name", "lang", "site_name", "fetch_time", F.transform("vector", lambda x: x.cast("float")).alias("vector")))
         touched = cut(puts.select("file_name").unionByName(gone.select("file_name")).distinct())
-        old, cfg = self.table.read(), self.cfg
-        new = pairs.cosine_pairs(puts, cfg.small_threshold, "file_name", ("lang",), single=True).select("a", "b", F.col("dist").cast("float").alias("dist"))
+        old = self.table.read()
         if old is not None:
-            # Whose components the batch reaches: those of its own files as they were, and of the documents near the new ones.
+            # The components of the batch's files as they were, and of the documents near the new ones.
             stay = old.join(touched, "file_name", "left_anti")
-            across = pairs.pairs_between(puts, stay, cfg.small_threshold, "file_name", ("lang",)).select("a", "b", F.col("dist").cast("float").alias("dist"))
-            new = cut(new.unionByName(across))
-            reached = old.join(touched, "file_name", "left_semi").select("comp").unionByName(stay.join(new.select(F.col("b").alias("file_name")).distinct(), "file_name", "left_semi").select("comp")).distinct()
-            inside = cut(stay.join(reached, "comp", "left_semi"))
-            kept = inside.select(F.col("file_name").alias("a"), F.explode("near").alias("e")).select("a", F.col("e.file").alias("b"), F.col("e.dist").alias("dist"))
-            kept = kept.join(touched.withColumnRenamed("file_name", "b"), "b", "left_anti").where("a < b").select("a", "b", "dist")
-            docs, edges = puts.unionByName(inside.select(*own)), cut(new.unionByName(kept))
-        else:
-            docs, edges = puts, cut(new)
-        linked = linkage.link_components(docs, edges, cfg)
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-        near = both.groupBy(F.col("a").alias("file_name")).agg(F.collect_list(F.struct(F.col("b").alias("file"), "dist")).alias("near"))
-        none = F.array().cast("array<struct<file:string,dist:float>>")
-        rows = docs.join(linked, "file_name").join(near, "file_name", "left").select(*own, F.coalesce("near", none).alias("near"), "comp", "thread")
-        self.table.apply(rows, touched)
+            near = near_any(puts, stay, self.cfg.small_threshold, "file_name", ("lang",))
+            reached = old.join(touched, "file_name", "left_semi").select("comp").unionByName(stay.join(near, "file_name", "left_semi").select("comp")).distinct()
+            docs = cut(puts.unionByName(stay.join(reached, "comp", "left_semi").select(*own)))
+        forest = "only" if linkage.unlimited(self.cfg) else None
+        edges = cosine_pairs(docs, self.cfg.small_threshold, "file_name", ("lang",), forest=forest, single=True)
+        linked = linkage.link_components(docs, cut(edges.select("a", "b", F.col("dist").cast("float").alias("dist"))), self.cfg)
+        self.table.apply(docs.join(linked, "file_name").select(*own, "comp", "thread"), touched)
 
 
 def run_threads(table: ThreadTable, changes: DataFrame, parse, checkpoint: str, trigger: dict | None = None):
     """Keep the table up with a stream of changes (as ``lifecycle`` takes them). parse: rows of file_name and payload to what ``ThreadTable.apply`` takes as puts.
-    Without a trigger: all that is there, then stop. The session's state store must keep states in RocksDB (``STATE_STORE``)."""
+    Without a trigger: all that is there, then stop. The session's settings must hold those of ``STATE_SETTINGS`` while the stream runs."""
 
     def batch(df: DataFrame, _: int) -> None:
         df = cut(df)
