@@ -155,9 +155,10 @@ def components(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label = label[label]
 
 
-def _chunk_components(edges: pa.Table) -> pa.Table:
-    nodes, least = components(edges["i"].to_numpy(), edges["j"].to_numpy())
-    return pa.table({c: pa.repeat(edges[c][0], len(nodes)) for c in ("lang", "chunk")} | {"seq": pa.array(nodes), "comp": pa.array(least)})
+def _chunk_components(lists: pa.Table) -> pa.Table:
+    i = np.repeat(lists["seq"].to_numpy(), pc.list_value_length(lists["others"]).to_numpy())
+    nodes, least = components(i, pc.list_flatten(lists["others"]).to_numpy())
+    return pa.table({c: pa.repeat(lists[c][0], len(nodes)) for c in ("lang", "chunk")} | {"seq": pa.array(nodes), "comp": pa.array(least)})
 
 
 def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple = ("fetch_time", "file_name")) -> DataFrame:
@@ -170,29 +171,30 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
     step = max(1, cfg.chunk_size - cfg.chunk_overlap)
     first = F.greatest(F.ceil((F.col("seq") - cfg.chunk_size + 1) / step), F.lit(0)).cast("int")
     dealt = base.withColumn("chunk", F.explode(F.sequence(first, F.floor(F.col("seq") / step).cast("int")))).withColumn("id", F.concat_ws("/", "chunk", "seq", "lang"))
-    unlimited = free(cfg) and not cfg.time_penalty
-    pairs = cosine_pairs(dealt, cfg.small_threshold, "id", ("lang", "chunk"), forest="only" if unlimited else "mark", single=True)
     part = lambda c, k: F.get(F.split(c, "/", 3), F.lit(k))
-    named = pairs.select("*", part("a", 2).alias("lang"), part("a", 0).cast("int").alias("chunk"), part("a", 1).cast("long").alias("i"), part("b", 1).cast("long").alias("j"))
+    own = [part("a", 2).alias("lang"), part("a", 0).cast("int").alias("chunk"), part("a", 1).cast("long")]
+    if free(cfg) and not cfg.time_penalty:
+        pairs = cosine_pairs(dealt, cfg.small_threshold, "id", ("lang", "chunk"), forest="only", single=True)
+        return _labelled(base, pairs.select(own[0], own[2].alias("i"), part("b", 1).cast("long").alias("j")))
+    # A row for each document and block, so that a crowd of near documents makes no row for each pair.
+    lists = cosine_pairs(dealt, cfg.small_threshold, "id", ("lang", "chunk"), forest="mark", single=True, lists=True)
+    lists = lists.select(*own[:2], own[2].alias("seq"), F.transform("others", lambda o: part(o, 1).cast("long")).alias("others"), "dists", "trees")
     if cfg.time_penalty:
+        edges = lists.select("lang", "chunk", F.col("seq").alias("i"), F.explode(F.arrays_zip("others", "dists")).alias("e")).select("lang", "chunk", "i", F.col("e.others").alias("j"), F.col("e.dists").alias("dist"))
         times = base.select("lang", "seq", "fetch_time")
-        named = named.join(times.select("lang", F.col("seq").alias("i"), F.col("fetch_time").alias("_ti")), ["lang", "i"]).join(times.select("lang", F.col("seq").alias("j"), F.col("fetch_time").alias("_tj")), ["lang", "j"])
+        edges = edges.join(times.select("lang", F.col("seq").alias("i"), F.col("fetch_time").alias("_ti")), ["lang", "i"]).join(times.select("lang", F.col("seq").alias("j"), F.col("fetch_time").alias("_tj")), ["lang", "j"])
         hours = F.abs(F.col("_ti") - F.col("_tj")) / 3600.0
-        named = named.withColumn("dist", F.least(F.col("dist") * F.when(hours >= 24, hours / 24).otherwise(1.0), F.lit(1.0)))
-    edges = cut(named.where(F.col("dist").cast("float") <= F.lit(cfg.small_threshold).cast("float")).select("a", "b", "lang", "chunk", "i", "j", "dist", "tree"))
-    if free(cfg):
-        return _labelled(base, edges.select("lang", "i", "j"))
-    if cfg.time_penalty:
-        # A penalty may have cut pairs of the forests, so all edges count.
-        comps = connected_components(edges.select("a", "b"))
-        place = [part("key", 2).alias("lang"), part("key", 0).cast("int").alias("chunk"), part("key", 1).cast("long").alias("seq")]
-        comps = comps.select(*place, F.xxhash64("comp").alias("comp"))
-    else:
-        # Pairs of the blocks' forests connect what all edges do. A chunk's are bounded by the configuration: one task's arrays.
-        comps = edges.where("tree").select("lang", "chunk", "i", "j").groupBy("lang", "chunk").applyInArrow(_chunk_components, "lang string, chunk int, seq long, comp long")
+        edges = edges.withColumn("dist", F.least(F.col("dist") * F.when(hours >= 24, hours / 24).otherwise(1.0), F.lit(1.0)).cast("float"))
+        edges = edges.where(F.col("dist") <= F.lit(cfg.small_threshold).cast("float"))
+        # The penalty may have cut pairs of the blocks' forests, so all that are left count.
+        lists = edges.groupBy("lang", "chunk", F.col("i").alias("seq")).agg(F.collect_list(F.struct("j", "dist")).alias("e"))
+        lists = lists.select("lang", "chunk", "seq", F.transform("e", lambda e: e["j"]).alias("others"), F.transform("e", lambda e: e["dist"]).alias("dists"), F.transform("e", lambda e: F.lit(True)).alias("trees"))
+    lists = cut(lists)
+    # Pairs of the blocks' forests connect what all pairs do. A chunk's are bounded by the configuration: one task's arrays.
+    forests = lists.select("lang", "chunk", "seq", F.transform(F.filter(F.arrays_zip("others", "trees"), lambda e: e["trees"]), lambda e: e["others"]).alias("others"))
+    comps = forests.groupBy("lang", "chunk").applyInArrow(_chunk_components, "lang string, chunk int, seq long, comp long")
     sizes = dealt.groupBy("lang", "chunk").agg(F.count("*").alias("n"))
-    near = edges.groupBy("lang", "chunk", F.col("i").alias("seq")).agg(F.collect_list(F.struct(F.col("j").cast("int").alias("j"), F.col("dist").cast("float").alias("x"))).alias("near"))
-    near = near.select("lang", "chunk", "seq", F.transform("near", lambda e: e["j"]).alias("others"), F.transform("near", lambda e: e["x"]).alias("dists"))
+    near = lists.groupBy("lang", "chunk", "seq").agg(F.flatten(F.collect_list("others")).alias("others"), F.flatten(F.collect_list("dists")).alias("dists"))
     inside = dealt.select("lang", "chunk", "seq", "site_name").join(comps, ["lang", "chunk", "seq"])
     rows = inside.join(near, ["lang", "chunk", "seq"], "left").join(sizes, ["lang", "chunk"])
 

@@ -107,12 +107,13 @@ def deal(base: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
     return met.select("g", F.least("blk", "_o").alias("i"), F.greatest("blk", "_o").alias("j"), "blk", "id", "v")
 
 
-def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int = 1024, forest: str | None = None, single: bool = False) -> DataFrame:
+def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int = 1024, forest: str | None = None, single: bool = False, lists: bool = False) -> DataFrame:
     """Pairs within ``group`` (all rows without one) whose (1 - cosine) / 2 is at most the threshold, below 1: a, b, dist; a < b.
 
     With ``forest`` "mark" there is also ``tree``: whether the pair is one of those that connect what all pairs of its two blocks
     connect; with "only", just these come, so that a crowd of near rows gives no square of them. ``single``: distances are
-    compared in single precision. Vectors without length are at distance 1.
+    compared in single precision. ``lists``: a row for each row and block in place of each pair: a, others, dists, trees; then a may be the greater
+    key. Vectors without length are at distance 1.
     """
     base = docs.select(F.xxhash64(F.struct(*group) if group else F.lit(0)).alias("g"), F.col(key).alias("id"), F.transform("vector", lambda x: x.cast("float")).alias("v"))
     extra = ["tree"] if forest else []
@@ -131,12 +132,19 @@ def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tupl
         near = dist.astype(np.float32) <= np.float32(threshold) if single else dist <= threshold
         tree = spanning(near) if forest else near
         p, q = np.nonzero(tree if forest == "only" else near)
+        if lists:
+            rows, n = np.unique(p, return_counts=True)
+            at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            made = (pa.ListArray.from_arrays(at, x) for x in (pa.concat_arrays(ids.take(pa.array(b[q])).chunks), pa.array(dist[p, q].astype(np.float32)), pa.array(tree[p, q])))
+            return pa.table(dict(zip(("a", "others", "dists", "trees"), (ids.take(pa.array(a[rows])), *made), strict=True)))
         one, two = ids.take(pa.array(a[p])), ids.take(pa.array(b[q]))
         swap = pc.greater(one, two)
         out = {"a": pc.if_else(swap, two, one), "b": pc.if_else(swap, one, two), "dist": pa.array(dist[p, q])}
         return pa.table(out | {"tree": pa.array(tree[p, q]) for _ in extra})
 
     dealt = deal(base, threshold + 1e-6, block)
+    if lists:
+        return dealt.groupBy("g", "i", "j").applyInArrow(compare, f"a {id_type}, others array<{id_type}>, dists array<float>, trees array<boolean>")
     return dealt.groupBy("g", "i", "j").applyInArrow(compare, f"a {id_type}, b {id_type}, dist double" + ", tree boolean" * len(extra))
 
 
