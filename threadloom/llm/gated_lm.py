@@ -12,7 +12,7 @@ frequent enough to make a hot key. The network starts from a fit on whole traini
 tokens, at most twice as many, by one task. It then learns from all training documents, in ``ROUNDS`` rounds: each document is in one round and in
 one of its shards by hash, a task learns from one shard in pieces of ``PIECE`` tokens, and the shards' weights are averaged by
 tokens, in blocks. Shards grow with the square root of the tokens, as does their number, and the words that the network
-tells apart grow with the power 0.4 of them. Scoring is one pass; documents of a batch run side by side, and a long one
+tells apart grow with the power 0.4 of them, up to ``HEAD``, which binds beyond some 6e11 tokens. Scoring is one pass; documents of a batch run side by side, and a long one
 alone costs steps, not memory.
 
 Defined cases: null or empty text: the end mark alone. Words are the runs between ASCII blanks, A-Z lower-cased. Null
