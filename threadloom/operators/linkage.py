@@ -193,7 +193,7 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
     # Pairs of the blocks' forests connect what all pairs do. A chunk's are bounded by the configuration: one task's arrays.
     forests = lists.select("lang", "chunk", "seq", F.transform(F.filter(F.arrays_zip("others", "trees"), lambda e: e["trees"]), lambda e: e["others"]).alias("others"))
     comps = forests.groupBy("lang", "chunk").applyInArrow(_chunk_components, "lang string, chunk int, seq long, comp long")
-    sizes = dealt.groupBy("lang", "chunk").agg(F.count("*").alias("n"))
+    sizes = cut(dealt.groupBy("lang", "chunk").agg(F.count("*").alias("n")))
     near = lists.groupBy("lang", "chunk", "seq").agg(F.flatten(F.collect_list("others")).alias("others"), F.flatten(F.collect_list("dists")).alias("dists"))
     inside = dealt.select("lang", "chunk", "seq", "site_name").join(comps, ["lang", "chunk", "seq"])
     rows = inside.join(near, ["lang", "chunk", "seq"], "left").join(sizes, ["lang", "chunk"])

@@ -68,7 +68,8 @@ def _pivots(base: DataFrame, counts: DataFrame) -> DataFrame:
 def deal(base: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
     """base: g, id, v. Returns g, i, j, blk, id, v: each row once for each pair (i, j) of blocks that has to be compared, with its own
     block, which is one of them."""
-    counts = base.groupBy("g").agg(F.count(F.lit(1)).alias("_c")).withColumn("_n", F.ceil(F.col("_c") / block).cast("int"))
+    # Tables of one row a group are written: joins then know their sizes, and Spark broadcasts them or splits a hot group.
+    counts = cut(base.groupBy("g").agg(F.count(F.lit(1)).alias("_c")).withColumn("_n", F.ceil(F.col("_c") / block).cast("int")))
     if (counts.agg(F.max("_n")).first()[0] or 0) <= 1:
         return base.select("g", *[F.lit(0).cast("long").alias(c) for c in ("i", "j", "blk")], "id", "v")
     reach, id_type = 2 * threshold**0.5 + SLACK, dict(base.dtypes)["id"]
@@ -98,7 +99,7 @@ def deal(base: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
     dealt = rows.unionByName(beside).groupBy("g", "_b").applyInArrow(place, f"g long, id {id_type}, v array<float>, cell int, far double, at array<struct<cell:int,far:double>>")
     placed = cut(dealt)
     balls = placed.groupBy("g", "cell").agg(F.max("far").alias("r"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    balls = balls.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("r", "n")))).alias("_balls"))
+    balls = cut(balls.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("r", "n")))).alias("_balls")))
     there = F.filter(F.transform("at", lambda a: F.struct(a["cell"].alias("cell"), a["far"].alias("far"), F.try_element_at("_balls", a["cell"]).alias("b"))), lambda a: a["b"].isNotNull() & ((a["cell"] == F.col("cell")) | (a["far"] <= a["b"]["r"] + reach)))
     name = lambda c, q: c.cast("long") * _BLOCKS + q
     others = F.flatten(F.transform(there, lambda a: F.transform(F.sequence(F.lit(0), a["b"]["n"] - 1), lambda q: name(a["cell"], q))))

@@ -51,10 +51,20 @@ def _times(vectors: DataFrame, key: str, t: np.ndarray) -> DataFrame:
     return vectors.select(key, "v").mapInArrow(run, f"{key} {dict(vectors.dtypes)[key]}, v array<double>")
 
 
-def product(entries: DataFrame, vectors: DataFrame, given: str, wanted: str) -> DataFrame:
-    """wanted, v: for each the sum of x times the vector of its ``given``."""
-    met = entries.join(vectors, given).select(wanted, F.transform("v", lambda y: y * F.col("x")).alias("v"))
-    return met.groupBy(wanted).agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+def _sums(rows: DataFrame, key: str) -> DataFrame:
+    """key, v: the sums of v times x."""
+    weighed = rows.select(key, F.transform("v", lambda y: y * F.col("x")).alias("v"))
+    return weighed.groupBy(key).agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+
+
+def times_tokens(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """rows: row, e (its entries). row, v: the matrix times the tokens' vectors. A row's entries lie together, so its sum is made in few tasks."""
+    return _sums(rows.select("row", F.explode("e").alias("e")).select("row", "e.*").join(tokens, "token"), "row")
+
+
+def times_rows(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """token, v: the transpose times the rows' vectors. Rows move with all their entries; what is summed by token moves as sums."""
+    return _sums(rows.join(vectors, "row").select("v", F.explode("e").alias("e")).select("v", "e.*"), "token")
 
 
 class TruncatedSvd:
@@ -68,12 +78,13 @@ class TruncatedSvd:
 
     def fit(self, entries: DataFrame) -> TruncatedSvd:
         k = self.size
-        entries = cut(_known(entries).groupBy("row", "token").agg(F.sum(F.col("x").cast("double")).alias("x")))
+        entries = _known(entries).groupBy("row", "token").agg(F.sum(F.col("x").cast("double")).alias("x"))
+        rows = cut(entries.groupBy("row").agg(F.collect_list(F.struct("token", "x")).alias("e")))
         unit = lambda i, salt: (F.shiftrightunsigned(F.xxhash64("token", i, F.lit(salt)), 11) + F.lit(0.5)) / F.lit(float(2**53))
         normal = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.sqrt(-2 * F.log(unit(i, 1))) * F.cos(2 * np.pi * unit(i, 2)))
-        tokens = entries.select("token").distinct().withColumn("v", normal)
+        tokens = cut(rows.select(F.explode("e.token").alias("token")).distinct().withColumn("v", normal))
         for _ in range(self.rounds):
-            back = cut(product(entries, product(entries, tokens, "token", "row"), "row", "token"))
+            back = cut(times_rows(rows, times_tokens(rows, tokens)))
             weight, basis = np.linalg.eigh(_gram(back, k))
             keep = weight > max(weight.max(), 0) * 1e-13
             if not keep.any():
@@ -83,7 +94,7 @@ class TruncatedSvd:
         weight, basis = np.linalg.eigh(_gram(tokens, k))
         fix = basis / np.sqrt(weight)
         tokens = cut(_times(tokens, "token", fix))
-        weight, basis = np.linalg.eigh(_gram(product(entries, tokens, "token", "row"), k))
+        weight, basis = np.linalg.eigh(_gram(times_tokens(rows, tokens), k))
         order = np.argsort(-weight)[: self.rank]
         order = order[weight[order] > weight.max() * 1e-12]
         self.values, self.vectors = np.sqrt(weight[order]), cut(_times(tokens, "token", basis[:, order]))
@@ -91,4 +102,5 @@ class TruncatedSvd:
 
     def transform(self, entries: DataFrame) -> DataFrame:
         """row, vector; rows without a known token are missing."""
-        return product(_known(entries), self.vectors, "token", "row").withColumnRenamed("v", "vector")
+        rows = _known(entries).groupBy("row").agg(F.collect_list(F.struct("token", "x")).alias("e"))
+        return times_tokens(rows, self.vectors).withColumnRenamed("v", "vector")
