@@ -128,3 +128,27 @@ def test_equal_documents_through_the_whole_operator(spark):
     assert sum(r[0] for r in sizes) == 700 and max(r[0] for r in sizes) == EN_CLUSTERING.large_size
     free = linkage.threads(df, replace(EN_CLUSTERING, budget="unbounded")).groupBy("thread_id").count()
     assert sorted(r[1] for r in free.collect()) == [10] + [30] * 23
+
+
+def test_time_penalty_and_chunks_like_the_naive_loop(spark):
+    """Documents up to four days apart: distances grow with the days, and pairs of the forests may be cut."""
+    from .test_operators import naive_link, partition
+
+    rng = np.random.default_rng(6)
+    rows = [("en", f"{k:03}.html", f"s{int(rng.integers(0, 8))}", int(1_600_000_000 + rng.integers(0, 96) * 3600), rng.standard_normal(3).tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "lang string, file_name string, site_name string, fetch_time long, vector array<double>")
+    cfg = replace(EN_CLUSTERING, small_threshold=0.05, medium_threshold=0.04, large_threshold=0.03, small_size=3, medium_size=5, large_size=8, time_penalty=True, budget="unbounded", chunk_size=40, chunk_overlap=15)
+    got = {r["file_name"]: r["thread_id"] for r in linkage.threads(df, cfg).collect()}
+    own = sorted(rows, key=lambda r: (r[3], r[1]), reverse=True)
+    top, start = list(range(len(own))), 0
+    while start == 0 or start + cfg.chunk_overlap < len(own):
+        part = own[start : start + cfg.chunk_size]
+        x = np.array([r[4] for r in part], np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        hours = np.abs(np.subtract.outer([r[3] for r in part], [r[3] for r in part])) / 3600
+        dist = np.minimum(np.maximum(1 - (x @ x.T + 1) / 2, 0).astype(np.float32) * np.where(hours >= 24, hours / 24, 1), 1)
+        for k, v in enumerate(naive_link(dist, [r[2] for r in part], cfg, False)):
+            a, b = top[start + k], top[start + v]
+            top = [min(a, b) if t in (a, b) else t for t in top]
+        start += cfg.chunk_size - cfg.chunk_overlap
+    assert partition(top) == partition([got[r[1]] for r in own]) and len(set(top)) < 55

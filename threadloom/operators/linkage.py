@@ -156,9 +156,9 @@ def components(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunk_components(lists: pa.Table) -> pa.Table:
-    i = np.repeat(lists["seq"].to_numpy(), pc.list_value_length(lists["others"]).to_numpy())
+    i = np.repeat(lists["at"].to_numpy(), pc.list_value_length(lists["others"]).to_numpy())
     nodes, least = components(i, pc.list_flatten(lists["others"]).to_numpy())
-    return pa.table({c: pa.repeat(lists[c][0], len(nodes)) for c in ("lang", "chunk")} | {"seq": pa.array(nodes), "comp": pa.array(least)})
+    return pa.table({c: pa.repeat(lists[c][0], len(nodes)) for c in ("lang", "chunk")} | {"at": pa.array(nodes.astype(np.int32)), "comp": pa.array(least.astype(np.int32))})
 
 
 def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple = ("fetch_time", "file_name")) -> DataFrame:
@@ -170,7 +170,12 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
     base = position(docs.select("lang", "file_name", "site_name", "fetch_time", "vector"), ("lang",), [F.col(c).desc() for c in order], "seq")
     step = max(1, cfg.chunk_size - cfg.chunk_overlap)
     first = F.greatest(F.ceil((F.col("seq") - cfg.chunk_size + 1) / step), F.lit(0)).cast("int")
-    dealt = base.withColumn("chunk", F.explode(F.sequence(first, F.floor(F.col("seq") / step).cast("int")))).withColumn("id", F.concat_ws("/", "chunk", "seq", "lang"))
+    # The first chunk that reaches a language's end is its last. A row for each language, written, so that its size is known.
+    last = F.greatest(F.ceil((F.max("seq") + 1 - cfg.chunk_size) / step), F.lit(0)).cast("int")
+    ends = cut(base.groupBy("lang").agg(last.alias("_end"))).withColumnRenamed("lang", "_lang")
+    within = base.join(ends, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
+    chunks = F.sequence(first, F.least(F.floor(F.col("seq") / step).cast("int"), F.col("_end")))
+    dealt = within.withColumn("chunk", F.explode(chunks)).drop("_end").withColumn("id", F.concat_ws("/", "chunk", "seq", "lang"))
     part = lambda c, k: F.get(F.split(c, "/", 3), F.lit(k))
     own = [part("a", 2).alias("lang"), part("a", 0).cast("int").alias("chunk"), part("a", 1).cast("long")]
     if free(cfg) and not cfg.time_penalty:
@@ -178,9 +183,12 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
         return _labelled(base, pairs.select(own[0], own[2].alias("i"), part("b", 1).cast("long").alias("j")))
     # A row for each document and block, so that a crowd of near documents makes no row for each pair.
     lists = cosine_pairs(dealt, cfg.small_threshold, "id", ("lang", "chunk"), forest="mark", single=True, lists=True)
-    lists = lists.select(*own[:2], own[2].alias("seq"), F.transform("others", lambda o: part(o, 1).cast("long")).alias("others"), "dists", "trees")
+    lists = lists.select(*own[:2], own[2].alias("seq"), "others", "dists", "trees")
+    # Within a chunk, rows are named by their place in it: a small number for each end of an edge.
+    place = lambda seq: (seq - F.col("chunk") * step).cast("int")
+    lists = lists.withColumn("others", F.transform("others", lambda o: place(part(o, 1).cast("long"))))
     if cfg.time_penalty:
-        edges = lists.select("lang", "chunk", F.col("seq").alias("i"), F.explode(F.arrays_zip("others", "dists")).alias("e")).select("lang", "chunk", "i", F.col("e.others").alias("j"), F.col("e.dists").alias("dist"))
+        edges = lists.select("lang", "chunk", F.col("seq").alias("i"), F.explode(F.arrays_zip("others", "dists")).alias("e")).select("lang", "chunk", "i", (F.col("e.others") + F.col("chunk").cast("long") * step).alias("j"), F.col("e.dists").alias("dist"))
         times = base.select("lang", "seq", "fetch_time")
         edges = edges.join(times.select("lang", F.col("seq").alias("i"), F.col("fetch_time").alias("_ti")), ["lang", "i"]).join(times.select("lang", F.col("seq").alias("j"), F.col("fetch_time").alias("_tj")), ["lang", "j"])
         hours = F.abs(F.col("_ti") - F.col("_tj")) / 3600.0
@@ -188,11 +196,12 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
         edges = edges.where(F.col("dist") <= F.lit(cfg.small_threshold).cast("float"))
         # The penalty may have cut pairs of the blocks' forests, so all that are left count.
         lists = edges.groupBy("lang", "chunk", F.col("i").alias("seq")).agg(F.collect_list(F.struct("j", "dist")).alias("e"))
-        lists = lists.select("lang", "chunk", "seq", F.transform("e", lambda e: e["j"]).alias("others"), F.transform("e", lambda e: e["dist"]).alias("dists"), F.transform("e", lambda e: F.lit(True)).alias("trees"))
+        lists = lists.select("lang", "chunk", "seq", F.transform("e", lambda e: place(e["j"])).alias("others"), F.transform("e", lambda e: e["dist"]).alias("dists"), F.transform("e", lambda e: F.lit(True)).alias("trees"))
     lists = cut(lists)
     # Pairs of the blocks' forests connect what all pairs do. A chunk's are bounded by the configuration: one task's arrays.
-    forests = lists.select("lang", "chunk", "seq", F.transform(F.filter(F.arrays_zip("others", "trees"), lambda e: e["trees"]), lambda e: e["others"]).alias("others"))
-    comps = forests.groupBy("lang", "chunk").applyInArrow(_chunk_components, "lang string, chunk int, seq long, comp long")
+    forests = lists.select("lang", "chunk", place(F.col("seq")).alias("at"), F.transform(F.filter(F.arrays_zip("others", "trees"), lambda e: e["trees"]), lambda e: e["others"]).alias("others"))
+    comps = forests.groupBy("lang", "chunk").applyInArrow(_chunk_components, "lang string, chunk int, at int, comp int")
+    comps = comps.select("lang", "chunk", (F.col("at") + F.col("chunk").cast("long") * step).alias("seq"), "comp")
     sizes = cut(dealt.groupBy("lang", "chunk").agg(F.count("*").alias("n")))
     near = lists.groupBy("lang", "chunk", "seq").agg(F.flatten(F.collect_list("others")).alias("others"), F.flatten(F.collect_list("dists")).alias("dists"))
     inside = dealt.select("lang", "chunk", "seq", "site_name").join(comps, ["lang", "chunk", "seq"])
@@ -204,7 +213,7 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
         seqs = own["seq"].to_numpy()
         lengths = pc.fill_null(pc.list_value_length(own["others"]), 0).to_numpy()
         i = np.repeat(np.arange(len(seqs), dtype=np.int32), lengths)
-        j = np.searchsorted(seqs, pc.list_flatten(own["others"]).to_numpy()).astype(np.int32)
+        j = np.searchsorted(seqs - own["chunk"][0].as_py() * step, pc.list_flatten(own["others"]).to_numpy()).astype(np.int32)
         # No component can use more rounds than its chunk has.
         budget = own["n"][0].as_py() - 1 if cfg.budget == "reference" else None
         log = link(len(seqs), (i, j, pc.list_flatten(own["dists"]).to_numpy()), own["site_name"].to_pylist(), cfg, budget)
@@ -212,7 +221,7 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
         at = np.array([e[1:3] for e in log], np.int64).reshape(-1, 2)
         return pa.table(same | {"k": pa.array(range(len(log)), pa.int32()), "dist": pa.array([e[0] for e in log], pa.float64()), "i": pa.array(seqs[at[:, 0]]), "j": pa.array(seqs[at[:, 1]]), "merged": pa.array([e[3] for e in log], pa.bool_())})
 
-    logs = cut(rows.groupBy("lang", "chunk", "comp").applyInArrow(solve, "lang string, chunk int, comp long, k int, dist double, i long, j long, merged boolean"))
+    logs = cut(rows.groupBy("lang", "chunk", "comp").applyInArrow(solve, "lang string, chunk int, comp int, k int, dist double, i long, j long, merged boolean"))
 
     def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["comp", "k"])
