@@ -9,6 +9,7 @@ from ..operators import embed, ratings, text
 from ..operators.ngrams import NgramModel
 from ..operators.svd import TruncatedSvd
 from ..sources import readers
+from ..storage import cut
 from .registered import Registered
 from .views import articles, headed, table
 
@@ -119,7 +120,8 @@ def language_model(spark, d):
 def svd_documents(spark, d):
     """How much of each document's tf-idf vector the first 20 singular directions hold."""
     docs, words = table(spark, d, "documents"), S.tokens(F.col("text"))
-    entries = text.tfidf(docs, words, text.idf_table(docs, words, 100, 500)).select(F.col("doc_id").alias("row"), "token", F.col("tfidf").alias("x"))
+    # Written, since the fit and the transform both read it.
+    entries = cut(text.tfidf(docs, words, text.idf_table(docs, words, 100, 500)).select(F.col("doc_id").alias("row"), "token", F.col("tfidf").alias("x")))
     model = TruncatedSvd(20).fit(entries)
     held = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     return model.transform(entries).select(F.col("row").alias("doc_id"), F.round(F.sqrt(held), 4).alias("length"))
