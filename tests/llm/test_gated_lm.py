@@ -115,3 +115,60 @@ def test_start_is_bounded_and_never_untrained(docs_of):
     start = g.GatedNet().w
     assert not np.array_equal(g.fit_net(copies, {}, 0.0)["bc"], start["bc"])
     assert np.array_equal(g.fit_net(copies.limit(0), {}, 1.0)["bc"], start["bc"])
+
+
+def ragged():
+    return g.GatedNet(hidden=5, classes=4, size=4, edges=np.array([0, 1, 2, 5, 6, 16]))
+
+
+def test_classes_by_counts_halve_the_terms():
+    """Terms of both softmaxes for a token, by the words' shares, against classes of equal size."""
+    outputs, n = 83**2, 10**6
+    counts = {b"%d" % k: n // (12 * k) for k in range(1, outputs - 1)} | {g.END: n // 500}
+    ids = g._ids(list(counts.items()), outputs)
+    edges = g.class_edges(counts, ids, n, outputs)
+    sizes = np.diff(edges)
+    assert edges[0] == 0 and edges[-1] == outputs and (sizes > 0).all() and list(edges[:3]) == [0, 1, 2]
+    p = np.zeros(outputs)
+    for t, k in ids.items():
+        p[k] = counts[t] / n
+    p[1] = 1 - p.sum()
+    own = sizes[np.repeat(np.arange(len(sizes)), sizes)]
+    assert len(sizes) + (p * np.where(own > 1, own, 0)).sum() < 0.7 * 2 * 83
+    for words in (0, 1, 3):
+        few = {b"%d" % k: 5 for k in range(words)}
+        assert g.class_edges(few, g._ids(list(few.items()), 2304), 5 * words, 2304)[-1] == 2304
+
+
+def test_ragged_classes_are_a_distribution():
+    states = np.random.default_rng(0).standard_normal((3, 5)).astype(np.float32)
+    assert sum(np.exp(ragged().log_p(states, np.full(3, k))) for k in range(16)) == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.parametrize("scale", [1, 400])
+def test_gradients_of_ragged_classes(scale):
+    """Also with weights whose softmax needs its maximum."""
+    net = ragged()
+    net.w = {k: v.astype(np.float64) * (scale if k in ("wc", "ww") else 1) for k, v in net.w.items()}
+    rng = np.random.default_rng(2)
+    x, y = (rng.integers(0, 16, (6, 3)) for _ in range(2))
+    state = rng.uniform(-1, 1, (3, 5))
+    loss, grad, _ = net.window(x, y, state)
+    before, states = state, []
+    for t in range(6):
+        before = net.step(x[t], before * (x[t] != 0)[:, None])
+        states.append(before)
+    assert loss == pytest.approx(-net.log_p(np.concatenate(states), y.ravel()).sum(), rel=1e-6)
+    for name, at in (("u", (1, 3)), ("u", (2, 12)), ("x", (int(x[2, 1]), 7)), ("wc", (2, 1)), ("ww", (0, 2, 2)), ("ww", (2, 1, 3)), ("bw", (1, 3)), ("bc", (4,))):
+        around = []
+        for step in (1e-6, -1e-6):
+            net.w[name][at] += step
+            around.append(net.window(x, y, state)[0])
+            net.w[name][at] -= step
+        assert (around[0] - around[1]) / 2e-6 == pytest.approx(grad[name][at], rel=1e-3, abs=1e-5)
+
+
+def test_sums_of_runs():
+    rows = np.random.default_rng(4).standard_normal((400, 6)).astype(np.float32)
+    first = np.array([0, 1, 2, 4, 12, 21, 300, 399])
+    assert g._run_sums(rows, first) == pytest.approx(np.add.reduceat(rows, first, axis=0), abs=1e-4)

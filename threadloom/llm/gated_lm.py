@@ -1,8 +1,8 @@
 """LM scoring by a gated recurrent network with a class-factored softmax.
 
 The network reads a document word by word and carries its state from the first word to the end mark, so that a score is
-the log-likelihood of the complete text. Frequent words form classes of equal size by rank; a word's probability is that
-of its class times that within its class. All other words share one output, whose probability is split among them by
+the log-likelihood of the complete text. Frequent words form classes by rank, small where counts are high
+(``class_edges``), so that both softmaxes have few terms; a word's probability is that of its class times that within its class. All other words share one output, whose probability is split among them by
 their smoothed corpus counts, with one share left for words never seen: a proper distribution over words. Training is by
 truncated backpropagation in numpy.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,10 @@ _FLUSH = 300_000
 _SIDE = 1024
 _HELD = 2_000_000
 _BLOCK = 8192
+_COLUMNS = 2048
+_CACHED = 16384
+_RUN = 8
+_SAFE = 60.0
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -55,29 +60,54 @@ def tokens_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-class GatedNet:
-    """Gated recurrent units over word ids, with class-factored output. Ids: 0 the end mark, 1 the rest, then by rank."""
+def _encoded(words: list[bytes], ids: dict[bytes, int], other: int = 1) -> np.ndarray:
+    return np.fromiter(map(ids.get, words, repeat(other)), np.int64, len(words))
+
+
+def _run_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows that begin at ``first``: short runs side by side, long ones each as a product with ones."""
+    counts, out = np.diff(first, append=len(rows)), rows[first]
+    live, ones = np.flatnonzero(counts <= _RUN), np.ones(len(rows), rows.dtype)
+    for k in range(1, _RUN):
+        live = live[counts[live] > k]
+        out[live] += rows[first[live] + k]
+    for i in np.flatnonzero(counts > _RUN):
+        out[i] = ones[: counts[i]] @ rows[first[i] : first[i] + counts[i]]
+    return out
+
 
-    def __init__(self, hidden: int = HIDDEN, classes: int = CLASSES, size: int = SIZE, weights: dict | None = None, seed: int = 3):
-        self.h, self.c, self.s = hidden, classes, size
+class GatedNet:
+    """Gated recurrent units over word ids, with class-factored output. Ids: 0 the end mark, 1 the rest, then by rank.
+    ``edges``: where the classes begin and, last, the number of outputs; without, classes of equal size."""
+
+    def __init__(self, hidden: int = HIDDEN, classes: int = CLASSES, size: int = SIZE, weights: dict | None = None, seed: int = 3, edges: np.ndarray | None = None):
+        self.edges = np.arange(classes + 1) * size if edges is None else edges
+        self.h, self.c = hidden, len(self.edges) - 1
+        sizes = np.diff(self.edges)
+        # 16-bit numbers are sorted by radix. A word that is a class by itself needs no second softmax.
+        self.of, self.wide = np.repeat(np.arange(self.c), sizes).astype(np.uint16 if self.c < 1 << 16 else np.int64), sizes > 1
         if weights is None:
             rng = np.random.default_rng(seed)
             draw = lambda *n: (rng.standard_normal(n) * 0.1).astype(np.float32)
-            weights = {"x": draw(classes * size, 3 * hidden), "u": draw(hidden, 3 * hidden), "wc": draw(hidden, classes), "bc": np.zeros(classes, np.float32), "ww": draw(classes, size, hidden), "bw": np.zeros((classes, size), np.float32)}
+            weights = {"x": draw(classes * size, 3 * hidden), "u": draw(hidden, 3 * hidden), "wc": draw(hidden, self.c), "bc": np.zeros(self.c, np.float32), "ww": draw(classes, size, hidden), "bw": np.zeros((classes, size), np.float32)}
         self.w = weights
 
-    def step(self, ids: np.ndarray, state: np.ndarray) -> np.ndarray:
+    def _gates(self) -> tuple[np.ndarray, ...]:
+        """x and u by gates, each in one run of memory, and halved for the two sigmoids, which are made of tanh."""
+        n, x, u = self.h, self.w["x"], self.w["u"]
+        return x[:, : 2 * n] * np.float32(0.5), x[:, 2 * n :].copy(), u[:, : 2 * n] * np.float32(0.5), u[:, 2 * n :].copy()
+
+    def step(self, ids: np.ndarray, state: np.ndarray, gates: tuple | None = None) -> np.ndarray:
         """The states after the ids. Gates are made in place: most of the time goes to passes over memory."""
-        n, g, u = self.h, self.w["x"][ids], state @ self.w["u"]
-        zr = u[:, : 2 * n]
-        zr += g[:, : 2 * n]
-        np.negative(zr, out=zr)
-        np.exp(zr, out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        new = u[:, 2 * n :]
+        n, (xzr, xn, uzr, un) = self.h, gates or self._gates()
+        zr = state @ uzr
+        zr += xzr[ids]
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        new = state @ un
         new *= zr[:, n:]
-        new += g[:, 2 * n :]
+        new += xn[ids]
         np.tanh(new, out=new)
         out = state - new
         out *= zr[:, :n]
@@ -88,105 +118,135 @@ class GatedNet:
         """The state after an end mark, before a document's first word."""
         return self.step(np.zeros(n, np.int64), np.zeros((n, self.h), np.float32))
 
-    def log_p(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Natural logs of the probabilities of ids after the states."""
-        cls, place, states = ids // self.s, ids % self.s, np.ascontiguousarray(states.T)
-        a = self.w["wc"].T @ states + self.w["bc"][:, None]
-        a -= a.max(axis=0)
-        out = a[cls, np.arange(len(ids))].astype(np.float64)
-        out -= np.log(np.exp(a, out=a).sum(axis=0))
+    def _by_class(self, ids: np.ndarray):
+        """The order of ids by class, and the runs of classes with several words: class, from, to."""
+        cls = self.of[ids]
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.c + 1))
-        states, place, inner = states[:, order], place[order], np.zeros(len(ids))
-        for k in range(self.c):
-            lo, hi = edges[k], edges[k + 1]
-            if lo < hi:
-                b = self.w["ww"][k] @ states[:, lo:hi] + self.w["bw"][k][:, None]
-                b -= b.max(axis=0)
-                inner[lo:hi] = b[place[lo:hi], np.arange(hi - lo)]
-                inner[lo:hi] -= np.log(np.exp(b, out=b).sum(axis=0))
-        out[order] += inner
+        return order, [(k, int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(self.wide & (edges[1:] > edges[:-1]))]
+
+    def log_p(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Natural logs of the probabilities of ids after the states."""
+        order, runs = self._by_class(ids)
+        states, ids, got = np.ascontiguousarray(states[order].T), ids[order], np.empty(len(ids))
+        cls, ww, bw = self.of[ids], self.w["ww"].reshape(-1, self.h), self.w["bw"].ravel()
+        # In blocks of columns that stay in a core's cache.
+        for at in range(0, len(ids), _COLUMNS):
+            part = slice(at, at + _COLUMNS)
+            a = self.w["wc"].T @ states[:, part]
+            a += self.w["bc"][:, None]
+            a -= a.max(axis=0)
+            got[part] = a[cls[part], np.arange(a.shape[1])]
+            got[part] -= np.log(np.exp(a, out=a).sum(axis=0))
+        for k, lo, hi in runs:
+            own = slice(self.edges[k], self.edges[k + 1])
+            b = ww[own] @ states[:, lo:hi]
+            b += bw[own, None]
+            b -= b.max(axis=0)
+            got[lo:hi] += b[ids[lo:hi] - self.edges[k], np.arange(hi - lo)]
+            got[lo:hi] -= np.log(np.exp(b, out=b).sum(axis=0))
+        out = np.empty(len(ids))
+        out[order] = got
         return out
 
     def _loss(self, states, ids, grad):
-        """Summed loss of states in columns; adds to grad and returns the states' gradient."""
-        rows = np.arange(len(ids))
-        cls, place = ids // self.s, ids % self.s
-        p = self.w["wc"].T @ states
-        p += self.w["bc"][:, None]
-        p -= p.max(axis=0)
-        np.exp(p, out=p)
-        p /= p.sum(axis=0)
-        loss = -np.log(p[cls, rows]).sum()
-        p[cls, rows] -= 1
-        grad["wc"] += states @ p.T
-        grad["bc"] += p.sum(axis=1)
-        back = self.w["wc"] @ p
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.c + 1))
-        # By class, in one copy each way.
-        states, place, inner = states[:, order], place[order], np.empty_like(states)
-        for k in range(self.c):
-            lo, hi = edges[k], edges[k + 1]
-            if lo < hi:
-                part, at = states[:, lo:hi], (place[lo:hi], rows[: hi - lo])
-                q = self.w["ww"][k] @ part
-                q += self.w["bw"][k][:, None]
-                q -= q.max(axis=0)
-                np.exp(q, out=q)
-                q /= q.sum(axis=0)
-                loss -= np.log(q[at]).sum()
-                q[at] -= 1
-                grad["ww"][k] += q @ part.T
-                grad["bw"][k] += q.sum(axis=1)
-                inner[:, lo:hi] = self.w["ww"][k].T @ q
-        back[:, order] += inner
-        return loss, back
+        """Summed loss of states in columns, each in [-1, 1]; adds to grad and returns the states' gradient. A state's last
+        row is 1 here, which makes biases a column of the weights."""
+        order, runs = self._by_class(ids)
+        n, ids, cls = len(ids), ids[order], self.of[ids[order]]
+        states, rows = np.concatenate([np.take(states, order, axis=1), np.ones((1, n), states.dtype)]), np.arange(n)
+        wc = np.concatenate([self.w["wc"], self.w["bc"][None]]).T
+        ww = np.concatenate([self.w["ww"].reshape(-1, self.h), self.w["bw"].reshape(-1, 1)], axis=1)
+        ones = np.ones(max(self.h + 1, len(ww)), states.dtype)
+        # A softmax whose terms cannot overflow needs no maximum.
+        safe_c, safe_w = (float((np.abs(w) @ ones[: self.h + 1]).max()) < _SAFE for w in (wc, ww))
+        gc, gw, back, inner, hits = np.zeros_like(wc), np.zeros_like(ww), np.empty_like(states), np.zeros_like(states), np.ones((2, n), states.dtype)
+
+        def errors(w, part, picked, safe, hits):
+            p = w @ part
+            if not safe:
+                p -= p.max(axis=0)
+            np.exp(p, out=p)
+            p *= 1 / (ones[: len(p)] @ p)
+            flat, at = p.ravel(), picked * p.shape[1] + rows[: p.shape[1]]
+            hit = hits[:] = flat[at]
+            flat[at] = hit - 1
+            return p
+
+        for at in range(0, n, _COLUMNS):
+            part = slice(at, at + _COLUMNS)
+            p = errors(wc, states[:, part], cls[part].astype(np.int64), safe_c, hits[0, part])
+            gc += p @ states[:, part].T
+            np.matmul(wc.T, p, out=back[:, part])
+        place = ids - self.edges[cls]
+        for k, lo, hi in runs:
+            own, part = slice(self.edges[k], self.edges[k + 1]), slice(lo, hi)
+            q = errors(ww[own], states[:, part], place[part], safe_w, hits[1, part])
+            np.matmul(q, states[:, part].T, out=gw[own])
+            np.matmul(ww[own].T, q, out=inner[:, part])
+        back += inner
+        grad["wc"] += gc[:, :-1].T
+        grad["bc"] += gc[:, -1]
+        grad["ww"] += gw[:, :-1].reshape(grad["ww"].shape)
+        grad["bw"] += gw[:, -1].reshape(grad["bw"].shape)
+        place[order] = rows
+        return -float(np.log(hits).sum(dtype=np.float64)), np.take(back[:-1], place, axis=1)
 
     def _window(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray):
         """Like ``window``, but the gradient of x has only the rows of the ids that occur: loss, gradients, those ids, state.
-        Units come before streams within, so that each gate is one run of memory."""
+        Units come before streams within, so that each gate is one run of memory. What does not wait for a later step is
+        worked out for all steps at once."""
         n, (steps, width) = self.h, inputs.shape
         grad = {k: np.zeros_like(v) for k, v in self.w.items() if k != "x"}
-        u, live, ids = self.w["u"], inputs != 0, inputs.ravel()
+        u, live, ids = self.w["u"], (inputs != 0).astype(state.dtype), inputs.ravel()
         ut, state = np.ascontiguousarray(u.T), np.ascontiguousarray(state.T)
-        g = np.ascontiguousarray(self.w["x"][ids].reshape(steps, width, 3 * n).transpose(0, 2, 1))
-        before, out, un = (np.empty((steps, n, width), state.dtype) for _ in range(3))
+        ut[: 2 * n] *= 0.5
+        g = np.ascontiguousarray(self.w["x"].take(ids, axis=0).reshape(steps, width, 3 * n).transpose(0, 2, 1))
+        g[:, : 2 * n] *= 0.5
+        before, out, rest, un = (np.empty((steps, n, width), state.dtype) for _ in range(4))
         for t in range(steps):
             np.multiply(state, live[t], out=before[t])
-            a = ut @ before[t]
-            un[t] = a[2 * n :]
-            zr = g[t, : 2 * n]
+            a, zr, new = ut @ before[t], g[t, : 2 * n], g[t, 2 * n :]
             zr += a[: 2 * n]
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            new = g[t, 2 * n :]
-            new += zr[n:] * un[t]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(zr[n:], a[2 * n :], out=un[t])
+            new += un[t]
             np.tanh(new, out=new)
-            state = out[t] = new + zr[:n] * (before[t] - new)
+            state = np.subtract(before[t], new, out=rest[t])
+            state = np.multiply(state, zr[:n], out=out[t])
+            state += new
         loss, back = self._loss(out.transpose(1, 0, 2).reshape(n, -1), targets.ravel(), grad)
         back = back.reshape(n, steps, width)
-        carried = np.zeros_like(state)
-        gates, inner = np.empty_like(g), np.empty_like(g[0])
+        z, r, new = g[:, :n], g[:, n : 2 * n], g[:, 2 * n :]
+        keep = 1 - z
+        rest *= z
+        rest *= keep
+        new *= new
+        new *= keep
+        keep -= new
+        un *= 1 - r
+        inner, gn = np.empty_like(g), np.empty_like(before)
+        carried, d, gu = np.zeros_like(state), np.empty_like(state), np.zeros_like(ut)
         for t in range(steps - 1, -1, -1):
-            z, r, new = g[t, :n], g[t, n : 2 * n], g[t, 2 * n :]
-            d = back[:, t] + carried
-            dz = d * z
-            keep = 1 - z
-            dn = d * keep
-            dn *= 1 - new * new
-            gates[t, :n] = inner[:n] = (before[t] - new) * dz * keep
-            gates[t, 2 * n :] = dn
-            np.multiply(dn, r, out=inner[2 * n :])
-            gates[t, n : 2 * n] = inner[n : 2 * n] = inner[2 * n :] * un[t] * (1 - r)
-            grad["u"] += before[t] @ inner.T
-            carried = (dz + u @ inner) * live[t]
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        grad["x"] = np.add.reduceat(gates.transpose(0, 2, 1).reshape(-1, 3 * n)[order], first, axis=0)
-        return loss, grad, ids[order][first], np.ascontiguousarray(state.T)
+            np.add(back[:, t], carried, out=d)
+            np.multiply(d, rest[t], out=inner[t, :n])
+            np.multiply(d, keep[t], out=gn[t])
+            np.multiply(gn[t], un[t], out=inner[t, n : 2 * n])
+            np.multiply(gn[t], r[t], out=inner[t, 2 * n :])
+            gu += inner[t] @ before[t].T
+            np.matmul(u, inner[t], out=carried)
+            d *= z[t]
+            carried += d
+            carried *= live[t]
+        grad["u"] += gu.T
+        order = np.argsort(ids.astype(np.uint16) if len(self.of) <= 1 << 16 else ids, kind="stable")
+        ranked = ids[order]
+        first = np.flatnonzero(np.diff(ranked, prepend=-1))
+        inner[:, 2 * n :] = gn
+        grad["x"] = _run_sums(inner.transpose(0, 2, 1).reshape(-1, 3 * n).take(order, axis=0), first)
+        return loss, grad, ranked[first], np.ascontiguousarray(state.T)
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray):
         """One truncated window, time by stream. An input of 0 begins a document and forgets. Returns loss, gradients, state."""
@@ -195,6 +255,31 @@ class GatedNet:
         whole[ids] = grad["x"]
         return loss, grad | {"x": whole}, state
 
+    def _adam(self, name, rows, g, m, v, size, rate, scale):
+        """Moves rows of a weight by ``size`` times the gradient g, which is used up. m and v are decaying sums of g and of
+        its squares. In blocks that stay in a core's cache."""
+        rate, eps, w = rate / math.sqrt(scale), 1e-5 / (size * math.sqrt(scale)), self.w[name]
+        if rows is None:
+            w, g, m, v, step = w.ravel(), g.ravel(), m[name].ravel(), v[name].ravel(), _CACHED
+        else:
+            m, v, step = m[name], v[name], max(1, _CACHED // w.shape[1])
+        for at in range(0, len(g), step):
+            part = slice(at, at + step)
+            own, d = part if rows is None else rows[part], g[part]
+            a, b = m[own], v[own]
+            a *= 0.9
+            a += d
+            d *= d
+            b *= 0.99
+            b += d
+            if rows is not None:
+                m[own], v[own] = a, b
+            np.sqrt(b, out=d)
+            d += eps
+            np.divide(a, d, out=d)
+            d *= rate
+            w[own] -= d
+
     def learn(self, pieces, streams: int = WIDE, steps: int = STEPS, rate: float = RATE) -> int:
         """One pass over lists of documents (word ids without end marks), each list a piece of the data that fits in memory.
         Rows of x move only when their words occur. Returns the tokens learned from, end marks included."""
@@ -213,11 +298,7 @@ class GatedNet:
                     t += 1
                     lr, size = rate * min(1.0, t / 20) / (1 - 0.9**t), 1.0 / (streams * steps)
                     for k, g in grad.items():
-                        g *= size
-                        rows = ids if k == "x" else slice(None)
-                        m[k][rows] += 0.1 * (g - m[k][rows])
-                        v[k][rows] += 0.01 * (g * g - v[k][rows])
-                        self.w[k][rows] -= (lr * m[k][rows] / (np.sqrt(v[k][rows] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                        self._adam(k, ids if k == "x" else None, g, m, v, size, lr, 1 / (1 - 0.99**t))
         return seen
 
     def fit(self, docs: list[np.ndarray], epochs: int = EPOCHS, streams: int = STREAMS, steps: int = STEPS, rate: float = RATE):
@@ -236,19 +317,16 @@ class GatedNet:
                 t += 1
                 lr = rate * (1 - 0.9 * t / rounds)
                 for k, g in grad.items():
-                    g /= streams * steps
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.01 * (g * g - v[k])
-                    self.w[k] -= (lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                    self._adam(k, None, g, m, v, 1.0 / (streams * steps), lr / (1 - 0.9**t), 1 / (1 - 0.99**t))
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Log10 probabilities of documents (ids with the end mark last), run side by side with states carried throughout."""
-        out = np.zeros(len(docs))
+        out, start, gates = np.zeros(len(docs)), self.start(1), self._gates()
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         for at in range(0, len(order), _SIDE):
             part = order[at : at + _SIDE]
             lengths = np.array([len(docs[i]) for i in part])
-            state, total, t = self.start(len(part)), np.zeros(len(part)), 0
+            state, total, t = start[np.zeros(len(part), np.int64)], np.zeros(len(part)), 0
             while t < lengths[0]:
                 steps = int(min(max(8, 16384 // max(1, np.count_nonzero(lengths > t))), lengths[0] - t))
                 live = int(np.count_nonzero(lengths > t))
@@ -264,7 +342,7 @@ class GatedNet:
                     states.append(state[:n])
                     targets.append(ids[s, :n])
                     owners.append(np.arange(n))
-                    state = self.step(ids[s, :n], state[:n])
+                    state = self.step(ids[s, :n], state[:n], gates)
                 total += np.bincount(np.concatenate(owners), self.log_p(np.concatenate(states), np.concatenate(targets)), len(part))
                 t += steps
             out[part] = total / np.log(10)
@@ -316,6 +394,26 @@ def side(tokens: int) -> int:
     return max(CLASSES, SIZE, math.ceil(math.sqrt(4 * tokens**0.4)))
 
 
+def class_edges(counts: dict[bytes, int], ids: dict[bytes, int], tokens: int, outputs: int) -> np.ndarray:
+    """Where classes of ids begin, and the number of outputs: the end mark and the rest alone, the others by rank in classes
+    whose sizes go with the inverse root of their words' counts, which for a number of classes makes the terms of both
+    softmaxes fewest; of these numbers the best one."""
+    n = np.zeros(outputs)
+    for t, k in ids.items():
+        n[k] = counts.get(t, 0)
+    n[1] = max(0, tokens - n.sum())
+    p = (n + SMOOTH) / (n + SMOOTH).sum()
+    root = np.sqrt(p[2:])
+    before, best = np.cumsum(root) - root, None
+    for k in range(4, 2 * math.isqrt(outputs)):
+        edges = np.concatenate([[0, 1], 2 + np.flatnonzero(np.diff(np.floor(before * (k / root.sum())), prepend=-1)), [outputs]])
+        sizes = np.diff(edges)
+        terms = len(sizes) + float((np.add.reduceat(p, edges[:-1]) * sizes)[sizes > 1].sum())
+        if best is None or terms < best[0]:
+            best = terms, edges
+    return best[1]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """text, h: a hash with the id, if there is one, so that copies of one text are dealt out."""
     return docs.select("text", F.xxhash64(*(c for c in ("doc_id", "text") if c in docs.columns), F.lit(9)).alias("h"))
@@ -325,20 +423,20 @@ def _first(texts, ids: dict[bytes, int], most: int) -> list[np.ndarray]:
     """Word ids of the first texts, of ``most`` tokens at most, end marks included."""
     got, held = [], 0
     for t in texts:
-        got.append(np.array([ids.get(w, 1) for w in tokens_of(t)[: most - held - 1]], np.int64))
+        got.append(_encoded(tokens_of(t)[: most - held - 1], ids))
         held += len(got[-1]) + 1
         if held >= most:
             break
     return got
 
 
-def fit_net(docs: DataFrame, ids: dict[bytes, int], share: float, size: int = SIZE, most: int = 2 * SAMPLE_TOKENS) -> dict:
+def fit_net(docs: DataFrame, ids: dict[bytes, int], share: float, size: int = SIZE, most: int = 2 * SAMPLE_TOKENS, edges: np.ndarray | None = None) -> dict:
     """Weights fitted on documents taken by hash with probability ``share``, one at least, and at most ``most`` tokens of
     them: what ``learn_all`` starts from."""
     keyed = _keyed(docs)
 
     def run(batches):
-        net, got = GatedNet(classes=size, size=size), _first((t.as_py() for b in batches for t in b.column("text")), ids, most)
+        net, got = GatedNet(classes=size, size=size, edges=edges), _first((t.as_py() for b in batches for t in b.column("text")), ids, most)
         if got:
             net.fit(got)
             yield pa.RecordBatch.from_arrays([pa.array(list(net.w)), pa.array([v.tobytes() for v in net.w.values()], pa.binary())], ["name", "value"])
@@ -346,12 +444,12 @@ def fit_net(docs: DataFrame, ids: dict[bytes, int], share: float, size: int = SI
     def fitted(sample):
         return sample.repartition(1).sortWithinPartitions("h", "text").select("text").mapInArrow(run, "name string, value binary").collect()
 
-    start = GatedNet(classes=size, size=size).w
+    start = GatedNet(classes=size, size=size, edges=edges).w
     rows = fitted(keyed.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, share)))) or fitted(keyed.orderBy("h", "text").limit(1))
     return start | {r["name"]: np.frombuffer(r["value"], np.float32).reshape(start[r["name"]].shape).copy() for r in rows}
 
 
-def learn_all(docs: DataFrame, ids: dict[bytes, int], weights: dict, tokens: int) -> tuple[dict, int]:
+def learn_all(docs: DataFrame, ids: dict[bytes, int], weights: dict, tokens: int, edges: np.ndarray | None = None) -> tuple[dict, int]:
     """Weights after learning from every document once, and the tokens learned from. docs: text, and doc_id if there is one."""
     spark = docs.sparkSession
     size, learned = weights["bw"].shape[0], 0
@@ -362,13 +460,13 @@ def learn_all(docs: DataFrame, ids: dict[bytes, int], weights: dict, tokens: int
 
         def run(batches, shared=shared, rate=rate):
             known, start = shared.value
-            net = GatedNet(classes=size, size=size, weights={name: w.copy() for name, w in start.items()})
+            net = GatedNet(classes=size, size=size, weights={name: w.copy() for name, w in start.items()}, edges=edges)
 
             def pieces():
                 docs, held = [], 0
                 for b in batches:
                     for t in b.column("text"):
-                        docs.append(np.array([known.get(w, 1) for w in tokens_of(t.as_py())], np.int64))
+                        docs.append(_encoded(tokens_of(t.as_py()), known))
                         held += len(docs[-1]) + 1
                         if held >= PIECE:
                             yield docs
@@ -404,7 +502,8 @@ def score_texts(docs: DataFrame, train: DataFrame, head: int = HEAD, sample_toke
     size = side(n)
     top = _head(counts, head)
     ids = _ids(top, size * size)
-    weights, _ = learn_all(train, ids, fit_net(train, ids, sample_tokens / max(n, 1), size, max(2, 2 * sample_tokens)), n)
+    edges = class_edges(dict(top), ids, n, size * size)
+    weights, _ = learn_all(train, ids, fit_net(train, ids, sample_tokens / max(n, 1), size, max(2, 2 * sample_tokens), edges), n, edges)
     # Of the words that share an output: their tokens and number, one more for words never seen.
     own = [(t, c) for t, c in top if t in ids]
     rest_n, rest_v = n - sum(c for _, c in own), v - len(own)
@@ -415,8 +514,13 @@ def score_texts(docs: DataFrame, train: DataFrame, head: int = HEAD, sample_toke
 
     def run(batches):
         known, ids, weights = shared.value
-        net = GatedNet(classes=size, size=size, weights=weights)
-        logs = {t: (float(np.log10(c + SMOOTH)), ids.get(t, 1)) for t, c in known.items()}
+        net = GatedNet(classes=size, size=size, weights=weights, edges=edges)
+        # Places of the words told apart or known, from 1; the end mark has one at any rate. 0: all others.
+        own = list(known | {END: known.get(END, 0)})
+        at, net_ids = {t: i for i, t in enumerate(own, 1)}, np.array([1] + [ids.get(t, 1) for t in own], np.int32)
+        counted = np.array([False] + [t in known for t in own])
+        logs = np.log10(np.array([0] + [known.get(t, 0) for t in own]) + SMOOTH) * counted
+        splits = np.where(net_ids == 1, logs, 0.0)
 
         # In slices of about _HELD tokens: enough texts of a length side by side, and what a task holds does not follow the batch.
         def sliced(batch):
@@ -441,23 +545,14 @@ def score_texts(docs: DataFrame, train: DataFrame, head: int = HEAD, sample_toke
             for text in batch.column("text"):
                 words = tokens_of(text.as_py())
                 words.append(END)
-                found, seq, base, split, hits = Counter(), [], 0.0, 0.0, 0
-                for w in words:
-                    got = logs.get(w)
-                    if got is None:
-                        seq.append(ids.get(w, 1))
-                        found[w] += 1
-                    else:
-                        seq.append(got[1])
-                        base += got[0]
-                        hits += 1
-                        if got[1] == 1:
-                            split += got[0]
-                ids_ = np.array(seq, np.int32)
-                seqs.append(ids_)
-                rows.append((len(words), hits, base, split, int(np.count_nonzero(ids_ == 1)), found))
+                places = _encoded(words, at, 0)
+                seq, hit = net_ids[places], counted[places]
+                found = Counter(words[i] for i in np.flatnonzero(~hit))
+                seqs.append(seq)
+                rows.append((len(words), int(np.count_nonzero(hit)), float(logs[places].sum()), float(splits[places].sum()), int(np.count_nonzero(seq == 1)), found))
             scores = net.score(seqs)
-            tail = pa.array([[{"token": t, "n": k} for t, k in r[5].items()] for r in rows], pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))
+            flat = pa.StructArray.from_arrays([pa.array([t for r in rows for t in r[5]], pa.binary()), pa.array([k for r in rows for k in r[5].values()], pa.int64())], ["token", "n"])
+            tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r[5]) for r in rows]), pa.int32()), flat)
             cols = [batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))), pa.array(scores, pa.float64()), tail]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "hits", "base", "split", "n_rest", "net", "tail"])
 
