@@ -390,7 +390,7 @@ def _ids(head: list, slots: int) -> dict[bytes, int]:
 
 
 def side(tokens: int) -> int:
-    """Number of classes, and of words in each, for a corpus of so many tokens."""
+    """Root of the number of outputs for a corpus of so many tokens."""
     return max(CLASSES, SIZE, math.ceil(math.sqrt(4 * tokens**0.4)))
 
 
