@@ -75,6 +75,42 @@ def test_cells_lose_no_pair_and_keep_far_ones_apart(spark, crowds, each):
         assert compared < 0.35 * len(x) ** 2 / 2
 
 
+def test_pairs_carry_columns_of_both_rows(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((150, 4)), np.zeros((2, 4)), np.ones((3, 4))]).astype(np.float32)
+    df = spark.createDataFrame([(k, 1000 + 7 * k, v.tolist()) for k, v in enumerate(x)], "id long, at long, vector array<float>")
+    u, has = pairs.unit_rows(x.astype(float))
+    dist = np.maximum(1 - (u @ u.T + 1) / 2, 0)
+    near = np.triu((dist <= 0.1) & has[:, None] & has[None], 1)
+    want = {(int(a), int(b), 1000 + 7 * int(a), 1000 + 7 * int(b), round(float(dist[a, b]), 9)) for a, b in zip(*np.nonzero(near), strict=True)}
+    for block in (None, 16):
+        got = [(r["a"], r["b"], r["at_a"], r["at_b"], round(r["dist"], 9)) for r in pairs.cosine_pairs(df, 0.1, block=block, carry=("at",)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_a_large_group_is_dealt_in_few_blocks(spark, monkeypatch):
+    """Vectors among which nothing can be ruled out: a row travels once for each block, however many rows there are."""
+    monkeypatch.setattr(pairs, "TILE", 8)
+    x = np.random.default_rng(3).standard_normal((1600, 32))
+    df = spark.createDataFrame([(0, k, v.tolist()) for k, v in enumerate(x)], "g long, id long, v array<float>")
+    dealt = pairs.deal(df, 0.3)
+    assert dealt.select("blk").distinct().count() >= pairs.MANY / 2
+    assert dealt.groupBy("id").count().agg(F.max("count")).first()[0] <= 2 * pairs.MANY
+
+
+def _joined_pairs(df):
+    """Joins of a plan that stand above the comparison of blocks."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(k for k, x in enumerate(lines) if "FlatMapGroupsInArrow" in x)
+    return [x for x in lines[:at] if "Join" in x]
+
+
+def test_distances_with_a_time_penalty_join_no_pairs(spark, data):
+    from threadloom.plans.registry import QUERIES
+
+    assert _joined_pairs(QUERIES["time_penalty_distance"](spark, data)) == []
+
+
 def test_a_forest_connects_what_all_pairs_do(spark):
     x = _crowds(2, 12, 25)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>")

@@ -3,12 +3,16 @@
 A large group of rows is cut into cells around pivots: each row belongs to its nearest one. By the triangle inequality over
 chord lengths a row has near rows in another cell only if it lies within the threshold of that cell's ball; and, the space
 being Euclidean, only if it lies within the threshold of the plane half way between the two pivots. A row is sent to the
-cells that are left, so far cells never meet and no pair is lost. Cells of more than ``block`` rows are cut by hash, and
-each pair of blocks is compared apart, so no task holds a cell.
+cells that are left, so far cells never meet and no pair is lost. Large cells are cut by hash into blocks, and each pair of
+blocks is compared apart, so no task holds a cell. Where nothing can be ruled out, each row travels once for each block of its group, so blocks grow
+with the group up to ``BLOCK`` rows; a task compares its two blocks in tiles and gives out the pairs of each tile as it goes.
+What is asked of a pair, columns of both rows or further distances, is made there, so no pair is joined with its rows again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +27,8 @@ PIVOTS = 256
 SLACK = 1e-5
 #: Blocks of a cell at most, to name them by one number.
 _BLOCKS = 1 << 20
+#: Rows of a block: as many as make about ``MANY`` blocks of a group, from ``TILE`` to ``BLOCK``. A task compares ``TILE`` rows with as many at once.
+BLOCK, MANY, TILE = 16384, 16, 1024
 
 
 def matrix(vectors) -> np.ndarray:
@@ -36,6 +42,42 @@ def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(norm[:, None] > 1e-8, x / np.maximum(norm, 1e-8)[:, None], 0), norm > 1e-8
 
 
+def _block(count, block: int | None):
+    """Rows of a block in a group of so many rows."""
+    return F.lit(block) if block else F.greatest(F.lit(TILE), F.least(F.ceil(count / MANY), F.lit(BLOCK))).cast("int")
+
+
+def _tiles(rows: np.ndarray) -> list[np.ndarray]:
+    return np.array_split(rows, -(-len(rows) // TILE)) if len(rows) else []
+
+
+class _Near:
+    """Rows with a length, to be compared with each other: which of them are near, and how far apart they are."""
+
+    def __init__(self, x: np.ndarray, threshold: float, single: bool = False):
+        self.x, self.threshold, self.single = unit_rows(x)[0], threshold, single
+        self.rough = self.x.astype(np.float32)
+        # Rounding of the rough products.
+        self.slack = np.float32((x.shape[1] + 8) * 2.0**-22)
+
+    def dist(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Of the pairs (p[k], q[k])."""
+        parts = [np.einsum("ij,ij->i", self.x[p[k : k + (1 << 16)]], self.x[q[k : k + (1 << 16)]]) for k in range(0, len(p), 1 << 16)]
+        return np.maximum(1 - (np.concatenate([*parts, np.zeros(0)]) + 1) / 2, 0)
+
+    def tile(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which rows of p are near which of q: products in single precision, taken again in double precision where they are about the threshold."""
+        s, limit = self.rough[p] @ self.rough[q].T, np.float32(1 - 2 * self.threshold)
+        near = s >= limit - self.slack
+        if near.any():
+            i, j = np.nonzero(near)
+            unsure = s[i, j] < limit + self.slack
+            i, j = i[unsure], j[unsure]
+            d = self.dist(p[i], q[j])
+            near[i, j] = d.astype(np.float32) <= np.float32(self.threshold) if self.single else d <= self.threshold
+        return near
+
+
 def spanning(near: np.ndarray) -> np.ndarray:
     """near: which rows of one side are near which of the other. As many of these pairs as connect what all of them connect."""
     tree = np.zeros_like(near)
@@ -65,88 +107,112 @@ def _pivots(base: DataFrame, counts: DataFrame) -> DataFrame:
     return cut(listed.select("g", "_n", F.posexplode("_l").alias("k", "_e")).select("g", "_n", "k", F.col("_e.v").alias("v")))
 
 
-def deal(base: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """base: g, id, v. Returns g, i, j, blk, id, v: each row once for each pair (i, j) of blocks that has to be compared, with its own
-    block, which is one of them."""
-    # Tables of one row a group are written: joins then know their sizes, and Spark broadcasts them or splits a hot group.
-    counts = cut(base.groupBy("g").agg(F.count(F.lit(1)).alias("_c")).withColumn("_n", F.ceil(F.col("_c") / block).cast("int")))
+def _counts(base: DataFrame, block: int | None) -> DataFrame:
+    """g, _c, _s, _n: rows of each group, of a block of it, and its blocks. Tables of one row a group are written: joins then know
+    their sizes, and Spark broadcasts them or splits a hot group."""
+    sized = base.groupBy("g").agg(F.count(F.lit(1)).alias("_c")).withColumn("_s", _block(F.col("_c"), block))
+    return cut(sized.withColumn("_n", F.ceil(F.col("_c") / F.col("_s")).cast("int")))
+
+
+def deal(base: DataFrame, threshold: float, block: int | None = None) -> DataFrame:
+    """base: g, id, v and what goes with a row. Returns g, i, j, blk and these: each row once for each pair (i, j) of blocks that has to be compared, with its own
+    block, which is one of them. Blocks have 1.5 ``block`` rows at most."""
+    own = [c for c in base.columns if c != "g"]
+    base = cut(base)
+    counts = _counts(base, block)
     if (counts.agg(F.max("_n")).first()[0] or 0) <= 1:
-        return base.select("g", *[F.lit(0).cast("long").alias(c) for c in ("i", "j", "blk")], "id", "v")
-    reach, id_type = 2 * threshold**0.5 + SLACK, dict(base.dtypes)["id"]
+        return base.select("g", *[F.lit(0).cast("long").alias(c) for c in ("i", "j", "blk")], *own)
+    reach, types = 2 * threshold**0.5 + SLACK, dict(base.dtypes)
     pivots = _pivots(base, counts)
-    beside = pivots.select("g", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"), "k", F.lit(None).cast(id_type).alias("id"), "v")
-    rows = base.join(counts, "g").select("g", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("_b"), F.lit(None).cast("int").alias("k"), "id", "v")
+    beside = pivots.select("g", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"), "k", *[F.col("v") if c == "v" else F.lit(None).cast(types[c]).alias(c) for c in own])
+    rows = base.join(counts, "g").select("g", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("_b"), F.lit(None).cast("int").alias("k"), *own)
 
     def place(t: pa.Table) -> pa.Table:
         """A block of a group, with the group's pivots beside it."""
         mine = t.filter(pc.is_null(t["k"]))
         pivots = t.filter(pc.is_valid(t["k"])).sort_by("k")
-        cell, far, at = np.zeros(len(mine), np.int32), np.zeros(len(mine)), [[(0, 0.0)]] * len(mine)
-        if len(pivots) and len(mine):
+        n = len(mine)
+        cell, far, meets, d2 = np.zeros(n, np.int32), np.zeros(n), np.ones((n, 1), bool), np.zeros((n, 1))
+        if len(pivots) and n:
             x, p = unit_rows(matrix(mine["v"]))[0], unit_rows(matrix(pivots["v"]))[0]
             d2 = np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * x @ p.T, 0)
             gap = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * p @ p.T, 0))
             cell = d2.argmin(axis=1).astype(np.int32)
-            own = d2[np.arange(len(x)), cell]
-            far = np.sqrt(own)
-            meets = d2 - own[:, None] <= 2 * gap[cell] * reach + SLACK
-            meets[np.arange(len(x)), cell] = True
-            at = [list(zip(np.flatnonzero(m).tolist(), np.sqrt(d[m]).tolist(), strict=True)) for m, d in zip(meets, d2, strict=True)]
-        kind = pa.list_(pa.struct([("cell", pa.int32()), ("far", pa.float64())]))
-        at = pa.array([[{"cell": c, "far": f} for c, f in e] for e in at], kind)
-        return pa.table({"g": mine["g"], "id": mine["id"], "v": mine["v"], "cell": pa.array(cell), "far": pa.array(far), "at": at})
-
-    dealt = rows.unionByName(beside).groupBy("g", "_b").applyInArrow(place, f"g long, id {id_type}, v array<float>, cell int, far double, at array<struct<cell:int,far:double>>")
-    placed = cut(dealt)
-    balls = placed.groupBy("g", "cell").agg(F.max("far").alias("r"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+            own_d2 = d2[np.arange(n), cell]
+            far = np.sqrt(own_d2)
+            meets = d2 - own_d2[:, None] <= 2 * gap[cell] * reach + SLACK
+            meets[np.arange(n), cell] = True
+        at = pa.array(np.concatenate([[0], np.cumsum(meets.sum(axis=1))]).astype(np.int32))
+        cells = pa.StructArray.from_arrays([pa.array(np.nonzero(meets)[1].astype(np.int32)), pa.array(np.sqrt(d2[meets]).astype(np.float32))], ["cell", "far"])
+        return pa.table({c: mine[c] for c in ("g", *own)} | {"cell": pa.array(cell), "far": pa.array(far), "at": pa.ListArray.from_arrays(at, cells)})
+
+    schema = ", ".join(f"{c} {types[c]}" for c in ("g", *own))
+    placed = cut(rows.unionByName(beside).groupBy("g", "_b").applyInArrow(place, f"{schema}, cell int, far double, at array<struct<cell:int,far:float>>"))
+    # A little more or less than a block in a cell does not make another one.
+    parts = lambda n: F.greatest(F.round(n / F.col("_s")), F.lit(1)).cast("int")
+    balls = placed.groupBy("g", "cell").agg(F.max("far").alias("r"), F.count(F.lit(1)).alias("n")).join(counts, "g").withColumn("n", parts(F.col("n")))
     balls = cut(balls.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("r", "n")))).alias("_balls")))
     there = F.filter(F.transform("at", lambda a: F.struct(a["cell"].alias("cell"), a["far"].alias("far"), F.try_element_at("_balls", a["cell"]).alias("b"))), lambda a: a["b"].isNotNull() & ((a["cell"] == F.col("cell")) | (a["far"] <= a["b"]["r"] + reach)))
     name = lambda c, q: c.cast("long") * _BLOCKS + q
     others = F.flatten(F.transform(there, lambda a: F.transform(F.sequence(F.lit(0), a["b"]["n"] - 1), lambda q: name(a["cell"], q))))
-    own = name(F.col("cell"), F.pmod(F.xxhash64("id", F.lit(11)), F.element_at("_balls", F.col("cell"))["n"]))
-    met = placed.join(balls, "g").select("g", own.alias("blk"), F.explode(others).alias("_o"), "id", "v")
-    return met.select("g", F.least("blk", "_o").alias("i"), F.greatest("blk", "_o").alias("j"), "blk", "id", "v")
+    blk = name(F.col("cell"), F.pmod(F.xxhash64("id", F.lit(11)), F.element_at("_balls", F.col("cell"))["n"]))
+    met = placed.join(balls, "g").select("g", blk.alias("blk"), F.explode(others).alias("_o"), *own)
+    return met.select("g", F.least("blk", "_o").alias("i"), F.greatest("blk", "_o").alias("j"), "blk", *own)
+
+
+def _keyed(docs: DataFrame, key: str, group: tuple, carry: tuple = ()) -> DataFrame:
+    return docs.select(F.xxhash64(F.struct(*group) if group else F.lit(0)).alias("g"), F.col(key).alias("id"), F.transform("vector", lambda x: x.cast("float")).alias("v"), *[F.col(c).alias(f"c_{c}") for c in carry])
 
 
-def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int = 1024, forest: str | None = None, single: bool = False, lists: bool = False) -> DataFrame:
+def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int | None = None, forest: str | None = None, single: bool = False, lists: bool = False, carry: tuple = ()) -> DataFrame:
     """Pairs within ``group`` (all rows without one) whose (1 - cosine) / 2 is at most the threshold, below 1: a, b, dist; a < b.
 
-    With ``forest`` "mark" there is also ``tree``: whether the pair is one of those that connect what all pairs of its two blocks
+    With ``forest`` "mark" there is also ``tree``: whether the pair is one of those that connect what all pairs of its two tiles
     connect; with "only", just these come, so that a crowd of near rows gives no square of them. ``single``: distances are
-    compared in single precision. ``lists``: a row for each row and block in place of each pair: a, others, dists, trees; then a may be the greater
-    key. Vectors without length are at distance 1.
+    compared in single precision. ``lists``: a row for each row and tile in place of each pair: a, others, dists, trees; then a may be the greater
+    key. ``carry``: columns that each pair has of both its rows, as NAME_a and NAME_b. Vectors without length are at distance 1.
     """
-    base = docs.select(F.xxhash64(F.struct(*group) if group else F.lit(0)).alias("g"), F.col(key).alias("id"), F.transform("vector", lambda x: x.cast("float")).alias("v"))
-    extra = ["tree"] if forest else []
-    id_type = dict(base.dtypes)["id"]
-
-    def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        ids, blk, i, j = t["id"], t["blk"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
-        a, b = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        x, has = unit_rows(matrix(t["v"]))
-        dist = np.maximum(1 - (x[a] @ x[b].T + 1) / 2, 0)
-        dist[~has[a]] = 1
-        dist[:, ~has[b]] = 1
-        if i == j:
-            dist[np.tril_indices(len(a))] = np.inf
-        near = dist.astype(np.float32) <= np.float32(threshold) if single else dist <= threshold
-        tree = spanning(near) if forest else near
-        p, q = np.nonzero(tree if forest == "only" else near)
-        if lists:
-            rows, n = np.unique(p, return_counts=True)
-            at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            made = (pa.ListArray.from_arrays(at, x) for x in (pa.concat_arrays(ids.take(pa.array(b[q])).chunks), pa.array(dist[p, q].astype(np.float32)), pa.array(tree[p, q])))
-            return pa.table(dict(zip(("a", "others", "dists", "trees"), (ids.take(pa.array(a[rows])), *made), strict=True)))
-        one, two = ids.take(pa.array(a[p])), ids.take(pa.array(b[q]))
-        swap = pc.greater(one, two)
-        out = {"a": pc.if_else(swap, two, one), "b": pc.if_else(swap, one, two), "dist": pa.array(dist[p, q])}
-        return pa.table(out | {"tree": pa.array(tree[p, q]) for _ in extra})
+    base = _keyed(docs, key, group, carry)
+    extra, types = ["tree"] if forest else [], dict(base.dtypes)
+    id_type = types["id"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        t = t.filter(pa.array(unit_rows(matrix(t["v"]))[1])).combine_chunks()
+        if not len(t):
+            return
+        ids, blk, i, j = t["id"].combine_chunks(), t["blk"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+        rows = _Near(matrix(t["v"]), threshold, single)
+        for m, a in enumerate(_tiles(np.flatnonzero(blk == i))):
+            for n, b in enumerate(_tiles(np.flatnonzero(blk == j))):
+                if i == j and m > n:
+                    continue
+                near = rows.tile(a, b)
+                if i == j and m == n:
+                    near = np.triu(near, 1)
+                if not near.any():
+                    continue
+                tree = spanning(near) if forest else near
+                p, q = np.nonzero(tree if forest == "only" else near)
+                dist, tree = rows.dist(a[p], b[q]), tree[p, q]
+                if lists:
+                    starts, count = np.unique(p, return_counts=True)
+                    at = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+                    made = (pa.ListArray.from_arrays(at, x) for x in (ids.take(pa.array(b[q])), pa.array(dist.astype(np.float32)), pa.array(tree)))
+                    yield pa.RecordBatch.from_pydict(dict(zip(("a", "others", "dists", "trees"), (ids.take(pa.array(a[starts])), *made), strict=True)))
+                    continue
+                one, two = pa.array(a[p]), pa.array(b[q])
+                swap = pc.greater(ids.take(one), ids.take(two))
+                one, two = pc.if_else(swap, two, one), pc.if_else(swap, one, two)
+                out = {"a": ids.take(one), "b": ids.take(two), "dist": pa.array(dist)} | {"tree": pa.array(tree) for _ in extra}
+                out |= {f"{c}_{side}": t[f"c_{c}"].combine_chunks().take(at) for c in carry for side, at in (("a", one), ("b", two))}
+                yield pa.RecordBatch.from_pydict(out)
 
     dealt = deal(base, threshold + 1e-6, block)
     if lists:
         return dealt.groupBy("g", "i", "j").applyInArrow(compare, f"a {id_type}, others array<{id_type}>, dists array<float>, trees array<boolean>")
-    return dealt.groupBy("g", "i", "j").applyInArrow(compare, f"a {id_type}, b {id_type}, dist double" + ", tree boolean" * len(extra))
+    schema = f"a {id_type}, b {id_type}, dist double" + ", tree boolean" * len(extra) + "".join(f", {c}_{side} {types[f'c_{c}']}" for c in carry for side in "ab")
+    return dealt.groupBy("g", "i", "j").applyInArrow(compare, schema)
 
 
 def near_any(left: DataFrame, right: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int = 1024) -> DataFrame:

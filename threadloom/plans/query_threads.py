@@ -49,7 +49,9 @@ def weighted_distance(spark, d):
 
 @query(f"WITH {VECTORED}, p AS ({_PAIR}) SELECT a, b, round(least(dist * CASE WHEN abs(ta - tb) / 3600.0 >= 24 THEN abs(ta - tb) / 3600.0 / 24.0 ELSE 1 END, 1.0), 6) AS dist FROM p WHERE dist <= {THETA}")
 def time_penalty_distance(spark, d):
-    return _near(spark, d).select("a", "b", F.round(S.time_penalty(S.pair_distance(F.col("va"), F.col("vb")), F.col("ta"), F.col("tb")), 6).alias("dist"))
+    """Pairs carry the times of their documents, so that none is joined with them."""
+    near = pairs.cosine_pairs(articles(spark, d, True), THETA, "doc_id", ("lang",), carry=("fetch_time",))
+    return near.select("a", "b", F.round(S.time_penalty(F.col("dist"), F.col("fetch_time_a"), F.col("fetch_time_b")), 6).alias("dist"))
 
 
 @query(f"""WITH RECURSIVE {VECTORED}, p AS ({_PAIR}), e AS (SELECT a, b FROM p WHERE dist <= {THETA} UNION SELECT b, a FROM p WHERE dist <= {THETA}),
