@@ -111,6 +111,29 @@ def test_distances_with_a_time_penalty_join_no_pairs(spark, data):
     assert _joined_pairs(QUERIES["time_penalty_distance"](spark, data)) == []
 
 
+def test_distances_of_two_vectors_join_no_pairs(spark, data):
+    from threadloom.plans.registry import QUERIES
+
+    assert _joined_pairs(QUERIES["weighted_distance"](spark, data)) == []
+
+
+def test_distances_by_leading_elements(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((90, 6)).astype(np.float32)
+    x[4:9, :2] = 0
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<float>")
+
+    def dist(y):
+        u, has = pairs.unit_rows(y.astype(float))
+        return np.where(has[:, None] & has[None], np.maximum(1 - (u @ u.T + 1) / 2, 0), 1)
+
+    whole, head = dist(x), dist(x[:, :2])
+    want = {(int(a), int(b)): (round(float(whole[a, b]), 9), round(float(head[a, b]), 9)) for a, b in zip(*np.nonzero(np.triu(whole <= 0.3, 1)), strict=True)}
+    for block in (None, 16):
+        got = {(r["a"], r["b"]): (round(r["dist"], 9), round(r["head_2"], 9)) for r in pairs.cosine_pairs(df, 0.3, block=block, heads=(2,)).collect()}
+        assert got == want and any(v[1] == 1 for v in want.values())
+
+
 def test_a_forest_connects_what_all_pairs_do(spark):
     x = _crowds(2, 12, 25)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>")

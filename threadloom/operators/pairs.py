@@ -52,10 +52,10 @@ def _tiles(rows: np.ndarray) -> list[np.ndarray]:
 
 
 class _Near:
-    """Rows with a length, to be compared with each other: which of them are near, and how far apart they are."""
+    """Rows to be compared with each other: which of them are near, and how far apart they are."""
 
     def __init__(self, x: np.ndarray, threshold: float, single: bool = False):
-        self.x, self.threshold, self.single = unit_rows(x)[0], threshold, single
+        (self.x, self.has), self.threshold, self.single = unit_rows(x), threshold, single
         self.rough = self.x.astype(np.float32)
         # Rounding of the rough products.
         self.slack = np.float32((x.shape[1] + 8) * 2.0**-22)
@@ -63,10 +63,10 @@ class _Near:
     def dist(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Of the pairs (p[k], q[k])."""
         parts = [np.einsum("ij,ij->i", self.x[p[k : k + (1 << 16)]], self.x[q[k : k + (1 << 16)]]) for k in range(0, len(p), 1 << 16)]
-        return np.maximum(1 - (np.concatenate([*parts, np.zeros(0)]) + 1) / 2, 0)
+        return np.where(self.has[p] & self.has[q], np.maximum(1 - (np.concatenate([*parts, np.zeros(0)]) + 1) / 2, 0), 1)
 
     def tile(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Which rows of p are near which of q: products in single precision, taken again in double precision where they are about the threshold."""
+        """Which rows of p are near which of q, all with a length: products in single precision, taken again in double precision where they are about the threshold."""
         s, limit = self.rough[p] @ self.rough[q].T, np.float32(1 - 2 * self.threshold)
         near = s >= limit - self.slack
         if near.any():
@@ -164,13 +164,14 @@ def _keyed(docs: DataFrame, key: str, group: tuple, carry: tuple = ()) -> DataFr
     return docs.select(F.xxhash64(F.struct(*group) if group else F.lit(0)).alias("g"), F.col(key).alias("id"), F.transform("vector", lambda x: x.cast("float")).alias("v"), *[F.col(c).alias(f"c_{c}") for c in carry])
 
 
-def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int | None = None, forest: str | None = None, single: bool = False, lists: bool = False, carry: tuple = ()) -> DataFrame:
+def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int | None = None, forest: str | None = None, single: bool = False, lists: bool = False, carry: tuple = (), heads: tuple = ()) -> DataFrame:
     """Pairs within ``group`` (all rows without one) whose (1 - cosine) / 2 is at most the threshold, below 1: a, b, dist; a < b.
 
     With ``forest`` "mark" there is also ``tree``: whether the pair is one of those that connect what all pairs of its two tiles
     connect; with "only", just these come, so that a crowd of near rows gives no square of them. ``single``: distances are
     compared in single precision. ``lists``: a row for each row and tile in place of each pair: a, others, dists, trees; then a may be the greater
-    key. ``carry``: columns that each pair has of both its rows, as NAME_a and NAME_b. Vectors without length are at distance 1.
+    key. ``carry``: columns that each pair has of both its rows, as NAME_a and NAME_b. ``heads``: numbers of leading elements by which its
+    distance is taken as well, as head_N. Vectors and heads without length are at distance 1.
     """
     base = _keyed(docs, key, group, carry)
     extra, types = ["tree"] if forest else [], dict(base.dtypes)
@@ -182,7 +183,8 @@ def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tupl
         if not len(t):
             return
         ids, blk, i, j = t["id"].combine_chunks(), t["blk"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
-        rows = _Near(matrix(t["v"]), threshold, single)
+        x = matrix(t["v"])
+        rows, parts = _Near(x, threshold, single), {n: _Near(x[:, :n], threshold) for n in heads}
         for m, a in enumerate(_tiles(np.flatnonzero(blk == i))):
             for n, b in enumerate(_tiles(np.flatnonzero(blk == j))):
                 if i == j and m > n:
@@ -206,12 +208,14 @@ def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tupl
                 one, two = pc.if_else(swap, two, one), pc.if_else(swap, one, two)
                 out = {"a": ids.take(one), "b": ids.take(two), "dist": pa.array(dist)} | {"tree": pa.array(tree) for _ in extra}
                 out |= {f"{c}_{side}": t[f"c_{c}"].combine_chunks().take(at) for c in carry for side, at in (("a", one), ("b", two))}
+                out |= {f"head_{n}": pa.array(part.dist(a[p], b[q])) for n, part in parts.items()}
                 yield pa.RecordBatch.from_pydict(out)
 
     dealt = deal(base, threshold + 1e-6, block)
     if lists:
         return dealt.groupBy("g", "i", "j").applyInArrow(compare, f"a {id_type}, others array<{id_type}>, dists array<float>, trees array<boolean>")
     schema = f"a {id_type}, b {id_type}, dist double" + ", tree boolean" * len(extra) + "".join(f", {c}_{side} {types[f'c_{c}']}" for c in carry for side in "ab")
+    schema += "".join(f", head_{n} double" for n in heads)
     return dealt.groupBy("g", "i", "j").applyInArrow(compare, schema)
 
 

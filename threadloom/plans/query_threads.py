@@ -34,17 +34,11 @@ def cosine_pairs(spark, d):
 _NEAR = _PAIR.replace(" AS dist,", f" AS dist, round(0.5 * {_DIST} + 0.5 * {_DIST.replace('vector', 'vector[1:32]')}, 6) AS weighted,")
 
 
-def _near(spark, d):
-    """Pairs under the threshold with both vectors and times: distances of other pairs are of no use to a thread."""
-    rows = articles(spark, d, True)
-    side = lambda x: rows.select(F.col("doc_id").alias(x), F.col("vector").alias(f"v{x}"), F.col("fetch_time").alias(f"t{x}"))
-    return pairs.cosine_pairs(rows, THETA, "doc_id", ("lang",)).join(side("a"), "a").join(side("b"), "b")
-
-
 @query(f"WITH {VECTORED}, p AS ({_NEAR}) SELECT a, b, weighted AS dist FROM p WHERE dist <= {THETA}")
 def weighted_distance(spark, d):
-    half = S.pair_distance(F.slice("va", 1, 32), F.slice("vb", 1, 32))
-    return _near(spark, d).select("a", "b", F.round(0.5 * S.pair_distance(F.col("va"), F.col("vb")) + 0.5 * half, 6).alias("dist"))
+    """Both distances of a pair are taken where its rows meet, so that none is joined with its vectors."""
+    near = pairs.cosine_pairs(articles(spark, d, True), THETA, "doc_id", ("lang",), heads=(32,))
+    return near.select("a", "b", F.round(0.5 * F.col("dist") + 0.5 * F.col("head_32"), 6).alias("dist"))
 
 
 @query(f"WITH {VECTORED}, p AS ({_PAIR}) SELECT a, b, round(least(dist * CASE WHEN abs(ta - tb) / 3600.0 >= 24 THEN abs(ta - tb) / 3600.0 / 24.0 ELSE 1 END, 1.0), 6) AS dist FROM p WHERE dist <= {THETA}")
