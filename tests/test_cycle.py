@@ -133,6 +133,30 @@ def test_the_cycle_ends_like_a_rebuild(spark, tmp_path, cfg):
     assert all(r["comp"] <= r["thread"] <= n for n, r in got.items())
 
 
+def test_batches_are_planned_adaptively_and_files_share_states(spark, tmp_path):
+    rows = [(f"f{k}", k, False, START + k, 50 if k < 90 else 500, "{}") for k in range(100)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.json(f"{tmp_path}/in")
+    for k, v in cycle.STATE_SETTINGS.items():
+        spark.conf.set(k, v)
+    seen = []
+
+    class Table:
+        def apply(self, puts, gone):
+            seen.append((puts.sparkSession.conf.get("spark.sql.adaptive.enabled"), {r[0] for r in puts.collect()}, {r[0] for r in gone.select("file_name").collect()}))
+
+    table = Table()
+    table.spark = spark
+    before, cycle.BUCKETS = cycle.BUCKETS, 3
+    try:
+        query = cycle.run_threads(table, spark.readStream.schema(SCHEMA).json(f"{tmp_path}/in"), lambda p: p.select("file_name"), f"{tmp_path}/cp")
+        query.awaitTermination()
+    finally:
+        cycle.BUCKETS = before
+    assert {s[0] for s in seen} == {"true"}
+    # The clock ends at START + 99: files of before START + 49 are stale then.
+    assert seen[0][1] == {f"f{k}" for k in range(100)} and set().union(*(s[2] for s in seen[1:])) == {f"f{k}" for k in range(49)}
+
+
 def test_near_any_like_all_pairs(spark):
     rng = np.random.default_rng(2)
     rows = lambda n, at: spark.createDataFrame([(f"{at}{k}", "en" if k % 4 else "de", rng.standard_normal(3).tolist() if k else [0.0] * 3) for k in range(n)], "file_name string, lang string, vector array<double>")

@@ -145,6 +145,40 @@ def test_a_forest_connects_what_all_pairs_do(spark):
     assert pairs.cosine_pairs(df, 0.045, block=32, forest="mark").count() == whole.count()
 
 
+@pytest.mark.parametrize(("crowds", "each", "threshold"), [(12, 25, 0.045), (1, 300, 0.2), (250, 1, 0.2), (250, 1, 0.3)])
+def test_near_components_are_those_of_all_pairs(spark, monkeypatch, crowds, each, threshold):
+    """Stories apart, one story, and near-random vectors of which some stay outside of the largest component."""
+    monkeypatch.setattr(pairs, "TILE", 8)
+    x = _crowds(7, crowds, each)
+    df = spark.createDataFrame([(k, "x" if k % 9 else "y", v.tolist()) for k, v in enumerate(x)], "id long, lang string, vector array<double>")
+    got = pairs.near_components(df, threshold, group=("lang",), block=32)
+    want = linkage.connected_components(pairs.cosine_pairs(df, threshold, group=("lang",)).select("a", "b"))
+    assert sorted(map(tuple, got.select("id", "comp").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_one_component_is_not_compared_as_a_square(monkeypatch):
+    n = 12_000
+    rows, compared = pairs._Near(np.random.default_rng(1).standard_normal((n, 64)), 0.33), []
+    whole = rows.tile
+    monkeypatch.setattr(rows, "tile", lambda p, q: compared.append(len(p) * len(q)) or whole(p, q))
+    label = np.arange(n)
+    p, q = rows.links(np.arange(n), np.arange(n), label)
+    assert sum(compared) < 0.4 * n * n / 2
+    # Some rows stay alone; each pair joins two components, and all are near.
+    assert len(p) == n - len(set(label.tolist())) > 0.98 * n and (rows.dist(p, q) <= 0.33).all()
+
+
+def test_near_values_are_those_of_the_near_rows(spark):
+    rng = np.random.default_rng(4)
+    side = lambda n: spark.createDataFrame([(f"{k}", k % 13, rng.standard_normal(4).tolist()) for k in range(n)], "id string, comp int, vector array<double>")
+    left, right = side(30).cache(), side(200).cache()
+    for block, threshold in ((None, 0.002), (8, 0.002), (8, 0.2)):
+        near = pairs.near_any(left, right, threshold, block=block)
+        want = {r[0] for r in right.join(near, "id").select("comp").collect()}
+        got = [r[0] for r in pairs.near_any(left, right, threshold, block=block, once="comp").collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_components_in_arrays(seed):
     rng = np.random.default_rng(seed)

@@ -21,7 +21,7 @@ from ..config import EN_CLUSTERING, ClusteringConfig
 from ..storage import cut
 from .components import connected_components
 from .order import position
-from .pairs import cosine_pairs
+from .pairs import cosine_pairs, near_components
 
 
 def size_allows(size: int, distance: float, cfg: ClusteringConfig) -> bool:
@@ -179,8 +179,8 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
     part = lambda c, k: F.get(F.split(c, "/", 3), F.lit(k))
     own = [part("a", 2).alias("lang"), part("a", 0).cast("int").alias("chunk"), part("a", 1).cast("long")]
     if free(cfg) and not cfg.time_penalty:
-        pairs = cosine_pairs(dealt, cfg.small_threshold, "id", ("lang", "chunk"), forest="only", single=True)
-        return _labelled(base, pairs.select(own[0], own[2].alias("i"), part("b", 1).cast("long").alias("j")))
+        comps = near_components(dealt, cfg.small_threshold, "id", ("lang", "chunk"), single=True).withColumnRenamed("id", "a")
+        return _labelled(base, comps.select(own[0], own[2].alias("i"), part("comp", 1).cast("long").alias("j")))
     # A row for each document and block, so that a crowd of near documents makes no row for each pair.
     lists = cosine_pairs(dealt, cfg.small_threshold, "id", ("lang", "chunk"), forest="mark", single=True, lists=True)
     lists = lists.select(*own[:2], own[2].alias("seq"), "others", "dists", "trees")
@@ -237,14 +237,16 @@ def threads(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING, order: tuple
     return _labelled(base, merges)
 
 
-def link_components(docs: DataFrame, edges: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING) -> DataFrame:
-    """docs: file_name, site_name, fetch_time. edges: a, b, dist, all pairs under the small threshold among the docs. Returns
-    file_name, comp, thread: the least file name of its component and of its thread. Without chunks and a shared budget, so each component is linked
-    apart."""
-    comps = connected_components(edges.select("a", "b")).select(F.col("key").alias("file_name"), "comp")
+def link_components(docs: DataFrame, cfg: ClusteringConfig = EN_CLUSTERING) -> DataFrame:
+    """docs: file_name, lang, site_name, fetch_time, vector. Returns file_name, comp, thread: the least file name of its component, by pairs under
+    the small threshold, and of its thread. Without chunks and a shared budget, so each component is linked apart; where nothing limits merges, the
+    components are the threads and no pairs are asked for."""
     if unlimited(cfg):
-        threads = comps.withColumn("thread", F.col("comp"))
+        threads = near_components(docs, cfg.small_threshold, "file_name", ("lang",), single=True).withColumn("thread", F.col("comp"))
     else:
+        edges = cosine_pairs(docs, cfg.small_threshold, "file_name", ("lang",), single=True)
+        edges = cut(edges.select("a", "b", F.col("dist").cast("float").alias("dist")))
+        comps = connected_components(edges.select("a", "b")).select(F.col("key").alias("file_name"), "comp")
         near = edges.groupBy(F.col("a").alias("file_name")).agg(F.collect_list("b").alias("others"), F.collect_list("dist").alias("dists"))
         rows = docs.select("file_name", "site_name", "fetch_time").join(comps, "file_name").join(near, "file_name", "left")
 

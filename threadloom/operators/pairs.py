@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
+from .components import connected_components
 
 #: Pivots of a group at most: a task holds them beside one block.
 PIVOTS = 256
@@ -77,6 +78,47 @@ class _Near:
             near[i, j] = d.astype(np.float32) <= np.float32(self.threshold) if self.single else d <= self.threshold
         return near
 
+    def links(self, first: np.ndarray, second: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Near rows (p[k], q[k]), p of first and q of second, that connect what all near ones do. Rows of a label are connected already, so they are not
+        compared; labels are joined as pairs are found. label: a number below its length for each row."""
+        found, same = [], first is second
+        for m, a in enumerate(_tiles(first)):
+            for n, b in enumerate(_tiles(second)):
+                if same and m > n:
+                    continue
+                most = np.bincount(label[np.concatenate([a, b])]).argmax()
+                main, rest, others = a[label[a] == most], a[label[a] != most], b[label[b] != most]
+                for p, q in ((rest, b), (main, others)):
+                    if not (len(p) and len(q)):
+                        continue
+                    i, j = np.nonzero(spanning(self.tile(p, q) & (label[p][:, None] != label[q][None])))
+                    kept = _join(label, p[i], q[j])
+                    found.append((p[i[kept]], q[j[kept]]))
+        return tuple(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+
+
+def _join(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[int]:
+    """Join the labels of rows p[k] and q[k]. Returns the k that joined two."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    kept = []
+    for k, (a, b) in enumerate(zip(label[p].tolist(), label[q].tolist(), strict=True)):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            kept.append(k)
+    if up:
+        to = np.arange(len(label))
+        for x in up:
+            to[x] = root(x)
+        label[:] = to[label]
+    return kept
+
 
 def spanning(near: np.ndarray) -> np.ndarray:
     """near: which rows of one side are near which of the other. As many of these pairs as connect what all of them connect."""
@@ -219,32 +261,117 @@ def cosine_pairs(docs: DataFrame, threshold: float, key: str = "id", group: tupl
     return dealt.groupBy("g", "i", "j").applyInArrow(compare, schema)
 
 
-def near_any(left: DataFrame, right: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int = 1024) -> DataFrame:
-    """Rows of ``right`` that have a row of ``left`` within the threshold in their ``group``: their keys, each once; compared in single
-    precision. Both sides are cut into blocks by hash and each pair of blocks is compared apart; pairs never leave it. For a small left side: each row of
-    the right one goes to one block of it for every ``block`` rows."""
+def _drawn(base: DataFrame, counts: DataFrame) -> DataFrame:
+    """About ``TILE`` rows of each group, by hash."""
+    rate = F.least(TILE / F.col("_c"), F.lit(1.0)) * float(1 << 30)
+    return base.join(counts, "g").where(F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 30)) < rate)
 
-    def side(df):
-        return df.select(F.xxhash64(F.struct(*group) if group else F.lit(0)).alias("g"), F.col(key).alias("id"), F.transform("vector", lambda x: x.cast("float")).alias("v"))
 
-    one, two = side(left), side(right)
-    sizes = lambda df, n: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
-    # Groups with rows on both sides.
+def _facing(one: DataFrame, two: DataFrame, block: int | None) -> DataFrame:
+    """g, i, j, first, id, v: rows of groups that both sides have, cut into blocks by hash; each row once for each block of the other side."""
+    sizes = lambda df, n: _counts(df, block).select("g", F.col("_n").alias(n))
     both = cut(sizes(one, "_n").join(sizes(two, "_m"), "g"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = one.join(both, "g").select("g", own("_n").alias("i"), every("_m").alias("j"), F.lit(True).alias("first"), "id", "v")
-    b = two.join(both, "g").select("g", every("_n").alias("i"), own("_m").alias("j"), F.lit(False).alias("first"), "id", "v")
+    a = one.join(both, "g").select("g", own("_n").alias("i"), every("_m").alias("j"), F.lit(True).alias("first"), *[c for c in one.columns if c != "g"])
+    b = two.join(both, "g").select("g", every("_n").alias("i"), own("_m").alias("j"), F.lit(False).alias("first"), *[c for c in two.columns if c != "g"])
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def near_components(docs: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int | None = None, single: bool = False) -> DataFrame:
+    """key, comp: the components that the pairs of ``cosine_pairs`` make, by their least key; rows without a near one are left out.
+
+    Rows are first compared within blocks by hash and with a few of their group, drawn. What that connects need not be compared again: of each group's
+    largest component so far, rows meet only those outside of it. Where one component takes in nearly all, that is nearly
+    all of the work; where there are many small ones, cells keep far rows apart. Tasks give out forests.
+    """
+    base = cut(_keyed(docs, key, group))
+    counts = _counts(base, block)
+    many = counts.where("_n > 1")
+    id_type = dict(base.dtypes)["id"]
+    schema = f"a {id_type}, b {id_type}"
+
+    def connect(t: pa.Table, sides, known=None) -> pa.Table:
+        """sides: of a table, the pairs of row sets to compare; known: which rows are in one component."""
+        t = t.filter(pa.array(unit_rows(matrix(t["v"]))[1])).combine_chunks()
+        if not len(t):
+            return pa.table({"a": t["id"], "b": t["id"]})
+        label = np.arange(len(t))
+        if known is not None:
+            own = known(t)
+            label[own] = own[0] if len(own) else 0
+        rows = _Near(matrix(t["v"]), threshold, single)
+        p, q = (pa.array(np.concatenate(x)) for x in zip(*(rows.links(a, b, label) for a, b in sides(t)), strict=True))
+        return pa.table({"a": t["id"].take(p), "b": t["id"].take(q)})
+
+    at = lambda t, column, value=True: np.flatnonzero(t[column].to_numpy() == value)
+
+    def inside(t: pa.Table) -> pa.Table:
+        def sides(t):
+            drawn, own = at(t, "first"), at(t, "first", False)
+            return (drawn, own), (own, own)
+
+        return connect(t, sides)
+
+    def between(t: pa.Table) -> pa.Table:
+        def sides(t):
+            a, b = (at(t, "blk", t[c][0].as_py()) for c in ("i", "j"))
+            return [(a, a if t["i"][0] == t["j"][0] else b)]
+
+        return connect(t, sides)
+
+    def across(t: pa.Table) -> pa.Table:
+        return connect(t, lambda t: [(at(t, "first"), at(t, "first", False))], lambda t: at(t, "first", False))
+
+    own = base.join(counts, "g").select("g", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("i"), F.lit(False).alias("first"), "id", "v")
+    drawn = _drawn(base, many).select("g", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("i"), F.lit(True).alias("first"), "id", "v")
+    labels = connected_components(own.unionByName(drawn).groupBy("g", "i").applyInArrow(inside, schema))
+    if many.isEmpty():
+        return labels.select(F.col("key").alias(key), "comp")
+    known = base.join(many.select("g"), "g").join(labels, F.col("id") == F.col("key"), "left").select("g", "id", "v", F.coalesce("comp", "id").alias("comp"))
+    known = cut(known)
+    most = cut(known.groupBy("g", "comp").count().groupBy("g").agg(F.max_by("comp", F.struct("count", "comp")).alias("_most")))
+    known = known.join(most, "g")
+    rest = cut(known.where("comp <> _most").select("g", "id", "v"))
+    main = known.where("comp = _most").select("g", "id", "v")
+    more = deal(rest, threshold + 1e-6, block).groupBy("g", "i", "j").applyInArrow(between, schema)
+    more = cut(more.unionByName(_facing(rest, main, block).groupBy("g", "i", "j").applyInArrow(across, schema)))
+    alone = more.select(F.col("a").alias("key")).union(more.select("b")).distinct().join(labels, "key", "left_anti").select("key", F.col("key").alias("comp"))
+    labels = cut(labels.unionByName(alone))
+    to = lambda x: labels.select(F.col("key").alias(x), F.col("comp").alias(f"_{x}"))
+    joined = connected_components(more.join(to("a"), "a").join(to("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    joined = joined.select(F.col("key").alias("comp"), F.col("comp").alias("_least"))
+    return labels.join(joined, "comp", "left").select(F.col("key").alias(key), F.coalesce("_least", "comp").alias("comp"))
+
+
+def near_any(left: DataFrame, right: DataFrame, threshold: float, key: str = "id", group: tuple = (), block: int | None = None, once: str | None = None) -> DataFrame:
+    """Rows of ``right`` that have a row of ``left`` within the threshold in their ``group``: their keys, each once; compared in single
+    precision. Both sides are cut into blocks by hash and each pair of blocks is compared apart; pairs never leave it.
+    ``once``: a column of ``right`` whose values are asked for in place of the keys; those near a few drawn rows of ``left`` are not looked at again."""
+    one, two = _keyed(left, key, group), _keyed(right, key, group, (once,) if once else ())
+    name = f"c_{once}" if once else "id"
 
     def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
+        t = t.filter(pa.array(unit_rows(matrix(t["v"]))[1])).combine_chunks()
+        if not len(t):
+            return t.select([name])
         first = t["first"].to_numpy()
-        p, q = np.flatnonzero(first), np.flatnonzero(~first)
-        x, has = unit_rows(matrix(t["v"]))
-        dist = np.maximum(1 - (x[q] @ x[p].T + 1) / 2, 0)
-        dist[~has[q]] = 1
-        dist[:, ~has[p]] = 1
-        return pa.table({"id": t["id"].take(pa.array(q[(dist.astype(np.float32) <= np.float32(threshold)).any(axis=1)]))})
-
-    found = a.unionByName(b).groupBy("g", "i", "j").applyInArrow(compare, f"id {dict(one.dtypes)['id']}")
-    return found.distinct().withColumnRenamed("id", key)
+        rows, found = _Near(matrix(t["v"]), threshold, True), [np.zeros(0, np.int64)]
+        for q in _tiles(np.flatnonzero(~first)):
+            for p in _tiles(np.flatnonzero(first)):
+                near = rows.tile(q, p).any(axis=1)
+                found.append(q[near])
+                q = q[~near]
+        return pa.table({name: pc.unique(t[name].take(pa.array(np.concatenate(found))))})
+
+    def found(one: DataFrame, two: DataFrame) -> DataFrame:
+        return _facing(one, two, block).groupBy("g", "i", "j").applyInArrow(compare, f"{name} {dict(two.dtypes)[name]}").distinct()
+
+    if not once:
+        return found(one, two).withColumnRenamed(name, key)
+    one, two = cut(one), cut(two)
+    counts = _counts(one, block)
+    hit = cut(found(_drawn(one, counts).select("g", "id", "v"), two))
+    if not counts.where(F.col("_c") > TILE).isEmpty():
+        hit = hit.unionByName(found(one, two.join(hit, name, "left_anti"))).distinct()
+    return hit.withColumnRenamed(name, once)

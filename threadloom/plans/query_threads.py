@@ -10,7 +10,6 @@ from ..config import EN_CLUSTERING, RankerConfig
 from ..functions import scalars as S
 from ..operators import importance as imp
 from ..operators import linkage, pairs, ratings, threads
-from ..operators.components import connected_components
 from ..operators.rank import rank
 from ..schema import COUNTRIES
 from ..sources import sinks
@@ -51,7 +50,7 @@ def time_penalty_distance(spark, d):
 @query(f"""WITH RECURSIVE {VECTORED}, p AS ({_PAIR}), e AS (SELECT a, b FROM p WHERE dist <= {THETA} UNION SELECT b, a FROM p WHERE dist <= {THETA}),
 r(n, m) AS (SELECT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n) SELECT n AS doc_id, min(m) AS comp FROM r GROUP BY 1""")
 def threshold_components(spark, d):
-    return connected_components(pairs.cosine_pairs(articles(spark, d, True), THETA, "doc_id", ("lang",), forest="only")).select(F.col("key").alias("doc_id"), "comp")
+    return pairs.near_components(articles(spark, d, True), THETA, "doc_id", ("lang",))
 
 
 _LOOSE = replace(EN_CLUSTERING, small_threshold=0.36, medium_threshold=0.35, large_threshold=0.34, small_size=3, medium_size=5, large_size=8)

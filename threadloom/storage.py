@@ -21,9 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
+def cut(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back, in ``spark`` or its own session: lineage ends there and lost executors lose nothing."""
+    spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/threadloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     spark._threadloom_cut = [*getattr(spark, "_threadloom_cut", []), path]

@@ -1,7 +1,7 @@
 """The incremental cycle: documents come, are replaced, deleted and expire, and only the threads that they touch are linked anew.
 
-``lifecycle`` keeps, for each file, when it expires: a timer on the clock of the newest fetch time fires then, so no scan of the store
-looks for stale documents. ``ThreadTable`` holds each live document with its component and its thread. A batch is compared with the
+``lifecycle`` keeps, for each file, when it expires: a timer on the clock of the newest fetch time fires then for its bucket of files, so no scan of the
+store looks for stale documents. ``ThreadTable`` holds each live document with its component and its thread. A batch is compared with the
 live documents, and the components that it touches, by a new document or by one that goes, are paired and linked as a whole; since
 merges never leave a component, all other threads stand. That needs the loop's unbounded budget and no chunks: both couple
 components that have nothing to do with each other.
@@ -16,12 +16,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..config import EN_CLUSTERING, ClusteringConfig
 from ..operators import linkage
-from ..operators.pairs import cosine_pairs, near_any
+from ..operators.pairs import near_any
 from ..storage import cut
 from .keyed import PARTS, KeyedTable
 
 #: What ``lifecycle`` takes.
 CHANGE = "file_name string, seq long, gone boolean, fetch_time long, ttl long, payload string"
+#: Files share states by hash, in so many buckets: a call to the state costs more than a file.
+BUCKETS = 4096
 #: What the session needs for the lifecycle's states: RocksDB, with a bound on what all states of an executor keep in memory.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -31,43 +33,64 @@ STATE_SETTINGS = {
 
 
 class _Lifecycle(StatefulProcessor):
-    """State of a file: the number of its last change, and the second after which it is stale."""
-
-    def __init__(self, columns: list[str]):
-        self.columns = columns
+    """State of a bucket of files: of each one the number of its last change, and the second after which it is stale. One timer, for the first of them."""
 
     def init(self, handle):
         self.handle = handle
-        self.file = handle.getValueState("file", "seq long, until long")
+        self.files = handle.getValueState("files", "names array<string>, seqs array<long>, untils array<long>")
+
+    def _held(self) -> dict:
+        found = self.files.get()
+        return {n: (s, u) for n, s, u in zip(*found, strict=True)} if found else {}
 
-    def _forget(self):
-        if self.file.exists():
-            self.handle.deleteTimer((self.file.get()[1] + 1) * 1000)
+    def _keep(self, files: dict) -> int | None:
+        """When the first of them is stale, in milliseconds."""
+        if not files:
+            self.files.clear()
+            return None
+        self.files.update((list(files), *([v[k] for v in files.values()] for k in (0, 1))))
+        return self._first(files)
+
+    @staticmethod
+    def _first(files: dict) -> int | None:
+        return (min(u for _, u in files.values()) + 1) * 1000 if files else None
 
     def handleInputRows(self, key, rows, timerValues):
-        last = None
+        last: dict = {}
         for pdf in rows:
-            for r in pdf[pdf["payload"].notna() | pdf["gone"]].to_dict("records"):
-                if last is None or r["seq"] >= last["seq"]:
-                    last = r
-        held = self.file.exists()
-        if last is None or (held and last["seq"] < self.file.get()[0]):
-            return
-        self._forget()
-        if last["gone"]:
-            self.file.clear()
-        else:
-            until = int(last["until"])
-            self.file.update((int(last["seq"]), until))
-            self.handle.registerTimer((until + 1) * 1000)
-        if held or not last["gone"]:
-            yield pd.DataFrame([{"file_name": key[0], "seq": last["seq"], "action": "gone" if last["gone"] else "put", "payload": last["payload"]}])
+            pdf = pdf[pdf["payload"].notna() | pdf["gone"]]
+            for name, seq, until, payload, gone in zip(*(pdf[c].tolist() for c in ("file_name", "seq", "until", "payload", "gone")), strict=True):
+                if name not in last or seq >= last[name][0]:
+                    last[name] = (seq, until, payload, gone)
+        files = self._held()
+        before, out = self._first(files), []
+        for name, (seq, until, payload, gone) in last.items():
+            held = files.get(name)
+            if held and seq < held[0]:
+                continue
+            files.pop(name, None)
+            if not gone:
+                files[name] = (int(seq), int(until))
+            if held or not gone:
+                out.append((name, seq, "gone" if gone else "put", payload))
+        if out:
+            after = self._keep(files)
+            if after != before:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                if after is not None:
+                    self.handle.registerTimer(after)
+            yield pd.DataFrame(out, columns=["file_name", "seq", "action", "payload"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.file.exists():
-            seq = self.file.get()[0]
-            self.file.clear()
-            yield pd.DataFrame([{"file_name": key[0], "seq": seq, "action": "expired", "payload": None}])
+        files, now = self._held(), timerValues.getCurrentWatermarkInMs()
+        stale = [n for n, (_, u) in files.items() if (u + 1) * 1000 <= now]
+        out = [(n, files.pop(n)[0], "expired", None) for n in stale]
+        if out:
+            after = self._keep(files)
+            if after is not None:
+                self.handle.registerTimer(after)
+            yield pd.DataFrame(out, columns=["file_name", "seq", "action", "payload"])
 
     def close(self):
         pass
@@ -78,16 +101,17 @@ def lifecycle(changes: DataFrame) -> DataFrame:
     last change of a file in a batch, ``gone`` for a deleted one, ``expired`` once the newest fetch time seen is beyond fetch_time + ttl.
 
     A late document is taken in, as the clock's rows alone carry the event time and may come late; stale ones expire in
-    the batch that follows. A change with a smaller number than the file's last one is ignored. The state is a number and a time for each live file.
+    the batch that follows. A change with a smaller number than the file's last one is ignored. The state is a number and a time for each live file, by ``BUCKETS``.
     """
     until = F.col("fetch_time") + F.col("ttl")
     clock = F.struct(F.timestamp_seconds("fetch_time").alias("ts"), F.lit(None).cast("string").alias("payload"), F.lit(False).alias("gone"))
     change = F.struct(F.lit(None).cast("timestamp").alias("ts"), F.when(~F.col("gone"), F.coalesce("payload", F.lit(""))).alias("payload"), F.col("gone").alias("gone"))
     kinds = F.when(F.col("fetch_time").isNull(), F.array(change)).otherwise(F.array(clock, change))
-    rows = changes.select("file_name", "seq", until.alias("until"), F.explode(kinds).alias("k")).select("file_name", "seq", "until", "k.*")
+    bucket = F.pmod(F.xxhash64("file_name"), F.lit(BUCKETS)).cast("int")
+    rows = changes.select(bucket.alias("bucket"), "file_name", "seq", until.alias("until"), F.explode(kinds).alias("k")).select("bucket", "file_name", "seq", "until", "k.*")
     timed = rows.withWatermark("ts", "0 seconds")
     out = "file_name string, seq long, action string, payload string"
-    return timed.groupBy("file_name").transformWithStateInPandas(_Lifecycle(rows.columns), out, "Append", "eventTime")
+    return timed.groupBy("bucket").transformWithStateInPandas(_Lifecycle(), out, "Append", "eventTime")
 
 
 class ThreadTable:
@@ -97,7 +121,7 @@ class ThreadTable:
     def __init__(self, spark: SparkSession, path: str, cfg: ClusteringConfig = EN_CLUSTERING, parts: int = PARTS):
         if cfg.budget != "unbounded" or cfg.time_penalty:
             raise ValueError("the incremental cycle needs an unbounded budget and no time penalty")
-        self.cfg, self.table = cfg, KeyedTable(spark, path, parts=parts)
+        self.spark, self.cfg, self.table = spark, cfg, KeyedTable(spark, path, parts=parts)
 
     def documents(self) -> DataFrame | None:
         return self.table.read()
@@ -111,12 +135,11 @@ class ThreadTable:
         if old is not None:
             # The components of the batch's files as they were, and of the documents near the new ones.
             stay = old.join(touched, "file_name", "left_anti")
-            near = near_any(puts, stay, self.cfg.small_threshold, "file_name", ("lang",))
-            reached = old.join(touched, "file_name", "left_semi").select("comp").unionByName(stay.join(near, "file_name", "left_semi").select("comp")).distinct()
+            reached = cut(old.join(touched, "file_name", "left_semi").select("comp").distinct())
+            near = near_any(puts, stay.join(reached, "comp", "left_anti"), self.cfg.small_threshold, "file_name", ("lang",), once="comp")
+            reached = reached.unionByName(near)
             docs = cut(puts.unionByName(stay.join(reached, "comp", "left_semi").select(*own)))
-        forest = "only" if linkage.unlimited(self.cfg) else None
-        edges = cosine_pairs(docs, self.cfg.small_threshold, "file_name", ("lang",), forest=forest, single=True)
-        linked = linkage.link_components(docs, cut(edges.select("a", "b", F.col("dist").cast("float").alias("dist"))), self.cfg)
+        linked = linkage.link_components(docs, self.cfg)
         self.table.apply(docs.join(linked, "file_name").select(*own, "comp", "thread"), touched)
 
 
@@ -125,7 +148,8 @@ def run_threads(table: ThreadTable, changes: DataFrame, parse, checkpoint: str,
     Without a trigger: all that is there, then stop. The session's settings must hold those of ``STATE_SETTINGS`` while the stream runs."""
 
     def batch(df: DataFrame, _: int) -> None:
-        df = cut(df)
+        # In the table's session: that of a stream with states plans without adaptive execution, each small step in all its partitions.
+        df = cut(df, table.spark)
         if df.isEmpty():
             return
         last = df.groupBy("file_name").agg(F.max_by(F.struct("action", "payload"), F.struct("seq", F.col("action") != "put")).alias("l")).select("file_name", "l.*")
